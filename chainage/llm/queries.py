@@ -19,12 +19,40 @@ def op10_super_kmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_pivots, op10_super_kmer_dedup)}
+def op2_permutation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chainage.llm.sharding import place
+
+    shards = [f"shard-{i:04d}" for i in range(256)]
+    return place(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], shards)
+
+
+def op3_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chainage.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op6_tournament_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from chainage.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chainage.llm.secrets import report, update
+
+    docs = table(spark, sf_dir, "documents")
+    return report(docs, update(docs).findings)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_pivots, op2_permutation_shards, op3_license_index, op6_tournament_packing, op8_secret_ledger, op10_super_kmer_dedup)}
 
 ORACLES = {
     "op10_super_kmer_dedup": """
 WITH words AS (
-  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
   FROM documents),
 windows AS (
   SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k
