@@ -32,6 +32,12 @@ def op3_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op5_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chainage.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_tournament_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -47,7 +53,7 @@ def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(docs, update(docs).findings)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_pivots, op2_permutation_shards, op3_license_index, op6_tournament_packing, op8_secret_ledger, op10_super_kmer_dedup)}
+QUERIES = {f.__name__: f for f in (op1_simhash_pivots, op2_permutation_shards, op3_license_index, op5_multiprobe_neighbours, op6_tournament_packing, op8_secret_ledger, op10_super_kmer_dedup)}
 
 ORACLES = {
     "op10_super_kmer_dedup": """
