@@ -13,6 +13,12 @@ def op1_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chainage.llm.decontam import matches
+
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_super_kmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chainage.llm.superkmer import remove_repeats
 
@@ -32,6 +38,13 @@ def op3_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op4_toxic_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chainage.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chainage.llm.neighbours import nearest
 
@@ -53,7 +66,7 @@ def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(docs, update(docs).findings)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_pivots, op2_permutation_shards, op3_license_index, op5_multiprobe_neighbours, op6_tournament_packing, op8_secret_ledger, op10_super_kmer_dedup)}
+QUERIES = {f.__name__: f for f in (op1_simhash_pivots, op2_permutation_shards, op3_license_index, op4_toxic_lexicon, op5_multiprobe_neighbours, op6_tournament_packing, op8_secret_ledger, op9_benchmark_leaks, op10_super_kmer_dedup)}
 
 ORACLES = {
     "op10_super_kmer_dedup": """
