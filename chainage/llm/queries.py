@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chainage.llm.common import table
+from chainage.llm.common import fresh_dir, table
+from chainage.llm.secrets import RULES
 
 
 def op1_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +60,12 @@ def op6_tournament_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_web_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chainage.llm.webarchive import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"), fresh_dir(spark, "op7"))
+
+
 def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chainage.llm.secrets import report, update
 
@@ -66,9 +73,38 @@ def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(docs, update(docs).findings)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_pivots, op2_permutation_shards, op3_license_index, op4_toxic_lexicon, op5_multiprobe_neighbours, op6_tournament_packing, op8_secret_ledger, op9_benchmark_leaks, op10_super_kmer_dedup)}
+QUERIES = {f.__name__: f for f in (op1_simhash_pivots, op2_permutation_shards, op3_license_index, op4_toxic_lexicon, op5_multiprobe_neighbours, op6_tournament_packing, op7_web_packages, op8_secret_ledger, op9_benchmark_leaks, op10_super_kmer_dedup)}
+
+
+
+def _rule_sql(k: int, rule) -> str:
+    p = rule.pattern.replace("'", "''")
+    return f"SELECT doc_id, {k} AS k, '{rule.kind}' AS kind, {rule.least} AS least, regexp_extract_all(t, '{p}', 0) AS x, regexp_extract_all(t, '{p}', {rule.group}) AS y, string_split_regex(t, '{p}') AS gaps FROM d WHERE regexp_matches(t, '{p}')"
+
 
 ORACLES = {
+    "op7_web_packages": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+bits AS (SELECT *, list_aggregate([lpad(bin(('0x' || h[i:i])::INTEGER), 4, '0') FOR i IN range(1, 41)], 'string_agg', '') AS b,
+                max(page_id) OVER (PARTITION BY html) AS last FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+       list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_sum([CAST(substr(b, 5 * g + k, 1) AS INTEGER) * (1 << (5 - k)) FOR k IN range(1, 6)]) AS INTEGER), 1) FOR g IN range(0, 32)], 'string_agg', '') AS payload_digest,
+       CASE WHEN last = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN last <> page_id THEN last END AS refers_to
+FROM bits
+""",
+    "op8_secret_ledger": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM (""" + " UNION ALL ".join(_rule_sql(k, r) for k, r in enumerate(RULES)) + r""")),
+s AS (SELECT doc_id, k, kind, len(y[i]) >= least AS ok,
+             CAST(list_sum([len(g) FOR g IN gaps[1:i]]) + list_sum([len(g) FOR g IN x[1:i]]) AS BIGINT) AS e, len(x[i]) AS n FROM m),
+f AS (SELECT doc_id, k, kind || ':' || (e - n) || ':' || e AS span, e - n AS b FROM s WHERE ok),
+g AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+             string_agg(span, ',' ORDER BY b, k) FILTER (k < 3) AS base, string_agg(span, ',' ORDER BY b, k) AS spans FROM f GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (doc_id)
+""",
     "op10_super_kmer_dedup": """
 WITH words AS (
   SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w

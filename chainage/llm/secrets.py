@@ -115,7 +115,11 @@ def report(docs: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES
 
     none = F.array().cast("array<struct<start:bigint,rule:int,end:bigint>>")
     rows = addressed(docs).select("doc_id", "blob").join(named, "blob", "left").withColumn("found", F.coalesce("found", none))
-    counts = [F.size(F.filter("found", lambda s, k=k: s["rule"] == k)).cast("long").alias(f"n_{rules[k].kind}") for k in base]
+
+    def of(k: int):
+        return lambda s: s["rule"] == k
+
+    counts = [F.size(F.filter("found", of(k))).cast("long").alias(f"n_{rules[k].kind}") for k in base]
     only_base = F.filter("found", lambda s: s["rule"].isin(base))
     return rows.select("doc_id", *counts, F.sha2(written(only_base), 256).alias("base_sha256"), written(F.col("found")).alias("spans"))
 

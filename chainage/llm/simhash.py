@@ -264,3 +264,14 @@ def near_duplicates(docs: DataFrame, distance: int = 3, id_col: str = "doc_id",
     found = components(links(nodes, distance, n_blocks_for(nodes.count(), distance)))
     reached = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return marked.join(reached, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, distance: int = 3) -> DataFrame:
+    """The rows of docs that stay when one document of each class stays, all columns kept.
+
+    That of the smallest doc_id stays; of repeated rows with one id, one; rows without an
+    id stay, since nothing tells which document they are.
+    """
+    kept = near_duplicates(docs, distance).where("doc_id = component_id").select("doc_id").distinct()
+    own = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return own.select(*docs.columns).unionByName(docs.where("doc_id is null"))
