@@ -12,6 +12,8 @@ written as sequences whose lengths are powers of two, which need no padding.
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from chainage.llm.common import groups_of
 
 #: Distinct pieces of text whose ids a Python worker remembers at once.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 
 class Piece(NamedTuple):
@@ -125,34 +127,96 @@ def fill_gaps(bins: list[list[Piece]], capacity: int, least: int) -> list[list[P
 class Encoder:
     """Token ids of whole texts as little-endian bytes, end id included.
 
-    The tokenizer drops white space and no id spans it, so the pieces between spaces
-    are encoded once each and remembered (the memory is emptied when it is full).
+    For a tokenizer that composes and lower-cases, cuts at PIECE, drops white space and
+    ends each piece with a token marked `</w>`: texts are cut the same way here, and each
+    distinct piece is encoded once and remembered (the memory is emptied when it is full).
+    Texts that hold a special token's string are encoded whole.
     """
 
+    #: Fixed value: the tokenizer's own rule for pieces.
+    PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    #: The same for texts without numerals other than decimal digits; re.findall is several times faster.
+    SIMPLE = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|[_\x1c-\x1f])+"
+
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = end_id.to_bytes(4, "little")
         self.known: dict[str, bytes] = {}
+        self.simple, self.exact = re.compile(self.SIMPLE).findall, regex.compile(self.PIECE.replace(r"[^\s", r"[^\t-\r \x85\p{Z}")).findall
+        self.odd = regex.compile(r"[\p{No}\p{Nl}]").search
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def chunks(self, text: str) -> tuple[list[str], bool]:
+        """The text composed and lower-cased, cut at spaces, tabs and line ends; whether it has odd numerals."""
+        odd = False
+        if text.isascii():
+            text = text.lower()
+        else:
+            text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()  # lower() would give a last sigma its own form
+            odd = self.odd(text) is not None
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "), odd
+
+    def learn(self, new: list[str]) -> None:
+        """Encode pieces, about a thousand in a call; a piece's tokens end at the next marked one."""
+        known = self.known
+        for at in range(0, len(new), 1000):
+            own = new[at : at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(own) or ends[-1] != len(ids):
+                for w, e in zip(own, self.tokenizer.encode_batch_fast(own, add_special_tokens=False), strict=True):
+                    known[w] = np.array(e.ids, "<u4").tobytes()
+                continue
+            data, a = ids.tobytes(), 0
+            for w, b in zip(own, (4 * ends).tolist(), strict=True):
+                known[w] = data[a:b]
+                a = b
+
+    def remember(self, chunks: set[str], odd: bool) -> None:
+        """Encode chunks that aren't known, by their pieces."""
+        known, cut = self.known, self.exact if odd else self.simple
+        parts = {c: p for c in chunks if (p := cut(c)) != [c]}
+        new = (chunks - parts.keys()).union(*parts.values()).difference(known)
+        if new:
+            self.learn(list(new))
+        for c, p in parts.items():
+            known[c] = b"".join([known[x] for x in p])
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         known = self.known
-        for text in texts:
-            words = text.split(" ")
-            try:
-                yield b"".join(map(known.__getitem__, words)) + self.end
-                continue
-            except KeyError:
-                pass
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            if len(known) + len(new) > REMEMBERED:
+        for at in range(0, len(texts), 64):
+            held: list[list[str] | bytes] = []
+            new: dict[bool, set[str]] = {False: set(), True: set()}
+            for text in texts[at : at + 64]:
+                if "<|" in text and any(s in text for s in self.special):
+                    held.append(np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes())
+                else:
+                    chunks, odd = self.chunks(text)
+                    new[odd].update(chunks)
+                    held.append(chunks)
+            if len(known) > REMEMBERED:
                 known.clear()
-                new = list(dict.fromkeys(words))
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-            yield b"".join(map(known.__getitem__, words)) + self.end
+            for odd, chunks in new.items():
+                self.remember(chunks.difference(known), odd)
+            for p in held:
+                yield (p if isinstance(p, bytes) else b"".join(map(known.__getitem__, p))) + self.end
+
+
+def encoder(path: str, end_id: int) -> Encoder:
+    """One encoder for all tasks of a Python worker: kept with the tokenizers module, which stays loaded."""
+    import tokenizers
+
+    made = tokenizers.__dict__.setdefault("_chainage_encoders", {})
+    if (path, end_id) not in made:
+        made[path, end_id] = Encoder(path, end_id)
+    return made[path, end_id]
 
 
 def pack_group(lengths: list[int], capacity: int, least: int = 8) -> list[list[Piece]]:
@@ -182,13 +246,10 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
     # the text takes part in the hash, so rows that repeat an id, or have none, spread as well
     grouped = rows.withColumn("g", F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.substring("text", 1, 64)), F.lit(groups)))
     fields = FIELDS + ", ids array<int>" * with_ids
-    encoders: dict[str, Encoder] = {}
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        if tokenizer_path not in encoders:
-            encoders[tokenizer_path] = Encoder(tokenizer_path, end_id)
         pdf = pdf.sort_values(["doc_id", "text"], kind="stable")
-        ids = list(encoders[tokenizer_path](pdf["text"].tolist()))
+        ids = list(encoder(tokenizer_path, end_id)(pdf["text"].tolist()))
         names = pdf["doc_id"].astype("Int64").tolist()
         out = []
         for k, sequence in enumerate(pack_group([len(x) // 4 for x in ids], capacity)):
