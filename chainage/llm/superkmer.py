@@ -103,7 +103,7 @@ def blocks(docs: DataFrame, n_buckets: int, width: int, m: int) -> DataFrame:
     """(bucket, block): the packed strings of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, packer = _Powers(), zstandard.ZstdCompressor(level=1)
+        powers, packer = _Powers(), zstandard.ZstdCompressor(level=3)
         held: dict[int, list] = {}
         size = 0
 
@@ -206,7 +206,7 @@ def _repeated(parts: list[bytes], width: int, powers: _Powers):
     return docs_all[out], word[out]
 
 
-def repeated_ranges(docs: DataFrame, n_buckets: int, width: int = 13, m: int = 4) -> DataFrame:
+def repeated_ranges(docs: DataFrame, n_buckets: int, width: int = 13, m: int = 3) -> DataFrame:
     """(doc_id, lo, hi): runs of words, both ends in, covered by windows that a smaller document has too."""
 
     def run(keys, found):
@@ -225,7 +225,7 @@ def repeated_ranges(docs: DataFrame, n_buckets: int, width: int = 13, m: int = 4
     return blocks(docs, n_buckets, width, m).groupBy("bucket").applyInPandas(lambda key, pdf: run(key, pdf), "doc_id long, lo int, hi int")
 
 
-def remove_repeats(docs: DataFrame, width: int = 13, m: int = 4, docs_per_bucket: int = 1000, n_buckets: int | None = None, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 13, m: int = 3, docs_per_bucket: int = 1000, n_buckets: int | None = None, with_text: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept text.
 
     A word goes if a window over it also starts in a document with a smaller doc_id.
