@@ -1,8 +1 @@
 """Operators for large training-data pipelines; nothing else in the library imports this subpackage."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# Functions that run on executors travel by value, so a cluster needs no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
