@@ -126,19 +126,20 @@ def report(docs: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES
 
 def redact(docs: DataFrame, findings: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs with every found span replaced by the mark (overlapping spans as one) and n_chars brought up to date."""
-    spans = by_blob(findings)
-    rows = addressed(docs).join(spans, "blob", "left")
+    # private names: the columns of docs may bear any others
+    spans = by_blob(findings).withColumnsRenamed({"blob": "__blob", "found": "__found"})
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.withColumn("__text", text).withColumn("__blob", F.sha2(F.col("__text"), 256)).join(spans, "__blob", "left")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         inside = s["start"] < acc["at"]
         until = F.greatest(acc["at"], s["end"])
-        kept = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
+        kept = F.substring(F.col("__text"), (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
         return F.struct(until.alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], kept, F.lit(mark))).alias("out"))
 
-    cleaned = F.aggregate("found", start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.length("text"))))
-    text = F.when(F.col("found").isNull(), F.col("text")).otherwise(cleaned)
-    out = rows.withColumn("text", text)
+    cleaned = F.aggregate("__found", start, step, lambda a: F.concat(a["out"], F.substring(F.col("__text"), (a["at"] + 1).cast("int"), F.length("__text"))))
+    out = rows.withColumn("text", F.when(F.col("__found").isNull(), F.col("__text")).otherwise(cleaned))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns)
