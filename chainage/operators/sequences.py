@@ -18,26 +18,30 @@ def per_key(df: DataFrame, keys: list[str], order: list[str], schema: str, rule:
     return df.groupBy(*keys).applyInPandas(lambda p: rule(p.sort_values(order, kind="stable").reset_index(drop=True)), schema)
 
 
-def per_small_key(df: DataFrame, keys: list[str], order: list[str], schema: str, rule: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """The same for many small keys: sorted partitions are streamed and cut where the key changes, without a call per group.
+def per_small_key(df: DataFrame, keys: list[str], order: list[str], schema: str, rule: Callable[[dict[str, np.ndarray]], list[tuple]]) -> DataFrame:
+    """A rule from one key's columns to rows, for many small keys: sorted partitions are streamed and cut where the key changes.
 
     A task holds one batch and the rows of one key.
     """
 
     def run(frames):
+        names = [f.split()[0] for f in schema.split(", ")]
         held: pd.DataFrame | None = None
+
+        def apply(frame: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
+            columns = {c: frame[c].to_numpy() for c in frame.columns}
+            return pd.DataFrame([r for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) for r in rule({c: x[a:b] for c, x in columns.items()})], columns=names)
+
         for frame in frames:
             if not len(frame):
                 continue
             frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            new = (frame[keys] != frame[keys].shift()).any(axis=1).to_numpy()
-            cuts = np.flatnonzero(new)
-            out = [rule(frame.iloc[a:b].reset_index(drop=True)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            if out:
-                yield pd.concat(out, ignore_index=True)
+            cuts = np.flatnonzero((frame[keys] != frame[keys].shift()).any(axis=1).to_numpy())
+            if len(cuts) > 1:
+                yield apply(frame, cuts)
             held = frame.iloc[cuts[-1] :]
         if held is not None:
-            yield rule(held.reset_index(drop=True))
+            yield apply(held, np.array([0, len(held)]))
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 

@@ -89,14 +89,14 @@ def travel_times(samples: DataFrame, keys: list[str], x_m: str, limit_ms: str, t
     name_types = dict(samples.dtypes)
     schema = ", ".join(f"{k} {name_types[k]}" for k in keys) + ", minutes double, top_kmh double"
 
-    def rule(p: pd.DataFrame) -> pd.DataFrame:
-        x, limit = p[x_m].to_numpy(np.float64), p[limit_ms].to_numpy(np.float64).copy()
+    def rule(p: dict[str, np.ndarray]) -> list[tuple]:
+        x, limit = p[x_m], p[limit_ms].copy()
         limit[[0, -1]] = 0.0
         v = sequences.forward_speeds(limit, x, np.zeros(len(x)), train.acceleration)
         back = np.minimum.accumulate((v**2 + 2 * train.brake_ms2 * x)[::-1])[::-1] - 2 * train.brake_ms2 * x
         v = np.minimum(v, np.sqrt(np.maximum(back, 0)))
         seconds = float((np.diff(x) / np.maximum((v[1:] + v[:-1]) / 2, 0.5)).sum())
-        return pd.DataFrame([[*(p[k].iloc[0] for k in keys), seconds / 60, float(v.max(initial=0)) * 3.6]], columns=[*keys, "minutes", "top_kmh"])
+        return [(*(p[k][0] for k in keys), seconds / 60, float(v.max(initial=0)) * 3.6)]
 
     return sequences.per_small_key(samples, keys, [x_m], schema, rule)
 
