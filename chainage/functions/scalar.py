@@ -62,7 +62,8 @@ def degree_of_curve(radius_m: Column) -> Column:
 
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), F.lit(2)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), F.lit(2))
-    return 2 * EARTH_RADIUS_M * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+    # least alone would take 1 for a null
+    return F.when(a.isNotNull(), 2 * EARTH_RADIUS_M * F.asin(F.sqrt(F.least(a, F.lit(1.0)))))
 
 
 def bearing_deg(dx: Column, dy: Column) -> Column:

@@ -119,7 +119,7 @@ def km_at_fixed_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(TRACK + """, s AS (SELECT user_id, lag(h) OVER w AS h0, h, lag(value) OVER w AS v0, value AS v1 FROM tr WINDOW w AS (PARTITION BY user_id ORDER BY us))
-SELECT user_id, round(sum(2 * 6371000.0::DOUBLE * asin(sqrt(least(1.0, sin(radians(v1 / 100 - v0 / 100) / 2) ** 2 + cos(radians(v0 / 100)) * cos(radians(v1 / 100)) * sin(radians(h / 100 - h0 / 100) / 2) ** 2)))), 2) AS length_m FROM s GROUP BY user_id""")
+SELECT user_id, round(sum(2 * 6371000.0::DOUBLE * asin(sqrt(least(1.0, sin(radians(v1 / 100 - v0 / 100) / 2) ** 2 + cos(radians(v0 / 100)) * cos(radians(v1 / 100)) * sin(radians(h / 100 - h0 / 100) / 2) ** 2)))) FILTER (h0 IS NOT NULL), 2) AS length_m FROM s GROUP BY user_id""")
 def polyline_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("us")
     s = track(spark, sf_dir).select("user_id", (F.lag("h").over(w) / 100).alias("x0"), (F.col("h") / 100).alias("x1"), (F.lag("value").over(w) / 100).alias("y0"), (F.col("value") / 100).alias("y1"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chainage.functions import curves
-from chainage.functions.traction import LOCO, TILTING, Train, seconds_to
+from chainage.functions.traction import COUPLED, LOCO, TILTING, Train, seconds_to
 from chainage.operators import graph, linear, robust, sequences, spatial, tables
 from chainage.plans.registry import TRACK, K, points, query, table, track
 
@@ -163,7 +163,7 @@ def margins_by_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def traction_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seconds from rest to 60, 100 and 125 mph of the trainsets, by steps of 0.1 s (no SQL). A handful of parameter rows, worked out on the driver."""
-    rows = [(t.name, float(mph), round(seconds_to(t, mph * 1.609344), 1)) for t in (LOCO, TILTING) for mph in (60, 100, 125)]
+    rows = [(t.name, float(mph), round(seconds_to(t, mph * 1.609344), 1)) for t in (COUPLED, LOCO, TILTING) for mph in (60, 100, 125)]
     return spark.createDataFrame(rows, "train string, mph double, seconds double")
 
 
