@@ -78,7 +78,7 @@ def document_frequencies(docs: DataFrame, templates: tuple[Template, ...] = TEMP
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", lookups: int = LOOKUPS, least_share: float = LEAST_SHARE) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    score is the largest share of a template's IDF weight at a kept place, 0 without one.
+    score is the largest share of a template's IDF weight at a kept place, to six digits, 0 without one.
     Defined edge cases: null and empty texts have 0 words, no labels (empty strings) and
     null positions; null ids and repeated rows keep their rows; other columns are ignored.
     """
@@ -134,5 +134,35 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, id_col: s
         F.array_max(F.transform(base, lambda s: s["at"])).cast("long").alias("last_word"),
         F.coalesce(names(base), F.lit("")).alias("base_labels"),
         F.coalesce(names(F.col("found")), F.lit("")).alias("labels"),
-        F.least(F.lit(1.0), F.coalesce(F.array_max(F.transform("found", lambda s: s["share"])), F.lit(0.0))).alias("score"),
+        F.round(F.least(F.lit(1.0), F.coalesce(F.array_max(F.transform("found", lambda s: s["share"])), F.lit(0.0))), 6).alias("score"),
     )
+
+
+def oracle(templates: tuple[Template, ...] = TEMPLATES, lookups: int = LOOKUPS, least_share: float = LEAST_SHARE) -> str:
+    """The same as DuckDB SQL: postings, lookup words by IDF and relative positions as joins."""
+
+    def listed(words: list[str]) -> str:
+        return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+    rows = []
+    for k, t in enumerate(templates):
+        words, key = t.text.split(), t.key.split()
+        at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
+        rows.append(f"({k}, '{t.label}', {t.base}, {listed(words)}, {at}, {len(key)})")
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), lambda x: x <> '') AS w FROM documents),
+tm(t, label, base, words, key_at, key_n) AS (VALUES {", ".join(rows)}),
+post AS (SELECT t, base, key_at, key_n, unnest(range(len(words))) AS i, unnest(words) AS word FROM tm),
+pos AS (SELECT * FROM (SELECT row, unnest(range(len(w))) AS p, unnest(w) AS word FROM d) WHERE word IN (SELECT word FROM post)),
+idf AS (SELECT word, ln((1 + (SELECT count(*) FROM documents)) / (1 + coalesce(n, 0))) + 1 AS idf FROM (SELECT DISTINCT word FROM post) LEFT JOIN (SELECT word, count(DISTINCT row) AS n FROM pos GROUP BY word) USING (word)),
+weight AS (SELECT t, base, key_at, key_n, i, word, idf / sum(idf) OVER (PARTITION BY t) AS share FROM post JOIN idf USING (word)),
+look AS (SELECT t, word FROM (SELECT t, word, base, row_number() OVER (PARTITION BY t ORDER BY idf DESC, word) AS k FROM (SELECT DISTINCT t, base, word, idf FROM post JOIN idf USING (word))) WHERE k <= CASE WHEN base THEN 1 ELSE {lookups} END),
+cand AS (SELECT DISTINCT row, t, p - i AS place FROM pos JOIN post USING (word) JOIN look USING (t, word)),
+ver AS (SELECT cand.row, cand.t, place, any_value(base) AS base, sum(share) AS share, count(*) FILTER (i >= key_at AND i < key_at + key_n) AS keys, any_value(key_n) AS key_n
+  FROM cand JOIN weight ON cand.t = weight.t JOIN pos ON pos.row = cand.row AND pos.p = place + i AND pos.word = weight.word GROUP BY ALL),
+found AS (SELECT ver.*, label FROM ver JOIN tm ON ver.t = tm.t WHERE keys = ver.key_n AND (ver.base OR share >= {least_share})),
+g AS (SELECT row, count(*) FILTER (base) AS n_base, min(place) FILTER (base) AS first_word, max(place) FILTER (base) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, round(least(1.0, max(share)), 6) AS score FROM found GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN g USING (row)
+"""

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -247,18 +247,20 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
     grouped = rows.withColumn("g", F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.substring("text", 1, 64)), F.lit(groups)))
     fields = FIELDS + ", ids array<int>" * with_ids
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "text"], kind="stable")
-        ids = list(encoder(tokenizer_path, end_id)(pdf["text"].tolist()))
-        names = pdf["doc_id"].astype("Int64").tolist()
+    kinds = [pa.int64()] * 7 + [pa.list_(pa.int32())] * with_ids
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        names, texts = rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()
+        order = sorted(range(len(texts)), key=lambda i: (names[i] is None, names[i] or 0, texts[i]))
+        names = [names[i] for i in order]
+        ids = list(encoder(tokenizer_path, end_id)([texts[i] for i in order]))
         out = []
         for k, sequence in enumerate(pack_group([len(x) // 4 for x in ids], capacity)):
             offset = 0
             for p in sequence:
                 own = memoryview(ids[p.doc])[4 * p.start : 4 * (p.start + p.length)]
-                out.append((names[p.doc], p.start, p.length, zlib.crc32(own), len(ids[p.doc]) // 4, (int(key[0]) << 32) + k, offset, *([np.frombuffer(own, "<i4").tolist()] if with_ids else [])))
+                out.append((names[p.doc], p.start, p.length, zlib.crc32(own), len(ids[p.doc]) // 4, (key[0].as_py() << 32) + k, offset, *([np.frombuffer(own, "<i4")] if with_ids else [])))
                 offset += p.length
-        got = pd.DataFrame(out, columns=[x.split()[0] for x in fields.split(", ")])
-        return got.astype({"doc_id": "Int64"})
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in fields.split(", ")])
 
-    return grouped.groupBy("g").applyInPandas(run, fields)
+    return grouped.groupBy("g").applyInArrow(run, fields)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chainage.llm.common import fresh_dir, table
+from chainage.llm import licenses
+from chainage.llm.common import checkpoint, fresh_dir, table
 from chainage.llm.secrets import RULES
 
 
@@ -70,7 +71,8 @@ def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chainage.llm.secrets import report, update
 
     docs = table(spark, sf_dir, "documents")
-    return report(docs, update(docs).findings)
+    # the ledger is kept before it is joined to the paths: a shuffle of its own, whose hot blobs Spark can split
+    return report(docs, checkpoint(update(docs).findings))
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash_pivots, op2_permutation_shards, op3_license_index, op4_toxic_lexicon, op5_multiprobe_neighbours, op6_tournament_packing, op7_web_packages, op8_secret_ledger, op9_benchmark_leaks, op10_super_kmer_dedup)}
@@ -83,6 +85,7 @@ def _rule_sql(k: int, rule) -> str:
 
 
 ORACLES = {
+    "op3_license_index": licenses.oracle(),
     "op7_web_packages": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
 bits AS (SELECT *, list_aggregate([lpad(bin(('0x' || h[i:i])::INTEGER), 4, '0') FOR i IN range(1, 41)], 'string_agg', '') AS b,

@@ -6,19 +6,28 @@ string to the bucket of that minimiser, so a window's every occurrence reaches t
 same bucket while a word is sent about three times instead of `width` times. In the
 bucket the windows are sorted and equal neighbours compared byte for byte.
 
-Packed strings of one map task and bucket are sent as one zstd block: repeats of a
-hot passage inside a task cost next to nothing. What a bucket finds are word ranges
-per document; they are joined back to the texts.
+Hot content is taken care of in two ways. A map task combines equal packed strings: only
+the occurrence of the smallest document goes on to the bucket, all others are known to
+be repeats at once. So copies and common passages, however many documents hold them,
+cost a bucket one string per task. And runs of words that are frequent in the whole
+corpus (counted in a pass of their own) become minimisers only of windows that have no
+other run, so that the surroundings of a common passage spread over many buckets. That
+changes the load alone, never the result.
+
+Packed strings of one map task and bucket are sent as one zstd block. What a bucket
+finds are word ranges per document; they are joined back to the texts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +39,8 @@ BASE = 6364136223846793005
 CHUNK = 2 << 20
 #: Bytes of packed strings that a map task holds before it sends blocks.
 HELD = 24 << 20
+#: A run of words is frequent if it makes up one in so many of all runs; at most so many are.
+FREQUENT = 20_000
 
 
 class _Powers:
@@ -72,8 +83,8 @@ class _Text:
         return _mixed((self.sums[e] - self.sums[s]) * self.inv[s])
 
 
-def super_kmers(texts: list[bytes], width: int, m: int, powers: _Powers):
-    """Of texts (words joined by single spaces): row, first word, windows, minimiser and bytes of each super-k-mer."""
+def super_kmers(texts: list[bytes], width: int, m: int, powers: _Powers, frequent: np.ndarray | None = None):
+    """Of texts (words joined by single spaces): row, first word, windows, minimiser, and first and last byte of each super-k-mer, and the bytes."""
     data = b"\n".join(texts) + b"\n"
     t = _Text(data, powers)
     n = len(t.starts)
@@ -82,6 +93,9 @@ def super_kmers(texts: list[bytes], width: int, m: int, powers: _Powers):
     line = np.cumsum(np.concatenate(([0], t.line_end[:-1])))
     first = np.searchsorted(line, np.arange(len(texts)))
     h = t.runs(m)
+    if frequent is not None and len(frequent):
+        at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+        h = (h >> np.uint64(1)) | ((frequent[at] == h).astype(np.uint64) << np.uint64(63))
     span, w = 1, width - m + 1
     while span * 2 <= w:
         h = np.minimum(h[:-span], h[span:])
@@ -96,72 +110,130 @@ def super_kmers(texts: list[bytes], width: int, m: int, powers: _Powers):
     keep = whole[at]
     at, last = at[keep], last[keep]
     row = line[at]
-    return row, at - first[row], h[at], t.starts[at], t.ends[last + width - 1], data
-
+    return row, at - first[row], last - at + 1, h[at], t.starts[at], t.ends[last + width - 1], data
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Ids and texts of `least` words or more, words joined by single spaces, about CHUNK bytes at a time."""
+    ids, texts, size = [], [], 0
+    for batch in batches:
+        for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            words = (t.as_py() or "").encode("utf-8", "surrogatepass").split()
+            if i is None or len(words) < least:
+                continue
+            ids.append(i)
+            texts.append(b" ".join(words))
+            size += len(texts[-1])
+            if size >= CHUNK:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
+def frequent_runs(docs: DataFrame, width: int, m: int, share: int = FREQUENT) -> np.ndarray:
+    """Sorted hashes of the runs of m words that make up 1 / share of all or more: at most `share` of them.
+
+    A task keeps the runs that could reach that share in it, so little is shuffled; the sums
+    are lower bounds, which suffices for what they are used for.
+    """
 
-def blocks(docs: DataFrame, n_buckets: int, width: int, m: int) -> DataFrame:
-    """(bucket, block): the packed strings of docs (doc_id, text)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, total = _Powers(), 0
+        kept, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        for _, texts in _chunks(batches, width):
+            h = _Text(b"\n".join(texts) + b"\n", powers).runs(m)
+            total += len(h)
+            new, n = np.unique(h, return_counts=True)
+            both, number = np.concatenate((kept, new[n > 1])), np.concatenate((counts, n[n > 1]))
+            kept, back = np.unique(both, return_inverse=True)
+            counts = np.bincount(back, weights=number, minlength=len(kept)).astype(np.int64)
+            if len(kept) > 4 * share:
+                top = np.sort(np.argpartition(-counts, 2 * share)[: 2 * share])
+                kept, counts = kept[top], counts[top]
+        top = counts >= max(2, total // share)
+        kept, counts = np.concatenate((kept[top], [np.uint64(0)])), np.concatenate((counts[top], [0]))
+        yield pa.RecordBatch.from_arrays([pa.array(kept.view(np.int64)), pa.array(counts), pa.array([0] * (len(kept) - 1) + [total], pa.int64())], names=["run", "n", "total"])
+
+    found = docs.select("doc_id", "text").mapInArrow(run, "run long, n long, total long").groupBy("run").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    rows = found.orderBy(F.desc("total"), F.desc("n"), "run").limit(share + 1).collect()
+    total = max((r["total"] for r in rows), default=0)
+    return np.sort(np.array([r["run"] for r in rows if r["n"] >= max(2, -(-total // share))], np.int64).view(np.uint64))
+
+
+#: Kinds of blocks: packed strings, and ranges of words that a map task has found.
+_STRINGS, _RANGES = b"\0", b"\1"
+
+
+class _Held:
+    """Packed strings of a map task, equal ones combined."""
+
+    def __init__(self, width: int, n_buckets: int):
+        self.width, self.n_buckets, self.turn = width, n_buckets, 0
+        self.clear()
+
+    def clear(self):
+        self.known: dict[bytes, list[tuple[int, int, int, int]]] = {}  # (doc, word, windows, bucket), all of one document
+        self.ranges: list[tuple[int, int, int]] = []
+        self.size = 0
+
+    def add(self, string: bytes, doc: int, word: int, windows: int, bucket: int) -> None:
+        own = self.known.get(string)
+        if own is None:
+            self.known[string] = [(doc, word, windows, bucket)]
+            self.size += len(string)
+        elif doc == own[0][0]:
+            own.append((doc, word, windows, bucket))
+        elif doc > own[0][0]:  # a smaller document has all of these windows
+            self.ranges.append((doc, word, word + windows + self.width - 2))
+        else:
+            self.ranges += [(d, w, w + n + self.width - 2) for d, w, n, _ in own]
+            own[:] = [(doc, word, windows, bucket)]
+
+    def sent(self, packer: zstandard.ZstdCompressor) -> pa.RecordBatch:
+        by: dict[int, list[tuple[bytes, int, int]]] = {}
+        for string, own in self.known.items():
+            for doc, word, _, bucket in own:
+                by.setdefault(bucket, []).append((string, doc, word))
+        names, out = [], []
+        for bucket, rows in by.items():
+            ids, words = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int32)
+            names.append(bucket)
+            out.append(packer.compress(b"".join((_STRINGS, len(rows).to_bytes(8, "little"), ids.tobytes(), words.tobytes(), b"\n".join(r[0] for r in rows), b"\n"))))
+        for at in range(0, len(self.ranges), 4096):  # any bucket will do for what is known already
+            names.append(self.turn % self.n_buckets)
+            self.turn += 1
+            out.append(packer.compress(_RANGES + np.array(self.ranges[at : at + 4096], np.int64).tobytes()))
+        self.clear()
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(out, pa.binary())], names=["bucket", "block"])
+
+
+def blocks(docs: DataFrame, n_buckets: int, width: int, m: int, frequent: np.ndarray | None = None) -> DataFrame:
+    """(bucket, block): the packed strings of docs (doc_id, text), and the ranges found on the way."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, packer = _Powers(), zstandard.ZstdCompressor(level=3)
-        held: dict[int, list] = {}
-        size = 0
-
-        def sent() -> pa.RecordBatch:
-            names, out = [], []
-            for bucket, parts in held.items():
-                ids = np.concatenate([p[0] for p in parts])
-                pos = np.concatenate([p[1] for p in parts])
-                text = b"\n".join(x for p in parts for x in p[2]) + b"\n"
-                names.append(bucket)
-                out.append(packer.compress(b"".join((len(ids).to_bytes(8, "little"), ids.tobytes(), pos.tobytes(), text))))
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(out, pa.binary())], names=["bucket", "block"])
-
-        def add(ids: list[int], texts: list[bytes]) -> int:
-            got = super_kmers(texts, width, m, powers)
-            if got is None or not len(got[0]):
-                return 0
-            row, word, minimum, a, b, data = got
-            bucket = ((minimum >> np.uint64(17)) % np.uint64(n_buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-            doc = np.array(ids, np.int64)[row]
-            word = word.astype(np.int32)
-            for rows in np.split(order, cuts):
-                strings = [data[x:y] for x, y in zip(a[rows].tolist(), b[rows].tolist(), strict=True)]
-                held.setdefault(int(bucket[rows[0]]), []).append((doc[rows], word[rows], strings))
-            return int((b - a).sum())
-
-        ids, texts, chunk = [], [], 0
-        for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = (t.as_py() or "").encode("utf-8", "surrogatepass").split()
-                if i is None or len(words) < width:
-                    continue
-                ids.append(i)
-                texts.append(b" ".join(words))
-                chunk += len(texts[-1])
-                if chunk >= CHUNK:
-                    size += add(ids, texts)
-                    ids, texts, chunk = [], [], 0
-                    if size >= HELD:
-                        yield sent()
-                        size = 0
-        if ids:
-            add(ids, texts)
-        if held:
-            yield sent()
+        powers, packer, held = _Powers(), zstandard.ZstdCompressor(level=3), _Held(width, n_buckets)
+        held.turn = random.Random(TaskContext.get().partitionId()).randrange(n_buckets)
+        for ids, texts in _chunks(batches, width):
+            got = super_kmers(texts, width, m, powers, frequent)
+            if got is None:
+                continue
+            row, word, windows, minimum, a, b, data = got
+            bucket = ((minimum >> np.uint64(17)) % np.uint64(n_buckets)).tolist()
+            add = held.add
+            for i, w, n, g, x, y in zip(row.tolist(), word.tolist(), windows.tolist(), bucket, a.tolist(), b.tolist(), strict=True):
+                add(data[x:y], ids[i], w, n, g)
+            if held.size >= HELD:
+                yield held.sent(packer)
+        yield held.sent(packer)
 
     return docs.select("doc_id", "text").mapInArrow(run, "bucket int, block binary")
 
 
 def _repeated(parts: list[bytes], width: int, powers: _Powers):
-    """(doc, word) of each window in a bucket's blocks that a smaller document has too."""
-    opener = zstandard.ZstdDecompressor()
+    """(doc, word) of each window in opened blocks of strings that a smaller document has too."""
     hashes, docs, words, froms, tos, source, texts = [], [], [], [], [], [], []
-    for k, part in enumerate(parts):
-        raw = opener.decompress(part)
+    for k, raw in enumerate(parts):
         n = int.from_bytes(raw[:8], "little")
         ids, pos, data = np.frombuffer(raw, np.int64, n, 8), np.frombuffer(raw, np.int32, n, 8 + 8 * n), raw[8 + 12 * n :]
         t = _Text(data, powers)
@@ -212,17 +284,29 @@ def repeated_ranges(docs: DataFrame, n_buckets: int, width: int = 13, m: int = 3
     def run(keys, found):
         import pandas as pd
 
-        powers = _Powers()
-        doc, word = _repeated(found["block"].tolist(), width, powers)
+        opener = zstandard.ZstdDecompressor()
+        strings, ranges = [], [np.empty((0, 3), np.int64)]
+        for block in found["block"]:
+            raw = opener.decompress(block)
+            if raw[:1] == _STRINGS:
+                strings.append(raw[1:])
+            else:
+                ranges.append(np.frombuffer(raw, np.int64, offset=1).reshape(-1, 3))
+        known = np.concatenate(ranges)
+        known = pd.DataFrame({"doc_id": known[:, 0], "lo": known[:, 1].astype(np.int32), "hi": known[:, 2].astype(np.int32)})
+        if not strings:
+            return known
+        doc, word = _repeated(strings, width, _Powers())
         order = np.lexsort((word, doc))
         doc, word = doc[order], word[order]
         new = np.ones(len(doc), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (word[1:] > word[:-1] + 1)
         at = np.flatnonzero(new)
         end = np.concatenate((at[1:], [len(doc)])) - 1 if len(at) else at
-        return pd.DataFrame({"doc_id": doc[at], "lo": word[at].astype(np.int32), "hi": (word[end] + width - 1).astype(np.int32)})
+        new = pd.DataFrame({"doc_id": doc[at], "lo": word[at].astype(np.int32), "hi": (word[end] + width - 1).astype(np.int32)})
+        return pd.concat([known, new], ignore_index=True) if len(known) else new
 
-    return blocks(docs, n_buckets, width, m).groupBy("bucket").applyInPandas(lambda key, pdf: run(key, pdf), "doc_id long, lo int, hi int")
+    return blocks(docs, n_buckets, width, m, frequent_runs(docs, width, m)).groupBy("bucket").applyInPandas(lambda key, pdf: run(key, pdf), "doc_id long, lo int, hi int")
 
 
 def remove_repeats(docs: DataFrame, width: int = 13, m: int = 3, docs_per_bucket: int = 1000, n_buckets: int | None = None, with_text: bool = False) -> DataFrame:

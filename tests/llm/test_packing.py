@@ -71,7 +71,7 @@ def test_groups_lose_nothing():
 
 def test_pack(spark):
     texts = ["one two three", None, "", "again " * 6000, "Ünïcode 中文", "one two three"]
-    rows = [(i, t, 5, "x") for i, t in enumerate(texts)] + [(None, "no id", 0, ""), (0, "one two three", 5, "x")]
+    rows = [(i, t, 5, "x") for i, t in enumerate(texts)] + [(None, "no id", 0, ""), (2**60 + 1, "a large id", 0, ""), (0, "one two three", 5, "x")]
     got = P.pack(spark.createDataFrame(rows, DOCS), PATH, with_ids=True).collect()
     for i, t in enumerate(texts):
         own = sorted((r for r in got if r.doc_id == i), key=lambda r: r.start)
@@ -79,6 +79,7 @@ def test_pack(spark):
         if i:
             assert [x for r in own for x in r.ids] == want
         assert all(r.ids_crc32 == zlib.crc32(np.array(want[r.start : r.start + r.length], "<u4").tobytes()) and r.doc_tokens == len(want) for r in own)
+    assert {r.doc_id for r in got} == {*range(len(texts)), None, 2**60 + 1}
     assert sum(r.length for r in got) == sum(len(ids_of(t)) for _, t, *_ in rows)
     by = {}
     for r in got:
