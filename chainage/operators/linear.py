@@ -126,3 +126,22 @@ def braking(df: DataFrame, keys: list[str], order: list[str], x_m: str, v_ms: st
     ahead = Window.partitionBy(*keys).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
     least = F.min(F.col(v_ms) * F.col(v_ms) + 2 * brake * F.col(x_m)).over(ahead)
     return df.withColumn(out, F.sqrt(F.greatest(least - 2 * brake * F.col(x_m), F.lit(0.0))))
+
+
+def heading_by_distance(df: DataFrame, keys: list[str], at: str, x: str, y: str, reach: float, out: str) -> DataFrame:
+    """Bearing (degrees) from the last point at least `reach` before a row to the first at least `reach` after it; a section's end points stand in near its ends."""
+    marks = df.select(*keys, F.col(at).alias("__p"), F.struct(x, y).alias("__xy"))
+    ends = marks.groupBy(*keys).agg(F.min_by("__xy", "__p").alias("__first"), F.max_by("__xy", "__p").alias("__last"))
+    names = df.columns
+    ahead = asof(df.withColumn("__p", F.col(at) + reach), marks, keys, "__p", ["__xy"], "forward").withColumnRenamed("__xy", "__b").drop("mark_at")
+    both = asof(ahead.withColumn("__p", F.col(at) - reach), marks, keys, "__p", ["__xy"]).withColumnRenamed("__xy", "__a").drop("mark_at").join(ends, keys)
+    a, b = F.coalesce("__a", "__first"), F.coalesce("__b", "__last")
+    return both.select(*names, F.pmod(F.degrees(F.atan2(b[x] - a[x], b[y] - a[y])) + 360, F.lit(360.0)).alias(out))
+
+
+def deflection_gate(df: DataFrame, keys: list[str], order: list[str], heading: str, radius: str, half: int, least: float, out: str) -> DataFrame:
+    """The radius where the unwrapped heading turns by `least` or more over `half` rows each way (cut at the ends), else infinite: a straight."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    before = F.coalesce(F.lag(heading, half).over(w), F.first(heading).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    after = F.coalesce(F.lead(heading, half).over(w), F.last(heading).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    return df.withColumn(out, F.when(F.abs(after - before) >= least, F.col(radius)).otherwise(F.lit(float("inf"))))
