@@ -7,7 +7,8 @@ their estimated chance to hold a near vector, the home bucket first, until these
 add up to the table's share of the target recall. Buckets are dealt to groups by hash;
 a query travels once to each group with the buckets it visits there, candidates are
 scored there in double precision on the original vectors, and only the best of each
-group are merged.
+group are merged. Buckets are counted first; a large one is dealt to several groups, each
+of which its queries visit, so a dense region doesn't meet in one task.
 
 Equal vectors are one row of the index. Of their ids only the `top` + 1 smallest can
 ever be among the nearest (ties go to the smaller id), found by a limit that Spark
@@ -28,6 +29,10 @@ from pyspark.sql import functions as F
 
 from chainage.llm.common import checkpoint, groups_of
 
+#: Rows of one bucket that go to one group; larger buckets are split over several.
+PART_ROWS = 3000
+#: Most buckets that are split, the largest first: no other holds more than one in so many of all rows.
+MOST_SPLIT = 10_000
 #: Rows of the bounded sample from which the distance to near vectors is estimated.
 SAMPLE = 4096
 
@@ -118,7 +123,7 @@ def nearest(df: DataFrame, top: int = 5, every: int = 50, id_col: str = "vec_id"
     sample = [r["v"] for r in index.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).collect()]
     sigma = near_distance(np.array(sample, np.float64), top)
     a, b = projections(dim, tables, k, width, seed)
-    groups = groups_of(n * tables, 3000)
+    groups = groups_of(n * tables, PART_ROWS)
     query_vectors = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select("hash", "v").distinct()
     queries = index.withColumn("hash", F.xxhash64("v")).join(query_vectors, ["hash", "v"], "left_semi").select("rep", "v")
 
@@ -129,12 +134,30 @@ def nearest(df: DataFrame, top: int = 5, every: int = 50, id_col: str = "vec_id"
         v = v / np.abs(v).max(axis=1)[:, None]  # so that squares stay in range
         return v / np.linalg.norm(v, axis=1)[:, None]
 
+    def buckets_of(u: np.ndarray, t: int) -> np.ndarray:
+        return bucket_ids(np.floor((u @ a[t] + b[t]) / width).astype(np.int64), t)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u = units(vectors(batch))
+            names, n = np.unique(np.concatenate([buckets_of(u, t) for t in range(tables)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(n)], names=["bucket", "n"])
+
+    sizes = index.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > PART_ROWS)
+    parts = {r["bucket"]: -(-r["n"] // PART_ROWS) for r in sizes.orderBy(F.desc("n"), "bucket").limit(MOST_SPLIT).collect()}
+
+    def group(bucket: int, part: int) -> int:
+        return (bucket + part * 0x9E3779B1) % groups
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u = units(vectors(batch))
             for t in range(tables):
-                bucket = bucket_ids(np.floor((u @ a[t] + b[t]) / width).astype(np.int64), t)
-                yield pa.RecordBatch.from_arrays([pa.array((bucket % groups).astype(np.int32)), pa.array(bucket), batch.column(0), batch.column(1)], names=["g", "bucket", "rep", "v"])
+                bucket = buckets_of(u, t)
+                g = (bucket % groups).astype(np.int64)
+                for i in [i for i, x in enumerate(bucket.tolist()) if x in parts] if parts else []:
+                    g[i] = group(int(bucket[i]), int(batch.column(0)[i].as_py() % parts[int(bucket[i])]))
+                yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), pa.array(bucket), batch.column(0), batch.column(1)], names=["g", "bucket", "rep", "v"])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,6 +166,11 @@ def nearest(df: DataFrame, top: int = 5, every: int = 50, id_col: str = "vec_id"
             for rep, v, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), u, strict=True):
                 bucket = np.concatenate([bucket_ids(probes(x @ a[t] + b[t], width, sigma, mass), t) for t in range(tables)])
                 g = bucket % groups
+                for i, x in enumerate(bucket.tolist()) if parts else ():
+                    if x in parts:
+                        more = sorted({group(x, p) for p in range(parts[x])})
+                        g[i] = more[0]
+                        g, bucket = np.append(g, more[1:]), np.append(bucket, np.full(len(more) - 1, x, np.int64))
                 by = np.argsort(g, kind="stable")
                 for part in np.split(by, np.flatnonzero(np.diff(g[by])) + 1):
                     out.append((int(g[part[0]]), rep, v, bucket[part]))

@@ -60,6 +60,16 @@ def test_unusable_vectors_and_small_tables(spark):
     assert run(spark, [(0, [1.0, 2.0])]) == {}
 
 
+def test_large_buckets_are_split(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    dense = rng.normal(size=8)
+    vectors = [(i, dense + rng.normal(size=8) * 0.01 if i % 2 else rng.normal(size=8)) for i in range(800)]
+    want, whole = plain(vectors), run(spark, vectors)
+    monkeypatch.setattr("chainage.llm.neighbours.PART_ROWS", 30)
+    split = run(spark, vectors)
+    assert split == whole and recall(split, want) >= 0.95
+
+
 def test_probes_descend():
     rng = np.random.default_rng(1)
     point = rng.normal(size=3)
