@@ -221,7 +221,12 @@ def matched_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.per_key(rows, ["section"], ["id"], "section int, id long, edge int", rule)
 
 
-@query()
+@query("""WITH p AS (SELECT DISTINCT l_orderkey AS way_id, l_linenumber AS n, l_partkey AS node, l_partkey / 1000 AS lat, l_suppkey / 100 AS lon FROM lineitem),
+i AS (SELECT *, row_number() OVER w AS i, lead(node) OVER w IS NULL AS last, lag(node) OVER w AS before, lag(lat) OVER w AS lat0, lag(lon) OVER w AS lon0 FROM p WINDOW w AS (PARTITION BY way_id ORDER BY n, node, lat, lon)),
+g AS (SELECT node FROM p GROUP BY node HAVING count(*) >= 2), c AS (SELECT i.*, CAST(i = 1 OR last OR g.node IS NOT NULL AS INTEGER) AS cut FROM i LEFT JOIN g USING (node)),
+k AS (SELECT *, sum(cut) OVER (PARTITION BY way_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS k FROM c)
+SELECT way_id, CAST(k AS BIGINT) AS k, min_by(before, i) AS u, max_by(node, i) AS v,
+ round(sum(2 * 6371000.0::DOUBLE * asin(sqrt(least(1.0, sin(radians(lat - lat0) / 2) ** 2 + cos(radians(lat0)) * cos(radians(lat)) * sin(radians(lon - lon0) / 2) ** 2)))), 3) AS length_m FROM k WHERE i > 1 GROUP BY way_id, k""")
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ways (orders as chains of parts) split at shared nodes into edges with lengths."""
     li = table(spark, sf_dir, "lineitem")
