@@ -36,9 +36,9 @@ from chainage.llm.common import groups_of
 #: Odd multiplier of the rolling hash modulo 2^64 (Knuth's MMIX multiplier).
 BASE = 6364136223846793005
 #: Bytes of text hashed at a time.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: Bytes of packed strings that a map task holds before it sends blocks.
-HELD = 24 << 20
+HELD = 12 << 20
 #: A run of words is frequent if it makes up one in so many of all runs; at most so many are.
 FREQUENT = 20_000
 

@@ -135,14 +135,21 @@ def learn_lexicon(rows: DataFrame, entries: int = ENTRIES, least_docs: int = 5,
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = (Counter(), Counter())
+
+        def sent() -> pa.RecordBatch:
+            own = list(both[0].keys() | both[1].keys())
+            out = pa.RecordBatch.from_arrays([pa.array(own, pa.string()), *[pa.array([c[x] for x in own], pa.int64()) for c in (both[1], both[0])]], names=["entry", "bad", "good"])
+            both[0].clear()
+            both[1].clear()
+            return out
+
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 both[1 if toxic else 0].update(entries_of(text.as_py()))
                 both[1 if toxic else 0][""] += 1
-        names = list(both[0].keys() | both[1].keys())
-        for at in range(0, len(names), 50_000):
-            own = names[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), *[pa.array([c[x] for x in own], pa.int64()) for c in (both[1], both[0])]], names=["entry", "bad", "good"])
+                if len(both[0]) + len(both[1]) > 50_000:
+                    yield sent()
+        yield sent()
 
     counts = rows.select("text", "toxic").mapInArrow(count, "entry string, bad long, good long").groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     total = counts.where("entry = ''").select(F.col("bad").alias("all_bad"), F.col("good").alias("all_good")).first()
