@@ -7,6 +7,8 @@ from typing import Any, NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chainage.operators.linear import running_sum
+
 
 def crosstab(df: DataFrame, row: str, column: str, row_values: list, column_values: list, measure: Column, total: str | None = None) -> DataFrame:
     """Long cross-tab (row, column, n) over both whole domains, zeros included; `total` names a row of whole columns."""
@@ -24,14 +26,14 @@ def pivoted(df: DataFrame, keys: list[str], column: str, values: list[str], meas
     return df.groupBy(*keys).pivot(column, values).agg(measure).fillna(0, values)
 
 
-def budget_tranches(df: DataFrame, cost: str, order: list, budgets: list[float]) -> DataFrame:
+def budget_tranches(df: DataFrame, cost: str, order: list[str], budgets: list[float], block: str | None = None) -> DataFrame:
     """Rows in order with their running cost, once for each budget that it fits.
 
-    A running sum over the whole table has to carry from row to row; the table here is a
-    list of works, one row each.
+    block: a column that grows with the order; the sum is then taken inside blocks and over
+    one row per block, so that no task sees the whole table.
     """
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("running", F.sum(cost).over(w)).withColumn("budget", F.explode(F.array(*[F.lit(float(b)) for b in budgets]))).where("running <= budget")
+    summed = running_sum(df, [], order, F.col(cost), "running", block)
+    return summed.withColumn("budget", F.explode(F.array(*[F.lit(float(b)) for b in budgets]))).where("running <= budget")
 
 
 def overwrite(df: DataFrame, fresh: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

@@ -136,7 +136,8 @@ def group_max_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH s AS (SELECT p_partkey, sum(p_retailprice) OVER (ORDER BY p_size DESC, p_retailprice, p_partkey ROWS UNBOUNDED PRECEDING) AS running FROM part)
 SELECT p_partkey, budget, round(running, 2) AS running FROM s, (VALUES (20000.0::DOUBLE), (60000), (150000)) b(budget) WHERE running <= budget""")
 def budget_tranches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = tables.budget_tranches(table(spark, sf_dir, "part"), "p_retailprice", [F.desc("p_size"), "p_retailprice", "p_partkey"], [20000, 60000, 150000])
+    works = table(spark, sf_dir, "part").withColumn("rank", -F.col("p_size"))
+    out = tables.budget_tranches(works, "p_retailprice", ["rank", "p_retailprice", "p_partkey"], [20000, 60000, 150000], block="rank")
     return out.select("p_partkey", "budget", F.round("running", 2).alias("running"))
 
 
