@@ -40,7 +40,10 @@ _DATE = "2024-01-01T00:00:00Z"
 
 
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if ":/" in uri else f"file://{uri}")
+    """The file system and path of a URI as Spark writes it."""
+    if uri.startswith("file:") or ":/" not in uri:
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri("s3" + uri[3:] if uri.startswith("s3a:") else uri)
 
 
 class Member(NamedTuple):

@@ -97,3 +97,8 @@ def test_broken_records():
     for bad in (good[:-6], b"HTTP/1.1\r\n\r\n", good + b"x"):
         with pytest.raises(ValueError):
             W.parse_record(bad)
+
+
+def test_places():
+    for uri in ("/a b/c", "file:/a b/c", "file:///a b/c"):
+        assert W.open_fs(uri)[1] == "/a b/c"
