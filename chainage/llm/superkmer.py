@@ -165,6 +165,16 @@ def frequent_runs(docs: DataFrame, width: int, m: int, share: int = FREQUENT) ->
 _STRINGS, _RANGES = b"\0", b"\1"
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Differences of whole numbers, first bytes first: mostly zeros, which compress away."""
+    return np.diff(x, prepend=x.dtype.type(0)).view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _whole(data: memoryview, n: int, kind: type) -> np.ndarray:
+    """The numbers that _planes has written."""
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(-1, n).T).view(kind).ravel(), dtype=kind)
+
+
 class _Held:
     """Packed strings of a map task, equal ones combined."""
 
@@ -199,7 +209,7 @@ class _Held:
         for bucket, rows in by.items():
             ids, words = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int32)
             names.append(bucket)
-            out.append(packer.compress(b"".join((_STRINGS, len(rows).to_bytes(8, "little"), ids.tobytes(), words.tobytes(), b"\n".join(r[0] for r in rows), b"\n"))))
+            out.append(packer.compress(b"".join((_STRINGS, len(rows).to_bytes(8, "little"), _planes(ids), _planes(words), b"\n".join(r[0] for r in rows), b"\n"))))
         for at in range(0, len(self.ranges), 4096):  # any bucket will do for what is known already
             names.append(self.turn % self.n_buckets)
             self.turn += 1
@@ -212,7 +222,7 @@ def blocks(docs: DataFrame, n_buckets: int, width: int, m: int, frequent: np.nda
     """(bucket, block): the packed strings of docs (doc_id, text), and the ranges found on the way."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, packer, held = _Powers(), zstandard.ZstdCompressor(level=3), _Held(width, n_buckets)
+        powers, packer, held = _Powers(), zstandard.ZstdCompressor(level=6), _Held(width, n_buckets)
         held.turn = random.Random(TaskContext.get().partitionId()).randrange(n_buckets)
         for ids, texts in _chunks(batches, width):
             got = super_kmers(texts, width, m, powers, frequent)
@@ -235,7 +245,8 @@ def _repeated(parts: list[bytes], width: int, powers: _Powers):
     hashes, docs, words, froms, tos, source, texts = [], [], [], [], [], [], []
     for k, raw in enumerate(parts):
         n = int.from_bytes(raw[:8], "little")
-        ids, pos, data = np.frombuffer(raw, np.int64, n, 8), np.frombuffer(raw, np.int32, n, 8 + 8 * n), raw[8 + 12 * n :]
+        view = memoryview(raw)
+        ids, pos, data = _whole(view[8 : 8 + 8 * n], n, np.int64), _whole(view[8 + 8 * n : 8 + 12 * n], n, np.int32), raw[8 + 12 * n :]
         t = _Text(data, powers)
         line = np.cumsum(np.concatenate(([0], t.line_end[:-1])))
         first = np.searchsorted(line, np.arange(n))
