@@ -133,9 +133,16 @@ class Index:
         bands = len(whole) + most + 2
         key = (item * len(texts) + text) * bands + band
         key = np.concatenate((key, key - 1))  # a band and the one before it overlap
-        key, votes = np.unique(key, return_counts=True)
-        item, rest = np.divmod(key, len(texts) * bands)
-        kept = votes >= self.least[item]
+        names, votes = np.unique(key, return_counts=True)
+        names = names[votes >= self.least[names // (len(texts) * bands)]]
+        if not len(names):
+            return out
+        # in those, each q-gram of the item counts once, however often the text repeats it
+        at = np.minimum(np.searchsorted(names, key), len(names) - 1)
+        own = names[at] == key
+        pairs = np.unique(at[own] * (most + 1) + np.concatenate((self.place[posting], self.place[posting]))[own])
+        item, rest = np.divmod(names, len(texts) * bands)
+        kept = np.bincount(pairs // (most + 1), minlength=len(names)) >= self.least[item]
         found: dict[tuple[int, int], Hit] = {}
         for i, r in zip(item[kept].tolist(), rest[kept].tolist(), strict=True):
             t, band = divmod(r, bands)
