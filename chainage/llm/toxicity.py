@@ -130,8 +130,8 @@ def learning_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -
     return texts.join(F.broadcast(sample), "doc_id").select("text", "toxic", part.alias("part"))
 
 
-def learn_lexicon(rows: DataFrame, entries: int = ENTRIES, least_docs: int = 5, least_weight: float = 2.0, smooth: float = 0.5) -> dict[str, float]:
-    """Weights of entries by their log-odds in rows (text, toxic)."""
+def learn_lexicon(rows: DataFrame, entries: int = ENTRIES, least_docs: int = 4, least_share: float = 0.011, least_weight: float = 2.5, smooth: float = 2.0) -> dict[str, float]:
+    """Weights of entries by their log-odds in rows (text, toxic), for entries in enough of the toxic rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = (Counter(), Counter())
@@ -156,7 +156,7 @@ def learn_lexicon(rows: DataFrame, entries: int = ENTRIES, least_docs: int = 5,
     if total is None or not total["all_bad"] or not total["all_good"]:
         return {}
     weight = F.log((F.col("bad") + smooth) / (total["all_bad"] + 2 * smooth)) - F.log((F.col("good") + smooth) / (total["all_good"] + 2 * smooth))
-    chosen = counts.where("entry <> ''").where(F.col("bad") >= least_docs).withColumn("w", weight).where(F.col("w") >= least_weight)
+    chosen = counts.where("entry <> ''").where(F.col("bad") >= max(least_docs, least_share * total["all_bad"])).withColumn("w", weight).where(F.col("w") >= least_weight)
     return {r["entry"]: r["w"] for r in chosen.orderBy(F.desc(F.col("w") * F.col("bad")), "entry").limit(entries).collect()}
 
 
