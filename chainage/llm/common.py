@@ -13,6 +13,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of so many rows in this session, for tables of long texts.
+
+    Spark's default of 10,000 rows makes batches of tens of megabytes of text, of which a
+    task holds several copies in the JVM and in Python. Batches that are set shorter stay.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session, or a temporary one where it is unset (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)

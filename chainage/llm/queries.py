@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from chainage.llm import licenses
-from chainage.llm.common import checkpoint, fresh_dir, table
+from chainage.llm.common import checkpoint, fresh_dir, short_batches
+from chainage.llm.common import table as read
 from chainage.llm.secrets import RULES
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
+    return read(spark, sf_dir, name)
+
+
 def op1_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chainage.llm.simhash import near_duplicates
 
