@@ -1,0 +1,243 @@
+"""Near duplicates by the Jaccard similarity of word shingles: MinHash candidates, each verified exactly.
+
+1. One pass over the texts (Arrow batches) gives each row its set's key (texts of one
+   shingle set are one node from here on, so a group of exact copies of any size is one
+   row), BANDS band keys and a sketch of one bit for each of its HASHES minima.
+2. Nodes that share a band key meet in a bucket. Pairs of a bucket whose sketches differ in
+   more than SKETCH bits are discarded; the others are verified on the shingle sets.
+3. Rounds: a pair at distance s in a bucket's order belongs to one round (ROUNDS), and is
+   verified there unless its nodes are in one component by then. So no pair is left out,
+   and a large group of near copies costs a few pairs a row, not all.
+
+A pair of the similarity 0.8 shares no band with probability (1 - 0.8^4)^32 = 5e-8 and is
+discarded by its sketch with less than 1e-6; above 0.8 both are smaller.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from chainage.llm.common import checkpoint
+from chainage.llm.simhash import SEED, components, splitmix64
+
+WIDTH = 5
+SIMILARITY = 0.8
+BANDS, ROWS = 32, 4
+HASHES = BANDS * ROWS
+#: Sketch bits of 128 in which a candidate may differ; a pair of similarity 0.8 differs in 12.8 on average, deviation 3.4.
+SKETCH = 32
+#: Distances in a bucket's order: first, and last before the next round. The last round has no end.
+ROUNDS = ((1, 1), (2, 16), (17, None))
+#: Nodes of a bucket in one half of a cell.
+CELL = 512
+#: Shingles that are multiplied by all hashes at once.
+CHUNK = 4096
+
+
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles; of a shorter text, of all its words. Null and wordless texts have none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    if n <= width:
+        return np.array([digest(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[: n - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)), np.uint64, n - width + 1))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; two empty sets are equal."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common)
+
+
+def _constants() -> tuple[np.ndarray, np.ndarray]:
+    made = np.array(splitmix64(2 * HASHES, SEED), dtype=np.uint64)
+    return made[:HASHES, None], made[HASHES:, None] | np.uint64(1)
+
+
+def minima(own: np.ndarray, flips: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """The least value of each hash function over a set; of an empty set, the largest possible one."""
+    least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(own), CHUNK):
+        least = np.minimum(least, ((own[at : at + CHUNK] ^ flips) * factors).min(axis=1))
+    return least
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """(doc_id, node, bands, s0, s1): node is the key of the row's shingle set, s0 and s1 its sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flips, factors = _constants()
+        which = np.arange(BANDS, dtype="<u8")
+        for b in batches:
+            node, keys, bits = np.zeros(b.num_rows, np.uint64), np.zeros((b.num_rows, BANDS), np.uint64), np.zeros((b.num_rows, 2), np.uint64)
+            for i, t in enumerate(b.column(1)):
+                own = shingles(t.as_py())
+                node[i] = xxhash.xxh64_intdigest(own.tobytes(), SEED)
+                least = minima(own, flips, factors)
+                data = np.column_stack([which, least.reshape(BANDS, ROWS)])
+                keys[i] = [xxhash.xxh64_intdigest(row.tobytes(), SEED) for row in data]
+                bits[i] = np.packbits(((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)).astype(np.uint8)).view(np.uint64)
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node.view(np.int64)), bands, *(pa.array(np.ascontiguousarray(bits[:, k]).view(np.int64)) for k in (0, 1))], names=["doc_id", "node", "bands", "s0", "s1"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, node long, bands array<long>, s0 long, s1 long")
+
+
+def bucket_pairs(label: np.ndarray, s0: np.ndarray, s1: np.ndarray, first: int, last: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers (i, j), i < j, of a bucket's pairs of different labels and like sketches at the distances first to last."""
+    n = len(label)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def keep(i: np.ndarray, j: np.ndarray) -> None:
+        ok = np.bitwise_count(s0[i] ^ s0[j]).astype(np.int16) + np.bitwise_count(s1[i] ^ s1[j]) <= SKETCH
+        a.append(i[ok])
+        b.append(j[ok])
+
+    if n <= first or (label == label[0]).all():
+        return a[0], b[0]
+    if last is not None:
+        for shift in range(first, min(last, n - 1) + 1):
+            i = np.flatnonzero(label[: n - shift] != label[shift:])
+            keep(i, i + shift)
+    else:
+        # rows by label, the most frequent label last: a row is compared with the rows behind its label's only
+        _, back, size = np.unique(label, return_inverse=True, return_counts=True)
+        order = np.lexsort((back, size[back]))
+        by = back[order]
+        ends = np.concatenate((np.flatnonzero(np.diff(by)) + 1, [n]))
+        end = ends[np.searchsorted(ends, np.arange(n), side="right")]
+        for at in range(int(ends[-2]) if len(ends) > 1 else 0):
+            j = order[end[at] :]
+            j = j[np.abs(j - order[at]) >= first]
+            keep(np.minimum(j, order[at]), np.maximum(j, order[at]))
+    return np.concatenate(a), np.concatenate(b)
+
+
+def candidates(members: DataFrame, first: int, last: int | None) -> DataFrame:
+    """(a, b, cell), a < b: pairs of members (band, key, node, s0, s1, label) that have to be verified in a round.
+
+    A pair that meets in several bands goes to a cell of the first of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def closed(rows: list[np.ndarray]) -> pa.RecordBatch:
+            key, node, s0, s1, label, band = rows
+            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+            a, b, cell = ([np.zeros(0, np.int64)] for _ in range(3))
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                if e - s > first:
+                    i, j = bucket_pairs(label[s:e], s0[s:e], s1[s:e], first, last)
+                    a.append(node[s:e][i])
+                    b.append(node[s:e][j])
+                    at = {p: xxhash.xxh64_intdigest(b"%d %d %d" % (key[s], p >> 32, p & 0xFFFFFFFF), SEED) >> 6 for p in np.unique((i // CELL << 32) + j // CELL).tolist()}
+                    cell.append(np.fromiter((at[p] for p in ((i // CELL << 32) + j // CELL).tolist()), np.int64, len(i)) + (int(band[s]) << 58))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, cell)], names=["a", "b", "cell"])
+
+        for batch in batches:
+            if batch.num_rows:
+                key, node, s0, s1, label, band = (batch.column(i).to_numpy() for i in range(6))
+                held.append((key, node, s0.view(np.uint64), s1.view(np.uint64), label, band))
+                if held[0][0][0] != key[-1]:  # all keys but the last are whole
+                    rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+                    cut = int(np.searchsorted(rows[0], rows[0][-1]))
+                    yield closed([x[:cut] for x in rows])
+                    held = [tuple(x[cut:] for x in rows)]
+        if held:
+            yield closed([np.concatenate(x) for x in zip(*held, strict=True)])
+
+    keyed = members.select("key", "node", "s0", "s1", "label", "band").repartition("key").sortWithinPartitions("key", "node")
+    return keyed.mapInArrow(run, "a long, b long, cell long").groupBy("a", "b").agg(F.min("cell").alias("cell"))
+
+
+def _sets(docs: DataFrame) -> DataFrame:
+    """(doc_id, node, own): own is the bytes of the row's sorted shingle set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [shingles(t.as_py()).tobytes() for t in b.column(1)]
+            node = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in own), np.uint64, len(own))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node.view(np.int64)), pa.array(own, pa.binary())], names=["doc_id", "node", "own"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, node long, own binary")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(a, b): the pairs (a, b, cell) whose shingle sets, from sets (node, own), have at least this Jaccard similarity.
+
+    A cell's rows are streamed, its sets before its pairs: a task holds the sets of one cell.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, {}
+        for batch in batches:
+            a, b = [], []
+            for cell, x, y, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if cell != now:
+                    now, own = cell, {}
+                if y is None:
+                    own[x] = np.frombuffer(data, np.uint64)
+                elif similarity(own[x], own[y]) >= least:
+                    a.append(x)
+                    b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b)], names=["a", "b"])
+
+    none = F.lit(None)
+    needed = pairs.select("cell", F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node")
+    rows = needed.select("cell", F.col("node").alias("a"), none.cast("long").alias("b"), "own").union(pairs.select("cell", "a", "b", none.cast("binary")))
+    return rows.repartition("cell").sortWithinPartitions("cell", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, node, component_id) for each row of docs: the smallest doc_id that links of SIMILARITY or more lead to.
+
+    Defined edge cases: null and wordless texts are equal; a text of fewer than WIDTH words
+    equals only texts of the same words; a null id names no component.
+    """
+    marked = checkpoint(sketches(docs))
+    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("s0").alias("s0"), F.first("s1").alias("s1"))
+    keyed = nodes.select("node", "least", "s0", "s1", F.posexplode("bands").alias("band", "key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    members = checkpoint(keyed.join(shared, "key", "left_semi").where("least is not null"))
+    ids = members.select("node", F.col("least").alias("doc_id")).distinct()
+    own = _sets(docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi"))
+    sets = checkpoint(own.join(ids, ["node", "doc_id"], "left_semi").groupBy("node").agg(F.first("own").alias("own")))
+    links = labels = None
+    for first, last in ROUNDS:
+        now = members.withColumn("label", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
+        pairs = checkpoint(candidates(now, first, last))
+        found = checkpoint(verified(pairs, sets))
+        links = found if links is None else links.union(found)
+        if not found.isEmpty():
+            labels = components(links)
+    least = marked.groupBy("node").agg(F.min("doc_id").alias("least"))
+    labelled = least.join(labels, "node", "left") if labels is not None else least.withColumn("component", F.lit(None).cast("long"))
+    labelled = labelled.select("node", "least", F.coalesce("component", "node").alias("component"))
+    smallest = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
+    reached = labelled.join(smallest, "component").select("node", "component_id")
+    return marked.select("doc_id", "node").join(reached, "node")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay when one document of each component stays, all columns kept.
+
+    That of the smallest doc_id stays; of repeated rows with one id, one; rows without an
+    id stay, since nothing tells which document they are.
+    """
+    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    own = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return own.select(*docs.columns).unionByName(docs.where("doc_id is null"))

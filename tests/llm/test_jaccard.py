@@ -1,0 +1,76 @@
+import random
+
+import numpy as np
+
+from chainage.llm import jaccard as J
+
+DOCS = "doc_id long, text string, source string"
+
+
+def plain_set(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_components(texts):
+    sets = {i: plain_set(t) for i, t in texts.items()}
+    parent = {i: i for i in texts}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            x, y = sets[a], sets[b]
+            if x == y or x | y and len(x & y) / len(x | y) >= 0.8:
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    return {i: find(i) for i in ids}
+
+
+def texts_at_many_similarities(rng):
+    words = [f"w{i}" for i in range(500)]
+    texts = {}
+    for _ in range(40):
+        base = [rng.choice(words) for _ in range(rng.randint(6, 250))]
+        for _ in range(rng.randint(1, 5)):
+            own = list(base)
+            for _ in range(rng.choice((0, 0, 1, 1, 2, 3, 5))):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            texts[len(texts)] = " ".join(own)
+    base = [rng.choice(words) for _ in range(200)]
+    for k in range(120):  # one large group
+        own = list(base)
+        own[rng.randrange(200)] = f"own{k}"
+        own[rng.randrange(200)] = f"other{k}"
+        texts[len(texts)] = " ".join(own)
+    return texts | {1000: "", 1001: None, 1002: "a b", 1003: "A  b", 1004: "a b c"}
+
+
+def test_stage_equals_brute_force(spark):
+    import corpus_pipeline
+
+    texts = texts_at_many_similarities(random.Random(5))
+    docs = spark.createDataFrame([(i, t, "s") for i, t in texts.items()] + [(None, texts[0], "n"), (3, texts[3], "s")], DOCS)
+    want = plain_components(texts)
+    got = corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect()
+    assert sorted((r.doc_id for r in got if r.doc_id is not None)) == sorted(set(want.values()))
+    assert sum(r.doc_id is None for r in got) == 1
+    assert {r.doc_id: r.component_id for r in J.near_duplicates(docs.where("doc_id is not null")).collect()} == want
+
+
+def test_rounds_leave_no_pair_out():
+    rng = np.random.default_rng(1)
+    n = 60
+    label, same = rng.integers(0, 6, n), np.zeros(n, np.uint64)
+    seen = []
+    for first, last in J.ROUNDS:
+        seen += list(zip(*(x.tolist() for x in J.bucket_pairs(label, same, same, first, last)), strict=True))
+    assert sorted(seen) == [(i, j) for i in range(n) for j in range(i + 1, n) if label[i] != label[j]]
+
+
+def test_empty_table(spark):
+    assert J.representatives(spark.createDataFrame([], DOCS)).count() == 0
