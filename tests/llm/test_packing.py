@@ -69,6 +69,15 @@ def test_groups_lose_nothing():
             assert at == n
 
 
+def test_each_token_once_with_few_open_bins():
+    rng = random.Random(9)
+    cases = [([60, 60, 60], 100), ([2400] * 3, 4096)] + [([rng.randint(1, 200) for _ in range(rng.randint(1, 8))], 100) for _ in range(500)]
+    for lengths, capacity in cases:
+        got = P.pack_group(lengths, capacity, 8)
+        tokens = sorted((p.doc, t) for sequence in got for p in sequence for t in range(p.start, p.start + p.length))
+        assert tokens == [(doc, t) for doc, n in enumerate(lengths) for t in range(n)], lengths
+
+
 def test_pack(spark):
     texts = ["one two three", None, "", "again " * 6000, "Ünïcode 中文", "one two three"]
     rows = [(i, t, 5, "x") for i, t in enumerate(texts)] + [(None, "no id", 0, ""), (2**60 + 1, "a large id", 0, ""), (0, "one two three", 5, "x")]
