@@ -3,7 +3,7 @@
 1. Fingerprints: one pass over the texts (Arrow batches), 8 bytes a document,
    checkpointed because two later joins need them.
 2. Equal fingerprints collapse to one node (a map-side combined minimum), so a
-   group of exact copies of any size is one row from here on.
+   group of exact copies of any size is one row from here on; a node is its fingerprint.
 3. Pivot tables: the Hamming distances of a fingerprint to PIVOTS reference
    fingerprints, kept per block of bits, so that the distance to a pivot is the
    sum of its block coordinates. Two fingerprints that differ in at most d bits
@@ -48,21 +48,24 @@ def splitmix64(n: int, seed: int = 20240229) -> list[int]:
     return out
 
 
-def simhash(text: str | None, width: int = 3) -> int:
-    """Unsigned fingerprint of one text. Null and wordless texts: 0."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 of each run of width words, repeats included; of fewer words, of all of them. Null and wordless texts have none."""
     # bytes.lower() touches A-Z only and bytes.split() cuts at \x20 and \x09-\x0D only
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     n = len(words)
     if not n:
-        return 0
-    joined = b" ".join(words)
+        return np.zeros(0, np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if n <= width:
-        h = np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype=np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        digest = xxhash.xxh64_intdigest
-        h = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[: n - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)), np.uint64, n - width + 1)
+        return np.array([digest(joined, SEED)], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    runs = zip(starts[: n - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in runs), np.uint64, n - width + 1)
+
+
+def fingerprint(h: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes; without any, all are 0."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(h), 1 << 16):
         part = np.ascontiguousarray(h[at : at + (1 << 16)])
@@ -71,6 +74,11 @@ def simhash(text: str | None, width: int = 3) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
+def simhash(text: str | None, width: int = 3) -> int:
+    """Unsigned fingerprint of one text. Null and wordless texts: 0."""
+    return fingerprint(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long."""
 
@@ -116,7 +124,7 @@ def _pairs(fp: np.ndarray, distance: int, pivots: np.ndarray, labels: np.ndarray
     first = np.bitwise_count(fp ^ pivots[0]).astype(np.int16)
     order = np.argsort(first, kind="stable")
     fp, first = fp[order], first[order]
-    tables = np.stack([np.bitwise_count(fp ^ p) for p in pivots[1:5]]).astype(np.int8)
+    tables = np.stack([np.bitwise_count(fp ^ p) for p in pivots[1:]]).astype(np.int8)
     label = labels[order]
     # sorted by the first pivot: a row's partners end where that coordinate has grown by more than the distance
     ends = np.searchsorted(first, first + distance, side="right")
@@ -198,6 +206,8 @@ def links(nodes: DataFrame, distance: int = 3, n_blocks: int = 5) -> DataFrame:
             size = ends - starts
             a, b = [], []
             two = starts[size == 2]
+            for p in pivots:
+                two = two[np.abs(np.bitwise_count(fp[two] ^ p).astype(np.int8) - np.bitwise_count(fp[two + 1] ^ p).astype(np.int8)) <= distance]
             two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= distance]
             a.append(np.maximum(node[two], node[two + 1]))
             b.append(np.minimum(node[two], node[two + 1]))
@@ -254,24 +264,18 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 def near_duplicates(docs: DataFrame, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs.
 
-    Defined edge cases: null and empty texts have fingerprint zero and link like any
-    other; a null id keeps its row, names no component and gets that of its fingerprint's
-    class if other rows have an id (else null); repeated rows stay repeated; an empty table
-    gives an empty result; other columns of docs are ignored.
+    Classes are those of fingerprints, so every row links. Defined edge cases: null and
+    empty texts have fingerprint zero and link like any other; a row with a null id links
+    as well and gets the smallest id of its class (null if the class has none); repeated
+    rows stay repeated, and one id with several texts is in several classes; an empty
+    table gives an empty result; other columns of docs are ignored. Ids have to be whole
+    numbers.
     """
     marked = checkpoint(fingerprints(docs, id_col, text_col))
-    nodes = checkpoint(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
-    found = components(links(nodes, distance, n_blocks_for(nodes.count(), distance)))
-    reached = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    nodes = checkpoint(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    found = components(links(nodes.select("fp", F.col("fp").alias("node")), distance, n_blocks_for(nodes.count(), distance)))
+    classed = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    # most classes are one fingerprint, whose smallest id is known
+    linked = classed.join(found.select("component").distinct(), "component", "left_semi").groupBy("component").agg(F.min("least").alias("component_id"))
+    reached = classed.join(linked, "component", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return marked.join(reached, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def representatives(docs: DataFrame, distance: int = 3) -> DataFrame:
-    """The rows of docs that stay when one document of each class stays, all columns kept.
-
-    That of the smallest doc_id stays; of repeated rows with one id, one; rows without an
-    id stay, since nothing tells which document they are.
-    """
-    kept = near_duplicates(docs, distance).where("doc_id = component_id").select("doc_id").distinct()
-    own = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return own.select(*docs.columns).unionByName(docs.where("doc_id is null"))

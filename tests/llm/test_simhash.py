@@ -107,8 +107,19 @@ def test_components_of_a_long_chain(spark):
     assert all(got[i] == 0 for i in range(1, 301)) and got[1001] == 1000
 
 
-def test_representatives(spark):
-    text = "one two three four five six seven eight nine ten eleven twelve"
-    rows = [(5, text, "a", None, 0), (3, text, "b", None, 0), (3, text, "b", None, 0), (None, text, "c", None, 0), (8, "nothing like it at all here", "d", None, 0)]
-    got = S.representatives(spark.createDataFrame(rows, DOCS))
-    assert sorted((r.doc_id or -1, r.source) for r in got.collect()) == [(-1, "c"), (3, "b"), (8, "d")]
+def test_rows_without_id_link(spark, monkeypatch):
+    fps = {"a": 0, "b": 0b111, "c": 0b111111, "d": (1 << 60) - 1}
+    rows = [(7, "a"), (None, "b"), (4, "c"), (4, "d"), (None, "d")]
+    monkeypatch.setattr(S, "fingerprints", lambda docs, *_: spark.createDataFrame([(i, fps[t]) for i, t in rows], "doc_id long, fp long"))
+    got = S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # b joins a and c; the other text of 4 is a class of its own
+    assert sorted((r.doc_id or -1, r.fingerprint[-2:], r.component_id) for r in got) == [(-1, "07", 4), (-1, "ff", 4), (4, "3f", 4), (4, "ff", 4), (7, "00", 4)]
+
+
+def test_every_pivot_discards_before_a_verification():
+    rng = np.random.default_rng(0)
+    pivots = np.array(S.splitmix64(S.PIVOTS), dtype=np.uint64)
+    fp = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    near = fp ^ (np.uint64(1) << rng.integers(0, 63, 300).astype(np.uint64))
+    label = S._pairs(np.concatenate((fp, near)), 3, pivots, np.arange(600))
+    assert (label[300:] == label[:300]).all() and len(np.unique(label)) == 300
