@@ -2,9 +2,15 @@
 
 An item of n characters lies in a document within k edits only if some band of
 diagonals (document position minus item position) of width k holds at least
-n - q + 1 - k * q shared q-grams. Shared q-grams are counted in overlapping bands of
-width 2k, a step of k apart, so that each such band lies whole in one of them; bands
-that reach the bound are retained and verified by banded alignment.
+n - q + 1 - k * q shared q-grams. q is 8, or less for items so short that the bound would
+not be positive (q <= n / (k + 1)), so no item within the budget is lost. Shared q-grams
+are counted in overlapping bands of width 2k, a step of k apart, so that each such band
+lies whole in one of them; bands that reach the bound are retained and verified by banded
+alignment, neighbouring ones at once.
+
+A q-gram that stands again and again in a text (rules, fillers) counts as one run of
+diagonals, so a long filler costs a run for each place of the gram in the items and not one
+count for each of its characters.
 
 The benchmark is a query set against all documents. It goes to the tasks in blocks of a
 fixed size, each block in a pass of its own over the documents: what is sent at once
@@ -26,9 +32,15 @@ from pyspark.sql import functions as F
 
 #: Characters of the benchmark in one block (about 16 bytes each in a task).
 BLOCK_CHARS = 4_000_000
+#: Shorter items say too little to be searched for: "yes" is in most documents.
+LEAST_CHARS = 8
 #: Characters of documents that are filtered at a time.
 CHUNK = 1 << 20
 _TABLE_BITS = 22
+#: Counts that are held at a time; a text that needs more is counted for some of the items after the other.
+HELD = 2_000_000
+#: Diagonals that are aligned at a time.
+WIDE = 1 << 16
 
 
 class Hit(NamedTuple):
@@ -70,9 +82,9 @@ def banded(item: np.ndarray, region: np.ndarray, low: int, high: int) -> tuple[i
     padded = np.full(len(item) + len(region) + 2 * width + 2 * abs(low) + 2, 0xFFFFFFFF, np.uint32)
     shift = max(0, -low)
     padded[shift : shift + len(region)] = region
-    diagonal = np.arange(width)
+    diagonal = np.arange(width, dtype=np.int32)
     start = low + diagonal
-    row = np.where((start >= 0) & (start <= len(region)), 0, far)
+    row = np.where((start >= 0) & (start <= len(region)), 0, far).astype(np.int32)
     for i, c in enumerate(item):
         at = i + low + shift
         now = row + (padded[at : at + width] != c)
@@ -84,89 +96,150 @@ def banded(item: np.ndarray, region: np.ndarray, low: int, high: int) -> tuple[i
     return int(row[best]), len(item) + low + best
 
 
+def gram_length(n: int, edits: int, q: int) -> int:
+    """The length of q-grams, at most q, for an item of n characters: its bound n - q + 1 - edits * q is 1 or more."""
+    return max(1, min(q, n // (edits + 1)))
+
+
 class Index:
-    """q-grams of a block of items: sorted hashes with their places."""
+    """The items of a block: their q-grams by the length of gram that they need."""
 
     def __init__(self, items: list[str], q: int, max_edit_share: float):
-        self.q = q
-        self.items = items
-        self.codes = [codes(t) for t in items]
-        n = np.array([len(c) for c in self.codes], np.int64)
-        self.n = n
-        self.edits = np.floor(n * max_edit_share).astype(np.int64)
-        self.least = np.maximum(1, n - q + 1 - self.edits * q)
-        hashes = [grams(c, q) if len(c) >= q else np.empty(0, np.uint32) for c in self.codes]
-        owner = np.repeat(np.arange(len(items)), [len(h) for h in hashes])
-        place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.empty(0, np.int64)
-        every = np.concatenate(hashes) if hashes else np.empty(0, np.uint32)
-        order = np.argsort(every, kind="stable")
-        self.hash, self.first = np.unique(every[order], return_index=True)
-        self.count = np.diff(np.append(self.first, len(every)))
-        self.owner, self.place = owner[order], place[order]
-        self.table = np.zeros(1 << _TABLE_BITS, bool)
-        self.table[self.hash >> np.uint32(32 - _TABLE_BITS)] = True
+        every = [codes(t) for t in items]
+        of: dict[int, list[int]] = {}
+        for i, c in enumerate(every):
+            if len(c):
+                of.setdefault(gram_length(len(c), int(len(c) * max_edit_share), q), []).append(i)
+        self.parts = [Grams([every[i] for i in own], own, g, max_edit_share) for g, own in sorted(of.items())]
 
     def search(self, texts: list[str]) -> list[list[Hit]]:
         """The best place of each item that lies in each text (normalised)."""
         out: list[list[Hit]] = [[] for _ in texts]
-        if not len(self.hash):
+        if not self.parts or not texts:
             return out
         whole = codes("\n".join(texts) + "\n")  # no normalised text holds a line end
-        if len(whole) < self.q:
-            return out
         lengths = np.array([len(t) + 1 for t in texts], np.int64)
         begins = np.cumsum(lengths) - lengths
+        for part in self.parts:
+            part.search(whole, begins, lengths, out)
+        for hits in out:
+            hits.sort()
+        return out
+
+
+class Grams:
+    """q-grams of items with one q: sorted hashes with their places. own: the items' numbers."""
+
+    def __init__(self, items: list[np.ndarray], own: list[int], q: int, max_edit_share: float):
+        self.q, self.own, self.codes = q, own, items
+        self.n = np.array([len(c) for c in items], np.int64)
+        self.edits = (self.n * max_edit_share).astype(np.int64)
+        self.least = self.n - q + 1 - self.edits * q
+        self.step = np.maximum(1, self.edits)
+        hashes = [grams(c, q) for c in items]
+        owner = np.repeat(np.arange(len(items)), [len(h) for h in hashes])
+        place = np.concatenate([np.arange(len(h)) for h in hashes])
+        every = np.concatenate(hashes)
+        order = np.argsort(every, kind="stable")  # places of one gram stay in the order of the items
+        self.hash, self.first = np.unique(every[order], return_index=True)
+        self.count = np.diff(np.append(self.first, len(every)))
+        self.owner, self.place = owner[order], place[order]
+        # grams are this far apart where they count as two: so one counts once in a band
+        self.gap = max(64, 3 * int(self.step.max()))
+        self.table = np.zeros(1 << _TABLE_BITS, bool)
+        self.table[self.hash >> np.uint32(32 - _TABLE_BITS)] = True
+
+    def runs(self, whole: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(gram, text, first, last): the places of grams of the items, those near each other in one text as one run."""
         h = grams(whole, self.q)
         at = np.flatnonzero(self.table[h >> np.uint32(32 - _TABLE_BITS)])
         g = np.minimum(np.searchsorted(self.hash, h[at]), len(self.hash) - 1)
         ok = self.hash[g] == h[at]
         at, g = at[ok], g[ok]
-        times = self.count[g]
-        spot = np.repeat(at, times)
-        within = np.arange(len(spot)) - np.repeat(np.cumsum(times) - times, times)
-        posting = np.repeat(self.first[g], times) + within
-        item, diagonal = self.owner[posting], spot - self.place[posting]
-        text = np.searchsorted(begins, spot, side="right") - 1
-        step = np.maximum(1, self.edits[item])
-        most = int(self.n.max(initial=0))
-        band = (diagonal + most) // step
-        bands = len(whole) + most + 2
-        key = (item * len(texts) + text) * bands + band
-        key = np.concatenate((key, key - 1))  # a band and the one before it overlap
-        names, votes = np.unique(key, return_counts=True)
-        names = names[votes >= self.least[names // (len(texts) * bands)]]
-        if not len(names):
-            return out
-        # in those, each q-gram of the item counts once, however often the text repeats it
-        at = np.minimum(np.searchsorted(names, key), len(names) - 1)
-        own = names[at] == key
-        pairs = np.unique(at[own] * (most + 1) + np.concatenate((self.place[posting], self.place[posting]))[own])
-        item, rest = np.divmod(names, len(texts) * bands)
-        kept = np.bincount(pairs // (most + 1), minlength=len(names)) >= self.least[item]
+        order = np.argsort(g, kind="stable")
+        at, g = at[order], g[order]
+        text = np.searchsorted(begins, at, side="right") - 1
+        new = np.ones(len(at), bool)
+        new[1:] = (g[1:] != g[:-1]) | (text[1:] != text[:-1]) | (np.diff(at) > self.gap)
+        start = np.flatnonzero(new)
+        end = np.append(start[1:], len(at)) - 1 if len(start) else start
+        order = np.argsort(text[start], kind="stable")
+        return tuple(x[order] for x in (g[start], text[start], at[start], at[end]))
+
+    def bands(self, runs: tuple[np.ndarray, ...], n_texts: int, size: int) -> Iterator[tuple[int, int, int, int]]:
+        """(item, text, first band, last band) of bands that reach the bound; each text in one piece."""
+        if not len(runs[0]):
+            return
+        # texts are taken together until they need HELD counts
+        load = np.cumsum(self.count[runs[0]])
+        ends = np.flatnonzero(np.append(np.diff(runs[1]) > 0, True)) + 1
+        start, before = 0, 0
+        for e, after in zip(ends.tolist(), np.append(ends[1:], ends[-1]).tolist(), strict=True):
+            if e == ends[-1] or load[after - 1] - before > HELD:
+                yield from self._counted([x[start:e] for x in runs], n_texts, size, int(load[e - 1] - before))
+                start, before = e, int(load[e - 1])
+
+    def _counted(self, runs: list[np.ndarray], n_texts: int, size: int, load: int) -> Iterator[tuple[int, int, int, int]]:
+        slices = max(1, -(-load // HELD))
+        cuts = np.linspace(0, len(self.codes), min(slices, len(self.codes)) + 1).astype(int)
+        most = int(self.n.max())
+        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            first, count = self.first[runs[0]], self.count[runs[0]]
+            if slices > 1:  # the places of the items low to high only
+                among = np.concatenate(([0], np.cumsum((self.owner >= low) & (self.owner < high))))
+                until = np.concatenate(([0], np.cumsum(self.owner < low)))
+                first, count = first + until[first + count] - until[first], among[first + count] - among[first]
+            run = np.repeat(np.arange(len(count)), count)
+            posting = np.repeat(first, count) + np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+            item = self.owner[posting]
+            shift, step = most - self.place[posting], self.step[item]
+            bands = size + most + 3  # more than there are, so that ranges of bands never touch those of the next text
+            base = (item * n_texts + runs[1][run]) * bands + 1
+            begin, end = base + (runs[2][run] + shift) // step - 1, base + (runs[3][run] + shift) // step + 1
+            key = np.concatenate((begin, end))
+            change = np.concatenate((np.ones(len(begin), np.int64), -np.ones(len(end), np.int64)))
+            names, back = np.unique(key, return_inverse=True)
+            votes = np.cumsum(np.bincount(back, weights=change, minlength=len(names)).astype(np.int64))
+            kept = votes >= np.maximum(1, self.least[np.minimum(names // (n_texts * bands), len(self.codes) - 1)])
+            edge = np.diff(np.concatenate(([0], kept.astype(np.int8), [0])))
+            for a, b in zip(names[np.flatnonzero(edge == 1)].tolist(), names[np.flatnonzero(edge == -1)].tolist(), strict=True):
+                (i, t), band = divmod(a // bands, n_texts), a % bands - 1
+                yield i, t, band, b - a + band - 1
+
+    def search(self, whole: np.ndarray, begins: np.ndarray, lengths: np.ndarray, out: list[list[Hit]]) -> None:
+        """Adds the best place of each item in each text to out."""
+        if len(whole) < self.q:
+            return
         found: dict[tuple[int, int], Hit] = {}
-        for i, r in zip(item[kept].tolist(), rest[kept].tolist(), strict=True):
-            t, band = divmod(r, bands)
+        most = int(self.n.max())
+        for i, t, first, last in self.bands(self.runs(whole, begins), len(begins), len(whole)):
             best = found.get((t, i))
             if best and not best.edits:
                 continue
-            k = int(self.edits[i])
-            low = band * max(1, k) - most
-            high = low + 2 * max(1, k)
+            k, step, n = int(self.edits[i]), int(self.step[i]), int(self.n[i])
             begin, end = int(begins[t]), int(begins[t] + lengths[t] - 1)
-            a, b = max(begin, low - k), min(end, high + int(self.n[i]) + k)
-            hit = self.verify(i, whole[a:b], low - k - a, high + k - a, k)
-            if hit and (not best or (hit[0], hit[1] + a - begin) < (best.edits, best.start)):
-                found[t, i] = Hit(i, hit[1] + a - begin, hit[2] + a - begin, hit[0], 1 - hit[0] / max(1, int(self.n[i])))
-        for (t, _), hit in sorted(found.items()):
+            # the last band reaches to last * step + 2 * step
+            low, high = max(first * step - most, begin - n - k), min((last + 2) * step - most, end + k)
+            for part in range(low, high + 1, WIDE):
+                till = min(high, part + WIDE)
+                a, b = max(begin, part - k), min(end, till + n + k)
+                if b <= a:
+                    continue
+                hit = self.verify(i, whole[a:b], part - k - a, till + k - a, k)
+                if hit and (not best or (hit[0], hit[1] + a - begin) < (best.edits, best.start)):
+                    found[t, i] = best = Hit(self.own[i], hit[1] + a - begin, hit[2] + a - begin, hit[0], 1 - hit[0] / n)
+                    if not hit[0]:
+                        break
+        for (t, _), hit in found.items():
             out[t].append(hit)
-        return out
 
     def verify(self, i: int, region: np.ndarray, low: int, high: int, k: int) -> tuple[int, int, int] | None:
         """(edits, start, end) in the region, or None beyond k edits."""
         item, n = self.codes[i], len(self.codes[i])
-        exact = region.tobytes().find(item.tobytes())
+        data, wanted = region.tobytes(), item.tobytes()
+        exact = data.find(wanted)
         while exact > 0 and exact % 4:
-            exact = region.tobytes().find(item.tobytes(), exact + 1)
+            exact = data.find(wanted, exact + 1)
         if exact >= 0:
             return 0, exact // 4, exact // 4 + n
         edits, end = banded(item, region, low, high)
@@ -178,14 +251,14 @@ class Index:
         return edits, end - back, end
 
 
-def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int | None, str]]]:
-    """The items in blocks of about block_chars characters."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+def item_blocks(benchmark: DataFrame, least_chars: int, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int | None, str]]]:
+    """The distinct items of at least least_chars normalised characters in blocks of about block_chars characters."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
     for b in range(blocks):
         own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        yield [(r["item_id"], normalised(r["text"])) for r in own]
+        yield [(i, t) for i, t in ((r["item_id"], normalised(r["text"])) for r in own) if len(t) >= least_chars]
 
 
 def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -200,13 +273,16 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, q: int = 8, max_edit_share: float = 0.1, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, q: int = 8, max_edit_share: float = 0.1, block_chars: int = BLOCK_CHARS, least_chars: int = LEAST_CHARS) -> DataFrame:
     """(doc_id, item_id, start, end, edits, similarity): the best place of each item in each document that holds it.
 
-    start and end are positions in the normalised text. Defined edge cases: null and
-    empty texts and items shorter than q characters match nothing; a null doc_id or
-    item_id is carried as null; repeated rows repeat their matches; an empty benchmark or
-    table gives an empty result; other columns are ignored.
+    start and end are positions in the normalised text; of places with as few edits, the
+    first. Every item that lies whole in a text within max_edit_share of its length is
+    found. Defined edge cases: null and empty texts and items shorter than least_chars
+    normalised characters match nothing; a null doc_id or item_id is carried as null;
+    repeated documents repeat their matches, repeated items count once; an empty
+    benchmark or table gives an empty result; other columns are ignored. Ids have to be
+    whole numbers.
     """
     fields = "doc_id long, item_id long, start long, end long, edits int, similarity double"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -228,11 +304,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, q: int = 8, max_edit_share: f
 
         return rows.mapInArrow(run, fields)
 
-    return reduce(DataFrame.unionByName, [searcher(items) for items in item_blocks(benchmark, block_chars)])
+    return reduce(DataFrame.unionByName, [searcher(items) for items in item_blocks(benchmark, least_chars, block_chars)])
+
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 8, max_edit_share: float = 0.1, block_chars: int = BLOCK_CHARS, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """The rows of docs whose text holds no item (as in matches), all columns kept.
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 8, max_edit_share: float = 0.1, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of docs whose text holds no item, all columns kept. Rows without text stay."""
+    Defined edge cases: rows without text stay; a null id, repeated rows and columns of
+    any name are carried as they are; an empty benchmark or table changes nothing.
+    """
 
     def searcher(kept: DataFrame, items: list[tuple[int | None, str]]) -> DataFrame:
         sent = docs.sparkSession.sparkContext.broadcast(items)
@@ -246,4 +326,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 8, max_edi
 
         return kept.mapInArrow(run, kept.schema)
 
-    return reduce(searcher, item_blocks(benchmark, block_chars), docs)
+    return reduce(searcher, item_blocks(benchmark, least_chars, block_chars), docs)

@@ -91,3 +91,54 @@ def test_edges(spark):
     assert sorted(r.doc_id for r in D.drop_contaminated(df, bench).collect()) == [2, 3, 4]
     assert D.matches(df, bench.limit(0)).count() == 0 and D.drop_contaminated(df, bench.limit(0)).count() == len(rows)
     assert D.matches(df.limit(0), bench).count() == 0
+
+
+def test_every_length_and_every_number_of_edits(spark):
+    rng = random.Random(9)
+    items = ["".join(rng.choice("abcdefgh ij") for _ in range(n)).strip().replace(" ", "k") or "a" for n in range(1, 61)]
+    assert sorted({len(t) for t in items}) == list(range(1, 61)) or len(items) == 60
+    docs = []
+    for t in items:
+        for edits in range(int(len(t) * 0.1) + 2):
+            for _ in range(4):
+                docs.append("zz " * rng.randint(0, 3) + edited(t, edits, rng) + " zz" * rng.randint(0, 3))
+    df = spark.createDataFrame([(i, t, 0, "") for i, t in enumerate(docs)], DOCS)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.edits for r in D.matches(df, bench, least_chars=1).collect()}
+    want = {}
+    for i, t in enumerate(docs):
+        for k, item in enumerate(items):
+            if (edits := semi_global(item, D.normalised(t))) <= int(len(item) * 0.1):
+                want[i, k] = edits
+    assert got == want
+    kept = {r.doc_id for r in D.drop_contaminated(df, bench, least_chars=1).collect()}
+    assert kept == set(range(len(docs))) - {i for i, _ in want}
+
+
+def test_fillers_cost_runs():
+    import time
+    import tracemalloc
+
+    rng = random.Random(2)
+    items = [D.normalised(words(rng, 8) + " " + "=" * 40 + " " + words(rng, 8)) for _ in range(50)]
+    index = D.Index(items, 8, 0.1)
+    tracemalloc.start()
+    began = time.monotonic()
+    got = index.search(["=" * 20_000, "-=" * 10_000 + items[7] + "=-" * 10_000, "clean"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [[h.item for h in hits] for hits in got] == [[], [7], []]
+    assert peak < 200e6 and time.monotonic() - began < 60
+
+
+def test_counts_in_slices(monkeypatch):
+    rng = random.Random(4)
+    items = [words(rng, 10) for _ in range(30)]
+    texts = [" ".join([words(rng, 6), edited(rng.choice(items), 4, rng), items[k], words(rng, 3)]) for k in range(30)]
+    texts = [D.normalised(t) for t in texts]
+    index = D.Index([D.normalised(t) for t in items], 8, 0.1)
+    want = index.search(texts)
+    for held in (1, 100, 1000):
+        monkeypatch.setattr(D, "HELD", held)
+        assert index.search(texts) == want
+    assert all(hits for hits in want)
