@@ -25,9 +25,11 @@ def short_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session, or a temporary one in local mode where it is unset (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = f"file://{tempfile.mkdtemp(prefix='chainage-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -31,8 +31,8 @@ from chainage.llm.common import checkpoint, groups_of
 
 #: Rows of one bucket that go to one group; larger buckets are split over several.
 PART_ROWS = 3000
-#: Most buckets that are split, the largest first: no other holds more than one in so many of all rows.
-MOST_SPLIT = 10_000
+#: Entries of the list of split buckets that tasks get: in tables so large that there could be more, PART_ROWS grows instead.
+SPLITS = 1_000_000
 #: Rows of the bounded sample from which the distance to near vectors is estimated.
 SAMPLE = 4096
 
@@ -85,11 +85,28 @@ def probes(point: np.ndarray, width: float, sigma: float, mass: float) -> np.nda
     return np.array(out, np.int64).reshape(-1, k)
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, which loses no digit, so that the largest component is between 1/2 and 1 and squares stay in range."""
+    _, e = np.frexp(np.abs(v).max(axis=1))
+    return np.ldexp(v, -e[:, None])
+
+
+def units(v: np.ndarray) -> np.ndarray:
+    v = scaled(v)
+    return v / np.sqrt((v * v).sum(axis=1))[:, None]
+
+
+def cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosine of each row of x and the row of y beside it; the same for the same two vectors, wherever they stand. Both are scaled."""
+    dot = (x * y).sum(axis=1)
+    return dot / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
+
+
 def near_distance(sample: np.ndarray, top: int) -> float:
     """Distance between unit vectors within which nine of ten rows of the sample have `top` others; over all rows it is smaller."""
     if len(sample) < 2:
         return 1.0
-    u = sample / np.linalg.norm(sample, axis=1)[:, None]
+    u = units(sample)
     dots = u[:512] @ u.T
     np.fill_diagonal(dots, -1)
     k = min(top, len(u) - 1)
@@ -97,6 +114,13 @@ def near_distance(sample: np.ndarray, top: int) -> float:
     return float(np.clip(np.quantile(np.sqrt(np.maximum(0, 2 - 2 * nth)), 0.9), 0.05, 1.5))
 
 
+def best_of(cos: np.ndarray, keep: int) -> np.ndarray:
+    """Which entries of each row are among its `keep` largest, with all that tie with the last of them up to rounding."""
+    if cos.shape[1] <= keep:
+        return np.ones(cos.shape, bool)
+    return cos >= -np.partition(-cos, keep - 1, axis=1)[:, keep - 1 : keep] - 1e-9
+
+
 def nearest(df: DataFrame, top: int = 5, every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = 4, width: float = 1.5, recall: float = 0.97, per_bucket: int = 20, seed: int = 11) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's nearest rows by cosine.
 
@@ -123,17 +147,14 @@ def nearest(df: DataFrame, top: int = 5, every: int = 50, id_col: str = "vec_id"
     sample = [r["v"] for r in index.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).collect()]
     sigma = near_distance(np.array(sample, np.float64), top)
     a, b = projections(dim, tables, k, width, seed)
-    groups = groups_of(n * tables, PART_ROWS)
+    part_rows = max(PART_ROWS, -(-n * tables // SPLITS))
+    groups = groups_of(n * tables, part_rows)
     query_vectors = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select("hash", "v").distinct()
     queries = index.withColumn("hash", F.xxhash64("v")).join(query_vectors, ["hash", "v"], "left_semi").select("rep", "v")
 
     def vectors(batch: pa.RecordBatch) -> np.ndarray:
         return batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
-    def units(v: np.ndarray) -> np.ndarray:
-        v = v / np.abs(v).max(axis=1)[:, None]  # so that squares stay in range
-        return v / np.linalg.norm(v, axis=1)[:, None]
-
     def buckets_of(u: np.ndarray, t: int) -> np.ndarray:
         return bucket_ids(np.floor((u @ a[t] + b[t]) / width).astype(np.int64), t)
 
@@ -143,8 +164,9 @@ def nearest(df: DataFrame, top: int = 5, every: int = 50, id_col: str = "vec_id"
             names, n = np.unique(np.concatenate([buckets_of(u, t) for t in range(tables)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(n)], names=["bucket", "n"])
 
-    sizes = index.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > PART_ROWS)
-    parts = {r["bucket"]: -(-r["n"] // PART_ROWS) for r in sizes.orderBy(F.desc("n"), "bucket").limit(MOST_SPLIT).collect()}
+    sizes = index.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > part_rows)
+    # at most n * tables / part_rows buckets are that large, SPLITS or fewer
+    parts = {r["bucket"]: -(-r["n"] // part_rows) for r in sizes.collect()}
 
     def group(bucket: int, part: int) -> int:
         return (bucket + part * 0x9E3779B1) % groups
@@ -186,7 +208,8 @@ def nearest(df: DataFrame, top: int = 5, every: int = 50, id_col: str = "vec_id"
         names, starts = np.unique(left["bucket"].to_numpy(), return_index=True)
         ends = np.append(starts[1:], len(left))
         rep, x = left["rep"].to_numpy(), np.stack(left["v"].to_numpy())
-        query, y = right["rep"].to_numpy(), np.stack(right["v"].to_numpy())
+        query, y = right["rep"].to_numpy(), scaled(np.stack(right["v"].to_numpy()))
+        x = scaled(x)
         norm_x, norm_y = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
         own = np.concatenate([np.full(len(p), i) for i, p in enumerate(right["buckets"])])
         seen = np.concatenate(right["buckets"].to_numpy())
@@ -199,9 +222,15 @@ def nearest(df: DataFrame, top: int = 5, every: int = 50, id_col: str = "vec_id"
             s, e = starts[at[part[0]]], ends[at[part[0]]]
             q = own[part]
             cos = (y[q] @ x[s:e].T) / (norm_y[q][:, None] * norm_x[s:e][None, :])
-            keep = min(top + 1, e - s)
-            best = np.argpartition(-cos, keep - 1, axis=1)[:, :keep]
-            found.append((np.repeat(query[q], keep), rep[s:e][best].ravel(), np.take_along_axis(cos, best, 1).ravel()))
+            # candidates by the matrix product; the score itself doesn't depend on where the vectors stand
+            own_q, own_x = np.nonzero(best_of(cos, top + 1))
+            some = range(0, len(own_q), 1 << 14)  # ties can be many, so the vectors are paired in slices
+            exact = np.concatenate([cosine(y[q[own_q[i : i + (1 << 14)]]], x[s:e][own_x[i : i + (1 << 14)]]) for i in some])
+            order = np.lexsort((rep[s:e][own_x], -exact, own_q))
+            own_q, own_x, exact = own_q[order], own_x[order], exact[order]
+            place = np.arange(len(own_q)) - np.searchsorted(own_q, own_q)
+            first = place <= top
+            found.append((query[q[own_q[first]]], rep[s:e][own_x[first]], exact[first]))
         if not found:
             return none
         out = pd.DataFrame(dict(zip(kinds, (np.concatenate(f) for f in zip(*found, strict=True)), strict=True)))

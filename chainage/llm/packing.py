@@ -2,7 +2,7 @@
 
 Documents go to randomised groups (a seeded hash of the id, so the input's order and
 its hot sources don't matter); each group is one task's work and holds about
-`docs_per_group` documents. In a group a document's full sequences are cut off first,
+`docs_per_group` documents, fewer where they are long. In a group a document's full sequences are cut off first,
 the rests are placed first-fit decreasing, a tournament tree of bin capacities finding
 the first bin with room in logarithmic time. Documents may be cut, so the emptiest
 bins are then dissolved into the gaps of the others, and a group's last open bin is
@@ -233,18 +233,21 @@ def pack_group(lengths: list[int], capacity: int, least: int = 8) -> list[list[P
 FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2, docs_per_group: int = 2000, seed: int = 7, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2, docs_per_group: int = 2000, bytes_per_group: int = 16 << 20, seed: int = 7, with_ids: bool = False) -> DataFrame:
     """One row per piece of a document: where it lies in which sequence.
 
-    Defined edge cases: null and empty texts are the end id alone; a null id and repeated
-    rows are documents of their own; other columns are ignored; an empty table gives an
+    Groups hold about docs_per_group documents, and about bytes_per_group of text where
+    documents are long. Defined edge cases: null and empty texts are the end id alone; a
+    null id and repeated rows are documents of their own (rows that repeat both id and text
+    share a group); other columns are ignored; an empty table gives an
     empty result. sequence_id is group * 2^32 + number in the group. with_ids adds the
     piece's ids as an array.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    groups = groups_of(rows.count(), docs_per_group)
-    # the text takes part in the hash, so rows that repeat an id, or have none, spread as well
-    grouped = rows.withColumn("g", F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.substring("text", 1, 64)), F.lit(groups)))
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    groups = max(groups_of(n, docs_per_group), groups_of(size, bytes_per_group))
+    # the whole text takes part in the hash, so rows that repeat an id, or have none, spread as well
+    grouped = rows.withColumn("g", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(groups)))
     fields = FIELDS + ", ids array<int>" * with_ids
 
     kinds = [pa.int64()] * 7 + [pa.list_(pa.int32())] * with_ids

@@ -37,7 +37,7 @@ def op2_permutation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chainage.llm.sharding import place
 
     shards = [f"shard-{i:04d}" for i in range(256)]
-    return place(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], shards)
+    return place(table(spark, sf_dir, "documents"), ["doc_id"], shards)
 
 
 def op3_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,13 +55,18 @@ def place(df: DataFrame, key_cols: list[str], shards: list[str], slots: int = 65
 
     Defined edge cases: null keys are a key like any other (name a second key column to
     spread them, or any key that holds much of the data); repeated rows go to one shard;
-    an empty table stays empty; columns of df that bear the new names are replaced.
+    an empty table stays empty; columns of df that bear the new names are replaced, after
+    they have served as keys if they are key columns.
     """
     spark = df.sparkSession
     table = lookup_table(shards, slots, weights)
-    lookup = spark.createDataFrame(pd.DataFrame({"__slot": np.arange(slots), "__shard": np.array(shards, object)[table]}))
-    placed = df.drop(slot_col, shard_col).withColumn("__slot", F.pmod(F.xxhash64(*key_cols), F.lit(slots).cast("long")))
-    return placed.join(F.broadcast(lookup), "__slot").withColumnsRenamed({"__slot": slot_col, "__shard": shard_col})
+    taken = {c.lower() for c in df.columns}
+    number, name = (next(c for i in range(len(taken) + 1) if (c := f"{x}_{i}") not in taken) for x in ("lookup_slot", "lookup_shard"))
+    lookup = spark.createDataFrame(pd.DataFrame({number: np.arange(slots), name: np.array(shards, object)[table]}))
+    keys = [F.col(f"`{c.replace('`', '``')}`") for c in key_cols]
+    placed = df.withColumn(number, F.pmod(F.xxhash64(*keys), F.lit(slots).cast("long"))).drop(slot_col, shard_col)
+    kept = [F.col(f"`{c.replace('`', '``')}`") for c in placed.columns if c != number]
+    return placed.join(F.broadcast(lookup), number).select(*kept, F.col(number).alias(slot_col), F.col(name).alias(shard_col))
 
 
 def write_shards(placed: DataFrame, path: str, rows_per_file: int = 1_000_000, shard_col: str = "shard") -> None:

@@ -37,8 +37,9 @@ from chainage.llm.common import groups_of
 BASE = 6364136223846793005
 #: Bytes of text hashed at a time.
 CHUNK = 1 << 20
-#: Bytes of packed strings that a map task holds before it sends blocks.
+#: Bytes of packed strings and of what is known of their repeats that a map task holds before it sends blocks.
 HELD = 12 << 20
+_ENTRY = 64
 #: A run of words is frequent if it makes up one in so many of all runs; at most so many are.
 FREQUENT = 20_000
 
@@ -192,7 +193,9 @@ class _Held:
         if own is None:
             self.known[string] = [(doc, word, windows, bucket)]
             self.size += len(string)
-        elif doc == own[0][0]:
+            return
+        self.size += _ENTRY  # an occurrence more, or a range
+        if doc == own[0][0]:
             own.append((doc, word, windows, bucket))
         elif doc > own[0][0]:  # a smaller document has all of these windows
             self.ranges.append((doc, word, word + windows + self.width - 2))
@@ -233,8 +236,8 @@ def blocks(docs: DataFrame, n_buckets: int, width: int, m: int, frequent: np.nda
             add = held.add
             for i, w, n, g, x, y in zip(row.tolist(), word.tolist(), windows.tolist(), bucket, a.tolist(), b.tolist(), strict=True):
                 add(data[x:y], ids[i], w, n, g)
-            if held.size >= HELD:
-                yield held.sent(packer)
+                if held.size >= HELD:
+                    yield held.sent(packer)
         yield held.sent(packer)
 
     return docs.select("doc_id", "text").mapInArrow(run, "bucket int, block binary")

@@ -1,7 +1,7 @@
 """Web archives packaged in ZIP files: written by map tasks, read by byte ranges.
 
 A package holds `archive/data.warc.gz` (one gzip member per WARC record),
-`indexes/index.cdxj` (one line per record: url, time, and as JSON the record's offset
+`indexes/index.cdxj` (one line per record: the url's sort key, time, and as JSON the record's offset
 and length in that member, its digest, type and page) and `datapackage.json`, all stored
 without ZIP compression, so that a record is a byte range of the package.
 
@@ -21,6 +21,7 @@ import base64
 import gzip
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -36,7 +37,7 @@ DATA, INDEX, MANIFEST = "archive/data.warc.gz", "indexes/index.cdxj", "datapacka
 #: A package is closed when its data exceed this.
 PACKAGE_BYTES = 64 << 20
 _TAIL = 22 + (1 << 16) + 20
-_DATE = "2024-01-01T00:00:00Z"
+_DATE, _STAMP = "2024-01-01T00:00:00Z", "20240101000000"
 
 
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
@@ -174,18 +175,33 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def sort_key(url: str) -> str:
+    """A url's key in the index, host parts turned round (com,example)/path), blanks and braces escaped, so that a line's fields end at blanks."""
+    plain = re.sub(r"[\x00-\x20\x7f\"{}|\\^`]|\s", lambda m: "".join(f"%{b:02X}" for b in m[0].encode("utf-8", "surrogatepass")), url.strip())
+    found = re.match(r"(?i)https?://(?:[^/@?#]*@)?([^/:?#]+)(?::(\d+))?(.*)", plain, re.S)
+    if not found:
+        return plain or "-"
+    host, port, rest = found.groups()
+    parts = ",".join(reversed(host.lower().removeprefix("www.").split(".")))
+    return f"{parts}{f':{port}' if port and port not in ('80', '443') else ''}){rest or '/'}"
+
+
+def record_id(page_id: int | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{digest}')}>"
+
+
 def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """A WARC 1.1 record: a response with its payload, or a revisit without."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     body = http if refers_to is not None else http + payload
     kind = "response" if refers_to is None else "revisit"
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{digest}')}>", f"WARC-Date: {_DATE}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {_DATE}",
         f"WARC-Target-URI: {''.join(url.split())}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Page-Id: {'' if page_id is None else page_id}", f"X-Payload-Bytes: {len(payload)}",
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}",
     ]
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"WARC-Refers-To-Date: {_DATE}", f"X-Refers-To-Page: {refers_to}"]
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
@@ -250,7 +266,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, package_bytes: in
                 digest = sha1_base32(payload)
                 data = gzip.compress(record(page, url, payload, digest, refers), 1, mtime=0)
                 entry = {"offset": out.size, "length": len(data), "digest": f"sha1:{digest}", "type": "response" if refers is None else "revisit", "page": page}
-                index.append(f"{''.join(url.split())} {_DATE} {json.dumps(entry)}\n")
+                index.append(f"{sort_key(url)} {_STAMP} {json.dumps(entry)}\n")
                 out.write(data)
                 if out.size >= package_bytes:
                     close()
@@ -280,7 +296,7 @@ def read(packages: DataFrame) -> DataFrame:
                 with files.open_input_file(path) as file:
                     package, rows, held = Package(file, file.size()), [], 0
                     for line in package.member(INDEX).decode("utf-8", "surrogatepass").splitlines():
-                        entry = json.loads(line[line.index("{") :])
+                        entry = json.loads(line.split(" ", 2)[2])
                         headers, payload = parse_record(gzip.decompress(package.range(DATA, entry["offset"], entry["length"])))
                         revisit = headers["warc-type"] == "revisit"
                         digest = headers["warc-payload-digest"].removeprefix("sha1:")

@@ -78,3 +78,27 @@ def test_probes_descend():
     assert len({tuple(c) for c in cells.tolist()}) == len(cells)
     assert len(probes(point, 1.0, 1.0, 0.5)) < len(cells)
     assert 0 < near_distance(rng.normal(size=(100, 4)), 5) <= 1.5
+
+
+def test_ties_of_parallel_vectors(spark):
+    """Multiples by powers of two are different vectors of one cosine: the smallest ids win."""
+    rng = np.random.default_rng(6)
+    line = rng.normal(size=8).astype(np.float32)
+    vectors = [(i, line * np.float32(2.0 ** (i % 31 - 15)) if i % 3 == 0 else rng.normal(size=8)) for i in range(400)]
+    got = run(spark, vectors)
+    for q in (0, 150, 300):
+        assert [i for i, _ in got[q]] == [i for i in range(0, 400, 3) if i != q][:5]
+    # one bucket, everything collinear
+    same = [(i, line * np.float32(2.0 ** (i % 60 - 30))) for i in range(240)]
+    got = run(spark, same)
+    assert all([i for i, _ in got[q]] == [i for i in range(7) if i != q][:5] for q in got) and set(got) == {0, 50, 100, 150, 200}
+
+
+def test_very_large_and_very_small_components(spark):
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(120, 6))
+    factor = [10.0 ** (-200, 0, 200)[i % 3] for i in range(120)]
+    df = spark.createDataFrame([(i, [float(x) * factor[i] for x in v]) for i, v in enumerate(base)], "vec_id long, embedding array<double>")
+    plain_df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(base)], "vec_id long, embedding array<double>")
+    got, want = ({(r.query_id, r.vec_id): round(r.score, 9) for r in nearest(d, every=10, recall=0.999).collect()} for d in (df, plain_df))
+    assert got == want and len(got) == 60

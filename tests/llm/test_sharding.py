@@ -59,3 +59,15 @@ def test_write(spark, tmp_path):
     write_shards(placed, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 500 and back.select("shard").distinct().count() == 7
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a", 5, "x", 9), (2, None, None, None, None), (2, None, None, None, None)], "slot long, shard string, __slot long, lookup_slot_0 string, `a.b` long")
+    names = [f"s{i}" for i in range(4)]
+    got = place(df, ["slot", "shard", "a.b"], names, slots=101)
+    assert got.columns == ["__slot", "lookup_slot_0", "a.b", "slot", "shard"]
+    rows = got.collect()
+    assert len(rows) == 3 and {r.shard for r in rows} <= set(names) and sorted(r["__slot"] or 0 for r in rows) == [0, 0, 5]
+    table = lookup_table(names, 101)
+    assert all(names[table[r.slot]] == r.shard for r in rows)
+    assert len({r.slot for r in rows if r["__slot"] is None}) == 1

@@ -84,3 +84,10 @@ def test_kept_text(spark):
     df = spark.createDataFrame([(i, t, 0, 0) for i, t in rows], DOCS)
     got = {r.doc_id: r.kept for r in K.remove_repeats(df, with_text=True).collect()}
     assert got[2] == "new end" and got[1] == rows[0][1]
+
+
+def test_ranges_and_repeats_count_as_held():
+    held = K._Held(13, 4)
+    for doc in range(1000):
+        held.add(b"one string", doc, 0, 1, 2)
+    assert held.size >= 999 * K._ENTRY and len(held.ranges) == 999

@@ -71,3 +71,41 @@ def test_edge_cases(spark):
     odd = spark.createDataFrame([(None, 1, 1), (1, 1, None), (3, None, 1), (3, None, 1)], "doc_id long, quality int, toxic int")
     assert T.score(docs, T.fit(docs, odd)).count() == 5
     assert T.score(docs.limit(0), model).count() == 0
+
+
+def plain_measure(lexicon, exceptions, text):
+    """Every entry at every place of the folded text, by plain comparison."""
+    t = T.folded(text)
+    best, excused = {}, set()
+    for i in range(len(t)):
+        for p in map(T.folded, exceptions):
+            if t.startswith(p, i):
+                excused.update(range(i, i + len(p) - 1))
+        for e, w in lexicon.items():
+            if e not in map(T.folded, exceptions) and t.startswith(e, i):
+                best[i] = max(best.get(i, 0.0), w)
+    return sum(w for i, w in best.items() if i not in excused), max(1, t.count(" ") - 1)
+
+
+def test_matcher_equals_plain_comparison():
+    import random
+
+    rng = random.Random(11)
+    words = ["trash", "can", "tr4sh", "idiot", "1diots", "proof", "stupid", "simple", "cl\u043ewn", "fish", "river", "l0ser", "idiotic", "\u00efdiot", "not", "an"]
+    lexicon = {" idiot": 2.0, f" {T.folded('idiot').strip()} ": 3.5, f" {T.folded('trash').strip()} ": 1.0, f" {T.folded('stup').strip()}": 0.5, f" {T.folded('clown').strip()} ": 1.5, f" {T.folded('lose').strip()}": 2.5}
+    matcher = T.Matcher(lexicon, T.EXCEPTIONS)
+    for _ in range(500):
+        text = rng.choice((" ", ", ", "\n")).join(rng.choice(words) for _ in range(rng.randint(0, 14)))
+        got, want = matcher.measure(text), plain_measure(lexicon, T.EXCEPTIONS, text)
+        assert got[1] == want[1] and abs(got[0] - want[0]) < 1e-9, text
+    assert matcher.measure(None) == (0, 1)
+
+
+def test_sample_reads_long_texts_and_repeats_once(spark):
+    docs = spark.createDataFrame([(1, "bad " * 60_000), (1, "bad " * 60_000), (2, None), (3, ""), (7, "good")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 1) for i in (1, 2, 3, 7)] + [(1, 0, 1)], "doc_id long, quality int, toxic int")
+    got = T.learning_rows(docs, labels).collect()
+    import zlib
+
+    want = [i for i in (1, 3, 7) if zlib.crc32(str(i).encode()) % 5]
+    assert len(got) == len(want) and (1 not in want or max(len(r.text) for r in got) == 240_000)

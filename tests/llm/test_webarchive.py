@@ -102,3 +102,17 @@ def test_broken_records():
 def test_places():
     for uri in ("/a b/c", "file:/a b/c", "file:///a b/c"):
         assert W.open_fs(uri)[1] == "/a b/c"
+
+
+def test_odd_urls(spark):
+    urls = ["http://x/{id}", "http://x/a b?q={\"k\": 1}", "https://www.B.example:8080/é/ü?x=%7B", "", "{", "no url at all", "http://x/\u2003y\n", "a\tb", "\\", None]
+    rows = [(i, u, f"<p>{i % 7}</p>") for i, u in enumerate(urls)]
+    assert run(spark, rows) == plain(rows)
+    assert W.sort_key("https://www.B.example:8080/é") == "example,b:8080)/é" and W.sort_key("http://a.example") == "example,a)/"
+    assert all(len(f"{W.sort_key(u or '')} t {{}}".split(" ")) == 3 and "{" not in W.sort_key(u or "") for u in urls)
+
+
+def test_revisits_name_their_response():
+    first, second = W.record(9, "u", b"x", "D", None), W.record(2, "u", b"x", "D", 9)
+    own, other = (W.parse_record(r)[0] for r in (first, second))
+    assert other["warc-refers-to"] == own["warc-record-id"] and other["warc-refers-to-date"] == own["warc-date"]
