@@ -2,11 +2,13 @@
 
 A template is the words of a licence text or notice. The licence vocabulary is the words
 of all templates; how many documents hold each word is counted over all documents, and
-the words of highest IDF of a template are its lookup words. Of each file, the positions
-of those words are looked up in the postings (word -> template, position in it); each
-names a place where the template would start. Places named more than once count once.
-A place is kept if the template's mandatory key phrase stands there word for word and
-the words that agree by relative position carry enough of the template's IDF weight.
+the LOOKUPS words of highest IDF of a template are its lookup words. In each file, the
+positions of those words are looked up in the postings (word -> template, position in it);
+each names a place where the template would start, and the postings are intersected by
+relative position: AGREE of the lookup words have to name the place (one word that was
+changed doesn't hide a text). A place is kept if, besides, the template's mandatory key
+phrase stands there word for word and the words that agree by relative position carry
+enough of the template's IDF weight.
 
 Everything is one narrow pass over arrays of one row, besides the count of the words
 (one row per vocabulary word and map task is shuffled). Only the template tables, whose
@@ -47,9 +49,33 @@ TEMPLATES = (
     Template("epl", "eclipse public license", "eclipse public license"),
     Template("cc-by", "creative commons attribution", "creative commons attribution"),
     Template("public-domain", "released into the public domain", "public domain"),
+    # whole grants and disclaimers (up to a word with k, see vocabulary)
+    Template(
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"
+        " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is"
+        " furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "permission is hereby granted free of charge",
+    ),
+    Template(
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice"
+        " appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"
+        " in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action"
+        " of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee",
+    ),
+    Template(
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain"
+        " the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and"
+        " the following disclaimer in the documentation and or other materials provided with the distribution",
+        "redistribution and use in source and binary forms",
+    ),
 )
-#: Words of a template that are looked up, and the share of its weight that must agree.
-LOOKUPS = 2
+#: Words of a template that are looked up, how many of them must name a place, and the share of its weight that must agree.
+LOOKUPS = 3
+AGREE = 2
 LEAST_SHARE = 0.6
 _SHIFT = 1 << 40
 
@@ -86,14 +112,16 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, id_col: s
     idf = {w: math.log((1 + total) / (1 + df.get(w, 0))) + 1 for w in vocabulary(templates)}
     split = [t.text.split() for t in templates]
     postings: dict[str, list[tuple[int, int]]] = {}
+    looked: list[list[tuple[str, int]]] = []  # the lookup words with their first position
     for k, words in enumerate(split):
-        for w in sorted(set(words), key=lambda w: (-idf[w], w))[: 1 if templates[k].base else lookups]:
-            for p, x in enumerate(words):
-                if x == w:
-                    postings.setdefault(w, []).append((k, p))
+        own = sorted(set(words), key=lambda w: (-idf[w], w))[: 1 if templates[k].base else lookups]
+        looked.append([(w, words.index(w)) for w in own])
+        for w, p in looked[k]:
+            postings.setdefault(w, []).append((k, p))
     rare = sorted(postings)
     # a place is template * 2^40 + first word, which is negative where the template would start before the text
     post = F.create_map(*[x for w in rare for x in (F.lit(w), F.array(*[F.lit(k * _SHIFT - p) for k, p in postings[w]]))])
+    lookup = F.array(*[F.array(*[F.struct(F.lit(w).alias("w"), F.lit(p).alias("p")) for w, p in o]) for o in looked])
     text_words = F.array(*[F.array(*map(F.lit, s)) for s in split])
     weights = F.array(*[F.array(*[F.lit(idf[w] / sum(idf[x] for x in s)) for w in s]) for s in split])
     key_at = [next(i for i in range(len(s)) if s[i : i + len(t.key.split())] == t.key.split()) for t, s in zip(templates, split, strict=True)]
@@ -119,7 +147,10 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, id_col: s
     def kept(x: Column) -> Column:
         start = first(x) + F.get(key_ats, template(x))
         key = F.get(keys, template(x))
-        return (start >= 0) & (F.slice("w", F.greatest(start + 1, F.lit(1)), F.size(key)) == key)
+        stands = lambda o: (first(x) + o["p"] >= 0) & F.coalesce(F.get("w", F.greatest(first(x) + o["p"], F.lit(0))) == o["w"], F.lit(False))
+        own = F.get(lookup, template(x))
+        met = F.size(F.filter(own, stands)) >= F.least(F.lit(AGREE), F.size(own))
+        return met & (start >= 0) & (F.slice("w", F.greatest(start + 1, F.lit(1)), F.size(key)) == key)
 
     verified = F.filter(places, kept)
     scored = F.transform(verified, lambda x: F.struct(template(x).alias("t"), first(x).alias("at"), share(template(x), first(x)).alias("share")))
@@ -157,7 +188,8 @@ pos AS (SELECT * FROM (SELECT row, unnest(range(len(w))) AS p, unnest(w) AS word
 idf AS (SELECT word, ln((1 + (SELECT count(*) FROM documents)) / (1 + coalesce(n, 0))) + 1 AS idf FROM (SELECT DISTINCT word FROM post) LEFT JOIN (SELECT word, count(DISTINCT row) AS n FROM pos GROUP BY word) USING (word)),
 weight AS (SELECT t, base, key_at, key_n, i, word, idf / sum(idf) OVER (PARTITION BY t) AS share FROM post JOIN idf USING (word)),
 look AS (SELECT t, word FROM (SELECT t, word, base, row_number() OVER (PARTITION BY t ORDER BY idf DESC, word) AS k FROM (SELECT DISTINCT t, base, word, idf FROM post JOIN idf USING (word))) WHERE k <= CASE WHEN base THEN 1 ELSE {lookups} END),
-cand AS (SELECT DISTINCT row, t, p - i AS place FROM pos JOIN post USING (word) JOIN look USING (t, word)),
+lookups AS (SELECT t, word, min(i) AS i, count(*) OVER (PARTITION BY t) AS n FROM post JOIN look USING (t, word) GROUP BY t, word),
+cand AS (SELECT row, t, p - i AS place FROM pos JOIN lookups USING (word) JOIN (SELECT DISTINCT t, base, key_at, key_n FROM post) USING (t) GROUP BY row, t, p - i HAVING count(*) >= any_value(least({AGREE}, n))),
 ver AS (SELECT cand.row, cand.t, place, any_value(base) AS base, sum(share) AS share, count(*) FILTER (i >= key_at AND i < key_at + key_n) AS keys, any_value(key_n) AS key_n
   FROM cand JOIN weight ON cand.t = weight.t JOIN pos ON pos.row = cand.row AND pos.p = place + i AND pos.word = weight.word GROUP BY ALL),
 found AS (SELECT ver.*, label FROM ver JOIN tm ON ver.t = tm.t WHERE keys = ver.key_n AND (ver.base OR share >= {least_share})),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from chainage.llm import licenses
-from chainage.llm.common import checkpoint, fresh_dir, short_batches
+from chainage.llm.common import fresh_dir, short_batches
 from chainage.llm.common import table as read
 from chainage.llm.secrets import RULES
 
@@ -74,11 +74,12 @@ def op7_web_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from chainage.llm.secrets import report, update
+    from chainage.llm.secrets import extend, report
 
-    docs = table(spark, sf_dir, "documents")
-    # the ledger is kept before it is joined to the paths: a shuffle of its own, whose hot blobs Spark can split
-    return report(docs, checkpoint(update(docs).findings))
+    docs, folder = table(spark, sf_dir, "documents"), fresh_dir(spark, "op8")
+    extend(docs, folder)
+    # the next run over the same paths finds every blob in the ledger and scans nothing
+    return report(docs, extend(docs, folder).findings)
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash_pivots, op2_permutation_shards, op3_license_index, op4_toxic_lexicon, op5_multiprobe_neighbours, op6_tournament_packing, op7_web_packages, op8_secret_ledger, op9_benchmark_leaks, op10_super_kmer_dedup)}

@@ -14,7 +14,8 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -69,9 +70,13 @@ def addressed(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumn("text", text).withColumn("blob", F.sha2(F.col("text"), 256))
 
 
-def scan(new: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, rule, start, end) of new (blob, text); rule is a number in rules."""
-    found = new.select("blob", F.explode(F.concat(*[_matches(F.col("text"), r, k) for k, r in enumerate(rules)])).alias("m")).select("blob", "m.*")
+def scan(new: DataFrame, rules: tuple[Rule, ...] = RULES, marks: bool = False) -> DataFrame:
+    """(blob, rule, start, end) of new (blob, text); rule is a number in rules. With marks also a row without rule for each blob."""
+    every = [_matches(F.col("text"), r, k) for k, r in enumerate(rules)]
+    if marks:
+        zero = F.lit(0)
+        every.append(F.array(F.struct(F.lit(None).cast("int").alias("rule"), zero.alias("i"), zero.alias("gap"), zero.alias("n"), F.lit(True).alias("ok"))))
+    found = new.select("blob", F.explode(F.concat(*every)).alias("m")).select("blob", "m.*")
     before = Window.partitionBy("blob", "rule").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     return found.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(before)).where("ok").select("blob", "rule", (F.col("end") - F.col("n")).alias("start"), "end")
 
@@ -95,6 +100,36 @@ def update(docs: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule, ...
     return Ledger(scanned, findings)
 
 
+#: A written ledger: one row without rule for each scanned pair of blob and rule version, and one for each finding.
+LEDGER = "blob string, rule_version string, rule int, start bigint, end bigint"
+
+
+def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of the ledger written under folder; none if there is no ledger yet."""
+    try:
+        return spark.read.schema(LEDGER).parquet(folder)
+    except AnalysisException:
+        return spark.createDataFrame([], LEDGER)
+
+
+def extend(docs: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> Ledger:
+    """Scans the blobs of docs that the ledger under folder doesn't have with this rule version, and appends them to it.
+
+    What is scanned and what was found is appended by one job, so a run that fails leaves
+    the ledger as it was.
+    """
+    ledger = read_ledger(docs.sparkSession, folder).where(F.col("rule_version") == version)
+    seen = ledger.where("rule is null").select("blob")
+    rows = addressed(docs).select("blob", "text")
+    # addresses alone tell whether there is anything new
+    if seen.isEmpty() or not rows.select("blob").distinct().join(seen, "blob", "left_anti").isEmpty():
+        new = blobs(rows).join(seen, "blob", "left_anti")
+        found = scan(new, rules, marks=True).select("blob", F.lit(version).alias("rule_version"), "rule", *[F.col(c).cast("long") for c in ("start", "end")])
+        found.write.mode("append").parquet(folder)
+    now = read_ledger(docs.sparkSession, folder)
+    return Ledger(now.where("rule is null").select("blob", "rule_version"), now.where("rule is not null"))
+
+
 def by_blob(findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(blob, found): the sorted spans of each blob with findings."""
     return findings.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "rule", "end"))).alias("found"))
@@ -125,8 +160,13 @@ def report(docs: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES
 
 
 def redact(docs: DataFrame, findings: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """docs with every found span replaced by the mark (overlapping spans as one) and n_chars brought up to date."""
-    # private names: the columns of docs may bear any others
+    """docs with every found span replaced by the mark (overlapping spans as one) and n_chars brought up to date.
+
+    Defined edge cases: null texts become empty ones; null ids and repeated rows are carried
+    as they are; other columns may bear any name; an empty table stays empty.
+    """
+    given, numbered = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
+    docs = docs.toDF(*[c if c in ("text", "n_chars") else n for c, n in zip(given, numbered, strict=True)])
     spans = by_blob(findings).withColumnsRenamed({"blob": "__blob", "found": "__found"})
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.withColumn("__text", text).withColumn("__blob", F.sha2(F.col("__text"), 256)).join(spans, "__blob", "left")
@@ -142,4 +182,4 @@ def redact(docs: DataFrame, findings: DataFrame, mark: str = "[secret]") -> Data
     out = rows.withColumn("text", F.when(F.col("__found").isNull(), F.col("__text")).otherwise(cleaned))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    return out.select(*docs.columns).toDF(*given)

@@ -55,3 +55,38 @@ def test_edge_tables(spark):
 def test_no_python_in_plan(spark):
     plan = L.scan(spark.createDataFrame([(1, "x", 0, "", "")], DOCS))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_added_labels_against_plain_scan(spark):
+    """Each template at each place, by its definition."""
+    import math
+
+    rng = random.Random(12)
+    fragments = [t.text for t in L.TEMPLATES] + ["permission", "license", "software", "copy", "and", "gnu", "x"]
+    texts = []
+    for _ in range(150):
+        w = " ".join(rng.choice(fragments) for _ in range(rng.randint(0, 5))).split()
+        for _ in range(rng.choice((0, 0, 1, 3, 9))):
+            if w:
+                w[rng.randrange(len(w))] = rng.choice(("x", "license", "the"))
+        if w and rng.random() < 0.3:
+            del w[rng.randrange(len(w))]
+        texts.append(" ".join(w))
+    got = scan(spark, texts)
+    vocab = L.vocabulary(L.TEMPLATES)
+    idf = {v: math.log((1 + len(texts)) / (1 + sum(v in t.split() for t in texts))) + 1 for v in vocab}
+    for i, text in enumerate(texts):
+        w, found, score = text.split(), set(), 0.0
+        for t in L.TEMPLATES:
+            words, key = t.text.split(), t.key.split()
+            own = sorted(set(words), key=lambda v: (-idf[v], v))[: 1 if t.base else L.LOOKUPS]
+            at = next(j for j in range(len(words)) if words[j : j + len(key)] == key)
+            total = sum(idf[v] for v in words)
+            for start in range(-len(words), len(w) + 1):
+                there = [0 <= start + j < len(w) and w[start + j] == v for j, v in enumerate(words)]
+                share = sum(idf[v] for v, ok in zip(words, there) if ok) / total
+                if sum(there[words.index(v)] for v in own) >= min(L.AGREE, len(own)) and all(there[at : at + len(key)]) and (t.base or share >= L.LEAST_SHARE):
+                    found.add(t.label)
+                    score = max(score, share)
+        assert got[i].labels == ",".join(sorted(found)), text
+        assert abs(got[i].score - score) < 2e-6

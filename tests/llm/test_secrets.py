@@ -80,3 +80,26 @@ def test_no_python_in_plan(spark):
     docs = spark.createDataFrame([(1, "x", "", "", 0)], DOCS)
     plan = S.report(docs, S.update(docs).findings)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_written_ledger_scans_only_what_is_new(spark, tmp_path, monkeypatch):
+    folder = f"file://{tmp_path}/ledger"
+    first = spark.createDataFrame([(1, "token = abcdef123456"), (2, "token = abcdef123456"), (3, "clean"), (4, None)], "doc_id long, text string")
+    second = first.union(spark.createDataFrame([(5, "AKIA" + "A" * 20), (6, "clean")], "doc_id long, text string"))
+    scanned = []
+    own = S.blobs
+    monkeypatch.setattr(S, "scan", lambda new, *a, f=S.scan, **k: scanned.append(new.count()) or f(new, *a, **k))
+    one = S.extend(first, folder)
+    assert one.scanned.count() == 3 and one.findings.count() == 1
+    assert S.extend(first, folder).scanned.count() == 3
+    two = S.extend(second, folder)
+    assert two.scanned.count() == 4 and two.findings.count() == 2 and scanned == [3, 1]
+    assert S.extend(second, folder, version="2").scanned.count() == 8
+    want = S.report(second, S.update(second).findings)
+    assert sorted(map(tuple, S.report(second, two.findings).collect())) == sorted(map(tuple, want.collect())) and own is S.blobs
+
+
+def test_redact_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "token = abcdef123456", 5, "x", 7), (None, None, None, None, None)], "__blob long, text string, n_chars long, __found string, blob long")
+    out = S.redact(docs, S.update(docs).findings)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect()), key=str) == [(1, "[secret]", 8, "x", 7), (None, "", 0, None, None)]
