@@ -32,6 +32,8 @@ from chainage.llm.common import checkpoint
 SEED = 42
 BITS = 64
 PIVOTS = 16
+#: Places to which a component's smallest id is sent.
+SALTS = 16
 #: Fingerprints under one key that are compared directly; larger classes are split first.
 DIRECT = 2048
 
@@ -261,6 +263,16 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
+def smallest_ids(linked: DataFrame) -> DataFrame:
+    """(node, component_id) of linked (node, component, least): the smallest of a component's least.
+
+    The components go to SALTS places each, so a component with many nodes is no hot key.
+    """
+    smallest = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    salted = smallest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return linked.withColumn("salt", F.pmod(F.hash("node"), F.lit(SALTS))).join(salted, ["component", "salt"]).select("node", "component_id")
+
+
 def near_duplicates(docs: DataFrame, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs.
 
@@ -274,8 +286,8 @@ def near_duplicates(docs: DataFrame, distance: int = 3, id_col: str = "doc_id",
     marked = checkpoint(fingerprints(docs, id_col, text_col))
     nodes = checkpoint(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = components(links(nodes.select("fp", F.col("fp").alias("node")), distance, n_blocks_for(nodes.count(), distance)))
-    classed = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    # most classes are one fingerprint, whose smallest id is known
-    linked = classed.join(found.select("component").distinct(), "component", "left_semi").groupBy("component").agg(F.min("least").alias("component_id"))
-    reached = classed.join(linked, "component", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # nodes of a component, its smallest node included; all others keep their own smallest id
+    known = found.union(found.select(F.col("component").alias("node"), "component").distinct())
+    linked = smallest_ids(known.join(nodes.withColumnRenamed("fp", "node"), "node"))
+    reached = nodes.join(linked, nodes["fp"] == linked["node"], "left").select("fp", F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
     return marked.join(reached, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
