@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chainage.sources.shared import checkpoint
+
 
 def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, block: str | None = None) -> DataFrame:
     """Sum of value over the section's rows up to this one; nulls count as nothing."""
@@ -49,6 +51,79 @@ def runs(df: DataFrame, keys: list[str], order: list[str], value: str, at: str,
     return numbered.groupBy(*keys, "run").agg(F.first(value).alias(value), F.min(at).alias("lo"), F.max(at).alias("hi"), F.count("*").alias("n"))
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[str], out: str, block: str | None = None) -> DataFrame:
+    """Number of the row in its section, from 0."""
+    return running_sum(df, keys, order, F.lit(1), out, block).withColumn(out, (F.col(out) - 1).cast("long"))
+
+
+def with_halo(df: DataFrame, keys: list[str], number: str, half: int, rows: int = 10_000) -> DataFrame:
+    """df in chunks of `rows` consecutive rows (`chunk`), each with the `half` rows before and after it.
+
+    A row has `own` in the chunk that it belongs to. Frames of up to `half` rows, over
+    (keys, chunk), are then whole for every own row, and no task holds a section.
+    """
+    reach = F.sequence(F.floor(F.greatest(F.col(number) - half, F.lit(0)) / rows), F.floor((F.col(number) + half) / rows))
+    return df.withColumn("chunk", F.explode(reach)).withColumn("own", F.col("chunk") == F.floor(F.col(number) / rows))
+
+
+def circle_radius(near: Column, x: Column, y: Column) -> Column:
+    """Radius of the least-squares circle (Kasa) through `near`, an array of structs (x, y); infinite for a line.
+
+    Moments are taken about (x, y).
+    """
+    d = F.transform(near, lambda p: F.struct((p["x"] - x).alias("x"), (p["y"] - y).alias("y"), ((p["x"] - x) * (p["x"] - x) + (p["y"] - y) * (p["y"] - y)).alias("z")))
+
+    def total(term) -> Column:
+        return F.aggregate(d, F.lit(0.0), lambda acc, p: acc + term(p))
+
+    m = F.size(near).cast("double")
+    sx, sy, sz = (total(lambda p, c=c: p[c]) for c in "xyz")
+    second = lambda a, b: total(lambda p: p[a] * p[b])
+    cxx, cxy, cyy = second("x", "x") - sx * sx / m, second("x", "y") - sx * sy / m, second("y", "y") - sy * sy / m
+    cxz, cyz = second("x", "z") - sx * sz / m, second("y", "z") - sy * sz / m
+    moments = F.struct(m.alias("m"), sx.alias("sx"), sy.alias("sy"), sz.alias("sz"), cxx.alias("cxx"), cxy.alias("cxy"), cyy.alias("cyy"), cxz.alias("cxz"), cyz.alias("cyz"))
+
+    def radius(s: Column) -> Column:
+        det = s["cxx"] * s["cyy"] - s["cxy"] * s["cxy"]
+        a = (s["cxz"] * s["cyy"] - s["cyz"] * s["cxy"]) / det / 2
+        b = (s["cyz"] * s["cxx"] - s["cxz"] * s["cxy"]) / det / 2
+        c = s["sz"] / s["m"] - 2 * a * s["sx"] / s["m"] - 2 * b * s["sy"] / s["m"]
+        r = F.sqrt(F.greatest(c + a * a + b * b, F.lit(0.0)))
+        flat = det <= 1e-12 * F.greatest(s["cxx"] * s["cyy"], F.lit(1e-300))
+        return F.when(flat | (r > 1e7), F.lit(float("inf"))).otherwise(r)
+
+    # the moments once, however often they are named
+    return F.transform(F.array(moments), radius)[0]
+
+
+def circle_fits(df: DataFrame, keys: list[str], order: list[str], x: str, y: str, half: int, out: str, block: str | None = None) -> DataFrame:
+    """df with the radius of the circle through the rows up to `half` before and after each row."""
+    chunks = with_halo(numbered(df, keys, order, "__i", block), keys, "__i", half)
+    w = Window.partitionBy(*keys, "chunk").orderBy("__i").rowsBetween(-half, half)
+    near = F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))).over(w)
+    return chunks.withColumn("__n", near).where("own").withColumn(out, circle_radius(F.col("__n"), F.col(x).cast("double"), F.col(y).cast("double"))).drop("__n", "__i", "chunk", "own")
+
+
+def inflections(df: DataFrame, keys: list[str], order: list[str], kappa: str, at: str, support: int, threshold: float, block: str | None = None) -> DataFrame:
+    """(keys, at): between runs of opposite curvature sign that last `support` rows, at the least |kappa| between them.
+
+    Where such runs touch, the row of the lesser |kappa| of both. Rows become runs in two
+    levels, and runs are worked on in blocks of consecutive ones.
+    """
+    sign = F.when(F.abs(F.col(kappa)) < threshold, 0).otherwise(F.signum(kappa).cast("int"))
+    rows = islands(numbered(df.withColumn("__sign", sign), keys, order, "__i", block), keys, order, "__sign", "run", block)
+    spot = F.struct(F.abs(F.col(kappa)).alias("k"), F.col("__i").alias("i"), F.col(at).alias("at"))
+    ends = [F.min_by(spot, "__i").alias("first"), F.max_by(spot, "__i").alias("last")]
+    every = rows.groupBy(*keys, "run").agg(F.first("__sign").alias("sign"), F.count("*").alias("n"), F.min(spot).alias("least"), *ends).withColumn("piece", F.floor(F.col("run") / 4096))
+    real = (F.col("sign") != 0) & (F.col("n") >= support)
+    counted = checkpoint(running_sum(every, keys, ["run"], real.cast("long"), "passed", "piece"))
+    between = counted.where(~real).groupBy(*keys, "passed").agg(F.min("least").alias("gap"))
+    bends = counted.where(real).select(*keys, "run", "piece", "passed", F.struct("sign", "last").alias("own"), "sign", "first")
+    pairs = previous(bends, keys, ["run"], "own", "before", "piece").where("before.sign <> sign").withColumn("passed", F.col("passed") - 1)
+    touching = F.least(F.col("before.last"), F.col("first"))
+    return pairs.join(between, [*keys, "passed"], "left").select(*keys, F.coalesce("gap", touching)["at"].alias("at"))
+
+
 def asof(points: DataFrame, marks: DataFrame, keys: list[str], at: str, payload: list[str], direction: str = "backward") -> DataFrame:
     """points with the payload of the nearest mark at or before them (or at or after), by one sort of the union; null where there is none.
 

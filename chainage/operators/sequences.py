@@ -1,7 +1,8 @@
-"""Rules whose next step depends on the step before: grouped-map Python over short sequences.
+"""Rules whose next step depends on the step before.
 
-They run on runs (islands) or polylines, not on points, so a group is small; each key is
-a task's unit. All share the form: a pure function over one key's rows.
+`in_order` streams sorted rows through a rule with a small state, so a task holds one batch
+however long a key is; points go this way. `per_small_key` holds the rows of one key, and
+`per_key` gives them to pandas: both are for runs (islands) and other short sequences.
 """
 
 from __future__ import annotations
@@ -46,6 +47,41 @@ def per_small_key(df: DataFrame, keys: list[str], order: list[str], schema: str,
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
+def in_order(df: DataFrame, keys: list[str], order: list[str], schema: str, step: Callable[[object, dict[str, np.ndarray], bool], tuple[object, pd.DataFrame]]) -> DataFrame:
+    """Streams each key's rows in order through step(state, columns, last) -> (state, rows).
+
+    A key comes in pieces of about a batch; state is None in its first piece, and last is
+    true in its last one, which always has the key's last row.
+    """
+
+    def run(frames):
+        held: pd.DataFrame | None = None
+        state: object = None
+
+        def pieces(frame: pd.DataFrame, end: bool):
+            nonlocal state
+            cuts = [*np.flatnonzero((frame[keys] != frame[keys].shift()).any(axis=1).to_numpy()).tolist(), len(frame)]
+            for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                last = end or k < len(cuts) - 2
+                b = b if last else b - 1  # the row that tells whether the key goes on stays behind
+                if b > a:
+                    state, out = step(state, {c: frame[c].to_numpy()[a:b] for c in frame.columns}, last)
+                    if len(out):
+                        yield out
+                if last:
+                    state = None
+
+        for frame in frames:
+            if len(frame):
+                frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+                yield from pieces(frame, False)
+                held = frame.iloc[-1:]
+        if held is not None:
+            yield from pieces(held.reset_index(drop=True), True)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
 def absorb_short_runs(rank: list[int], length: list[float], least: float) -> list[list[int]]:
     """Groups of runs after short ones have joined a neighbour.
 
@@ -95,13 +131,17 @@ def despeckle(state: list[int], length: list[float], least: float) -> list[tuple
     return [(s, n) for s, n in out]
 
 
-def thin_by_distance(x: np.ndarray, step: float) -> np.ndarray:
-    """Row numbers kept when each is at least `step` beyond the one kept before; the last stays."""
-    kept = [0] if len(x) else []
-    for i in range(1, len(x)):
-        if x[i] - x[kept[-1]] >= step:
+def thin_by_distance(x: np.ndarray, step: float, before: float | None = None, last: bool = True) -> np.ndarray:
+    """Row numbers kept when each is at least `step` beyond the one kept before; the last stays.
+
+    A sequence may come in pieces: before is the last kept position of the piece before.
+    """
+    kept: list[int] = []
+    for i in range(len(x)):
+        if before is None or x[i] - before >= step:
             kept.append(i)
-    if len(x) and kept[-1] != len(x) - 1:
+            before = float(x[i])
+    if last and len(x) and (not kept or kept[-1] != len(x) - 1):
         kept.append(len(x) - 1)
     return np.array(kept, np.int64)
 
@@ -128,12 +168,12 @@ def simplify(xy: np.ndarray, tolerance: float) -> np.ndarray:
 
 
 def forward_speeds(limit_ms: np.ndarray, x_m: np.ndarray, grade: np.ndarray, acceleration: Callable[[float, float], float], start_ms: float = 0.0) -> np.ndarray:
-    """Speeds along x under limits, power-limited: v' = sqrt(v^2 + 2 a(v) dx), 1 m/s at least where the limit isn't lower."""
+    """Speeds along x under limits, power-limited: v' = sqrt(v^2 + 2 a(v) dx), 1 m/s at least where the limit isn't lower; the grade is that of the row reached."""
     v = np.empty(len(x_m))
     now = min(start_ms, limit_ms[0]) if len(v) else 0.0
     for i in range(len(v)):
         if i:
-            a = acceleration(now, grade[i - 1])
+            a = acceleration(now, grade[i])
             now = min(float(limit_ms[i]), float(np.sqrt(max(1.0, now * now + 2 * a * (x_m[i] - x_m[i - 1])))))
         v[i] = now
     return v
@@ -166,31 +206,27 @@ def circle_radii(x: np.ndarray, y: np.ndarray, half: int) -> np.ndarray:
 
 def merge_splits(splits: list[float], least: float) -> list[float]:
     """Ascending split positions, each at least `least` beyond the one kept before."""
-    out: list[float] = []
-    for s in sorted(splits):
-        if not out or s - out[-1] >= least:
-            out.append(s)
-    return out
+    x = np.sort(np.array(splits, np.float64))
+    return x[thin_by_distance(x, least, last=False)].tolist()
 
 
 def inflections(kappa: np.ndarray, support: int, threshold: float) -> list[int]:
-    """Rows between runs of opposite curvature sign that last `support` rows, at the least |kappa| between them."""
+    """Rows between runs of opposite curvature sign that last `support` rows, at the least |kappa| between them; where they touch, at the lesser of both rows."""
     sign = np.where(np.abs(kappa) < threshold, 0, np.sign(kappa)).astype(int)
     edges = np.flatnonzero(np.diff(sign)) + 1
     cuts = np.concatenate(([0], edges, [len(sign)]))
     found = [(a, b, sign[a]) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if sign[a] and b - a >= support]
-    return [int(b0 + np.abs(kappa[b0:a1]).argmin()) if a1 > b0 else int(b0) for (_, b0, s0), (a1, _, s1) in zip(found, found[1:], strict=False) if s0 != s1]
+    return [int(b0 + np.abs(kappa[b0:a1]).argmin()) if a1 > b0 else int(b0 - (np.abs(kappa[b0 - 1]) <= np.abs(kappa[b0]))) for (_, b0, s0), (a1, _, s1) in zip(found, found[1:], strict=False) if s0 != s1]
 
 
-def match_to_edges(xy: np.ndarray, candidates: list[list[tuple[int, float, float]]], most: float = 30.0, hold: float = 10.0) -> list[int | None]:
-    """Edge of each point of a track, held while it fits.
+def match_to_edges(xy: np.ndarray, candidates: list[list[tuple[int, float, float]]], most: float = 30.0, hold: float = 10.0, held: int | None = None) -> list[int | None]:
+    """Edge of each point of a track, held while it fits. A track may come in pieces: held is the last edge of the piece before.
 
     candidates: per point (edge, distance, angle off). The edge held stays while it is a
     candidate within `most` and no other is closer by more than `hold`; else the candidate
     of the least distance plus angle is taken; without candidates the lock is lost.
     """
     out: list[int | None] = []
-    held: int | None = None
     for options in candidates:
         near = [o for o in options if o[1] <= most]
         if not near:

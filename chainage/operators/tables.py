@@ -140,3 +140,18 @@ def filtered_table(df: DataFrame, filters: tuple[tuple[str, str, Any], ...], sor
     by = F.col(f"`{sort}`")
     ties = [c for c in df.columns if c != sort]
     return df.where(predicate(filters)).orderBy(by.desc_nulls_last() if descending else by.asc_nulls_last(), *ties).limit(limit)
+
+
+def contained(long: DataFrame, short: DataFrame, long_col: str, short_col: str, q: int = 3) -> DataFrame:
+    """Pairs of rows where long_col contains short_col; null contains nothing, and the empty string is in all.
+
+    Candidates share the first q characters of short_col with some place of long_col, so
+    only texts that have a beginning in common meet; strings under q characters meet under
+    their own length.
+    """
+    sizes = F.sequence(F.lit(1), F.lit(q))
+    n = F.length(long_col)
+    places = F.flatten(F.transform(sizes, lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col(long_col), i, k))).otherwise(F.array().cast("array<string>"))))
+    keyed = long.where(F.col(long_col).isNotNull()).withColumn("__g", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), places))))
+    begun = short.where(F.col(short_col).isNotNull()).withColumn("__g", F.substring(F.col(short_col), 1, q))
+    return keyed.join(begun, "__g").where(F.col(long_col).contains(F.col(short_col))).drop("__g")

@@ -84,31 +84,36 @@ def stretches(tr: DataFrame, gap_h: float) -> DataFrame:
     return linear.running_sum(before.withColumn("new", (F.coalesce(F.col("h") - F.col("h0"), F.lit(1e9)) > gap_h).cast("long")), ["user_id"], ["us"], F.col("new"), "stretch", block="day").drop("h0", "new")
 
 
-def travel_times(samples: DataFrame, keys: list[str], x_m: str, limit_ms: str, train: Train) -> DataFrame:
-    """(keys, minutes): speeds with rests at both ends, power-limited forwards and brake-limited backwards, over each stretch."""
+def travel_times(samples: DataFrame, keys: list[str], x_m: str, radius: str, settings: list[tuple[str, float, float]], train: Train) -> DataFrame:
+    """(keys, cant_set_id, cap, minutes, top_kmh) of each stretch under each setting (id, k, cap in km/h).
+
+    Speeds with rests at both ends, power-limited forwards and brake-limited backwards. A
+    stretch is moved once, whatever the number of settings.
+    """
     name_types = dict(samples.dtypes)
-    schema = ", ".join(f"{k} {name_types[k]}" for k in keys) + ", minutes double, top_kmh double"
+    schema = ", ".join(f"{k} {name_types[k]}" for k in keys) + ", cant_set_id string, cap double, minutes double, top_kmh double"
 
     def rule(p: dict[str, np.ndarray]) -> list[tuple]:
-        x, limit = p[x_m], p[limit_ms].copy()
-        limit[[0, -1]] = 0.0
-        v = sequences.forward_speeds(limit, x, np.zeros(len(x)), train.acceleration)
-        back = np.minimum.accumulate((v**2 + 2 * train.brake_ms2 * x)[::-1])[::-1] - 2 * train.brake_ms2 * x
-        v = np.minimum(v, np.sqrt(np.maximum(back, 0)))
-        seconds = float((np.diff(x) / np.maximum((v[1:] + v[:-1]) / 2, 0.5)).sum())
-        return [(*(p[k][0] for k in keys), seconds / 60, float(v.max(initial=0)) * 3.6)]
+        x, out = p[x_m], []
+        for name, k, cap in settings:
+            limit = np.minimum(np.minimum(k * np.sqrt(p[radius]), curves.LIMIT_KMH), cap) / 3.6
+            limit[[0, -1]] = 0.0
+            v = sequences.forward_speeds(limit, x, np.zeros(len(x)), train.acceleration)
+            back = np.minimum.accumulate((v**2 + 2 * train.brake_ms2 * x)[::-1])[::-1] - 2 * train.brake_ms2 * x
+            v = np.minimum(v, np.sqrt(np.maximum(back, 0)))
+            seconds = float((np.diff(x) / np.maximum((v[1:] + v[:-1]) / 2, 0.5)).sum())
+            out.append((*(p[c][0] for c in keys), name, cap, seconds / 60, float(v.max(initial=0)) * 3.6))
+        return out
 
-    return sequences.per_small_key(samples, keys, [x_m], schema, rule)
+    return sequences.per_small_key(samples.select(*keys, x_m, radius), keys, [x_m], schema, rule)
 
 
 @query()
 def travel_time_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minutes of each stretch by cant set and cap: sampled limits, then a forward recurrence (no SQL)."""
-    tr = stretches(track(spark, sf_dir).select("user_id", "us", "day", "h", "r"), 12.0)
-    caps = spark.createDataFrame([(s.cant_set_id, s.coefficient, c) for s in CANT_SETS for c in (153.0, 177.0, 201.0)], "cant_set_id string, k double, cap double")
-    # nine parameter rows
-    swept = tr.crossJoin(F.broadcast(caps)).withColumn("limit", F.least(curves.vmax(F.col("r"), F.col("k")), "cap") / 3.6).withColumn("x", F.col("h") * 1000)
-    out = travel_times(swept, ["user_id", "stretch", "cant_set_id", "cap"], "x", "limit", TILTING)
+    tr = stretches(track(spark, sf_dir).select("user_id", "us", "day", "h", "r"), 12.0).withColumn("x", F.col("h") * 1000)
+    settings = [(s.cant_set_id, s.coefficient, c) for s in CANT_SETS for c in (153.0, 177.0, 201.0)]
+    out = travel_times(tr, ["user_id", "stretch"], "x", "r", settings, TILTING)
     return out.withColumns({"minutes": F.round("minutes", 6), "top_kmh": F.round("top_kmh", 6)})
 
 
@@ -162,63 +167,80 @@ def margins_by_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def traction_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seconds from rest to 60, 100 and 125 mph of the trainsets, by steps of 0.1 s (no SQL). A handful of parameter rows, worked out on the driver."""
-    rows = [(t.name, float(mph), round(seconds_to(t, mph * 1.609344), 1)) for t in (COUPLED, LOCO, TILTING) for mph in (60, 100, 125)]
-    return spark.createDataFrame(rows, "train string, mph double, seconds double")
+    """Seconds from rest to 60, 100 and 125 mph of the trainsets, by steps of 0.1 s: one parameter row each (no SQL)."""
+    trains = {t.name: t for t in (COUPLED, LOCO, TILTING)}
+    rows = spark.createDataFrame([(name, float(mph)) for name in trains for mph in (60, 100, 125)], "train string, mph double")
 
+    def run(frames):
+        for p in frames:
+            yield p.assign(seconds=[round(seconds_to(trains[t], mph * 1.609344), 1) for t, mph in zip(p["train"], p["mph"], strict=True)])
 
-@query()
-def curvature_radii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Radius at each point of a section by sliding circle fits over its path (grouped-map: no SQL)."""
+    return rows.mapInPandas(run, "train string, mph double, seconds double")
 
-    def rule(p: pd.DataFrame) -> pd.DataFrame:
-        r = sequences.circle_radii(p["h"].to_numpy(np.float64), p["value"].to_numpy(np.float64), 5)
-        return pd.DataFrame({"event_id": p["event_id"], "radius": np.round(np.minimum(r, 1e7), 4)})
 
-    return sequences.per_key(track(spark, sf_dir).select("user_id", "event_id", "us", "h", "value"), ["user_id"], ["us"], "event_id long, radius double", rule)
+@query(TRACK + """, n AS (SELECT event_id, h::DOUBLE AS x, value::DOUBLE AS y, list(struct_pack(x := h::DOUBLE, y := value::DOUBLE)) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near FROM tr),
+d AS (SELECT event_id, len(near)::DOUBLE AS m, [struct_pack(x := p.x - x, y := p.y - y, z := (p.x - x) * (p.x - x) + (p.y - y) * (p.y - y)) FOR p IN near] AS d FROM n),
+s AS (SELECT event_id, m, list_sum([p.x FOR p IN d]) AS sx, list_sum([p.y FOR p IN d]) AS sy, list_sum([p.z FOR p IN d]) AS sz, list_sum([p.x * p.x FOR p IN d]) AS xx, list_sum([p.x * p.y FOR p IN d]) AS xy,
+  list_sum([p.y * p.y FOR p IN d]) AS yy, list_sum([p.x * p.z FOR p IN d]) AS xz, list_sum([p.y * p.z FOR p IN d]) AS yz FROM d),
+c AS (SELECT event_id, m, sx, sy, sz, xx - sx * sx / m AS cxx, xy - sx * sy / m AS cxy, yy - sy * sy / m AS cyy, xz - sx * sz / m AS cxz, yz - sy * sz / m AS cyz FROM s),
+e AS (SELECT *, cxx * cyy - cxy * cxy AS det FROM c), f AS (SELECT *, (cxz * cyy - cyz * cxy) / det / 2 AS a, (cyz * cxx - cxz * cxy) / det / 2 AS b FROM e),
+g AS (SELECT event_id, det <= 1e-12 * greatest(cxx * cyy, 1e-300) AS flat, sqrt(greatest(sz / m - 2 * a * sx / m - 2 * b * sy / m + a * a + b * b, 0.0)) AS r FROM f)
+SELECT event_id, CASE WHEN flat OR r > 1e7 THEN 1e7::DOUBLE ELSE round(r, 2) END AS radius FROM g""")
+def curvature_radii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Radius at each point of a section by sliding circle fits over its path."""
+    tr = track(spark, sf_dir).select("user_id", "event_id", "us", "day", "h", "value")
+    fitted = linear.circle_fits(tr, ["user_id"], ["us", "event_id"], "h", "value", 5, "r", block="day")
+    return fitted.select("event_id", F.round(F.least("r", F.lit(1e7)), 2).alias("radius"))
 
 
 @query()
 def thinned_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points kept by greedy thinning and by line simplification (sequential rules: no SQL)."""
+    """Points kept by greedy thinning, and by line simplification of what is between the days' ends (sequential rules: no SQL)."""
+    tr = track(spark, sf_dir).select("user_id", "event_id", "us", "day", "h", "value")
 
-    def rule(p: pd.DataFrame) -> pd.DataFrame:
-        x, y = p["h"].to_numpy(np.float64), p["value"].to_numpy(np.float64)
-        thin, simple = np.zeros(len(p), bool), np.zeros(len(p), bool)
-        thin[sequences.thin_by_distance(x, 6.0)] = True
-        simple[sequences.simplify(np.stack([x, y], 1), 50.0)] = True
-        return pd.DataFrame({"event_id": p["event_id"], "thin": thin, "simple": simple})
+    def thin(state, p, last):
+        kept = sequences.thin_by_distance(p["h"], 6.0, state, last)
+        flag = np.zeros(len(p["h"]), bool)
+        flag[kept] = True
+        return float(p["h"][kept[-1]]) if len(kept) else state, pd.DataFrame({"event_id": p["event_id"], "thin": flag})
+
+    def simple(p: dict[str, np.ndarray]) -> list[tuple]:
+        flag = np.zeros(len(p["h"]), bool)
+        flag[sequences.simplify(np.stack([p["h"], p["value"]], 1).astype(np.float64), 50.0)] = True
+        return list(zip(p["event_id"].tolist(), flag.tolist(), strict=True))
 
-    return sequences.per_key(track(spark, sf_dir).select("user_id", "event_id", "us", "h", "value"), ["user_id"], ["us"], "event_id long, thin boolean, simple boolean", rule)
+    thinned = sequences.in_order(tr, ["user_id"], ["us", "event_id"], "event_id long, thin boolean", thin)
+    return thinned.join(sequences.per_small_key(tr, ["user_id", "day"], ["us", "event_id"], "event_id long, simple boolean", simple), "event_id")
 
 
 @query()
 def inflection_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions between bends of opposite sign, merged over two scales (sequential rule: no SQL)."""
+    tr = track(spark, sf_dir).select("user_id", "event_id", "us", "day", "h", (F.col("value") / 100 - 1).alias("k"))
+    one, two = (linear.inflections(tr, ["user_id"], ["us", "event_id"], "k", "h", scale, 0.05, block="day") for scale in (2, 3))
 
-    def rule(p: pd.DataFrame) -> pd.DataFrame:
-        h, k = p["h"].to_numpy(np.float64), p["value"].to_numpy(np.float64) / 100 - 1
-        found = [float(h[i]) for scale in (2, 3) for i in sequences.inflections(k, scale, 0.05)]
-        kept = sequences.merge_splits(found, 1.0)
-        return pd.DataFrame({"user_id": np.full(len(kept), p["user_id"].iloc[0], np.int64), "at": np.array(kept, np.float64)})
+    def merge(state, p, last):
+        kept = sequences.thin_by_distance(p["at"], 1.0, state, False)
+        return float(p["at"][kept[-1]]) if len(kept) else state, pd.DataFrame({"user_id": p["user_id"][kept], "at": p["at"][kept]})
 
-    return sequences.per_key(track(spark, sf_dir).select("user_id", "us", "h", "value"), ["user_id"], ["us"], "user_id long, at double", rule)
+    return sequences.in_order(one.union(two), ["user_id"], ["at"], "user_id long, at double", merge)
 
 
 @query()
 def matched_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edge of each point of a path, held while it fits: candidates by grid join, then a lock per section (sequential rule: no SQL)."""
+    """Edge of each point of a path, held while it fits: candidates by grid join, then a lock that is streamed along each section (sequential rule: no SQL)."""
     p = points(spark, sf_dir)
     asked = p.select(F.col("label").alias("section"), "id", F.col("x").alias("px"), F.col("y").alias("py"))
     edges = p.select(F.col("label").alias("edge"), F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
     options = spatial.within(asked, edges, 0.05).where("id <> other").groupBy("section", "id", "edge").agg(F.min("dist").alias("d"))
     rows = asked.select("section", "id").join(options.groupBy("section", "id").agg(F.array_sort(F.collect_list(F.struct("edge", "d"))).alias("options")), ["section", "id"], "left")
 
-    def rule(p: pd.DataFrame) -> pd.DataFrame:
+    def lock(held, p, last):
         candidates = [[] if o is None else [(x["edge"], x["d"] * 1000, 0.0) for x in o] for o in p["options"]]
-        return pd.DataFrame({"section": p["section"], "id": p["id"], "edge": pd.array(sequences.match_to_edges(np.empty(0), candidates, 50.0, 10.0), dtype="Int32")})
+        found = sequences.match_to_edges(np.empty(0), candidates, 50.0, 10.0, held)
+        return found[-1], pd.DataFrame({"section": p["section"], "id": p["id"], "edge": pd.array(found, dtype="Int32")})
 
-    return sequences.per_key(rows, ["section"], ["id"], "section int, id long, edge int", rule)
+    return sequences.in_order(rows, ["section"], ["id"], "section int, id long, edge int", lock)
 
 
 @query("""WITH p AS (SELECT DISTINCT l_orderkey AS way_id, l_linenumber AS n, l_partkey AS node, l_partkey / 1000 AS lat, l_suppkey / 100 AS lon FROM lineitem),

@@ -200,10 +200,9 @@ def param_sweep_under_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH n AS (SELECT DISTINCT replace(replace(lower(split_part(p_name, ' ', 2)), 'é', 'e'), 'è', 'e') AS w FROM part), t AS (SELECT DISTINCT p_name, p_type FROM part)
 SELECT p_name, p_type, w FROM t, n WHERE contains(lower(p_name), w) OR contains(w, lower(p_name))""")
 def fuzzy_contains_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # names are joined on their words, which is what containment of a whole word needs: no comparison of all pairs
-    names = table(spark, sf_dir, "part").select("p_name", "p_type").distinct()
+    names = table(spark, sf_dir, "part").select("p_name", "p_type").distinct().withColumn("low", F.lower("p_name"))
     words = names.select(without_accents(F.get(F.split("p_name", " "), F.lit(1))).alias("w")).distinct()
-    return names.withColumn("w", F.explode(F.array_distinct(F.split(without_accents(F.col("p_name")), " ")))).join(words, "w").select("p_name", "p_type", "w")
+    return tables.contained(names, words, "low", "w").union(tables.contained(words, names, "w", "low").select("p_name", "p_type", "low", "w")).distinct().select("p_name", "p_type", "w")
 
 
 @query("""SELECT d.doc_id, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, 0) AS toxic FROM documents d LEFT JOIN labels l USING (doc_id)""")

@@ -41,26 +41,39 @@ def stopped(sampled: DataFrame, stops: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def minutes(sampled: DataFrame, keys: list[str], train: Train, cap: float) -> DataFrame:
-    """(keys, stretch, minutes): rests at both ends and at `rest`, the slowest limit under the whole train, power forwards, brakes backwards."""
+    """(keys, stretch, minutes) of one train under one cap, with its stops."""
+    return minutes_of(sampled, keys, [("", train, cap, True)]).drop("variant")
+
+
+def minutes_of(sampled: DataFrame, keys: list[str], runs: list[tuple[str, Train, float, bool]]) -> DataFrame:
+    """(keys, stretch, variant, minutes) of runs (variant, train, cap, whether it stops): a stretch is moved once for all of them.
+
+    Rests at both ends and at `rest`, the slowest limit under the whole train, power
+    forwards, brakes backwards. A task holds one stretch.
+    """
     kinds = dict(sampled.dtypes)
     own = [*keys, "stretch"]
-    schema = ", ".join(f"{k} {kinds[k]}" for k in own) + ", minutes double"
+    schema = ", ".join(f"{k} {kinds[k]}" for k in own) + ", variant string, minutes double"
 
-    def rule(c: dict[str, np.ndarray]) -> list[tuple]:
-        x = c["x"] * 1000
-        limit = np.minimum(c["v"], cap) / 3.6
+    def seconds(x: np.ndarray, speed: np.ndarray, rest: np.ndarray, train: Train, cap: float) -> float:
+        limit = np.minimum(speed, cap) / 3.6
         dx = (x[-1] - x[0]) / max(1, len(x) - 1)
         tail = int(round(train.length_m / dx)) if dx else 0
         if tail:
             limit = np.lib.stride_tricks.sliding_window_view(np.concatenate((np.full(tail, np.inf), limit)), tail + 1).min(axis=1)
-        rest = c["rest"].copy()
-        rest[[0, -1]] = True
         v = np.where(rest, 0.0, limit)
         v = sequences.forward_speeds(v, x, np.zeros(len(x)), train.acceleration)
         back = np.minimum.accumulate((v**2 + 2 * train.brake_ms2 * x)[::-1])[::-1] - 2 * train.brake_ms2 * x
         v = np.minimum(v, np.sqrt(np.maximum(back, 0.0)))
-        seconds = float((np.diff(x) / np.maximum((v[1:] + v[:-1]) / 2, 0.5)).sum())
-        return [(*(c[k][0] for k in own), seconds / 60)]
+        return float((np.diff(x) / np.maximum((v[1:] + v[:-1]) / 2, 0.5)).sum())
+
+    def rule(c: dict[str, np.ndarray]) -> list[tuple]:
+        out = []
+        for name, train, cap, stops in runs:
+            rest = c["rest"].copy() if stops else np.zeros(len(c["x"]), bool)
+            rest[[0, -1]] = True
+            out.append((*(c[k][0] for k in own), name, seconds(c["x"] * 1000, c["v"], rest, train, cap) / 60))
+        return out
 
     return sequences.per_small_key(sampled.select(*own, "x", "v", "rest"), own, ["x"], schema, rule)
 
@@ -85,15 +98,12 @@ def variants() -> list[tuple[str, Train, float, bool, bool]]:
 def travel_time_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minutes of each section under the variants, and what each gains on the base (sequential speeds: no SQL)."""
     segments, blocks, stops = tables_of(spark, sf_dir)
-    keys, sampled = ["user_id"], {}
+    keys, out = ["user_id"], None
     for free in (True, False):
         pieces = free_pieces(segments, blocks, keys, 24.0) if free else segments.select("user_id", "lo", "hi", "v")
-        points = samples(stretches(pieces, keys, 0.05), keys, 0.5)
-        sampled[free, True] = stopped(points, stops, keys)
-        sampled[free, False] = points.withColumn("rest", F.lit(False))
-    out = None
-    for name, train, cap, free, stopping in variants():
-        one = minutes(sampled[free, stopping], keys, train, cap).groupBy(*keys).agg(F.round(F.sum("minutes"), 4).alias("minutes")).withColumn("variant", F.lit(name))
+        points = stopped(samples(stretches(pieces, keys, 0.05), keys, 0.5), stops, keys)
+        runs = [(name, train, cap, stopping) for name, train, cap, own, stopping in variants() if own == free]
+        one = minutes_of(points, keys, runs).groupBy(*keys, "variant").agg(F.round(F.sum("minutes"), 4).alias("minutes"))
         out = one if out is None else out.unionByName(one)
     base = out.where("variant = 'base'").select("user_id", F.col("minutes").alias("base"))
     return out.join(base, "user_id", "left").select("user_id", "variant", "minutes", F.round(F.col("base") - F.col("minutes"), 4).alias("gain"))

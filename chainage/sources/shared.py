@@ -11,6 +11,8 @@ def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session, or a temporary folder where it is unset (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = f"file://{tempfile.mkdtemp(prefix='chainage-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
