@@ -208,6 +208,9 @@ def nearest(df: DataFrame, top: int = 5, every: int = 50, id_col: str = "vec_id"
         names, starts = np.unique(left["bucket"].to_numpy(), return_index=True)
         ends = np.append(starts[1:], len(left))
         rep, x = left["rep"].to_numpy(), np.stack(left["v"].to_numpy())
+        # a vector is in a group once for each table whose bucket the group has: one row stands for all
+        row_at, rows_of = np.unique(rep, return_index=True, return_inverse=True)[1:]
+        n_reps = len(row_at)
         query, y = right["rep"].to_numpy(), scaled(np.stack(right["v"].to_numpy()))
         x = scaled(x)
         norm_x, norm_y = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
@@ -217,24 +220,24 @@ def nearest(df: DataFrame, top: int = 5, every: int = 50, id_col: str = "vec_id"
         hit = names[at] == seen
         own, at = own[hit], at[hit]
         by = np.argsort(at, kind="stable")
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        asked, met = [], []
         for part in np.split(by, np.flatnonzero(np.diff(at[by])) + 1) if len(by) else []:
             s, e = starts[at[part[0]]], ends[at[part[0]]]
             q = own[part]
-            cos = (y[q] @ x[s:e].T) / (norm_y[q][:, None] * norm_x[s:e][None, :])
             # candidates by the matrix product; the score itself doesn't depend on where the vectors stand
-            own_q, own_x = np.nonzero(best_of(cos, top + 1))
-            some = range(0, len(own_q), 1 << 14)  # ties can be many, so the vectors are paired in slices
-            exact = np.concatenate([cosine(y[q[own_q[i : i + (1 << 14)]]], x[s:e][own_x[i : i + (1 << 14)]]) for i in some])
-            order = np.lexsort((rep[s:e][own_x], -exact, own_q))
-            own_q, own_x, exact = own_q[order], own_x[order], exact[order]
-            place = np.arange(len(own_q)) - np.searchsorted(own_q, own_q)
-            first = place <= top
-            found.append((query[q[own_q[first]]], rep[s:e][own_x[first]], exact[first]))
-        if not found:
+            i, j = np.nonzero(best_of((y[q] @ x[s:e].T) / (norm_y[q][:, None] * norm_x[s:e][None, :]), top + 1))
+            asked.append(q[i])
+            met.append(s + j)
+        if not asked:
             return none
-        out = pd.DataFrame(dict(zip(kinds, (np.concatenate(f) for f in zip(*found, strict=True)), strict=True)))
-        return out.sort_values(["query", "score", "rep"], ascending=[True, False, True]).drop_duplicates(["query", "rep"]).groupby("query").head(top + 1)
+        pairs = np.unique(np.concatenate(asked) * n_reps + rows_of[np.concatenate(met)])
+        q, j = pairs // n_reps, row_at[pairs % n_reps]
+        some = range(0, len(q), 1 << 14)  # ties can be many, so the vectors are paired in slices
+        cos = np.concatenate([cosine(y[q[k : k + (1 << 14)]], x[j[k : k + (1 << 14)]]) for k in some])
+        order = np.lexsort((rep[j], -cos, q))
+        q, j, cos = q[order], j[order], cos[order]
+        best = np.arange(len(q)) - np.searchsorted(q, q) <= top
+        return pd.DataFrame(dict(zip(kinds, (query[q[best]], rep[j[best]], cos[best]), strict=True)))
 
     placed = index.mapInArrow(place, "g int, bucket long, rep long, v array<double>")
     visits = queries.mapInArrow(visit, "g int, rep long, v array<double>, buckets array<long>")

@@ -289,5 +289,7 @@ def near_duplicates(docs: DataFrame, distance: int = 3, id_col: str = "doc_id",
     # nodes of a component, its smallest node included; all others keep their own smallest id
     known = found.union(found.select(F.col("component").alias("node"), "component").distinct())
     linked = smallest_ids(known.join(nodes.withColumnRenamed("fp", "node"), "node"))
-    reached = nodes.join(linked, nodes["fp"] == linked["node"], "left").select("fp", F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    component_id = F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id")
+    # kept, so that Spark can split a fingerprint of many rows in the join
+    reached = checkpoint(nodes.join(linked, nodes["fp"] == linked["node"], "left").select("fp", component_id))
     return marked.join(reached, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
