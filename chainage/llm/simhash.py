@@ -269,7 +269,8 @@ def smallest_ids(linked: DataFrame) -> DataFrame:
     The components go to SALTS places each, so a component with many nodes is no hot key.
     """
     smallest = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    salted = smallest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # repeated rows compress well, so their size would be taken for small: not to be broadcast
+    salted = smallest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
     return linked.withColumn("salt", F.pmod(F.hash("node"), F.lit(SALTS))).join(salted, ["component", "salt"]).select("node", "component_id")
 
 
