@@ -66,17 +66,18 @@ def with_halo(df: DataFrame, keys: list[str], number: str, half: int, rows: int
     return df.withColumn("chunk", F.explode(reach)).withColumn("own", F.col("chunk") == F.floor(F.col(number) / rows))
 
 
-def circle_radius(near: Column, x: Column, y: Column) -> Column:
-    """Radius of the least-squares circle (Kasa) through `near`, an array of structs (x, y); infinite for a line.
+def offsets(near: Column, x: Column, y: Column) -> Column:
+    """The structs (x, y) of an array about (x, y), with their squared distance z."""
+    return F.transform(near, lambda p: F.struct((p["x"] - x).alias("x"), (p["y"] - y).alias("y"), ((p["x"] - x) * (p["x"] - x) + (p["y"] - y) * (p["y"] - y)).alias("z")))
 
-    Moments are taken about (x, y).
-    """
-    d = F.transform(near, lambda p: F.struct((p["x"] - x).alias("x"), (p["y"] - y).alias("y"), ((p["x"] - x) * (p["x"] - x) + (p["y"] - y) * (p["y"] - y)).alias("z")))
+
+def circle_radius(d: Column) -> Column:
+    """Radius of the least-squares circle (Kasa) through `d`, an array of offsets; infinite for a line."""
 
     def total(term) -> Column:
         return F.aggregate(d, F.lit(0.0), lambda acc, p: acc + term(p))
 
-    m = F.size(near).cast("double")
+    m = F.size(d).cast("double")
     sx, sy, sz = (total(lambda p, c=c: p[c]) for c in "xyz")
     second = lambda a, b: total(lambda p: p[a] * p[b])
     cxx, cxy, cyy = second("x", "x") - sx * sx / m, second("x", "y") - sx * sy / m, second("y", "y") - sy * sy / m
@@ -101,7 +102,9 @@ def circle_fits(df: DataFrame, keys: list[str], order: list[str], x: str, y: str
     chunks = with_halo(numbered(df, keys, order, "__i", block), keys, "__i", half)
     w = Window.partitionBy(*keys, "chunk").orderBy("__i").rowsBetween(-half, half)
     near = F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))).over(w)
-    return chunks.withColumn("__n", near).where("own").withColumn(out, circle_radius(F.col("__n"), F.col(x).cast("double"), F.col(y).cast("double"))).drop("__n", "__i", "chunk", "own")
+    # the offsets are a column of their own: they are named a dozen times
+    own = chunks.withColumn("__n", near).where("own").withColumn("__d", offsets(F.col("__n"), F.col(x).cast("double"), F.col(y).cast("double")))
+    return own.withColumn(out, circle_radius(F.col("__d"))).drop("__n", "__d", "__i", "chunk", "own")
 
 
 def inflections(df: DataFrame, keys: list[str], order: list[str], kappa: str, at: str, support: int, threshold: float, block: str | None = None) -> DataFrame:
