@@ -49,6 +49,8 @@ CLASSES = (
 LIMIT_KMH = 360.0
 #: Share of the radius a class needs that its sharpest point must have.
 GUARD_FRACTION = 0.5
+#: A curve shorter than the window of the fits (m) has about twice its true radius.
+SHORT_CURVE_M, SHORT_CURVE_FACTOR = 900.0, 0.5
 
 
 def vmax(radius_m: Column, k: float | Column, limit: float = LIMIT_KMH) -> Column:
@@ -100,3 +102,19 @@ def published(typical_m: Column, least_m: Column, k: float | Column, digits: int
         top = limit if c.high == float("inf") else c.high - step
         speed = speed.when(code == c.code, F.round(F.least(F.greatest(rounded, F.lit(c.low)), F.lit(top)), digits))
     return F.struct(code.alias("code"), speed.alias("vmax"))
+
+
+def short_curve(
+    length_m: Column,
+    radius_m: Column,
+    curve_m: float,
+    short_m: float = SHORT_CURVE_M,
+    factor: float = SHORT_CURVE_FACTOR,
+) -> Column:
+    """struct(corrected, radius): the radius of a curve (under curve_m) that is shorter than short_m, times factor.
+
+    Straights, long curves and unknown radii stay as they are. Class and speed follow from
+    `published` on the new radius, for each cant set.
+    """
+    short = F.coalesce((length_m < short_m) & (radius_m > 0) & (radius_m < curve_m), F.lit(False))
+    return F.struct(short.alias("corrected"), F.when(short, factor * radius_m).otherwise(radius_m).alias("radius"))

@@ -156,3 +156,17 @@ def micros(ts: Column) -> Column:
     days = F.unix_date(ts.cast("date")).cast("long")
     seconds = F.extract(F.lit("SECOND"), ts) * 1_000_000
     return days * 86_400_000_000 + F.hour(ts).cast("long") * 3_600_000_000 + F.minute(ts).cast("long") * 60_000_000 + seconds.cast("long")
+
+
+def search_sorted(x: Column, bounds: list[float], right: bool = False) -> Column:
+    """Number of ascending bounds below x (right: at or below x); null for null."""
+    below = [(F.lit(b) <= x if right else F.lit(b) < x).cast("int") for b in bounds]
+    return reduce(lambda a, b: a + b, below, F.when(x.isNotNull(), F.lit(0)))
+
+
+def looked_up(x: Column, entries: dict, default=None) -> Column:
+    """Value of x in a fixed dictionary, else the default; null takes the default too."""
+    if not entries:
+        return F.lit(default)
+    pairs = F.create_map(*[F.lit(v) for kv in entries.items() for v in kv])
+    return F.coalesce(F.try_element_at(pairs, F.coalesce(x, F.lit(None))), F.lit(default))

@@ -34,3 +34,26 @@ def native_vertices(match_runs: DataFrame, vertices: DataFrame, keys: list[str],
     met = points_in(vertices, match_runs, keys, "offset", width, closed=True)
     w = Window.partitionBy("section", "run").orderBy(F.col("offset") * F.col("direction"), "vertex")
     return met.withColumn("seq", F.row_number().over(w)).select("section", "run", "seq", "vertex")
+
+
+def bodies(df: DataFrame, keys: list[str], x: str, y: str, radius: str, share: float) -> DataFrame:
+    """(keys, n_body, r_min, fitted): of each curve the rows whose curvature reaches `share` of its greatest, their least radius and the circle (Kasa) through them.
+
+    fitted is infinite for fewer than three rows and for lines. The sums are aggregates about
+    the rows' centre, so no curve is held in memory.
+    """
+    sharpest = df.groupBy(*keys).agg(F.min(radius).alias("__r"))
+    body = df.join(sharpest, keys).where(1 / F.col(radius) >= share * (1 / F.col("__r")))
+    centre = body.groupBy(*keys).agg(F.avg(x).alias("__cx"), F.avg(y).alias("__cy"))
+    at = body.join(centre, keys).withColumns({"__x": F.col(x) - F.col("__cx"), "__y": F.col(y) - F.col("__cy")})
+    at = at.withColumn("__z", F.col("__x") * F.col("__x") + F.col("__y") * F.col("__y"))
+    product = lambda a, b: F.sum(F.col(a) * F.col(b)).alias(f"{a}{b}")
+    sums = at.groupBy(*keys).agg(
+        F.count("*").alias("n_body"), F.min(radius).alias("r_min"), F.avg("__z").alias("mz"), product("__x", "__x"), product("__x", "__y"), product("__y", "__y"), product("__x", "__z"), product("__y", "__z")
+    )
+    xx, xy, yy, xz, yz = (F.col(f"__{a}__{b}") for a, b in ("xx", "xy", "yy", "xz", "yz"))
+    det = xx * yy - xy * xy
+    p, q = F.try_divide(xz * yy - yz * xy, 2 * det), F.try_divide(yz * xx - xz * xy, 2 * det)
+    flat = (F.col("n_body") < 3) | (det <= 1e-12 * F.greatest(xx * yy, F.lit(1e-300)))
+    fitted = F.when(flat, F.lit(float("inf"))).otherwise(F.sqrt(F.col("mz") + p * p + q * q))
+    return sums.select(*keys, "n_body", "r_min", fitted.alias("fitted"))

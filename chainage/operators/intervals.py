@@ -71,3 +71,24 @@ def override_by_share(df: DataFrame, shares: DataFrame, ident: list[str], column
     """df with column set to value where the share reaches `least`; `overridden` tells where."""
     joined = df.join(shares.select(*ident, "share"), ident, "left").withColumn("overridden", F.coalesce(F.col("share") >= least, F.lit(False)))
     return joined.withColumn(column, F.when(F.col("overridden"), F.lit(value)).otherwise(F.col(column))).drop("share")
+
+
+def step_value(
+    points: DataFrame,
+    steps: DataFrame,
+    keys: list[str],
+    ident: list[str],
+    at: str,
+    value: str,
+    width: float,
+    default=None,
+    span: tuple[str, str] = ("lo", "hi"),
+) -> DataFrame:
+    """points with the value of the step [lo, hi) that holds them, the default outside all steps.
+
+    Of steps that overlap, the one of the smallest (lo, hi) counts.
+    """
+    met = points_in(points.select(*keys, *ident, at), steps.select(*keys, *span, value), keys, at, width, span)
+    first = met.groupBy(*keys, *ident).agg(F.min_by(F.struct(value), F.struct(*span)).alias("__s"))
+    out = points.join(first, [*keys, *ident], "left")
+    return out.withColumn(value, F.when(F.col("__s").isNull(), F.lit(default)).otherwise(F.col(f"__s.{value}"))).drop("__s")

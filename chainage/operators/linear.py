@@ -171,6 +171,17 @@ def derivative(df: DataFrame, keys: list[str], order: list[str], x: str, y: str,
     return df.withColumn("__d", raw).withColumn(out, F.coalesce("__d", F.first("__d", ignorenulls=True).over(ahead), F.last("__d", ignorenulls=True).over(back))).drop("__d")
 
 
+def gradient(df: DataFrame, keys: list[str], order: list[str], x: str, y: str, out: str) -> DataFrame:
+    """dy/dx of the second order on uneven positions, one-sided at both ends; 0 where it isn't defined."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    before, after = F.col(x) - F.lag(x).over(w), F.lead(x).over(w) - F.col(x)
+    down = F.try_divide(F.col(y) - F.lag(y).over(w), before)
+    up = F.try_divide(F.lead(y).over(w) - F.col(y), after)
+    parts = df.withColumns({"__a": before, "__b": after, "__down": down, "__up": up})
+    both = F.try_divide(F.col("__a") * F.col("__up") + F.col("__b") * F.col("__down"), F.col("__a") + F.col("__b"))
+    return parts.withColumn(out, F.coalesce(both, "__up", "__down", F.lit(0.0))).drop("__a", "__b", "__down", "__up")
+
+
 def unwrapped(df: DataFrame, keys: list[str], order: list[str], angle: str, out: str) -> DataFrame:
     """The angle (radians) without jumps of more than pi, from the section's first value."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -71,6 +71,34 @@ def project(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Column
     return share, F.hypot(x - (ax + share * dx), y - (ay + share * dy))
 
 
+def near_segments(
+    points: DataFrame,
+    segments: DataFrame,
+    radius: float,
+    cell: float | None = None,
+    p: tuple[str, str] = ("px", "py"),
+    a: tuple[str, str] = ("ax", "ay"),
+    b: tuple[str, str] = ("bx", "by"),
+) -> DataFrame:
+    """Pairs of points and straight segments a-b at most radius apart, with share (of the foot) and dist.
+
+    A segment goes to the cells of its box, widened by the radius, and a point to one cell,
+    so a pair meets once. cell: about the length of the longer segments, the radius at least.
+    """
+    size = max(cell or radius, radius)
+
+    def reach(one: str, other: str) -> Column:
+        low = F.floor((F.least(one, other) - radius) / size).cast("long")
+        return F.sequence(low, F.floor((F.greatest(one, other) + radius) / size).cast("long"))
+
+    known = segments.where(" and ".join(f"{c} is not null" for c in (*a, *b)))
+    spread = known.withColumn("__i", F.explode(reach(a[0], b[0]))).withColumn("__j", F.explode(reach(a[1], b[1])))
+    placed = points.withColumns({n: F.floor(F.col(c) / size).cast("long") for n, c in zip(("__i", "__j"), p, strict=True)})
+    share, dist = project(*[F.col(c) for c in (*p, *a, *b)])
+    met = placed.join(spread, ["__i", "__j"]).drop("__i", "__j")
+    return met.withColumns({"share": share, "dist": dist}).where(F.col("dist") <= radius)
+
+
 def first_claim(points: DataFrame, cell: list[str], section: str, rank: str) -> DataFrame:
     """Points of the section that claims their cell: that of the smallest rank in it. All of its points there stay."""
     claims = points.groupBy(*cell).agg(F.min(rank).alias("__claim"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chainage.functions import curves
 from chainage.functions.traction import COUPLED, LOCO, TILTING, Train, seconds_to
 from chainage.operators import graph, linear, robust, sequences, spatial, tables
+from chainage.plans import travel
 from chainage.plans.registry import TRACK, K, points, query, table, track
 
 #: Cant sets (cant and deficiency in mm).
@@ -84,37 +85,63 @@ def stretches(tr: DataFrame, gap_h: float) -> DataFrame:
     return linear.running_sum(before.withColumn("new", (F.coalesce(F.col("h") - F.col("h0"), F.lit(1e9)) > gap_h).cast("long")), ["user_id"], ["us"], F.col("new"), "stretch", block="day").drop("h0", "new")
 
 
-def travel_times(samples: DataFrame, keys: list[str], x_m: str, radius: str, settings: list[tuple[str, float, float]], train: Train) -> DataFrame:
+def travel_times(samples: DataFrame, keys: list[str], x_m: str, radius: str, settings: list[tuple[str, float, float]], train: Train, grade: str | None = None) -> DataFrame:
     """(keys, cant_set_id, cap, minutes, top_kmh) of each stretch under each setting (id, k, cap in km/h).
 
     Speeds with rests at both ends, power-limited forwards and brake-limited backwards. A
-    stretch is moved once, whatever the number of settings.
+    stretch is moved once, whatever the number of settings. grade: a column of rise over run.
     """
     name_types = dict(samples.dtypes)
     schema = ", ".join(f"{k} {name_types[k]}" for k in keys) + ", cant_set_id string, cap double, minutes double, top_kmh double"
 
     def rule(p: dict[str, np.ndarray]) -> list[tuple]:
         x, out = p[x_m], []
+        rise = p[grade] if grade else np.zeros(len(x))
         for name, k, cap in settings:
             limit = np.minimum(np.minimum(k * np.sqrt(p[radius]), curves.LIMIT_KMH), cap) / 3.6
             limit[[0, -1]] = 0.0
-            v = sequences.forward_speeds(limit, x, np.zeros(len(x)), train.acceleration)
+            v = sequences.forward_speeds(limit, x, rise, train.acceleration)
             back = np.minimum.accumulate((v**2 + 2 * train.brake_ms2 * x)[::-1])[::-1] - 2 * train.brake_ms2 * x
             v = np.minimum(v, np.sqrt(np.maximum(back, 0)))
             seconds = float((np.diff(x) / np.maximum((v[1:] + v[:-1]) / 2, 0.5)).sum())
             out.append((*(p[c][0] for c in keys), name, cap, seconds / 60, float(v.max(initial=0)) * 3.6))
         return out
 
-    return sequences.per_small_key(samples.select(*keys, x_m, radius), keys, [x_m], schema, rule)
+    return sequences.per_small_key(samples.select(*keys, x_m, radius, *([grade] if grade else [])), keys, [x_m], schema, rule)
 
 
-@query()
+def _acceleration_sql(t: Train, v: str, grade: str = "0") -> str:
+    """Acceleration of a train at the speed v (m/s) as SQL."""
+    at = f"greatest({v}, 1.0::DOUBLE)"
+    pull = f"{t.rail_w!r}::DOUBLE / {at}"
+    drag = f"({t.rolling!r} + {t.rolling_v!r}::DOUBLE * ({at} * 3.6)) * {t.mass_kg!r}::DOUBLE / 1000 + {0.0463 * t.drag_area_m2!r}::DOUBLE * ({at} * 3.6) * ({at} * 3.6)"
+    return f"least({t.start_ms2!r}::DOUBLE, ({pull} - ({drag}) - {t.mass_kg * 9.81!r}::DOUBLE * ({grade})) / {t.mass_kg * t.rotating!r}::DOUBLE)"
+
+
+_SETTINGS = ", ".join(f"('{s.cant_set_id}', {s.coefficient!r}::DOUBLE, {c}::DOUBLE)" for s in CANT_SETS for c in (153.0, 177.0, 201.0))
+
+
+@query("WITH RECURSIVE" + TRACK.removeprefix("WITH") + f""", z0 AS (SELECT user_id, h, h * 1000 AS x, r, median(value / 50) OVER (PARTITION BY user_id ORDER BY us ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m,
+ row_number() OVER w AS i, count(*) OVER (PARTITION BY user_id) AS n FROM tr WINDOW w AS (PARTITION BY user_id ORDER BY us)),
+z1 AS (SELECT a.user_id, a.i, avg(b.m) AS e FROM z0 a, (SELECT unnest(range(-3, 4)) AS d) o, z0 b WHERE b.user_id = a.user_id AND b.i = least(greatest(a.i + d, 1), a.n) GROUP BY ALL),
+z2 AS (SELECT z0.user_id, i, h, x, r, e, x - lag(x) OVER w AS da, lead(x) OVER w - x AS db, (e - lag(e) OVER w) / (x - lag(x) OVER w) AS ga, (lead(e) OVER w - e) / (lead(x) OVER w - x) AS gb, coalesce(CAST(h - lag(h) OVER w > 12 AS INTEGER), 1) AS new
+ FROM z0 JOIN z1 USING (user_id, i) WINDOW w AS (PARTITION BY user_id ORDER BY i)),
+z3 AS (SELECT user_id, i, x, r, coalesce((da * gb + db * ga) / (da + db), gb, ga, 0) AS grade, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY i) AS BIGINT) AS stretch FROM z2),
+z4 AS (SELECT *, row_number() OVER (PARTITION BY user_id, stretch ORDER BY i) AS j, count(*) OVER (PARTITION BY user_id, stretch) AS n FROM z3),
+s AS (SELECT user_id, stretch, j, x, grade, cant_set_id, cap, CASE WHEN j IN (1, n) THEN 0.0::DOUBLE ELSE least(least(k * sqrt(r), 360), cap) / 3.6 END AS lim FROM z4, (VALUES {_SETTINGS}) t(cant_set_id, k, cap)),
+f AS (SELECT user_id, stretch, j, x, cant_set_id, cap, 0.0::DOUBLE AS v FROM s WHERE j = 1
+ UNION ALL SELECT s.user_id, s.stretch, s.j, s.x, s.cant_set_id, s.cap, least(s.lim, sqrt(greatest(1.0::DOUBLE, f.v * f.v + 2 * {_acceleration_sql(TILTING, "f.v", "s.grade")} * (s.x - f.x)))) FROM f JOIN s ON s.user_id = f.user_id AND s.stretch = f.stretch AND s.cant_set_id = f.cant_set_id AND s.cap = f.cap AND s.j = f.j + 1),
+g AS (SELECT *, min(v * v + 2 * {TILTING.brake_ms2}::DOUBLE * x) OVER (PARTITION BY user_id, stretch, cant_set_id, cap ORDER BY j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - 2 * {TILTING.brake_ms2}::DOUBLE * x AS back FROM f),
+b AS (SELECT user_id, stretch, cant_set_id, cap, j, x, least(v, sqrt(greatest(back, 0))) AS v FROM g),
+d AS (SELECT *, coalesce((lead(x) OVER w - x) / greatest((v + lead(v) OVER w) / 2, 0.5), 0) AS t FROM b WINDOW w AS (PARTITION BY user_id, stretch, cant_set_id, cap ORDER BY j))
+SELECT user_id, stretch, cant_set_id, cap, round(sum(t) / 60, 5) AS minutes, round(max(v) * 3.6, 5) AS top_kmh FROM d GROUP BY ALL""")
 def travel_time_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Minutes of each stretch by cant set and cap: sampled limits, then a forward recurrence (no SQL)."""
-    tr = stretches(track(spark, sf_dir).select("user_id", "us", "day", "h", "r"), 12.0).withColumn("x", F.col("h") * 1000)
+    """Minutes of each stretch by cant set and cap over a graded line: limits, then a forward recurrence under power."""
+    line = track(spark, sf_dir).select("user_id", "us", "day", "h", "r", (F.col("h") * 1000).alias("x"), (F.col("value") / 50).alias("z"))
+    tr = stretches(travel.grades(line, ["user_id"], "x", "z"), 12.0)
     settings = [(s.cant_set_id, s.coefficient, c) for s in CANT_SETS for c in (153.0, 177.0, 201.0)]
-    out = travel_times(tr, ["user_id", "stretch"], "x", "r", settings, TILTING)
-    return out.withColumns({"minutes": F.round("minutes", 6), "top_kmh": F.round("top_kmh", 6)})
+    out = travel_times(tr, ["user_id", "stretch"], "x", "r", settings, TILTING, "grade")
+    return out.withColumns({"minutes": F.round("minutes", 5), "top_kmh": F.round("top_kmh", 5)})
 
 
 @query(_RUNS + """, s AS (SELECT user_id, run, any_value(class) AS class, min(h) AS lo, max(h) AS hi FROM b GROUP BY user_id, run),
@@ -165,9 +192,16 @@ def margins_by_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("from_stop", "to_stop").agg(F.count("*").alias("n"), F.round(F.median("m"), 4).alias("scheduled"), F.round(F.median("b"), 6).alias("base"), F.round(F.try_divide(100 * (F.median("m") - F.median("b")), F.median("b")), 3).alias("margin"))
 
 
-@query()
+_TRAINS = (COUPLED, LOCO, TILTING)
+_BY_TRAIN = "CASE train " + " ".join(f"WHEN '{t.name}' THEN {_acceleration_sql(t, 'v')}" for t in _TRAINS) + " END"
+
+
+@query(f"""WITH RECURSIVE f AS (SELECT train, mph, mph * 1.609344::DOUBLE AS goal, 0.5::DOUBLE AS v, 0 AS n, {_BY_TRAIN.replace("greatest(v,", "greatest(0.5::DOUBLE,")} AS a FROM (VALUES {", ".join(f"('{t.name}')" for t in _TRAINS)}) t(train), (VALUES (60.0::DOUBLE), (100), (125)) m(mph)
+ UNION ALL SELECT train, mph, goal, v, n, {_BY_TRAIN} FROM (SELECT train, mph, goal, v + a * 0.1::DOUBLE AS v, n + 1 AS n FROM f WHERE v * 3.6 < goal AND a > 1e-4 AND n <= 36000)),
+e AS (SELECT train, mph, max(n) AS n, max_by(v, n) AS v, any_value(goal) AS goal FROM f GROUP BY train, mph)
+SELECT train, mph, CASE WHEN v * 3.6 >= goal THEN round(n * 0.1::DOUBLE, 1) ELSE 'inf'::DOUBLE END AS seconds FROM e""")
 def traction_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seconds from rest to 60, 100 and 125 mph of the trainsets, by steps of 0.1 s: one parameter row each (no SQL)."""
+    """Seconds from rest to 60, 100 and 125 mph of the trainsets, by steps of 0.1 s: one parameter row each."""
     trains = {t.name: t for t in (COUPLED, LOCO, TILTING)}
     rows = spark.createDataFrame([(name, float(mph)) for name in trains for mph in (60, 100, 125)], "train string, mph double")
 

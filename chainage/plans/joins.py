@@ -97,12 +97,9 @@ g AS (SELECT id, edge, s, sqrt((x - ax - s * (bx - ax)) ** 2 + (y - ay - s * (by
 SELECT id, edge, round(s, 6) AS share, round(dist, 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(dist, 9), edge) AS k FROM g WHERE dist <= 0.04) WHERE k = 1""")
 def project_on_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
-    # an edge's points lie within half its length (0.03) of its middle, so a radius of 0.04 + 0.03 finds every edge within 0.04
     edges = p.select(F.col("id").alias("edge"), F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("x") + 0.05).alias("bx"), (F.col("y") + 0.03).alias("by"))
-    middles = edges.withColumns({"ox": (F.col("ax") + F.col("bx")) / 2, "oy": (F.col("ay") + F.col("by")) / 2})
-    near = spatial.within(p.select("id", F.col("x").alias("px"), F.col("y").alias("py")), middles, 0.07).where("id <> edge").drop("dist")
-    share, dist = spatial.project(*[F.col(c) for c in ("px", "py", "ax", "ay", "bx", "by")])
-    found = near.withColumns({"share": share, "dist": dist}).where("dist <= 0.04").withColumn("d9", F.round("dist", 9))
+    asked = p.select("id", F.col("x").alias("px"), F.col("y").alias("py"))
+    found = spatial.near_segments(asked, edges, 0.04, 0.05).where("id <> edge").withColumn("d9", F.round("dist", 9))
     return tables.first_per_key(found, ["id"], ["d9", "edge"]).select("id", "edge", F.round("share", 6).alias("share"), F.round("dist", 6).alias("dist"))
 
 
@@ -163,6 +160,19 @@ def step_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return errors.join(found, "event_id", "left").select("event_id", F.coalesce("inside", F.lit(False)).alias("inside"))
 
 
+@query(TRACK + """, q AS (SELECT user_id, event_id, h + 1.5 AS at FROM tr WHERE event_type = 'error'), s AS (SELECT user_id, h AS lo, lead(h) OVER (PARTITION BY user_id ORDER BY us) AS hi, v FROM tr)
+SELECT q.event_id, round(coalesce(s.v, 0), 6) AS limit_kmh FROM q LEFT JOIN s ON q.user_id = s.user_id AND q.at >= s.lo AND q.at < s.hi""")
+def step_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Limit in force at positions, 0 beyond the last step."""
+    from pyspark.sql import Window
+
+    tr = track(spark, sf_dir)
+    steps = tr.select("user_id", F.col("h").alias("lo"), F.lead("h").over(Window.partitionBy("user_id").orderBy("us")).alias("hi"), "v")
+    asked = tr.where("event_type = 'error'").select("user_id", "event_id", (F.col("h") + 1.5).alias("at"))
+    out = intervals.step_value(asked, steps, ["user_id"], ["event_id"], "at", "v", 12.0, 0.0)
+    return out.select("event_id", F.round("v", 6).alias("limit_kmh"))
+
+
 _MARKS = TRACK + """, q AS (SELECT user_id, event_id, us, h FROM tr WHERE event_type = 'error'), m AS (SELECT user_id, event_id AS mark, us, h, v FROM tr WHERE event_type = 'signup')
 """
 

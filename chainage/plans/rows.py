@@ -100,13 +100,35 @@ def formatted_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", scalar.decimal_comma(F.col("o_totalprice"), 1).alias("price"), scalar.hour_minute(F.col("o_totalprice") / 1000).alias("hm"), F.format_string("%s-%06d", "o_orderstatus", "o_custkey").alias("code"))
 
 
-@query(f"""WITH s AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice AS r FROM lineitem)
-SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity < 10 AND r < (250 / {K}::DOUBLE) ** 2 * 10 AS corrected,
- round(CASE WHEN l_quantity < 10 AND r < (250 / {K}::DOUBLE) ** 2 * 10 THEN least({K}::DOUBLE * sqrt(r * 1.25), 360) ELSE least({K}::DOUBLE * sqrt(r), 360) END, 6) AS v FROM s""")
+def _published_sql(sets: tuple[curves.CantSet, ...]) -> str:
+    """Class and published speed of the radius in column radius, as SQL columns of each cant set."""
+    out = []
+    for c in sets:
+        v = f"least({c.coefficient!r}::DOUBLE * sqrt(radius), 360)"
+        code = "CASE " + " ".join(f"WHEN {v} >= {k.low} THEN '{k.code}'" for k in curves.CLASSES[:-1]) + " ELSE 'F' END"
+        tops = {k.code: 360.0 if k.high == float("inf") else k.high - 0.1 for k in curves.CLASSES}
+        top = f"CASE {code} " + " ".join(f"WHEN '{k}' THEN {t}::DOUBLE" for k, t in tops.items()) + " END"
+        out += [f"{code} AS class_{c.cant_set_id}", f"round(least(round({v}, 1), {top}), 1) AS vmax_{c.cant_set_id}"]
+    return ", ".join(out)
+
+
+_TILTING = (curves.CantSet("base", 100, 76), curves.CantSet("tilting", 127, 152))
+_SHORT_M = (250.0 / _TILTING[1].coefficient) ** 2
+
+
+@query(f"""WITH s AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity * 50 < 900 AND l_extendedprice / 10 < {_SHORT_M!r}::DOUBLE AS corrected, l_extendedprice / 10 AS r FROM lineitem),
+t AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, corrected, CASE WHEN corrected THEN 0.5 * r ELSE r END AS radius FROM s)
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, corrected, radius, {_published_sql(_TILTING)} FROM t""")
 def short_curve_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = F.col("l_extendedprice")
-    short = (F.col("l_quantity") < 10) & (r < F.lit((250 / K) ** 2 * 10))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", short.alias("corrected"), F.round(curves.vmax(F.when(short, r * 1.25).otherwise(r), K), 6).alias("v"))
+    """Radii of short curves corrected, then class and published speed of both cant sets anew."""
+    li = table(spark, sf_dir, "lineitem")
+    fixed = li.withColumn("s", curves.short_curve(F.col("l_quantity") * 50, F.col("l_extendedprice") / 10, _SHORT_M)).select("*", "s.*")
+    r = F.col("radius")
+    out = {}
+    for c in _TILTING:
+        p = curves.published(r, r, c.coefficient)
+        out |= {f"class_{c.cant_set_id}": p["code"], f"vmax_{c.cant_set_id}": p["vmax"]}
+    return fixed.withColumns(out).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "corrected", "radius", *out)
 
 
 @query("""SELECT event_id, round(sqrt(value), 6) AS f_sqrt, round(sin(radians(value)), 6) AS f_sin, round(degrees(atan2(value, 100)), 6) AS f_atan, round(sqrt(value * value + 9), 6) AS f_hypot,

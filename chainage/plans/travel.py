@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chainage.functions.traction import COUPLED, LOCO, TILTING, Train
-from chainage.operators import intervals, linear, sequences
+from chainage.operators import intervals, linear, robust, sequences
 from chainage.plans.registry import TRACK, query, track
 
 
@@ -33,6 +33,33 @@ def samples(pieces: DataFrame, keys: list[str], step: float) -> DataFrame:
     return linear.asof(at.select(*own, "x"), pieces.select(*own, F.col("lo").alias("x"), "v"), own, "x", ["v"]).select(*own, "x", "v")
 
 
+def grades(profile: DataFrame, keys: list[str], x_m: str, height: str, out: str = "grade") -> DataFrame:
+    """profile with its gradient (rise over run): the height's rolling median of five, then a mean of seven, then its slope."""
+    level = robust.rolling_median(profile, keys, [x_m], height, 2, "__median")
+    even = robust.moving_average(level, keys, [x_m], "__median", 3, "__even")
+    return linear.gradient(even, keys, [x_m], x_m, "__even", out).drop("__median", "__even")
+
+
+def graded(sampled: DataFrame, profile: DataFrame, keys: list[str]) -> DataFrame:
+    """sampled with the gradient of the profile (keys, x, grade), interpolated at each sample and clamped at the ends."""
+    return linear.interpolate(sampled, profile.select(*keys, "x", "grade"), keys, "x", "grade", "grade")
+
+
+def with_frozen(free: DataFrame, blocks: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, free, frozen, minutes): running minutes beside the scheduled median minutes of the blocks left out.
+
+    free: (keys, minutes), any number of rows a key. blocks: (keys, from_stop, to_stop).
+    pairs: (from_stop, to_stop, minutes), one row for each timetable sample; a block without
+    samples has no frozen minutes and makes the sum null, so that it isn't taken for zero.
+    """
+    ends = ["from_stop", "to_stop"]
+    medians = pairs.groupBy(*ends).agg(F.median("minutes").alias("m"))
+    held = blocks.join(medians, ends, "left").groupBy(*keys).agg(F.when(F.count("*") == F.count("m"), F.sum("m")).alias("frozen"), F.lit(True).alias("__any"))
+    out = free.groupBy(*keys).agg(F.sum("minutes").alias("free")).join(held, keys, "left")
+    out = out.withColumn("frozen", F.when(F.col("__any"), F.col("frozen")).otherwise(0.0)).drop("__any")
+    return out.withColumn("minutes", F.col("free") + F.col("frozen"))
+
+
 def stopped(sampled: DataFrame, stops: DataFrame, keys: list[str]) -> DataFrame:
     """sampled with `rest`: the sample of its section nearest to each stop (keys, stop), ties to the smaller position."""
     nearest = sampled.join(stops, keys).groupBy(*keys, "stop").agg(F.min_by(F.struct("stretch", "x"), F.struct(F.abs(F.col("x") - F.col("stop")), "x")).alias("s"))
@@ -49,33 +76,34 @@ def minutes_of(sampled: DataFrame, keys: list[str], runs: list[tuple[str, Train,
     """(keys, stretch, variant, minutes) of runs (variant, train, cap, whether it stops): a stretch is moved once for all of them.
 
     Rests at both ends and at `rest`, the slowest limit under the whole train, power
-    forwards, brakes backwards. A task holds one stretch.
+    forwards, brakes backwards. A column `grade` counts where there is one. A task holds one stretch.
     """
     kinds = dict(sampled.dtypes)
     own = [*keys, "stretch"]
     schema = ", ".join(f"{k} {kinds[k]}" for k in own) + ", variant string, minutes double"
 
-    def seconds(x: np.ndarray, speed: np.ndarray, rest: np.ndarray, train: Train, cap: float) -> float:
+    def seconds(x: np.ndarray, speed: np.ndarray, rest: np.ndarray, grade: np.ndarray, train: Train, cap: float) -> float:
         limit = np.minimum(speed, cap) / 3.6
         dx = (x[-1] - x[0]) / max(1, len(x) - 1)
         tail = int(round(train.length_m / dx)) if dx else 0
         if tail:
             limit = np.lib.stride_tricks.sliding_window_view(np.concatenate((np.full(tail, np.inf), limit)), tail + 1).min(axis=1)
         v = np.where(rest, 0.0, limit)
-        v = sequences.forward_speeds(v, x, np.zeros(len(x)), train.acceleration)
+        v = sequences.forward_speeds(v, x, grade, train.acceleration)
         back = np.minimum.accumulate((v**2 + 2 * train.brake_ms2 * x)[::-1])[::-1] - 2 * train.brake_ms2 * x
         v = np.minimum(v, np.sqrt(np.maximum(back, 0.0)))
         return float((np.diff(x) / np.maximum((v[1:] + v[:-1]) / 2, 0.5)).sum())
 
     def rule(c: dict[str, np.ndarray]) -> list[tuple]:
-        out = []
+        out, grade = [], c.get("grade", np.zeros(len(c["x"])))
         for name, train, cap, stops in runs:
             rest = c["rest"].copy() if stops else np.zeros(len(c["x"]), bool)
             rest[[0, -1]] = True
-            out.append((*(c[k][0] for k in own), name, seconds(c["x"] * 1000, c["v"], rest, train, cap) / 60))
+            out.append((*(c[k][0] for k in own), name, seconds(c["x"] * 1000, c["v"], rest, grade, train, cap) / 60))
         return out
 
-    return sequences.per_small_key(sampled.select(*own, "x", "v", "rest"), own, ["x"], schema, rule)
+    extra = ["grade"] if "grade" in sampled.columns else []
+    return sequences.per_small_key(sampled.select(*own, "x", "v", "rest", *extra), own, ["x"], schema, rule)
 
 
 def tables_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -168,16 +196,17 @@ def representative_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longest(tr, tr, "route", "shape")
 
 
-@query()
+@query(TRACK + """, a AS (SELECT *, CAST(class IS DISTINCT FROM lag(class) OVER w OR row_number() OVER w = 1 AS INTEGER) AS f FROM tr WINDOW w AS (PARTITION BY user_id ORDER BY us)),
+b AS (SELECT *, CAST(sum(f) OVER (PARTITION BY user_id ORDER BY us) AS BIGINT) AS run FROM a), c AS (SELECT *, 1 / r >= 0.7 * max(1 / r) OVER (PARTITION BY user_id, run) AS body FROM b),
+d AS (SELECT user_id, run, r, h - avg(h) OVER (PARTITION BY user_id, run) AS x, value - avg(value) OVER (PARTITION BY user_id, run) AS y FROM c WHERE body), e AS (SELECT *, x * x + y * y AS z FROM d),
+s AS (SELECT user_id, run, count(*) AS m, min(r) AS r_min, avg(z) AS mz, sum(x * x) AS cxx, sum(x * y) AS cxy, sum(y * y) AS cyy, sum(x * z) AS cxz, sum(y * z) AS cyz FROM e GROUP BY ALL),
+f AS (SELECT *, cxx * cyy - cxy * cxy AS det, m < 3 OR cxx * cyy - cxy * cxy <= 1e-12 * greatest(cxx * cyy, 1e-300) AS flat FROM s),
+g AS (SELECT *, (cxz * cyy - cyz * cxy) / det / 2 AS p, (cyz * cxx - cxz * cxy) / det / 2 AS q FROM f)
+SELECT user_id, run, m AS n_body, r_min, CASE WHEN flat THEN 1e7::DOUBLE ELSE round(least(sqrt(mz + p * p + q * q), 1e7), 2) END AS fitted FROM g""")
 def curve_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each segment the part whose curvature reaches 0.7 of its greatest, and the circle through it (grouped fit: no SQL)."""
-    numbered = linear.islands(track(spark, sf_dir), ["user_id"], ["us"], "class", "run", block="day")
+    """Of each segment the part whose curvature reaches 0.7 of its greatest, and the circle through it."""
+    from chainage.operators.corridor import bodies
 
-    def rule(c: dict[str, np.ndarray]) -> list[tuple]:
-        body = 1 / c["r"] >= 0.7 * (1 / c["r"]).max()
-        x, y = c["h"][body], c["value"][body]
-        radius = float(sequences.circle_radii(x, y, len(x))[0])
-        return [(int(c["user_id"][0]), int(c["run"][0]), int(body.sum()), float(c["r"][body].min()), min(radius, 1e7))]
-
-    out = sequences.per_small_key(numbered.select("user_id", "run", "us", "h", "value", "r"), ["user_id", "run"], ["us"], "user_id long, run long, n_body long, r_min double, fitted double", rule)
-    return out.withColumn("fitted", F.round("fitted", 4))
+    numbered = linear.islands(track(spark, sf_dir), ["user_id"], ["us"], "class", "run", block="day")
+    out = bodies(numbered, ["user_id", "run"], "h", "value", "r", 0.7)
+    return out.select("user_id", "run", "n_body", "r_min", F.round(F.least("fitted", F.lit(1e7)), 2).alias("fitted"))
