@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chainage.functions import curves
-from chainage.operators import intervals, linear, robust
-from chainage.plans.registry import TRACK, K, query, track
+from chainage.operators import intervals, linear, robust, spatial
+from chainage.plans.registry import POINTS, TRACK, K, points, query, track
 
 CODES = [c.code for c in curves.CLASSES]
 #: Classes of high speed, and how many classes under its neighbourhood a bottleneck lies.
@@ -164,3 +164,61 @@ def equal_stop_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.when(varied, slope), 4).alias("minutes_a_stop"), F.round(F.when(varied, start + slope * F.max("n") - F.max("ours")), 4).alias("gain_by_trend"),
         F.round(F.median(F.when(F.col("n") >= F.col("top") - 1, F.col("m"))) - F.max("ours"), 4).alias("gain_of_full"),
     )
+
+
+#: Fixed value: a double track shorter than this between single ones is a passing loop.
+LOOP = 1.5
+
+
+def reconciled(geometric: Column, tagged: Column, ways: Column, most: int = 3) -> Column:
+    """Number of tracks: the geometric one, raised to the tagged one where at least two ways are near; never lowered."""
+    seen = F.least(F.greatest(F.coalesce(geometric, F.lit(1)), F.lit(1)), F.lit(most))
+    told = F.least(F.greatest(F.coalesce(tagged, F.lit(0)), F.lit(0)), F.lit(most))
+    return F.greatest(seen, F.when(F.coalesce(ways, F.lit(1)) >= 2, told).otherwise(0))
+
+
+def state_runs(df: DataFrame, keys: list[str], order: list[str], at: str, state: str, usage: str, station: str, block: str | None = None, loop: float = LOOP) -> DataFrame:
+    """Runs of one state: lo, hi, state, the commonest usage (ties to the smaller, nulls aside), whether half of it is at a station, whether it is a passing loop."""
+    rows = linear.islands(df, keys, order, state, "run", block)
+    s = rows.groupBy(*keys, "run").agg(
+        F.min(at).alias("lo"), F.max(at).alias("hi"), F.first(state).alias("state"), F.mode(usage, True).alias("usage"), (F.avg(F.col(station).cast("double")) >= 0.5).alias("at_station")
+    )
+    w = Window.partitionBy(*keys).orderBy("run")
+    alone = (F.lag("state").over(w) == 1) & (F.lead("state").over(w) == 1)
+    return s.withColumn("loop", F.coalesce((F.col("state") == 2) & (F.col("hi") - F.col("lo") < loop) & alone, F.lit(False)))
+
+
+@query(TRACK + """, g AS (SELECT user_id, us, h, CASE WHEN event_type <> 'view' THEN event_type END AS usage, event_type = 'signup' AS station,
+ greatest(least(greatest(1 + CAST(floor(value / 60) AS BIGINT), 1), 3), CASE WHEN event_id % 3 >= 1 THEN event_id % 4 ELSE 0 END) AS state FROM tr),
+a AS (SELECT *, CAST(state IS DISTINCT FROM lag(state) OVER w OR row_number() OVER w = 1 AS INTEGER) AS f FROM g WINDOW w AS (PARTITION BY user_id ORDER BY us)),
+b AS (SELECT *, CAST(sum(f) OVER (PARTITION BY user_id ORDER BY us) AS BIGINT) AS run FROM a),
+c AS (SELECT user_id, run, usage, row_number() OVER (PARTITION BY user_id, run ORDER BY count(*) DESC, usage) AS k FROM b WHERE usage IS NOT NULL GROUP BY user_id, run, usage),
+s AS (SELECT user_id, run, min(h) AS lo, max(h) AS hi, any_value(state) AS state, avg(station::DOUBLE) >= 0.5 AS at_station FROM b GROUP BY user_id, run)
+SELECT s.user_id, s.run, round(lo, 6) AS lo, round(hi, 6) AS hi, state, c.usage, at_station, coalesce(state = 2 AND hi - lo < 24 AND lag(state) OVER w = 1 AND lead(state) OVER w = 1, false) AS loop
+FROM s LEFT JOIN c ON c.user_id = s.user_id AND c.run = s.run AND k = 1 WINDOW w AS (PARTITION BY s.user_id ORDER BY s.run)""")
+def track_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of equal reconciled numbers of tracks with their usage, stations and passing loops."""
+    e = F.col("event_id")
+    tr = track(spark, sf_dir).withColumn("state", reconciled(1 + F.floor(F.col("value") / 60), e % 4, 1 + e % 3))
+    tr = tr.withColumns({"usage": F.when(F.col("event_type") != "view", F.col("event_type")), "station": F.col("event_type") == "signup"})
+    out = state_runs(tr, ["user_id"], ["us"], "h", "state", "usage", "station", "day", 24.0)
+    return out.withColumns({"lo": F.round("lo", 6), "hi": F.round("hi", 6)}).select("user_id", "run", "lo", "hi", F.col("state").cast("long").alias("state"), "usage", "at_station", "loop")
+
+
+def unique_network(rows: DataFrame, cells: list[str], section: str, state: str) -> DataFrame:
+    """Points that count once: those of the largest section in each cell (ties to the smaller name), with the greatest state of any point in it."""
+    size = rows.groupBy(section).agg(F.count("*").alias("__n"))
+    ranked = rows.join(size, section).withColumn("__rank", F.struct((-F.col("__n")).alias("n"), section))
+    greatest = rows.groupBy(*cells).agg(F.max(state).alias("cell_state"))
+    return spatial.first_claim(ranked, cells, section, "__rank").join(greatest, cells).drop("__n", "__rank")
+
+
+@query(POINTS + """, q AS (SELECT id, label, id % 3 + 1 AS state, CAST(round(x / 0.08) AS BIGINT) AS cx, CAST(round(y / 0.08) AS BIGINT) AS cy, count(*) OVER (PARTITION BY label) AS n FROM p),
+c AS (SELECT cx, cy, min_by(label, (-n, label)) AS label, max(state) AS top FROM q GROUP BY cx, cy)
+SELECT q.label, c.top AS state, round(count(*) * 0.02, 4) AS km FROM q JOIN c USING (cx, cy, label) GROUP BY q.label, c.top""")
+def unique_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length of the network that each section adds, every cell counted once, by its greatest number of tracks."""
+    at = lambda c: F.round(F.col(c) / 0.08).cast("long")
+    p = points(spark, sf_dir).select("label", (F.col("id") % 3 + 1).alias("state"), at("x").alias("cx"), at("y").alias("cy"))
+    once = unique_network(p, ["cx", "cy"], "label", "state")
+    return once.groupBy("label", F.col("cell_state").alias("state")).agg(F.round(F.count("*") * 0.02, 4).alias("km"))

@@ -168,3 +168,19 @@ def test_acceleration_of_a_train_has_one_form():
         for v, grade in ((0.2, 0.0), (5.0, 0.01), (40.0, -0.02), (70.0, 0.0)):
             ((sql,),) = duckdb.sql(f"SELECT {engines._acceleration_sql(t, f'{v}::DOUBLE', f'{grade}::DOUBLE')}").fetchall()
             assert abs(sql - t.acceleration(v, grade)) < 1e-12
+
+
+def test_track_states(spark):
+    rows = [(1, None, None), (1, 2, 1), (1, 2, 2), (3, 1, 2), (7, 0, 0), (0, 9, 5)]
+    df = spark.createDataFrame([(g, t, w) for g, t, w in rows] + [(None, 2, 3)], "g int, t int, w int")
+    assert [r[0] for r in df.select(synthesis.reconciled(F.col("g"), F.col("t"), F.col("w"))).collect()] == [1, 1, 2, 3, 3, 3, 2]
+    line = [(1, i, float(i), s, u, i < 2) for i, (s, u) in enumerate([(1, "a"), (1, None), (2, "b"), (2, "a"), (1, None), (1, None), (2, "z"), (2, "z"), (2, "y"), (1, "q"), (2, "q")])]
+    runs = synthesis.state_runs(spark.createDataFrame(line, "k int, i int, h double, s int, u string, near boolean"), ["k"], ["i"], "h", "s", "u", "near")
+    got = [(r.lo, r.hi, r.state, r.usage, r.at_station, r.loop) for r in runs.orderBy("run").collect()]
+    assert got == [(0.0, 1.0, 1, "a", True, False), (2.0, 3.0, 2, "a", False, True), (4.0, 5.0, 1, None, False, False), (6.0, 8.0, 2, "z", False, False), (9.0, 9.0, 1, "q", False, False), (10.0, 10.0, 2, "q", False, False)]
+
+
+def test_unique_network(spark):
+    points = [(1, "a", 0, 1), (2, "a", 1, 2), (3, "b", 0, 3), (4, "b", 2, 1), (5, "b", 2, 2), (6, "c", 1, 3), (7, "c", 9, 1), (8, "c", 9, 1)]
+    out = synthesis.unique_network(spark.createDataFrame(points, "i int, section string, cell int, state int"), ["cell"], "section", "state")
+    assert sorted((r.i, r.cell_state) for r in out.collect()) == [(3, 3), (4, 2), (5, 2), (6, 3), (7, 1), (8, 1)]
