@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+import numpy as np
+
 
 class Train(NamedTuple):
     """A trainset. Resistance: (rolling + rolling_v v) N per loaded tonne, and drag 0.0463 * area * v2 (km/h)."""
@@ -38,6 +40,11 @@ class Train(NamedTuple):
         v = max(v_ms, 1.0)
         return min(self.start_ms2, (self.rail_w / v - self.resistance_n(v * 3.6) - self.mass_kg * 9.81 * grade) / (self.mass_kg * self.rotating))
 
+    def accelerations(self, v_ms, grade=0.0):
+        """`acceleration` of an array of speeds."""
+        v = np.maximum(v_ms, 1.0)
+        return np.minimum(self.start_ms2, (self.rail_w / v - self.resistance_n(v * 3.6) - self.mass_kg * 9.81 * grade) / (self.mass_kg * self.rotating))
+
     def balancing_kmh(self, grade: float = 0.0) -> float:
         """Speed at which pull and resistance balance, by bisection."""
         low, high = 0.0, 600.0

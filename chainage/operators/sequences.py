@@ -167,15 +167,18 @@ def simplify(xy: np.ndarray, tolerance: float) -> np.ndarray:
     return np.flatnonzero(keep)
 
 
-def forward_speeds(limit_ms: np.ndarray, x_m: np.ndarray, grade: np.ndarray, acceleration: Callable[[float, float], float], start_ms: float = 0.0) -> np.ndarray:
-    """Speeds along x under limits, power-limited: v' = sqrt(v^2 + 2 a(v) dx), 1 m/s at least where the limit isn't lower; the grade is that of the row reached."""
-    v = np.empty(len(x_m))
-    now = min(start_ms, limit_ms[0]) if len(v) else 0.0
-    for i in range(len(v)):
-        if i:
-            a = acceleration(now, grade[i])
-            now = min(float(limit_ms[i]), float(np.sqrt(max(1.0, now * now + 2 * a * (x_m[i] - x_m[i - 1])))))
-        v[i] = now
+def forward_speeds(limit_ms: np.ndarray, x_m: np.ndarray, grade: np.ndarray, acceleration: Callable, start_ms: float = 0.0) -> np.ndarray:
+    """Speeds along x under limits, power-limited: v' = sqrt(v^2 + 2 a(v) dx), 1 m/s at least where the limit isn't lower; the grade is that of the row reached.
+
+    limit_ms may have a row for each of several settings, which then advance together;
+    acceleration takes what a step has: a speed, or an array of them.
+    """
+    v = np.empty(limit_ms.shape)
+    if not len(x_m):
+        return v
+    now = v[..., 0] = np.minimum(start_ms, limit_ms[..., 0])
+    for i, dx in enumerate(np.diff(x_m), 1):
+        now = v[..., i] = np.minimum(limit_ms[..., i], np.sqrt(np.maximum(1.0, now * now + 2 * acceleration(now, grade[i]) * dx)))
     return v
 
 

@@ -94,18 +94,20 @@ def travel_times(samples: DataFrame, keys: list[str], x_m: str, radius: str, set
     name_types = dict(samples.dtypes)
     schema = ", ".join(f"{k} {name_types[k]}" for k in keys) + ", cant_set_id string, cap double, minutes double, top_kmh double"
 
+    names, k, cap = zip(*settings, strict=True)
+    k_of, cap_of = np.array(k)[:, None], np.array(cap)[:, None]
+
     def rule(p: dict[str, np.ndarray]) -> list[tuple]:
-        x, out = p[x_m], []
+        x, own = p[x_m], [p[c][0] for c in keys]
         rise = p[grade] if grade else np.zeros(len(x))
-        for name, k, cap in settings:
-            limit = np.minimum(np.minimum(k * np.sqrt(p[radius]), curves.LIMIT_KMH), cap) / 3.6
-            limit[[0, -1]] = 0.0
-            v = sequences.forward_speeds(limit, x, rise, train.acceleration)
-            back = np.minimum.accumulate((v**2 + 2 * train.brake_ms2 * x)[::-1])[::-1] - 2 * train.brake_ms2 * x
-            v = np.minimum(v, np.sqrt(np.maximum(back, 0)))
-            seconds = float((np.diff(x) / np.maximum((v[1:] + v[:-1]) / 2, 0.5)).sum())
-            out.append((*(p[c][0] for c in keys), name, cap, seconds / 60, float(v.max(initial=0)) * 3.6))
-        return out
+        limit = np.minimum(np.minimum(k_of * np.sqrt(p[radius]), curves.LIMIT_KMH), cap_of) / 3.6
+        limit[:, [0, -1]] = 0.0
+        v = sequences.forward_speeds(limit, x, rise, train.accelerations)
+        reach = 2 * train.brake_ms2 * x
+        back = np.minimum.accumulate((v * v + reach)[:, ::-1], axis=1)[:, ::-1] - reach
+        v = np.minimum(v, np.sqrt(np.maximum(back, 0)))
+        minutes = (np.diff(x) / np.maximum((v[:, 1:] + v[:, :-1]) / 2, 0.5)).sum(axis=1) / 60
+        return [(*own, *r) for r in zip(names, cap, minutes.tolist(), (v.max(axis=1) * 3.6).tolist(), strict=True)]
 
     return sequences.per_small_key(samples.select(*keys, x_m, radius, *([grade] if grade else [])), keys, [x_m], schema, rule)
 
