@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chainage.functions import curves
-from chainage.functions.traction import COUPLED, LOCO, TILTING, Train, seconds_to
+from chainage.functions.traction import COUPLED, LOCO, TILTING, Train, accelerator, seconds_to
 from chainage.operators import graph, linear, robust, sequences, spatial, tables
 from chainage.plans import travel
 from chainage.plans.registry import TRACK, K, points, query, table, track
@@ -95,14 +95,14 @@ def travel_times(samples: DataFrame, keys: list[str], x_m: str, radius: str, set
     schema = ", ".join(f"{k} {name_types[k]}" for k in keys) + ", cant_set_id string, cap double, minutes double, top_kmh double"
 
     names, k, cap = zip(*settings, strict=True)
-    k_of, cap_of = np.array(k)[:, None], np.array(cap)[:, None]
+    k_of, cap_of, pull = np.array(k)[:, None], np.array(cap)[:, None], accelerator((train,) * len(names))
 
     def rule(p: dict[str, np.ndarray]) -> list[tuple]:
         x, own = p[x_m], [p[c][0] for c in keys]
         rise = p[grade] if grade else np.zeros(len(x))
         limit = np.minimum(np.minimum(k_of * np.sqrt(p[radius]), curves.LIMIT_KMH), cap_of) / 3.6
         limit[:, [0, -1]] = 0.0
-        v = sequences.forward_speeds(limit, x, rise, train.accelerations)
+        v = sequences.forward_speeds(limit, x, rise, pull)
         reach = 2 * train.brake_ms2 * x
         back = np.minimum.accumulate((v * v + reach)[:, ::-1], axis=1)[:, ::-1] - reach
         v = np.minimum(v, np.sqrt(np.maximum(back, 0)))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chainage.functions.traction import COUPLED, LOCO, TILTING, Train
+from chainage.functions.traction import COUPLED, LOCO, TILTING, Train, accelerator
 from chainage.operators import intervals, linear, robust, sequences
 from chainage.plans.registry import TRACK, query, track
 
@@ -82,25 +82,29 @@ def minutes_of(sampled: DataFrame, keys: list[str], runs: list[tuple[str, Train,
     own = [*keys, "stretch"]
     schema = ", ".join(f"{k} {kinds[k]}" for k in own) + ", variant string, minutes double"
 
-    def seconds(x: np.ndarray, speed: np.ndarray, rest: np.ndarray, grade: np.ndarray, train: Train, cap: float) -> float:
-        limit = np.minimum(speed, cap) / 3.6
+    names, trains, caps, stopping = zip(*runs, strict=True)
+    pull, brake = accelerator(trains), np.array([t.brake_ms2 for t in trains])[:, None]
+    rests = np.array(stopping, bool)[:, None]
+
+    def limits(x: np.ndarray, speed: np.ndarray) -> np.ndarray:
+        """The slowest limit under the whole train at each sample, one row for each run."""
         dx = (x[-1] - x[0]) / max(1, len(x) - 1)
-        tail = int(round(train.length_m / dx)) if dx else 0
-        if tail:
-            limit = np.lib.stride_tricks.sliding_window_view(np.concatenate((np.full(tail, np.inf), limit)), tail + 1).min(axis=1)
-        v = np.where(rest, 0.0, limit)
-        v = sequences.forward_speeds(v, x, grade, train.acceleration)
-        back = np.minimum.accumulate((v**2 + 2 * train.brake_ms2 * x)[::-1])[::-1] - 2 * train.brake_ms2 * x
-        v = np.minimum(v, np.sqrt(np.maximum(back, 0.0)))
-        return float((np.diff(x) / np.maximum((v[1:] + v[:-1]) / 2, 0.5)).sum())
+        out = np.minimum(speed, np.array(caps)[:, None]) / 3.6
+        for row, train in zip(out, trains, strict=True):
+            if tail := int(round(train.length_m / dx)) if dx else 0:
+                row[:] = np.lib.stride_tricks.sliding_window_view(np.concatenate((np.full(tail, np.inf), row)), tail + 1).min(axis=1)
+        return out
 
     def rule(c: dict[str, np.ndarray]) -> list[tuple]:
-        out, grade = [], c.get("grade", np.zeros(len(c["x"])))
-        for name, train, cap, stops in runs:
-            rest = c["rest"].copy() if stops else np.zeros(len(c["x"]), bool)
-            rest[[0, -1]] = True
-            out.append((*(c[k][0] for k in own), name, seconds(c["x"] * 1000, c["v"], rest, grade, train, cap) / 60))
-        return out
+        x, grade = c["x"] * 1000, c.get("grade", np.zeros(len(c["x"])))
+        rest = c["rest"] & rests
+        rest[:, [0, -1]] = True
+        v = sequences.forward_speeds(np.where(rest, 0.0, limits(x, c["v"])), x, grade, pull)
+        reach = 2 * brake * x
+        back = np.minimum.accumulate((v * v + reach)[:, ::-1], axis=1)[:, ::-1] - reach
+        v = np.minimum(v, np.sqrt(np.maximum(back, 0.0)))
+        spent = (np.diff(x) / np.maximum((v[:, 1:] + v[:, :-1]) / 2, 0.5)).sum(axis=1) / 60
+        return [(*(c[k][0] for k in own), *r) for r in zip(names, spent.tolist(), strict=True)]
 
     extra = ["grade"] if "grade" in sampled.columns else []
     return sequences.per_small_key(sampled.select(*own, "x", "v", "rest", *extra), own, ["x"], schema, rule)
