@@ -159,6 +159,20 @@ def free_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("user_id", "stretch").agg(F.round(F.min("lo"), 6).alias("lo"), F.round(F.max("hi"), 6).alias("hi"), F.count("*").alias("n"), F.round(F.sum((F.col("hi") - F.col("lo")) / F.least(F.col("v"), F.lit(177.0))) * 60, 6).alias("free_minutes"))
 
 
+@query(_S + """, p AS (SELECT user_id, sum((hi - lo) / least(v, 177.0::DOUBLE)) * 60 AS free FROM f GROUP BY user_id), k AS (SELECT user_id, count(*) AS n FROM b GROUP BY user_id),
+e AS (SELECT event_type AS x, lead(event_type) OVER w AS y, (lead(us) OVER w - us) / 6e7 AS m FROM tr WINDOW w AS (PARTITION BY user_id ORDER BY us)), q AS (SELECT median(m) AS m FROM e WHERE x = 'signup' AND y = 'signup')
+SELECT user_id, round(free, 4) AS free, round(coalesce(n, 0) * m, 4) AS frozen, round(free + coalesce(n, 0) * m, 4) AS minutes FROM p LEFT JOIN k USING (user_id), q""")
+def minutes_with_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minutes of each section: free running outside the blocks, the timetable's median inside them."""
+    segments, blocks, _ = tables_of(spark, sf_dir)
+    free = free_pieces(segments, blocks, ["user_id"], 24.0).select("user_id", ((F.col("hi") - F.col("lo")) / F.least(F.col("v"), F.lit(177.0)) * 60).alias("minutes"))
+    w = Window.partitionBy("user_id").orderBy("us")
+    pairs = track(spark, sf_dir).select(F.col("event_type").alias("from_stop"), F.lead("event_type").over(w).alias("to_stop"), ((F.lead("us").over(w) - F.col("us")) / 6e7).alias("minutes"))
+    ends = blocks.select("user_id", F.lit("signup").alias("from_stop"), F.lit("signup").alias("to_stop"))
+    out = with_frozen(free, ends, pairs, ["user_id"])
+    return out.select("user_id", *[F.round(c, 4).alias(c) for c in ("free", "frozen", "minutes")])
+
+
 @query(TRACK + """, m AS (SELECT user_id, h AS p, h AS x, value AS y FROM tr), e AS (SELECT user_id, min_by(y, p) AS y0, min_by(x, p) AS x0, max_by(y, p) AS y1, max_by(x, p) AS x1 FROM m GROUP BY user_id),
 q AS (SELECT user_id, event_id, h + 6 AS ahead, h - 6 AS behind FROM tr),
 j AS (SELECT q.event_id, coalesce(u.x, e.x1) - coalesce(d.x, e.x0) AS dx, coalesce(u.y, e.y1) - coalesce(d.y, e.y0) AS dy FROM q JOIN e USING (user_id) ASOF LEFT JOIN m u ON q.user_id = u.user_id AND q.ahead <= u.p ASOF LEFT JOIN m d ON q.user_id = d.user_id AND q.behind >= d.p)
