@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chainage.llm import licenses
+from chainage.llm import licenses, middle, negatives, urlrules
 from chainage.llm.common import fresh_dir, short_batches
 from chainage.llm.common import table as read
 from chainage.llm.secrets import RULES
@@ -82,7 +82,25 @@ def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(docs, extend(docs, folder).findings)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_pivots, op2_permutation_shards, op3_license_index, op4_toxic_lexicon, op5_multiprobe_neighbours, op6_tournament_packing, op7_web_packages, op8_secret_ledger, op9_benchmark_leaks, op10_super_kmer_dedup)}
+def op11_url_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chainage.llm.urlrules import judge
+
+    return judge(read(spark, sf_dir, "pages")).drop("tier")
+
+
+def op12_ball_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chainage.llm.negatives import mine
+
+    return mine(read(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chainage.llm.middle import transform
+
+    return transform(table(spark, sf_dir, "documents"), with_output=False, digests=True)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_pivots, op2_permutation_shards, op3_license_index, op4_toxic_lexicon, op5_multiprobe_neighbours, op6_tournament_packing, op7_web_packages, op8_secret_ledger, op9_benchmark_leaks, op10_super_kmer_dedup, op11_url_expressions, op12_ball_tree_negatives, op13_fill_in_middle)}
 
 
 
@@ -133,4 +151,7 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - len(k) AS BIGINT
        sha256(array_to_string(k, ' ')) AS kept_sha256
 FROM kept
 """,
+    "op11_url_expressions": f"SELECT * EXCLUDE (tier) FROM ({urlrules.oracle()})",
+    "op12_ball_tree_negatives": negatives.oracle(),
+    "op13_fill_in_middle": middle.oracle(),
 }
