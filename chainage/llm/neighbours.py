@@ -8,7 +8,9 @@ add up to the table's share of the target recall. Buckets are dealt to groups by
 a query travels once to each group with the buckets it visits there, candidates are
 scored there in double precision on the original vectors, and only the best of each
 group are merged. Buckets are counted first; a large one is dealt to several groups, each
-of which its queries visit, so a dense region doesn't meet in one task.
+of which its queries visit, so a dense region doesn't meet in one task. A query whose buckets
+held fewer rows than it asks for (a vector far from all others) is compared with all rows,
+in blocks of such queries.
 
 Equal vectors are one row of the index. Of their ids only the `top` + 1 smallest can
 ever be among the nearest (ties go to the smaller id), found by a limit that Spark
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 from math import erf, log, sqrt
 
 import numpy as np
@@ -33,6 +36,8 @@ from chainage.llm.common import checkpoint, groups_of
 PART_ROWS = 3000
 #: Entries of the list of split buckets that tasks get: in tables so large that there could be more, PART_ROWS grows instead.
 SPLITS = 1_000_000
+#: Queries of one block of the exact pass.
+EXACT = 1024
 #: Rows of the bounded sample from which the distance to near vectors is estimated.
 SAMPLE = 4096
 
@@ -245,6 +250,46 @@ def nearest(df: DataFrame, top: int = 5, every: int = 50, id_col: str = "vec_id"
     merged = scored.groupBy("query", "rep").agg(F.max("score").alias("score"))
     nearest_reps = merged.withColumn("i", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep"))).where(F.col("i") <= top + 1).drop("i")
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select("hash", "v", F.col("vec_id").alias("query_id")).join(index.withColumn("hash", F.xxhash64("v")), ["hash", "v"]).select(F.col("rep").alias("query"), "query_id")
-    pairs = nearest_reps.join(members.select("rep", "vec_id"), "rep").select("query", "vec_id", "score")
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return asked.join(pairs, "query").where("vec_id <> query_id").withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+
+    def named(reps: DataFrame) -> DataFrame:
+        """Ranked rows for all ids of the queries, from (query, rep, score)."""
+        pairs = reps.join(members.select("rep", "vec_id"), "rep").select("query", "vec_id", "score")
+        return asked.join(pairs, "query").where("vec_id <> query_id").withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= top).select("query", "query_id", "rank", "vec_id", "score")
+
+    found = checkpoint(named(nearest_reps))
+    # a query whose buckets held too few rows (a lone vector, a tiny table) meets all of them
+    full = found.where(F.col("rank") == top).select("query_id")
+    short = checkpoint(queries.join(asked.join(full, "query_id", "left_anti").select(F.col("query").alias("rep")).distinct(), "rep"))
+    n_short = short.count()
+    columns = ["query_id", "rank", "vec_id", "score"]
+    if not n_short:
+        return found.select(*columns)
+
+    def compare(block: int, n_blocks: int) -> DataFrame:
+        """The best rows of all for each query of a block of about EXACT."""
+        own = short.where(F.pmod(F.xxhash64(F.lit(5), "rep"), F.lit(n_blocks)) == block).orderBy("rep").collect()
+        sent = spark.sparkContext.broadcast((np.array([r["rep"] for r in own], np.int64), np.array([r["v"] for r in own], np.float64).reshape(-1, dim)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, y = sent.value[0], scaled(sent.value[1]) if len(sent.value[0]) else sent.value[1]
+            norm = np.linalg.norm(y, axis=1)
+            held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]  # query, rep, score of the best so far
+            for batch in batches if len(names) else ():
+                rep, x = batch.column(0).to_numpy(), scaled(vectors(batch))
+                for a in range(0, len(rep), 1024):
+                    i, j = np.nonzero(best_of((y @ x[a : a + 1024].T) / (norm[:, None] * np.linalg.norm(x[a : a + 1024], axis=1)[None, :]), top + 1))
+                    q, r, c = (np.concatenate(p) for p in zip(held, (i, rep[a + j], cosine(y[i], x[a + j])), strict=True))
+                    order = np.lexsort((r, -c, q))
+                    q, r, c = q[order], r[order], c[order]
+                    best = np.arange(len(q)) - np.searchsorted(q, q) <= top
+                    held = [q[best], r[best], c[best]]
+            yield pa.RecordBatch.from_arrays([pa.array(names[held[0]]), pa.array(held[1]), pa.array(held[2])], names=["query", "rep", "score"])
+
+        return index.mapInArrow(run, "query long, rep long, score double")
+
+    n_blocks = groups_of(n_short, EXACT)
+    every = reduce(DataFrame.unionByName, [compare(b, n_blocks) for b in range(n_blocks)])
+    best = every.withColumn("i", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep"))).where(F.col("i") <= top + 1).drop("i")
+    exact = named(best)
+    return found.join(short.select(F.col("rep").alias("query")), "query", "left_anti").select(*columns).unionByName(exact.select(*columns))

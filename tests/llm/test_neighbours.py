@@ -102,3 +102,31 @@ def test_very_large_and_very_small_components(spark):
     plain_df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(base)], "vec_id long, embedding array<double>")
     got, want = ({(r.query_id, r.vec_id): round(r.score, 9) for r in nearest(d, every=10, recall=0.999).collect()} for d in (df, plain_df))
     assert got == want and len(got) == 60
+
+
+def test_every_query_is_answered(spark):
+    """Lone vectors and tiny tables: as many neighbours as there are rows, five at most."""
+    rng = np.random.default_rng(12)
+    cone = [(i, np.array([1.0] * 16) + 0.02 * rng.normal(size=16)) for i in range(1, 3000)]
+    got = run(spark, [(0, -np.ones(16)), *cone])
+    assert len(got) == 60 and all(len(w) == 5 for w in got.values())
+    want = plain([(0, -np.ones(16)), *cone])
+    assert [i for i, _ in got[0]] == [i for i, _ in want[0]] and recall(got, want) >= 0.95
+    tiny = [(k * 10, rng.normal(size=2)) for k in range(6)]
+    got = run(spark, tiny, every=10)
+    assert {q: [i for i, _ in w] for q, w in got.items()} == {q: [i for i, _ in w] for q, w in plain(tiny, every=10).items()}
+    assert all(len(w) == 5 for w in got.values())
+    spread = [(i, rng.normal(size=24) + 40 * np.eye(24)[i % 24] * rng.choice([-1, 1])) for i in range(700)]
+    got = run(spark, spread, every=7)
+    assert len(got) == 100 and all(len(w) == 5 for w in got.values()) and recall(got, plain(spread, every=7)) >= 0.95
+    assert {q: len(w) for q, w in run(spark, [(0, [1.0, 0.0]), (50, [0.0, 1.0])]).items()} == {0: 1, 50: 1}
+
+
+def test_exact_pass_in_blocks(spark, monkeypatch):
+    from chainage.llm import neighbours as N
+
+    monkeypatch.setattr(N, "EXACT", 3)
+    rng = np.random.default_rng(13)
+    lone = [(10 * i, np.eye(20)[i] * (1 + i)) for i in range(20)] + [(10 * i + 1, -np.eye(20)[i]) for i in range(5)] + [(200, rng.normal(size=20))] * 2
+    got, want = run(spark, lone, every=10), plain(list(dict(lone).items()), every=10)
+    assert {q: [i for i, _ in w] for q, w in got.items()} == {q: [i for i, _ in w] for q, w in want.items()}
