@@ -71,18 +71,19 @@ def addressed(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def scan(new: DataFrame, rules: tuple[Rule, ...] = RULES, marks: bool = False) -> DataFrame:
-    """(blob, rule, start, end) of new (blob, text); rule is a number in rules. With marks also a row without rule for each blob."""
+    """(blob, kind, start, end) of new (blob, text). With marks also a row without kind for each blob."""
+    kinds = F.array(*[F.lit(r.kind) for r in rules])
     every = [_matches(F.col("text"), r, k) for k, r in enumerate(rules)]
     if marks:
         zero = F.lit(0)
         every.append(F.array(F.struct(F.lit(None).cast("int").alias("rule"), zero.alias("i"), zero.alias("gap"), zero.alias("n"), F.lit(True).alias("ok"))))
     found = new.select("blob", F.explode(F.concat(*every)).alias("m")).select("blob", "m.*")
     before = Window.partitionBy("blob", "rule").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    return found.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(before)).where("ok").select("blob", "rule", (F.col("end") - F.col("n")).alias("start"), "end")
+    return found.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(before)).where("ok").select("blob", F.get(kinds, F.col("rule")).alias("kind"), (F.col("end") - F.col("n")).alias("start"), "end")
 
 
 class Ledger(NamedTuple):
-    """scanned: (blob, rule_version); findings: (blob, rule_version, rule, start, end)."""
+    """scanned: (blob, rule_version); findings: (blob, rule_version, kind, start, end)."""
 
     scanned: DataFrame
     findings: DataFrame
@@ -94,14 +95,14 @@ def update(docs: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule, ...
     if ledger:
         found = found.join(ledger.scanned.where(F.col("rule_version") == version), "blob", "left_anti")
     scanned = found.select("blob", F.lit(version).alias("rule_version"))
-    findings = scan(found, rules).withColumn("rule_version", F.lit(version)).select("blob", "rule_version", "rule", "start", "end")
+    findings = scan(found, rules).withColumn("rule_version", F.lit(version)).select("blob", "rule_version", "kind", "start", "end")
     if ledger:
         scanned, findings = ledger.scanned.unionByName(scanned), ledger.findings.unionByName(findings)
     return Ledger(scanned, findings)
 
 
-#: A written ledger: one row without rule for each scanned pair of blob and rule version, and one for each finding.
-LEDGER = "blob string, rule_version string, rule int, start bigint, end bigint"
+#: A written ledger: one row without kind for each scanned pair of blob and rule version, and one for each finding.
+LEDGER = "blob string, rule_version string, kind string, start bigint, end bigint"
 
 
 def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,37 +114,44 @@ def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def extend(docs: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> Ledger:
-    """Scans the blobs of docs that the ledger under folder doesn't have with this rule version, and appends them to it.
+    """Scans the blobs of docs that the ledger under folder doesn't have with this rule version, and appends them to it; returns what the ledger has of this version.
 
     What is scanned and what was found is appended by one job, so a run that fails leaves
     the ledger as it was.
     """
     ledger = read_ledger(docs.sparkSession, folder).where(F.col("rule_version") == version)
-    seen = ledger.where("rule is null").select("blob")
+    seen = ledger.where("kind is null").select("blob")
     rows = addressed(docs).select("blob", "text")
     # addresses alone tell whether there is anything new
     if seen.isEmpty() or not rows.select("blob").distinct().join(seen, "blob", "left_anti").isEmpty():
         new = blobs(rows).join(seen, "blob", "left_anti")
-        found = scan(new, rules, marks=True).select("blob", F.lit(version).alias("rule_version"), "rule", *[F.col(c).cast("long") for c in ("start", "end")])
+        found = scan(new, rules, marks=True).select("blob", F.lit(version).alias("rule_version"), "kind", *[F.col(c).cast("long") for c in ("start", "end")])
         found.write.mode("append").parquet(folder)
-    now = read_ledger(docs.sparkSession, folder)
-    return Ledger(now.where("rule is null").select("blob", "rule_version"), now.where("rule is not null"))
+    now = read_ledger(docs.sparkSession, folder).where(F.col("rule_version") == version)
+    return Ledger(now.where("kind is null").select("blob", "rule_version"), now.where("kind is not null"))
 
 
 def by_blob(findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, found): the sorted spans of each blob with findings."""
-    return findings.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "rule", "end"))).alias("found"))
+    """(blob, found): the sorted spans of each blob with findings; rule is the place of their kind among rules. Kinds that rules don't have drop."""
+    kinds = F.array(*[F.lit(r.kind) for r in rules])
+    placed = findings.withColumn("rule", (F.array_position(kinds, F.col("kind")) - 1).cast("int")).where("rule >= 0")
+    return placed.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "rule", "end"))).alias("found"))
+
+
+def of_version(findings: DataFrame, version: str) -> DataFrame:
+    """Findings of one version of the rules: what an older version has found says nothing about this one's kinds and spans."""
+    return findings.where(F.col("rule_version") == version)
 
 
-def report(docs: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row per row of docs: doc_id, n_<base kind>, base_sha256, spans.
+def report(docs: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> DataFrame:
+    """One row per row of docs, by the findings of this rule version: doc_id, n_<base kind>, base_sha256, spans.
 
     Defined edge cases: null and empty texts have no spans (sha256 of nothing, empty
     string); null ids and repeated rows keep their rows; other columns are ignored.
     """
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     base = [k for k, r in enumerate(rules) if r.base]
-    named = by_blob(findings, rules)
+    named = by_blob(of_version(findings, version), rules)
 
     def written(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["rule"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -159,15 +167,15 @@ def report(docs: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES
     return rows.select("doc_id", *counts, F.sha2(written(only_base), 256).alias("base_sha256"), written(F.col("found")).alias("spans"))
 
 
-def redact(docs: DataFrame, findings: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """docs with every found span replaced by the mark (overlapping spans as one) and n_chars brought up to date.
+def redact(docs: DataFrame, findings: DataFrame, mark: str = "[secret]", rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> DataFrame:
+    """docs with every span that this rule version has found replaced by the mark (overlapping spans as one) and n_chars brought up to date.
 
     Defined edge cases: null texts become empty ones; null ids and repeated rows are carried
     as they are; other columns may bear any name; an empty table stays empty.
     """
     given, numbered = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
     docs = docs.toDF(*[c if c in ("text", "n_chars") else n for c, n in zip(given, numbered, strict=True)])
-    spans = by_blob(findings).withColumnsRenamed({"blob": "__blob", "found": "__found"})
+    spans = by_blob(of_version(findings, version), rules).withColumnsRenamed({"blob": "__blob", "found": "__found"})
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.withColumn("__text", text).withColumn("__blob", F.sha2(F.col("__text"), 256)).join(spans, "__blob", "left")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))

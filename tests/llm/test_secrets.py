@@ -94,7 +94,7 @@ def test_written_ledger_scans_only_what_is_new(spark, tmp_path, monkeypatch):
     assert S.extend(first, folder).scanned.count() == 3
     two = S.extend(second, folder)
     assert two.scanned.count() == 4 and two.findings.count() == 2 and scanned == [3, 1]
-    assert S.extend(second, folder, version="2").scanned.count() == 8
+    assert S.extend(second, folder, version="2").scanned.count() == 4
     want = S.report(second, S.update(second).findings)
     assert sorted(map(tuple, S.report(second, two.findings).collect())) == sorted(map(tuple, want.collect())) and own is S.blobs
 
@@ -103,3 +103,20 @@ def test_redact_with_clashing_names(spark):
     docs = spark.createDataFrame([(1, "token = abcdef123456", 5, "x", 7), (None, None, None, None, None)], "__blob long, text string, n_chars long, __found string, blob long")
     out = S.redact(docs, S.update(docs).findings)
     assert out.columns == docs.columns and sorted(map(tuple, out.collect()), key=str) == [(1, "[secret]", 8, "x", 7), (None, "", 0, None, None)]
+
+
+def test_versions_and_the_order_of_rules(spark, tmp_path):
+    """Findings of a rule version are that version's alone, and keep their kind when the rules are put in another order."""
+    folder = f"file://{tmp_path}/ledger"
+    docs = spark.createDataFrame([(1, "token = abcdef123456 AKIA" + "B" * 18), (2, "clean"), (1, "token = abcdef123456 AKIA" + "B" * 18)], "doc_id long, text string")
+    more = (S.Rule("card", r"[0-9]{16}", 16), *S.RULES)
+    for version, rules in (("1", S.RULES), ("2", more), ("1", S.RULES), ("3", S.RULES[::-1])):
+        led = S.extend(docs, folder, rules, version)
+        got = sorted(map(tuple, S.report(docs, led.findings, rules, version).collect()))
+        want = sorted(map(tuple, S.report(docs, S.update(docs, None, rules, version).findings, rules, version).collect()))
+        assert got == want
+        assert {r.spans for r in S.report(docs, led.findings, rules, version).collect() if r.doc_id == 1} == {"assign:0:20,access:21:43"}
+    # findings of all versions together are told apart too
+    both = S.update(docs, S.update(docs), more, "2").findings
+    assert {r.n_assign for r in S.report(docs, both, more, "2").collect()} == {0, 1}
+    assert S.redact(docs, both, rules=more, version="2").first().text == "[secret] [secret]"
