@@ -114,15 +114,15 @@ def super_kmers(texts: list[bytes], width: int, m: int, powers: _Powers, frequen
     return row, at - first[row], last - at + 1, h[at], t.starts[at], t.ends[last + width - 1], data
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Ids and texts of `least` words or more, words joined by single spaces, about CHUNK bytes at a time."""
+def _chunks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[list[tuple[int, int]], list[bytes]]]:
+    """(Id, variant) and text of `least` words or more, words joined by single spaces, about CHUNK bytes at a time."""
     ids, texts, size = [], [], 0
     for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for i, variant, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(1), strict=True):
             words = (t.as_py() or "").encode("utf-8", "surrogatepass").split()
             if i is None or len(words) < least:
                 continue
-            ids.append(i)
+            ids.append((i, variant))
             texts.append(b" ".join(words))
             size += len(texts[-1])
             if size >= CHUNK:
@@ -156,7 +156,7 @@ def frequent_runs(docs: DataFrame, width: int, m: int, share: int = FREQUENT) ->
         kept, counts = np.concatenate((kept[top], [np.uint64(0)])), np.concatenate((counts[top], [0]))
         yield pa.RecordBatch.from_arrays([pa.array(kept.view(np.int64)), pa.array(counts), pa.array([0] * (len(kept) - 1) + [total], pa.int64())], names=["run", "n", "total"])
 
-    found = docs.select("doc_id", "text").mapInArrow(run, "run long, n long, total long").groupBy("run").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    found = docs.select("doc_id", "text", "variant").mapInArrow(run, "run long, n long, total long").groupBy("run").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     rows = found.orderBy(F.desc("total"), F.desc("n"), "run").limit(share + 1).collect()
     total = max((r["total"] for r in rows), default=0)
     return np.sort(np.array([r["run"] for r in rows if r["n"] >= max(2, -(-total // share))], np.int64).view(np.uint64))
@@ -184,35 +184,36 @@ class _Held:
         self.clear()
 
     def clear(self):
-        self.known: dict[bytes, list[tuple[int, int, int, int]]] = {}  # (doc, word, windows, bucket), all of one document
-        self.ranges: list[tuple[int, int, int]] = []
+        self.known: dict[bytes, list[tuple[tuple[int, int], int, int, int]]] = {}  # (doc, word, windows, bucket), all of one id
+        self.ranges: list[tuple[int, int, int, int]] = []
         self.size = 0
 
-    def add(self, string: bytes, doc: int, word: int, windows: int, bucket: int) -> None:
+    def add(self, string: bytes, doc: tuple[int, int], word: int, windows: int, bucket: int) -> None:
         own = self.known.get(string)
         if own is None:
             self.known[string] = [(doc, word, windows, bucket)]
             self.size += len(string)
             return
         self.size += _ENTRY  # an occurrence more, or a range
-        if doc == own[0][0]:
+        if doc[0] == own[0][0][0]:
             own.append((doc, word, windows, bucket))
-        elif doc > own[0][0]:  # a smaller document has all of these windows
-            self.ranges.append((doc, word, word + windows + self.width - 2))
+        elif doc[0] > own[0][0][0]:  # a smaller document has all of these windows
+            self.ranges.append((*doc, word, word + windows + self.width - 2))
         else:
-            self.ranges += [(d, w, w + n + self.width - 2) for d, w, n, _ in own]
+            self.ranges += [(*d, w, w + n + self.width - 2) for d, w, n, _ in own]
             own[:] = [(doc, word, windows, bucket)]
 
     def sent(self, packer: zstandard.ZstdCompressor) -> pa.RecordBatch:
-        by: dict[int, list[tuple[bytes, int, int]]] = {}
+        by: dict[int, list[tuple[bytes, tuple[int, int], int]]] = {}
         for string, own in self.known.items():
             for doc, word, _, bucket in own:
                 by.setdefault(bucket, []).append((string, doc, word))
         names, out = [], []
         for bucket, rows in by.items():
             ids, words = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int32)
+            ids, variants = np.ascontiguousarray(ids[:, 0]), np.ascontiguousarray(ids[:, 1])
             names.append(bucket)
-            out.append(packer.compress(b"".join((_STRINGS, len(rows).to_bytes(8, "little"), _planes(ids), _planes(words), b"\n".join(r[0] for r in rows), b"\n"))))
+            out.append(packer.compress(b"".join((_STRINGS, len(rows).to_bytes(8, "little"), _planes(ids), _planes(variants), _planes(words), b"\n".join(r[0] for r in rows), b"\n"))))
         for at in range(0, len(self.ranges), 4096):  # any bucket will do for what is known already
             names.append(self.turn % self.n_buckets)
             self.turn += 1
@@ -240,16 +241,17 @@ def blocks(docs: DataFrame, n_buckets: int, width: int, m: int, frequent: np.nda
                     yield held.sent(packer)
         yield held.sent(packer)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, block binary")
+    return docs.select("doc_id", "text", "variant").mapInArrow(run, "bucket int, block binary")
 
 
 def _repeated(parts: list[bytes], width: int, powers: _Powers):
-    """(doc, word) of each window in opened blocks of strings that a smaller document has too."""
-    hashes, docs, words, froms, tos, source, texts = [], [], [], [], [], [], []
+    """(doc, variant, word) of each window in opened blocks of strings that a smaller document has too."""
+    hashes, docs, variants, words, froms, tos, source, texts = [], [], [], [], [], [], [], []
     for k, raw in enumerate(parts):
         n = int.from_bytes(raw[:8], "little")
         view = memoryview(raw)
-        ids, pos, data = _whole(view[8 : 8 + 8 * n], n, np.int64), _whole(view[8 + 8 * n : 8 + 12 * n], n, np.int32), raw[8 + 12 * n :]
+        ids, forms = (_whole(view[8 + 8 * k * n : 8 + 8 * (k + 1) * n], n, np.int64) for k in (0, 1))
+        pos, data = _whole(view[8 + 16 * n : 8 + 20 * n], n, np.int32), raw[8 + 20 * n :]
         t = _Text(data, powers)
         line = np.cumsum(np.concatenate(([0], t.line_end[:-1])))
         first = np.searchsorted(line, np.arange(n))
@@ -257,6 +259,7 @@ def _repeated(parts: list[bytes], width: int, powers: _Powers):
         row = line[ok]
         hashes.append(t.runs(width)[ok])
         docs.append(ids[row])
+        variants.append(forms[row])
         words.append((pos[row] + (ok - first[row])).astype(np.int32))
         froms.append(t.starts[ok].astype(np.int32))
         tos.append(t.ends[ok + width - 1].astype(np.int32))
@@ -288,39 +291,47 @@ def _repeated(parts: list[bytes], width: int, powers: _Powers):
             if others.setdefault(text, doc[c]) < doc[c]:
                 out.append(o)
     out = np.array(out, np.int64)
-    docs_all = np.concatenate(docs)
-    return docs_all[out], word[out]
+    return np.concatenate(docs)[out], np.concatenate(variants)[out], word[out]
 
 
 def repeated_ranges(docs: DataFrame, n_buckets: int, width: int = 13, m: int = 3) -> DataFrame:
-    """(doc_id, lo, hi): runs of words, both ends in, covered by windows that a smaller document has too."""
+    """(doc_id, variant, lo, hi): runs of words, both ends in, covered by windows that a smaller document has too."""
 
     def run(keys, found):
         import pandas as pd
 
         opener = zstandard.ZstdDecompressor()
-        strings, ranges = [], [np.empty((0, 3), np.int64)]
+        strings, ranges = [], [np.empty((0, 4), np.int64)]
         for block in found["block"]:
             raw = opener.decompress(block)
             if raw[:1] == _STRINGS:
                 strings.append(raw[1:])
             else:
-                ranges.append(np.frombuffer(raw, np.int64, offset=1).reshape(-1, 3))
+                ranges.append(np.frombuffer(raw, np.int64, offset=1).reshape(-1, 4))
         known = np.concatenate(ranges)
-        known = pd.DataFrame({"doc_id": known[:, 0], "lo": known[:, 1].astype(np.int32), "hi": known[:, 2].astype(np.int32)})
+        known = pd.DataFrame({"doc_id": known[:, 0], "variant": known[:, 1], "lo": known[:, 2].astype(np.int32), "hi": known[:, 3].astype(np.int32)})
         if not strings:
             return known
-        doc, word = _repeated(strings, width, _Powers())
-        order = np.lexsort((word, doc))
-        doc, word = doc[order], word[order]
+        doc, variant, word = _repeated(strings, width, _Powers())
+        order = np.lexsort((word, variant, doc))
+        doc, variant, word = doc[order], variant[order], word[order]
         new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (word[1:] > word[:-1] + 1)
+        new[1:] = (doc[1:] != doc[:-1]) | (variant[1:] != variant[:-1]) | (word[1:] > word[:-1] + 1)
         at = np.flatnonzero(new)
         end = np.concatenate((at[1:], [len(doc)])) - 1 if len(at) else at
-        new = pd.DataFrame({"doc_id": doc[at], "lo": word[at].astype(np.int32), "hi": (word[end] + width - 1).astype(np.int32)})
+        new = pd.DataFrame({"doc_id": doc[at], "variant": variant[at], "lo": word[at].astype(np.int32), "hi": (word[end] + width - 1).astype(np.int32)})
         return pd.concat([known, new], ignore_index=True) if len(known) else new
 
-    return blocks(docs, n_buckets, width, m, frequent_runs(docs, width, m)).groupBy("bucket").applyInPandas(lambda key, pdf: run(key, pdf), "doc_id long, lo int, hi int")
+    return blocks(docs, n_buckets, width, m, frequent_runs(docs, width, m)).groupBy("bucket").applyInPandas(lambda key, pdf: run(key, pdf), "doc_id long, variant long, lo int, hi int")
+
+
+def with_variants(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with variant: 0, but for ids that bear several texts, whose texts are told apart by a hash. Only ids and hashes are shuffled to find these."""
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(own).alias("a"), F.max(own).alias("b")).where("a <> b").select("doc_id", F.lit(True).alias("several"))
+    if several.isEmpty():
+        return docs.withColumn("variant", F.lit(0).cast("long"))
+    return docs.join(several, "doc_id", "left").select("doc_id", "text", F.when(F.col("several"), own).otherwise(F.lit(0)).cast("long").alias("variant"))
 
 
 def remove_repeats(docs: DataFrame, width: int = 13, m: int = 3, docs_per_bucket: int = 1000, n_buckets: int | None = None, with_text: bool = False) -> DataFrame:
@@ -329,12 +340,14 @@ def remove_repeats(docs: DataFrame, width: int = 13, m: int = 3, docs_per_bucket
     A word goes if a window over it also starts in a document with a smaller doc_id.
     Defined edge cases: a null or empty text has no words (sha256 of nothing); a null
     doc_id is neither smaller nor larger than another, so its row stays whole; repeated
-    rows of one id are one document (they must repeat its text) and all get its result;
+    rows of one id and text get the same result; rows that share an id but not their
+    text are judged each by itself, and none of them is a smaller document to the others;
     other columns are ignored; an empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n_buckets = n_buckets or groups_of(docs.count(), docs_per_bucket)
-    spans = repeated_ranges(docs, n_buckets, width, m).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    docs = with_variants(docs)
+    spans = repeated_ranges(docs, n_buckets, width, m).groupBy("doc_id", "variant").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     fields = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,4 +367,4 @@ def remove_repeats(docs: DataFrame, width: int = 13, m: int = 3, docs_per_bucket
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], names=[x.split()[0] for x in fields.split(", ")])
 
-    return docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(run, fields)
+    return docs.join(spans, ["doc_id", "variant"], "left").select("doc_id", "text", "spans").mapInArrow(run, fields)

@@ -89,5 +89,16 @@ def test_kept_text(spark):
 def test_ranges_and_repeats_count_as_held():
     held = K._Held(13, 4)
     for doc in range(1000):
-        held.add(b"one string", doc, 0, 1, 2)
+        held.add(b"one string", (doc, 0), 0, 1, 2)
     assert held.size >= 999 * K._ENTRY and len(held.ranges) == 999
+
+
+def test_one_id_with_several_texts(spark):
+    """Each text of an id is judged by itself; smaller ids' windows go, those of its other texts stay."""
+    rng = random.Random(7)
+    first = [str(rng.randint(0, 10**6)) for _ in range(40)]
+    own = [str(rng.randint(0, 10**6)) for _ in range(30)]
+    rows = [(1, " ".join(first)), (5, " ".join(first + own)), (5, "short one"), (5, "x " + " ".join(own)), (7, " ".join(own)), (5, "short one"), (None, " ".join(first)), (None, "other")]
+    df = spark.createDataFrame([(i, t, 0, 0) for i, t in rows], DOCS)
+    got = sorted(((r.doc_id, r.n_words, r.n_removed) for r in K.remove_repeats(df).collect()), key=str)
+    assert got == sorted([(1, 40, 0), (5, 70, 40), (5, 2, 0), (5, 31, 0), (7, 30, 30), (5, 2, 0), (None, 40, 0), (None, 1, 0)], key=str)
