@@ -23,6 +23,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chainage.llm.common import ascii_lower
+
 
 class Template(NamedTuple):
     label: str
@@ -49,12 +51,15 @@ TEMPLATES = (
     Template("epl", "eclipse public license", "eclipse public license"),
     Template("cc-by", "creative commons attribution", "creative commons attribution"),
     Template("public-domain", "released into the public domain", "public domain"),
-    # whole grants and disclaimers (up to a word with k, see vocabulary)
+    # whole grants, conditions and disclaimers
     Template(
         "mit",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"
         " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is"
-        " furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        " furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"
+        " the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and"
+        " noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from"
+        " out of or in connection with the software or the use or other dealings in the software",
         "permission is hereby granted free of charge",
     ),
     Template(
@@ -69,7 +74,11 @@ TEMPLATES = (
         "bsd",
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain"
         " the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and"
-        " the following disclaimer in the documentation and or other materials provided with the distribution",
+        " the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors as is and any"
+        " express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright"
+        " holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services"
+        " loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising"
+        " in any way out of the use of this software even if advised of the possibility of such damage",
         "redistribution and use in source and binary forms",
     ),
 )
@@ -81,14 +90,14 @@ _SHIFT = 1 << 40
 
 
 def words_of(text: Column) -> Column:
-    """The words of a text. lower() instead of A-Z only: no other letter becomes one of the vocabulary's (it has no k), and none stops or starts a word."""
-    return F.array_remove(F.split(F.lower(text), r"[^0-9a-z\x{80}-\x{10FFFF}]+"), "")
+    """The words of a text, A-Z in lower case."""
+    return F.array_remove(F.split(ascii_lower(text), r"[^0-9a-z\x{80}-\x{10FFFF}]+"), "")
 
 
 def vocabulary(templates: tuple[Template, ...]) -> list[str]:
     words = sorted({w for t in templates for w in t.text.split()})
-    if any("k" in w or not w.isascii() for w in words):
-        raise ValueError("template words must be ASCII and without k: lower() maps the Kelvin sign to it")
+    if any(not w.isascii() or w != w.lower() for w in words):
+        raise ValueError("template words must be ASCII in lower case")
     return words
 
 
@@ -181,7 +190,7 @@ def oracle(templates: tuple[Template, ...] = TEMPLATES, lookups: int = LOOKUPS,
         at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
         rows.append(f"({k}, '{t.label}', {t.base}, {listed(words)}, {at}, {len(key)})")
     return f"""
-WITH d AS (SELECT row_number() OVER () AS row, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), lambda x: x <> '') AS w FROM documents),
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), lambda x: x <> '') AS w FROM documents),
 tm(t, label, base, words, key_at, key_n) AS (VALUES {", ".join(rows)}),
 post AS (SELECT t, base, key_at, key_n, unnest(range(len(words))) AS i, unnest(words) AS word FROM tm),
 pos AS (SELECT * FROM (SELECT row, unnest(range(len(w))) AS p, unnest(w) AS word FROM d) WHERE word IN (SELECT word FROM post)),
