@@ -56,3 +56,9 @@ def ascii_lower(col):
 def groups_of(rows: int, per_group: int) -> int:
     """How many groups of about per_group rows hold all rows; grows with the table, at least 1."""
     return max(1, -(-rows // per_group))
+
+
+def plain_names(df: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
+    """df with all columns but those of `keep` named c0, c1, ..., and the names it had: columns of any name (dots, quotes, clashes) then go through any operator."""
+    given = df.columns
+    return df.toDF(*[c if c in keep else f"c{i}" for i, c in enumerate(given)]), given

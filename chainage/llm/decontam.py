@@ -25,14 +25,17 @@ from collections.abc import Iterator
 from functools import reduce
 from typing import NamedTuple
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chainage.llm.common import plain_names
+
 #: Characters of the benchmark in one block (about 16 bytes each in a task).
 BLOCK_CHARS = 4_000_000
-#: Shorter items say too little to be searched for: "yes" is in most documents.
+#: Items shorter than this allow no edit and are found as whole words only: "yes" isn't in "eyes".
 LEAST_CHARS = 8
 #: Characters of documents that are filtered at a time.
 CHUNK = 1 << 20
@@ -251,14 +254,54 @@ class Grams:
         return edits, end - back, end
 
 
-def item_blocks(benchmark: DataFrame, least_chars: int, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int | None, str]]]:
-    """The distinct items of at least least_chars normalised characters in blocks of about block_chars characters."""
+class Short:
+    """Items that are too short for edits: found exactly, where no letter, digit or underscore is beside them."""
+
+    def __init__(self, items: list[str]):
+        self.items = items
+        self.automaton = ahocorasick.Automaton()
+        for text in set(items) - {""}:
+            self.automaton.add_word(text, text)
+        if len(self.automaton):
+            self.automaton.make_automaton()
+
+    def search(self, text: str) -> list[Hit]:
+        """The first place of each item in a normalised text."""
+        if not len(self.automaton):
+            return []
+        inner = lambda i: 0 <= i < len(text) and (text[i].isalnum() or text[i] == "_")
+        first: dict[str, int] = {}
+        for end, found in self.automaton.iter(text):
+            start = end + 1 - len(found)
+            beside = (inner(start - 1) and inner(start)) or (inner(end + 1) and inner(end))
+            if not beside and found not in first:
+                first[found] = start
+        return [Hit(k, first[t], first[t] + len(t), 0, 1.0) for k, t in enumerate(self.items) if t in first]
+
+
+class Searcher:
+    """Items by their length: short ones as words, others within edits."""
+
+    def __init__(self, items: list[tuple[int | None, str]], least_chars: int, q: int, max_edit_share: float):
+        self.short = [k for k, (_, t) in enumerate(items) if 0 < len(t) < least_chars]
+        self.long = [k for k, (_, t) in enumerate(items) if t and len(t) >= least_chars]
+        self.words = Short([items[k][1] for k in self.short])
+        self.index = Index([items[k][1] for k in self.long], q, max_edit_share)
+
+    def search(self, texts: list[str]) -> list[list[Hit]]:
+        """The best place of each item in each normalised text, by the item's number."""
+        near = self.index.search(texts) if self.long else [[] for _ in texts]
+        return [[h._replace(item=self.long[h.item]) for h in hits] + [h._replace(item=self.short[h.item]) for h in self.words.search(t)] for hits, t in zip(near, texts, strict=True)]
+
+
+def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int | None, str]]]:
+    """The distinct items, normalised, in blocks of about block_chars characters."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
     for b in range(blocks):
         own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        yield [(i, t) for i, t in ((r["item_id"], normalised(r["text"])) for r in own) if len(t) >= least_chars]
+        yield [(r["item_id"], normalised(r["text"])) for r in own]
 
 
 def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -278,8 +321,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, q: int = 8, max_edit_share: f
 
     start and end are positions in the normalised text; of places with as few edits, the
     first. Every item that lies whole in a text within max_edit_share of its length is
-    found. Defined edge cases: null and empty texts and items shorter than least_chars
-    normalised characters match nothing; a null doc_id or item_id is carried as null;
+    found; items shorter than least_chars normalised characters are found exactly and as
+    whole words. Defined edge cases: null and empty texts and items match nothing; a null doc_id or item_id is carried as null;
     repeated documents repeat their matches, repeated items count once; an empty
     benchmark or table gives an empty result; other columns are ignored. Ids have to be
     whole numbers.
@@ -292,7 +335,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, q: int = 8, max_edit_share: f
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = sent.value
-            index = Index([t for _, t in own], q, max_edit_share)
+            index = Searcher(own, least_chars, q, max_edit_share)
             for batch in batches:
                 ids = batch.column(0).to_pylist()
                 texts = [normalised(t.as_py()) for t in batch.column(1)]
@@ -304,7 +347,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, q: int = 8, max_edit_share: f
 
         return rows.mapInArrow(run, fields)
 
-    return reduce(DataFrame.unionByName, [searcher(items) for items in item_blocks(benchmark, least_chars, block_chars)])
+    return reduce(DataFrame.unionByName, [searcher(items) for items in item_blocks(benchmark, block_chars)])
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 8, max_edit_share: float = 0.1, block_chars: int = BLOCK_CHARS, least_chars: int = LEAST_CHARS) -> DataFrame:
@@ -318,7 +361,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 8, max_edi
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index([t for _, t in sent.value], q, max_edit_share)
+            index = Searcher(sent.value, least_chars, q, max_edit_share)
             for batch in batches:
                 texts = [normalised(t.as_py()) for t in batch.column("text")]
                 clean = [not hits for a, b in _chunks(texts) for hits in index.search(texts[a:b])]
@@ -326,4 +369,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 8, max_edi
 
         return kept.mapInArrow(run, kept.schema)
 
-    return reduce(searcher, item_blocks(benchmark, least_chars, block_chars), docs)
+    rows, given = plain_names(docs, ("text",))
+    return reduce(searcher, item_blocks(benchmark, block_chars), rows).toDF(*given)

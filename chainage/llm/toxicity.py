@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainage.llm.common import checkpoint
+from chainage.llm.common import checkpoint, plain_names
 
 #: Most labelled rows that a fit uses.
 SAMPLE_ROWS = 12_000
@@ -241,4 +241,5 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
         for b in batches:
             yield b.filter(pa.array(own(b.column("text")) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    rows, given = plain_names(docs, ("text",))
+    return rows.mapInArrow(run, rows.schema).toDF(*given)

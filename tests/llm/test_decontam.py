@@ -87,8 +87,8 @@ def test_edges(spark):
     rows = [(None, item, 0, ""), (1, item, 0, ""), (1, item, 0, ""), (2, None, 0, ""), (3, "", 0, ""), (4, "tiny", 0, ""), (5, "x " * 300_000 + item, 0, ""), (6, (item + " ") * 50, 0, ""), (7, "another item without a number at all", 0, "")]
     df = spark.createDataFrame(rows, DOCS)
     got = sorted(((r.doc_id, r.item_id) for r in D.matches(df, bench).collect()), key=str)
-    assert got == sorted([(None, 1), (1, 1), (1, 1), (5, 1), (6, 1), (7, None)], key=str)
-    assert sorted(r.doc_id for r in D.drop_contaminated(df, bench).collect()) == [2, 3, 4]
+    assert got == sorted([(None, 1), (1, 1), (1, 1), (5, 1), (6, 1), (7, None), (4, 4)], key=str)
+    assert sorted(r.doc_id for r in D.drop_contaminated(df, bench).collect()) == [2, 3]
     assert D.matches(df, bench.limit(0)).count() == 0 and D.drop_contaminated(df, bench.limit(0)).count() == len(rows)
     assert D.matches(df.limit(0), bench).count() == 0
 
@@ -142,3 +142,12 @@ def test_counts_in_slices(monkeypatch):
         monkeypatch.setattr(D, "HELD", held)
         assert index.search(texts) == want
     assert all(hits for hits in want)
+
+
+def test_short_items_are_words(spark):
+    bench = spark.createDataFrame([(1, "Yes"), (2, "a b"), (3, "c++"), (4, "é"), (5, "yes")], "item_id long, text string")
+    texts = ["say YES!", "eyes", "yes_no", "a  b", "xa b", "in c++ now", "c++11", "café é", "café", "", None, "no, yes, yes"]
+    df = spark.createDataFrame([(i, t, 0, "") for i, t in enumerate(texts)], DOCS)
+    got = sorted((r.doc_id, r.item_id, r.start, r.end, r.edits) for r in D.matches(df, bench).collect())
+    assert got == [(0, 1, 4, 7, 0), (0, 5, 4, 7, 0), (3, 2, 0, 3, 0), (5, 3, 3, 6, 0), (6, 3, 0, 3, 0), (7, 4, 5, 6, 0), (11, 1, 4, 7, 0), (11, 5, 4, 7, 0)]
+    assert sorted(r.doc_id for r in D.drop_contaminated(df, bench).collect()) == [1, 2, 4, 8, 9, 10]
