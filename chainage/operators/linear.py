@@ -27,6 +27,21 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column,
     return local.join(carry, [*keys, block]).withColumn(out, F.col("__l") + F.col("__c")).drop("__v", "__l", "__c")
 
 
+def running_sums(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], block: str | None = None) -> DataFrame:
+    """Several running sums together. With block the rows are read twice, so rows that are costly to make are checkpointed first."""
+    zero = {out: F.coalesce(v, F.lit(0)) for out, v in values.items()}
+    if block is None:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({out: F.sum(v).over(w) for out, v in zero.items()})
+    inner = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy(*keys, block).agg(*[F.sum(v).alias(f"__s_{out}") for out, v in zero.items()])
+    carry = totals.select(*keys, block, *[F.coalesce(F.sum(f"__s_{out}").over(before), F.lit(0)).alias(f"__c_{out}") for out in values])
+    local = df.withColumns({f"__l_{out}": F.sum(v).over(inner) for out, v in zero.items()})
+    summed = local.join(carry, [*keys, block]).withColumns({out: F.col(f"__l_{out}") + F.col(f"__c_{out}") for out in values})
+    return summed.drop(*[f"__{c}_{out}" for out in values for c in "lc"])
+
+
 def previous(df: DataFrame, keys: list[str], order: list[str], column: str, out: str, block: str | None = None) -> DataFrame:
     """The column's value in the row before (null in the first)."""
     if block is None:
@@ -82,7 +97,11 @@ def circle_radius(d: Column) -> Column:
     second = lambda a, b: total(lambda p: p[a] * p[b])
     cxx, cxy, cyy = second("x", "x") - sx * sx / m, second("x", "y") - sx * sy / m, second("y", "y") - sy * sy / m
     cxz, cyz = second("x", "z") - sx * sz / m, second("y", "z") - sy * sz / m
-    moments = F.struct(m.alias("m"), sx.alias("sx"), sy.alias("sy"), sz.alias("sz"), cxx.alias("cxx"), cxy.alias("cxy"), cyy.alias("cyy"), cxz.alias("cxz"), cyz.alias("cyz"))
+    return radius_of(F.struct(m.alias("m"), sx.alias("sx"), sy.alias("sy"), sz.alias("sz"), cxx.alias("cxx"), cxy.alias("cxy"), cyy.alias("cyy"), cxz.alias("cxz"), cyz.alias("cyz")))
+
+
+def radius_of(moments: Column) -> Column:
+    """Radius of the least-squares circle from a struct of the points' number m, sums s* and sums of products about their means c*."""
 
     def radius(s: Column) -> Column:
         det = s["cxx"] * s["cyy"] - s["cxy"] * s["cxy"]
@@ -93,7 +112,7 @@ def circle_radius(d: Column) -> Column:
         flat = det <= 1e-12 * F.greatest(s["cxx"] * s["cyy"], F.lit(1e-300))
         return F.when(flat | (r > 1e7), F.lit(float("inf"))).otherwise(r)
 
-    # the moments once, however often they are named
+    # once, however often they are named
     return F.transform(F.array(moments), radius)[0]
 
 
@@ -108,23 +127,28 @@ def circle_fits(df: DataFrame, keys: list[str], order: list[str], x: str, y: str
 
 
 def inflections(df: DataFrame, keys: list[str], order: list[str], kappa: str, at: str, support: int, threshold: float, block: str | None = None) -> DataFrame:
-    """(keys, at): between runs of opposite curvature sign that last `support` rows, at the least |kappa| between them.
+    """(keys, at): between runs of opposite curvature sign that last `support` rows, at the least |kappa| from the one's last row to the other's first.
 
-    Where such runs touch, the row of the lesser |kappa| of both. Rows become runs in two
-    levels, and runs are worked on in blocks of consecutive ones.
+    Rows become runs in two levels, and runs are worked on in blocks of consecutive ones.
     """
     sign = F.when(F.abs(F.col(kappa)) < threshold, 0).otherwise(F.signum(kappa).cast("int"))
     rows = islands(numbered(df.withColumn("__sign", sign), keys, order, "__i", block), keys, order, "__sign", "run", block)
     spot = F.struct(F.abs(F.col(kappa)).alias("k"), F.col("__i").alias("i"), F.col(at).alias("at"))
     ends = [F.min_by(spot, "__i").alias("first"), F.max_by(spot, "__i").alias("last")]
-    every = rows.groupBy(*keys, "run").agg(F.first("__sign").alias("sign"), F.count("*").alias("n"), F.min(spot).alias("least"), *ends).withColumn("piece", F.floor(F.col("run") / 4096))
+    every = rows.groupBy(*keys, "run").agg(F.first("__sign").alias("sign"), F.count("*").alias("n"), F.min(spot).alias("least"), *ends)
+    return turning_points(every, keys, F.lit(support))
+
+
+def turning_points(every: DataFrame, keys: list[str], support: Column) -> DataFrame:
+    """(keys, at) from runs of one sign: run, sign, n and the spots (k, i, at) first, last and least in |kappa|."""
+    every = every.withColumn("piece", F.floor(F.col("run") / 4096))
     real = (F.col("sign") != 0) & (F.col("n") >= support)
     counted = checkpoint(running_sum(every, keys, ["run"], real.cast("long"), "passed", "piece"))
     between = counted.where(~real).groupBy(*keys, "passed").agg(F.min("least").alias("gap"))
     bends = counted.where(real).select(*keys, "run", "piece", "passed", F.struct("sign", "last").alias("own"), "sign", "first")
     pairs = previous(bends, keys, ["run"], "own", "before", "piece").where("before.sign <> sign").withColumn("passed", F.col("passed") - 1)
-    touching = F.least(F.col("before.last"), F.col("first"))
-    return pairs.join(between, [*keys, "passed"], "left").select(*keys, F.coalesce("gap", touching)["at"].alias("at"))
+    least = F.least("gap", F.col("before.last"), F.col("first"))
+    return pairs.join(between, [*keys, "passed"], "left").select(*keys, least["at"].alias("at"))
 
 
 def asof(points: DataFrame, marks: DataFrame, keys: list[str], at: str, payload: list[str], direction: str = "backward") -> DataFrame:

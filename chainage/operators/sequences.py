@@ -214,12 +214,12 @@ def merge_splits(splits: list[float], least: float) -> list[float]:
 
 
 def inflections(kappa: np.ndarray, support: int, threshold: float) -> list[int]:
-    """Rows between runs of opposite curvature sign that last `support` rows, at the least |kappa| between them; where they touch, at the lesser of both rows."""
+    """Rows between runs of opposite curvature sign that last `support` rows, at the least |kappa| from the one's last row to the other's first."""
     sign = np.where(np.abs(kappa) < threshold, 0, np.sign(kappa)).astype(int)
     edges = np.flatnonzero(np.diff(sign)) + 1
     cuts = np.concatenate(([0], edges, [len(sign)]))
     found = [(a, b, sign[a]) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if sign[a] and b - a >= support]
-    return [int(b0 + np.abs(kappa[b0:a1]).argmin()) if a1 > b0 else int(b0 - (np.abs(kappa[b0 - 1]) <= np.abs(kappa[b0]))) for (_, b0, s0), (a1, _, s1) in zip(found, found[1:], strict=False) if s0 != s1]
+    return [int(b0 - 1 + np.abs(kappa[b0 - 1 : a1 + 1]).argmin()) for (_, b0, s0), (a1, _, s1) in zip(found, found[1:], strict=False) if s0 != s1]
 
 
 def match_to_edges(xy: np.ndarray, candidates: list[list[tuple[int, float, float]]], most: float = 30.0, hold: float = 10.0, held: int | None = None) -> list[int | None]:

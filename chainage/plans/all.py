@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from chainage.plans import aggregates, engines, joins, rows, synthesis, travel, windows  # noqa: F401
+from chainage.plans import aggregates, engines, geometry, joins, rows, synthesis, travel, windows  # noqa: F401
 from chainage.plans.registry import ORACLES, QUERIES  # noqa: F401
