@@ -221,23 +221,3 @@ def inflections(kappa: np.ndarray, support: int, threshold: float) -> list[int]:
     found = [(a, b, sign[a]) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if sign[a] and b - a >= support]
     return [int(b0 - 1 + np.abs(kappa[b0 - 1 : a1 + 1]).argmin()) for (_, b0, s0), (a1, _, s1) in zip(found, found[1:], strict=False) if s0 != s1]
 
-
-def match_to_edges(xy: np.ndarray, candidates: list[list[tuple[int, float, float]]], most: float = 30.0, hold: float = 10.0, held: int | None = None) -> list[int | None]:
-    """Edge of each point of a track, held while it fits. A track may come in pieces: held is the last edge of the piece before.
-
-    candidates: per point (edge, distance, angle off). The edge held stays while it is a
-    candidate within `most` and no other is closer by more than `hold`; else the candidate
-    of the least distance plus angle is taken; without candidates the lock is lost.
-    """
-    out: list[int | None] = []
-    for options in candidates:
-        near = [o for o in options if o[1] <= most]
-        if not near:
-            held = None
-        else:
-            best = min(near, key=lambda o: (o[1] + o[2], o[0]))
-            own = next((o for o in near if o[0] == held), None)
-            if own is None or own[1] - best[1] > hold:
-                held = best[0]
-        out.append(held)
-    return out

@@ -262,23 +262,6 @@ def inflection_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.in_order(one.union(two), ["user_id"], ["at"], "user_id long, at double", merge)
 
 
-@query()
-def matched_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edge of each point of a path, held while it fits: candidates by grid join, then a lock that is streamed along each section (sequential rule: no SQL)."""
-    p = points(spark, sf_dir)
-    asked = p.select(F.col("label").alias("section"), "id", F.col("x").alias("px"), F.col("y").alias("py"))
-    edges = p.select(F.col("label").alias("edge"), F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-    options = spatial.within(asked, edges, 0.05).where("id <> other").groupBy("section", "id", "edge").agg(F.min("dist").alias("d"))
-    rows = asked.select("section", "id").join(options.groupBy("section", "id").agg(F.array_sort(F.collect_list(F.struct("edge", "d"))).alias("options")), ["section", "id"], "left")
-
-    def lock(held, p, last):
-        candidates = [[] if o is None else [(x["edge"], x["d"] * 1000, 0.0) for x in o] for o in p["options"]]
-        found = sequences.match_to_edges(np.empty(0), candidates, 50.0, 10.0, held)
-        return found[-1], pd.DataFrame({"section": p["section"], "id": p["id"], "edge": pd.array(found, dtype="Int32")})
-
-    return sequences.in_order(rows, ["section"], ["id"], "section int, id long, edge int", lock)
-
-
 @query("""WITH p AS (SELECT DISTINCT l_orderkey AS way_id, l_linenumber AS n, l_partkey AS node, l_partkey / 1000 AS lat, l_suppkey / 100 AS lon FROM lineitem),
 i AS (SELECT *, row_number() OVER w AS i, lead(node) OVER w IS NULL AS last, lag(node) OVER w AS before, lag(lat) OVER w AS lat0, lag(lon) OVER w AS lon0 FROM p WINDOW w AS (PARTITION BY way_id ORDER BY n, node, lat, lon)),
 g AS (SELECT node FROM p GROUP BY node HAVING count(*) >= 2), c AS (SELECT i.*, CAST(i = 1 OR last OR g.node IS NOT NULL AS INTEGER) AS cut FROM i LEFT JOIN g USING (node)),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chainage.functions.scalar import micros
-from chainage.operators import curvature, linear
+from chainage.operators import curvature, linear, matching
 from chainage.plans.registry import query, table
 from chainage.sources.shared import checkpoint
 
@@ -119,3 +119,49 @@ def curvature_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From vertices to radii: even points, smoothing, inflections, fits that stop there, gate, median."""
     out = curvature.measured(path(spark, sf_dir), ["user_id"], ["v"], "x", "y", SURVEY, "block")
     return out.select("user_id", "i", (F.col("i") * 10 / 1000.0).alias("km"), F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.round("radius", 0).alias("radius"))
+
+
+#: Vertices of an edge of the network, and how far the second track lies beside the first.
+EDGE = 9
+BESIDE = 4.5
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`path` with each ten users' lines around one place: they cross and run beside each other like the tracks of a yard."""
+    p = path(spark, sf_dir)
+    return p.withColumns({"x": F.col("x") + F.col("user_id") % 10 * 300.0, "y": F.col("y") + F.floor(F.col("user_id") / 10) * 20_000.0})
+
+
+def network(line: DataFrame) -> DataFrame:
+    """Segments of tracks from lines: each line is a way, every third one has a second way beside it; EDGE segments make an edge.
+
+    Columns: way, edge, seq, u, v, ax, ay, bx, by. Nodes and edges are numbered by way and place.
+    """
+    rows = linear.with_halo(line.withColumnRenamed("v", "i"), ["user_id"], "i", 1, 5000)
+    w = Window.partitionBy("user_id", "chunk").orderBy("i")
+    ends = rows.withColumns({"bx": F.lead("x").over(w), "by": F.lead("y").over(w)}).where("own and bx is not null")
+    one = ends.select("user_id", "i", F.col("x").alias("ax"), F.col("y").alias("ay"), "bx", "by", F.lit(0).alias("side"))
+    two = one.where("user_id % 3 = 0").withColumns({"ay": F.col("ay") + BESIDE, "by": F.col("by") + BESIDE, "side": F.lit(1)})
+    place = F.floor(F.col("i") / EDGE)
+    way = F.col("user_id") * 2 + F.col("side")
+    number = lambda k: (way * 1_000_000 + k).cast("long")
+    return one.unionByName(two).select(way.cast("long").alias("way"), number(place).alias("edge"), F.col("i").alias("seq"), number(place).alias("u"), number(place + 1).alias("v"), "ax", "ay", "bx", "by")
+
+
+def wandering(line: DataFrame) -> DataFrame:
+    """A surveyed track along each line: its vertices moved by up to 12 m, every fortieth one by 90 m."""
+    e = F.col("event_id")
+    off = F.when(e % 40 == 7, 90.0).otherwise((e % 9 - 4) * 3.0)
+    return line.select(F.col("user_id").alias("section"), F.col("v").alias("i"), F.col("block"), (F.col("x") + off * 0.6).alias("px"), (F.col("y") - off * 0.8).alias("py"))
+
+
+#: Reach of the matching in the query: edges further away can't be meant on these lines.
+RULES = matching.Rules(reach=120.0)
+
+
+@query()
+def matched_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edge, direction, offset and confidence of each point of the surveyed tracks (sequential rule: no SQL)."""
+    line = lines(spark, sf_dir)
+    out = matching.match(wandering(line), network(line), ["section"], "i", RULES, 120.0, "block")
+    return out.withColumns({"off": F.round("off", 4), "dist": F.round("dist", 4)})

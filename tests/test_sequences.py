@@ -124,7 +124,5 @@ def test_simplified_lines_stay_near(points, tolerance):
             assert far <= tolerance + 1e-6
 
 
-def test_thinning_and_matching():
+def test_thinning():
     assert S.thin_by_distance(np.array([0, 1, 2, 5, 6, 11.0]), 3).tolist() == [0, 3, 5]
-    parallel = [[(1, 1.0, 0.0), (2, 4.0, 0.0)], [(1, 3.0, 0.0), (2, 2.0, 0.0)], [(1, 15.0, 0.0), (2, 1.0, 0.0)], [], [(2, 40.0, 0.0)]]
-    assert S.match_to_edges(np.empty(0), parallel, most=30.0, hold=10.0) == [1, 1, 2, None, None]

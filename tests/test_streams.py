@@ -42,20 +42,6 @@ def test_thinned_paths(spark, short_batches):
     assert n == len(got)
 
 
-def test_matched_edges(spark, short_batches):
-    got = {r.id: (r.section, r.edge) for r in plans.QUERIES["matched_edges"](spark, SF).collect()}
-    p = points(spark, SF).toPandas().sort_values(["label", "id"])
-    x, y, label, ids = (p[c].to_numpy() for c in ("x", "y", "label", "id"))
-    held = {}
-    for i in range(len(p)):
-        d = np.hypot(x - x[i], y - y[i])
-        near = (d <= 0.05) & (ids != ids[i])
-        options = sorted((int(e), float(d[near & (label == e)].min()) * 1000, 0.0) for e in set(label[near].tolist()))
-        (edge,) = S.match_to_edges(np.empty(0), [options], 50.0, 10.0, held.get(label[i]))
-        held[label[i]] = edge
-        assert got[int(ids[i])] == (label[i], edge)
-    assert len(got) == len(p)
-
 
 def test_inflection_points(spark, short_batches):
     got = {}
