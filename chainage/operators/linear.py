@@ -8,7 +8,9 @@ over one row per block. No task then holds a whole section, however long it is.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from chainage.sources.shared import checkpoint
@@ -151,32 +153,68 @@ def turning_points(every: DataFrame, keys: list[str], support: Column) -> DataFr
     return pairs.join(between, [*keys, "passed"], "left").select(*keys, least["at"].alias("at"))
 
 
-def asof(points: DataFrame, marks: DataFrame, keys: list[str], at: str, payload: list[str], direction: str = "backward") -> DataFrame:
-    """points with the payload of the nearest mark at or before them (or at or after), by one sort of the union; null where there is none.
+def in_frames(df: DataFrame, keys: list[str], order: list, half: int, block: str | None, add: Callable[[DataFrame, WindowSpec], DataFrame]) -> DataFrame:
+    """add(rows, w) over the section's window w; add may look at `half` rows before and after a row.
+
+    With block, rows are worked on in chunks with so many neighbours, and no task holds a section.
+    """
+    if block is None:
+        return add(df, Window.partitionBy(*keys).orderBy(*order))
+    rows = with_halo(numbered(df, keys, order, "__i", block), keys, "__i", half)
+    return add(rows, Window.partitionBy(*keys, "chunk").orderBy("__i")).where("own").drop("__i", "chunk", "own")
+
+
+def _met(points: DataFrame, marks: DataFrame, keys: list[str], at: str, payload: list[str], width: float | None, sides: str) -> DataFrame:
+    """(__row, __d, __u): points as structs with the nearest marks down (d) and up (u), as far as sides asks for them.
 
-    Marks of equal `at` count in the order of their payload; both sides name the position `at`.
+    One union, sorted by position. With width it is cut into cells of so much length; what
+    lies beyond a cell comes from one row per cell.
     """
     wrapped = F.struct(F.col(at).alias("at"), *payload)
-    both = marks.select(*keys, at, F.lit(0 if direction == "backward" else 1).alias("__side"), wrapped.alias("__m"), F.lit(None).cast(points.select(F.struct("*")).schema[0].dataType).alias("__row"))
-    both = both.unionByName(points.select(*keys, at, F.lit(1 if direction == "backward" else 0).alias("__side"), F.lit(None).cast(marks.select(wrapped).schema[0].dataType).alias("__m"), F.struct("*").alias("__row")))
-    order = [F.col(at), F.col("__side"), F.col("__m")]
-    if direction == "backward":
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        found = F.last("__m", ignorenulls=True).over(w)
-    else:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-        found = F.first("__m", ignorenulls=True).over(w)
-    return both.withColumn("__f", found).where("__row is not null").select("__row.*", F.col("__f.at").alias("mark_at"), *[F.col(f"__f.{p}").alias(p) for p in payload])
+    row_type, mark_type = points.select(F.struct("*")).schema[0].dataType, marks.select(wrapped).schema[0].dataType
+    both = marks.where(F.col(at).isNotNull()).select(*keys, at, wrapped.alias("__m"), F.lit(None).cast(row_type).alias("__row"))
+    both = both.unionByName(points.select(*keys, at, F.lit(None).cast(mark_type).alias("__m"), F.struct("*").alias("__row")))
+    parts = list(keys)
+    if width:
+        both, parts = both.withColumn("__cell", F.floor(F.col(at) / width)), [*keys, "__cell"]
+    # marks at the point's own position count, so frames end with the rows of equal position
+    seen = lambda by: Window.partitionBy(*parts).orderBy(by).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    own = {"__d": F.max("__m").over(seen(F.col(at)))} if "d" in sides else {}
+    own |= {"__u": F.when(F.col(at).isNotNull(), F.min("__m").over(seen(F.desc(at))))} if "u" in sides else {}
+    found = both.withColumns(own)
+    if width:
+        cells = both.groupBy(*parts).agg(F.max("__m").alias("__last"), F.min("__m").alias("__first"))
+        beyond = lambda by: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        carry = cells.select(*parts, F.last("__last", ignorenulls=True).over(beyond(F.col("__cell"))).alias("__d0"), F.last("__first", ignorenulls=True).over(beyond(F.desc("__cell"))).alias("__u0"))
+        found = found.where("__row is not null").join(carry, parts, "left")
+        found = found.withColumns({c: F.coalesce(c, f"{c}0") for c in own})
+    return found.where("__row is not null").select("__row", *own)
+
+
+def asof(points: DataFrame, marks: DataFrame, keys: list[str], at: str, payload: list[str], direction: str = "backward", width: float | None = None) -> DataFrame:
+    """points with the payload of the nearest mark at or before them (or at or after), by one sort of the union; null where there is none.
+
+    Marks of equal `at` count in the order of their payload; both sides name the position
+    `at`; points without position meet nothing. With width (a length along the section that
+    a task can hold) a section is spread over its cells.
+    """
+    side = "d" if direction == "backward" else "u"
+    found = _met(points, marks, keys, at, payload, width, side)
+    return found.select("__row.*", F.col(f"__{side}.at").alias("mark_at"), *[F.col(f"__{side}.{p}").alias(p) for p in payload])
+
+
+def between(points: DataFrame, marks: DataFrame, keys: list[str], at: str, payload: list[str], width: float | None = None) -> DataFrame:
+    """points with the nearest marks on both sides (as in asof): down_at, down_<payload>, up_at, up_<payload>."""
+    found = _met(points, marks, keys, at, payload, width, "du")
+    return found.select("__row.*", *[F.col(f"__{side[0]}.{p}").alias(f"{side}_{p}") for side in ("down", "up") for p in ("at", *payload)])
 
 
-def interpolate(points: DataFrame, marks: DataFrame, keys: list[str], at: str, value: str, out: str) -> DataFrame:
+def interpolate(points: DataFrame, marks: DataFrame, keys: list[str], at: str, value: str, out: str, width: float | None = None) -> DataFrame:
     """points with the marks' value interpolated linearly at their position, clamped at both ends."""
-    names = points.columns
-    down = asof(points, marks, keys, at, [value]).withColumnsRenamed({"mark_at": "__a", value: "__va"})
-    up = asof(down, marks, keys, at, [value], "forward").withColumnsRenamed({"mark_at": "__b", value: "__vb"})
-    share = F.try_divide(F.col(at) - F.col("__a"), F.col("__b") - F.col("__a"))
-    between = F.when(F.col("__a") == F.col("__b"), F.col("__va")).otherwise(F.col("__va") + share * (F.col("__vb") - F.col("__va")))
-    return up.select(*names, F.when(F.col("__a").isNull(), F.col("__vb")).when(F.col("__b").isNull(), F.col("__va")).otherwise(between).alias(out))
+    both = between(points, marks.select(*keys, at, F.col(value).alias("__v")), keys, at, ["__v"], width)
+    a, b, va, vb = (F.col(c) for c in ("down_at", "up_at", "down___v", "up___v"))
+    inside = F.when(a == b, va).otherwise(va + F.try_divide(F.col(at) - a, b - a) * (vb - va))
+    return both.select(*points.columns, F.when(a.isNull(), vb).when(b.isNull(), va).otherwise(inside).alias(out))
 
 
 def grid(spans: DataFrame, lo: str, hi: str, step: float, at: str) -> DataFrame:
@@ -186,39 +224,47 @@ def grid(spans: DataFrame, lo: str, hi: str, step: float, at: str) -> DataFrame:
     return numbered.withColumn(at, F.col(lo) + F.col("__i") * step).drop("__i")
 
 
-def derivative(df: DataFrame, keys: list[str], order: list[str], x: str, y: str, base: int, out: str) -> DataFrame:
+def derivative(df: DataFrame, keys: list[str], order: list[str], x: str, y: str, base: int, out: str, block: str | None = None) -> DataFrame:
     """(y after - y before) / (x after - x before) over `base` rows each way; rows near an end take the nearest full one."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    raw = F.try_divide(F.lead(y, base).over(w) - F.lag(y, base).over(w), F.lead(x, base).over(w) - F.lag(x, base).over(w))
-    back = w.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = w.rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumn("__d", raw).withColumn(out, F.coalesce("__d", F.first("__d", ignorenulls=True).over(ahead), F.last("__d", ignorenulls=True).over(back))).drop("__d")
 
+    def slopes(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        raw = F.try_divide(F.lead(y, base).over(w) - F.lag(y, base).over(w), F.lead(x, base).over(w) - F.lag(x, base).over(w))
+        near = lambda f, a, b: f("__d", ignorenulls=True).over(w.rowsBetween(a, b))
+        return rows.withColumn("__d", raw).withColumn(out, F.coalesce("__d", near(F.first, 0, base), near(F.last, -base, 0))).drop("__d")
 
-def gradient(df: DataFrame, keys: list[str], order: list[str], x: str, y: str, out: str) -> DataFrame:
+    return in_frames(df, keys, order, 2 * base, block, slopes)
+
+
+def gradient(df: DataFrame, keys: list[str], order: list[str], x: str, y: str, out: str, block: str | None = None) -> DataFrame:
     """dy/dx of the second order on uneven positions, one-sided at both ends; 0 where it isn't defined."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    before, after = F.col(x) - F.lag(x).over(w), F.lead(x).over(w) - F.col(x)
-    down = F.try_divide(F.col(y) - F.lag(y).over(w), before)
-    up = F.try_divide(F.lead(y).over(w) - F.col(y), after)
-    parts = df.withColumns({"__a": before, "__b": after, "__down": down, "__up": up})
-    both = F.try_divide(F.col("__a") * F.col("__up") + F.col("__b") * F.col("__down"), F.col("__a") + F.col("__b"))
-    return parts.withColumn(out, F.coalesce(both, "__up", "__down", F.lit(0.0))).drop("__a", "__b", "__down", "__up")
 
+    def slopes(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        before, after = F.col(x) - F.lag(x).over(w), F.lead(x).over(w) - F.col(x)
+        down = F.try_divide(F.col(y) - F.lag(y).over(w), before)
+        up = F.try_divide(F.lead(y).over(w) - F.col(y), after)
+        parts = rows.withColumns({"__a": before, "__b": after, "__down": down, "__up": up})
+        both = F.try_divide(F.col("__a") * F.col("__up") + F.col("__b") * F.col("__down"), F.col("__a") + F.col("__b"))
+        return parts.withColumn(out, F.coalesce(both, "__up", "__down", F.lit(0.0))).drop("__a", "__b", "__down", "__up")
+
+    return in_frames(df, keys, order, 1, block, slopes)
 
-def unwrapped(df: DataFrame, keys: list[str], order: list[str], angle: str, out: str) -> DataFrame:
+
+def unwrapped(df: DataFrame, keys: list[str], order: list[str], angle: str, out: str, block: str | None = None) -> DataFrame:
     """The angle (radians) without jumps of more than pi, from the section's first value."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    step = F.col(angle) - F.lag(angle).over(w)
+    step = F.col(angle) - F.col("__p")
     turn = F.coalesce(-2 * F.lit(3.141592653589793) * F.rint(step / (2 * 3.141592653589793)), F.lit(0.0))
-    return running_sum(df.withColumn("__t", turn), keys, order, F.col("__t"), "__c").withColumn(out, F.col(angle) + F.col("__c")).drop("__t", "__c")
+    rows = previous(df, keys, order, angle, "__p", block)
+    return running_sum(rows, keys, order, turn, "__turned", block).withColumn(out, F.col(angle) + F.col("__turned")).drop("__p", "__turned")
 
 
-def decimated(df: DataFrame, keys: list[str], order: list[str], every: int) -> DataFrame:
+def decimated(df: DataFrame, keys: list[str], order: list[str], every: int, block: str | None = None) -> DataFrame:
     """Every n-th row of a section from its first, and its last."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    numbered = df.withColumn("__i", F.row_number().over(w)).withColumn("__last", F.lead(F.lit(1)).over(w).isNull())
-    return numbered.where((F.col("__i") % every == 1 % every) | F.col("__last")).drop("__i", "__last")
+    rows = numbered(df, keys, order, "__i", block)
+    last = lambda r, w: r.withColumn("__last", F.lead(F.lit(1)).over(w).isNull())
+    if block is None:
+        return last(rows, Window.partitionBy(*keys).orderBy("__i")).where((F.col("__i") % every == 0) | F.col("__last")).drop("__i", "__last")
+    chunks = last(with_halo(rows, keys, "__i", 1), Window.partitionBy(*keys, "chunk").orderBy("__i"))
+    return chunks.where("own").where((F.col("__i") % every == 0) | F.col("__last")).drop("__i", "__last", "chunk", "own")
 
 
 def without_repeats(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
@@ -227,34 +273,53 @@ def without_repeats(df: DataFrame, keys: list[str], order: list[str], columns: l
     return before.where(F.col("__p").isNull() | ~F.col("__p").eqNullSafe(F.col("__s"))).drop("__s", "__p")
 
 
-def trapezoid_time(df: DataFrame, keys: list[str], order: list[str], x: str, v: str, out: str, floor: float = 0.1) -> DataFrame:
+def trapezoid_time(df: DataFrame, keys: list[str], order: list[str], x: str, v: str, out: str, floor: float = 0.1, block: str | None = None) -> DataFrame:
     """Hours from each row to the next at the mean of both speeds, `floor` at least; 0 in the last row."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    mean = F.greatest((F.col(v) + F.lead(v).over(w)) / 2, F.lit(floor))
-    return df.withColumn(out, F.coalesce((F.lead(x).over(w) - F.col(x)) / mean, F.lit(0.0)))
 
+    def hours(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        mean = F.greatest((F.col(v) + F.lead(v).over(w)) / 2, F.lit(floor))
+        return rows.withColumn(out, F.coalesce((F.lead(x).over(w) - F.col(x)) / mean, F.lit(0.0)))
+
+    return in_frames(df, keys, order, 1, block, hours)
 
-def braking(df: DataFrame, keys: list[str], order: list[str], x_m: str, v_ms: str, brake: float, out: str) -> DataFrame:
+
+def suffix_min(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, block: str | None = None) -> DataFrame:
+    """Least value of this row and all rows after it. Rows are read from the section's end, so the cost is linear."""
+    backwards = [F.desc(c) for c in order]
+    parts = [*keys, block] if block else keys
+    local = df.withColumn(out, F.min(value).over(Window.partitionBy(*parts).orderBy(*backwards).rowsBetween(Window.unboundedPreceding, 0)))
+    if block is None:
+        return local
+    later = Window.partitionBy(*keys).orderBy(F.desc(block)).rowsBetween(Window.unboundedPreceding, -1)
+    carry = df.groupBy(*parts).agg(F.min(value).alias("__m")).select(*parts, F.min("__m").over(later).alias("__c"))
+    return local.join(carry, parts).withColumn(out, F.least(out, "__c")).drop("__c")
+
+
+def braking(df: DataFrame, keys: list[str], order: list[str], x_m: str, v_ms: str, brake: float, out: str, block: str | None = None) -> DataFrame:
     """Speeds from which each later limit is reached at constant braking: a suffix minimum of v2 + 2 b x."""
-    ahead = Window.partitionBy(*keys).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    least = F.min(F.col(v_ms) * F.col(v_ms) + 2 * brake * F.col(x_m)).over(ahead)
-    return df.withColumn(out, F.sqrt(F.greatest(least - 2 * brake * F.col(x_m), F.lit(0.0))))
+    rows = df.withColumn("__e", F.col(v_ms) * F.col(v_ms) + 2 * brake * F.col(x_m))
+    least = suffix_min(rows, keys, order, "__e", "__l", block)
+    return least.withColumn(out, F.sqrt(F.greatest(F.col("__l") - 2 * brake * F.col(x_m), F.lit(0.0)))).drop("__e", "__l")
 
 
-def heading_by_distance(df: DataFrame, keys: list[str], at: str, x: str, y: str, reach: float, out: str) -> DataFrame:
+def heading_by_distance(df: DataFrame, keys: list[str], at: str, x: str, y: str, reach: float, out: str, width: float | None = None) -> DataFrame:
     """Bearing (degrees) from the last point at least `reach` before a row to the first at least `reach` after it; a section's end points stand in near its ends."""
     marks = df.select(*keys, F.col(at).alias("__p"), F.struct(x, y).alias("__xy"))
     ends = marks.groupBy(*keys).agg(F.min_by("__xy", "__p").alias("__first"), F.max_by("__xy", "__p").alias("__last"))
     names = df.columns
-    ahead = asof(df.withColumn("__p", F.col(at) + reach), marks, keys, "__p", ["__xy"], "forward").withColumnRenamed("__xy", "__b").drop("mark_at")
-    both = asof(ahead.withColumn("__p", F.col(at) - reach), marks, keys, "__p", ["__xy"]).withColumnRenamed("__xy", "__a").drop("mark_at").join(ends, keys)
+    ahead = asof(df.withColumn("__p", F.col(at) + reach), marks, keys, "__p", ["__xy"], "forward", width).withColumnRenamed("__xy", "__b").drop("mark_at")
+    both = asof(ahead.withColumn("__p", F.col(at) - reach), marks, keys, "__p", ["__xy"], width=width).withColumnRenamed("__xy", "__a").drop("mark_at").join(ends, keys)
     a, b = F.coalesce("__a", "__first"), F.coalesce("__b", "__last")
     return both.select(*names, F.pmod(F.degrees(F.atan2(b[x] - a[x], b[y] - a[y])) + 360, F.lit(360.0)).alias(out))
 
 
-def deflection_gate(df: DataFrame, keys: list[str], order: list[str], heading: str, radius: str, half: int, least: float, out: str) -> DataFrame:
+def deflection_gate(df: DataFrame, keys: list[str], order: list[str], heading: str, radius: str, half: int, least: float, out: str, block: str | None = None) -> DataFrame:
     """The radius where the unwrapped heading turns by `least` or more over `half` rows each way (cut at the ends), else infinite: a straight."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    before = F.coalesce(F.lag(heading, half).over(w), F.first(heading).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    after = F.coalesce(F.lead(heading, half).over(w), F.last(heading).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    return df.withColumn(out, F.when(F.abs(after - before) >= least, F.col(radius)).otherwise(F.lit(float("inf"))))
+
+    def gated(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        # where no row lies so far away, the section's end is in the frame
+        before = F.coalesce(F.lag(heading, half).over(w), F.first(heading).over(w.rowsBetween(-half, 0)))
+        after = F.coalesce(F.lead(heading, half).over(w), F.last(heading).over(w.rowsBetween(0, half)))
+        return rows.withColumn(out, F.when(F.abs(after - before) >= least, F.col(radius)).otherwise(F.lit(float("inf"))))
+
+    return in_frames(df, keys, order, half, block, gated)

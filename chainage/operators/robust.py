@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from chainage.operators.linear import in_frames
 
-def rolling_median(df: DataFrame, keys: list[str], order: list[str], column: str, half: int, out: str) -> DataFrame:
+
+def rolling_median(df: DataFrame, keys: list[str], order: list[str], column: str, half: int, out: str, block: str | None = None) -> DataFrame:
     """Median of the rows up to `half` before and after; frames are cut at the ends."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-half, half)
-    return df.withColumn(out, F.percentile(column, F.lit(0.5)).over(w))
+    return in_frames(df, keys, order, half, block, lambda rows, w: rows.withColumn(out, F.percentile(column, F.lit(0.5)).over(w.rowsBetween(-half, half))))
 
 
-def _padded(df: DataFrame, keys: list[str], order: list[str], column: str, half: int) -> tuple[DataFrame, Column]:
+def _padded(df: DataFrame, w: WindowSpec, column: str, half: int) -> tuple[DataFrame, Column]:
     """The values of a frame of 2 * half + 1 rows; the end values stand for rows beyond the ends."""
-    w = Window.partitionBy(*keys).orderBy(*order)
     frame = w.rowsBetween(-half, half)
     held = df.withColumn("__f", F.collect_list(F.struct(F.col(column).alias("v"))).over(frame))
     held = held.withColumn("__before", F.least(F.row_number().over(w) - 1, F.lit(half)))
@@ -27,28 +27,39 @@ def _padded(df: DataFrame, keys: list[str], order: list[str], column: str, half:
 _TEMPORARY = ("__f", "__before", "__after", "__pad")
 
 
-def median_filter(df: DataFrame, keys: list[str], order: list[str], column: str, half: int, out: str) -> DataFrame:
+def median_filter(df: DataFrame, keys: list[str], order: list[str], column: str, half: int, out: str, block: str | None = None) -> DataFrame:
     """Median of 2 * half + 1 values, the end values repeated beyond the ends."""
-    held, pad = _padded(df, keys, order, column, half)
-    return held.withColumn(out, F.get(F.array_sort(pad), F.lit(half))).drop(*_TEMPORARY)
 
+    def median(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        held, pad = _padded(rows, w, column, half)
+        return held.withColumn(out, F.get(F.array_sort(pad), F.lit(half))).drop(*_TEMPORARY)
+
+    return in_frames(df, keys, order, half, block, median)
 
-def moving_average(df: DataFrame, keys: list[str], order: list[str], column: str, half: int, out: str) -> DataFrame:
+
+def moving_average(df: DataFrame, keys: list[str], order: list[str], column: str, half: int, out: str, block: str | None = None) -> DataFrame:
     """Mean of 2 * half + 1 values, the end values repeated beyond the ends."""
-    held, pad = _padded(df, keys, order, column, half)
-    return held.withColumn(out, F.aggregate(pad, F.lit(0.0), lambda a, x: a + x) / (2 * half + 1)).drop(*_TEMPORARY)
 
+    def mean(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        held, pad = _padded(rows, w, column, half)
+        return held.withColumn(out, F.aggregate(pad, F.lit(0.0), lambda a, x: a + x) / (2 * half + 1)).drop(*_TEMPORARY)
+
+    return in_frames(df, keys, order, half, block, mean)
 
-def trailing_min(df: DataFrame, keys: list[str], order: list[str], column: str, rows: int, out: str) -> DataFrame:
+
+def trailing_min(df: DataFrame, keys: list[str], order: list[str], column: str, rows: int, out: str, block: str | None = None) -> DataFrame:
     """Least value of this row and the rows before it, so many: a limit holds until a train's end has passed."""
-    return df.withColumn(out, F.min(column).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(-rows, 0)))
+    return in_frames(df, keys, order, rows, block, lambda r, w: r.withColumn(out, F.min(column).over(w.rowsBetween(-rows, 0))))
 
 
-def neighbour_rank(df: DataFrame, keys: list[str], order: list[str], rank: str, half: int, out: str) -> DataFrame:
+def neighbour_rank(df: DataFrame, keys: list[str], order: list[str], rank: str, half: int, out: str, block: str | None = None) -> DataFrame:
     """Upper median of a rank among the rows around, without the row itself; null without neighbours."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    near = F.sort_array(F.concat(F.collect_list(rank).over(w.rowsBetween(-half, -1)), F.collect_list(rank).over(w.rowsBetween(1, half))))
-    return df.withColumn("__n", near).withColumn(out, F.get("__n", F.floor(F.size("__n") / 2).cast("int"))).drop("__n")
+
+    def around(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        near = F.sort_array(F.concat(F.collect_list(rank).over(w.rowsBetween(-half, -1)), F.collect_list(rank).over(w.rowsBetween(1, half))))
+        return rows.withColumn("__n", near).withColumn(out, F.get("__n", F.floor(F.size("__n") / 2).cast("int"))).drop("__n")
+
+    return in_frames(df, keys, order, half, block, around)
 
 
 def harmonic_mean(x: Column, floor: float = 1e-6) -> Column:

@@ -185,15 +185,14 @@ def _marks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query(_MARKS + """SELECT q.event_id, d.mark AS before, u.mark AS after FROM q ASOF LEFT JOIN m d ON q.user_id = d.user_id AND q.h >= d.h ASOF LEFT JOIN m u ON q.user_id = u.user_id AND q.h <= u.h""")
 def asof_up_down(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, m = _marks(spark, sf_dir)
-    down = linear.asof(q, m, ["user_id"], "h", ["mark"]).select("user_id", "event_id", "h", F.col("mark").alias("before"))
-    return linear.asof(down, m, ["user_id"], "h", ["mark"], "forward").select("event_id", "before", F.col("mark").alias("after"))
+    return linear.between(q, m, ["user_id"], "h", ["mark"], width=240.0).select("event_id", F.col("down_mark").alias("before"), F.col("up_mark").alias("after"))
 
 
 @query(_MARKS + """, j AS (SELECT q.event_id, q.h, d.h AS ha, d.v AS va, u.h AS hb, u.v AS vb FROM q ASOF LEFT JOIN m d ON q.user_id = d.user_id AND q.h >= d.h ASOF LEFT JOIN m u ON q.user_id = u.user_id AND q.h <= u.h)
 SELECT event_id, round(CASE WHEN ha IS NULL THEN vb WHEN hb IS NULL THEN va WHEN ha = hb THEN va ELSE va + (h - ha) / (hb - ha) * (vb - va) END, 6) AS v FROM j""")
 def lerp_at_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, m = _marks(spark, sf_dir)
-    return linear.interpolate(q, m.select("user_id", "h", "v"), ["user_id"], "h", "v", "v").select("event_id", F.round("v", 6).alias("v"))
+    return linear.interpolate(q, m.select("user_id", "h", "v"), ["user_id"], "h", "v", "v", width=240.0).select("event_id", F.round("v", 6).alias("v"))
 
 
 @query("""WITH s AS (SELECT l_returnflag, l_quantity AS len, least(4.824::DOUBLE * sqrt(l_extendedprice / 10), 360) AS v FROM lineitem),

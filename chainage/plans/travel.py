@@ -62,7 +62,11 @@ def with_frozen(free: DataFrame, blocks: DataFrame, pairs: DataFrame, keys: list
 
 def stopped(sampled: DataFrame, stops: DataFrame, keys: list[str]) -> DataFrame:
     """sampled with `rest`: the sample of its section nearest to each stop (keys, stop), ties to the smaller position."""
-    nearest = sampled.join(stops, keys).groupBy(*keys, "stop").agg(F.min_by(F.struct("stretch", "x"), F.struct(F.abs(F.col("x") - F.col("stop")), "x")).alias("s"))
+    asked = stops.select(*keys, "stop").distinct().withColumn("x", F.col("stop"))
+    near = linear.between(asked, sampled.select(*keys, "x", "stretch"), keys, "x", ["stretch"])
+    sides = {side: F.struct(F.col(f"{side}_stretch").alias("stretch"), F.col(f"{side}_at").alias("x")) for side in ("down", "up")}
+    first = F.col("up_at").isNull() | (F.col("stop") - F.col("down_at") <= F.col("up_at") - F.col("stop"))
+    nearest = near.select(*keys, F.when(F.col("down_at").isNotNull() & first, sides["down"]).when(F.col("up_at").isNotNull(), sides["up"]).alias("s")).where("s is not null")
     marks = nearest.select(*keys, "s.stretch", "s.x").distinct().withColumn("rest", F.lit(True))
     return sampled.join(marks, [*keys, "stretch", "x"], "left").withColumn("rest", F.coalesce("rest", F.lit(False)))
 
@@ -180,14 +184,14 @@ SELECT event_id, round(((degrees(atan2(dx, dy)) + 360) % 360 + 360) % 360, 6) AS
 def heading_by_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bearing over at least six hours each way."""
     tr = track(spark, sf_dir).select("user_id", "event_id", "h", F.col("h").alias("x"), F.col("value").alias("y"))
-    return linear.heading_by_distance(tr, ["user_id"], "h", "x", "y", 6.0, "heading").select("event_id", F.round("heading", 6).alias("heading"))
+    return linear.heading_by_distance(tr, ["user_id"], "h", "x", "y", 6.0, "heading", 240.0).select("event_id", F.round("heading", 6).alias("heading"))
 
 
 @query(TRACK + """, s AS (SELECT event_id, r, value, coalesce(lag(value, 3) OVER w, first_value(value) OVER w) AS a, coalesce(lead(value, 3) OVER w, last_value(value) OVER (PARTITION BY user_id ORDER BY us ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS b FROM tr WINDOW w AS (PARTITION BY user_id ORDER BY us))
 SELECT event_id, CASE WHEN abs(b - a) >= 50 THEN round(r, 4) ELSE 'inf'::DOUBLE END = 'inf'::DOUBLE AS straight, CASE WHEN abs(b - a) >= 50 THEN round(r, 4) END AS radius FROM s""")
 def deflection_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Radii where the line really turns, straights elsewhere."""
-    g = linear.deflection_gate(track(spark, sf_dir), ["user_id"], ["us"], "value", "r", 3, 50.0, "g")
+    g = linear.deflection_gate(track(spark, sf_dir), ["user_id"], ["us"], "value", "r", 3, 50.0, "g", block="day")
     straight = F.col("g") == float("inf")
     return g.select("event_id", straight.alias("straight"), F.when(~straight, F.round("g", 4)).alias("radius"))
 

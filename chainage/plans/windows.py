@@ -32,8 +32,8 @@ def islands_event_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(TRACK + "SELECT event_id, round(median(value) OVER (PARTITION BY user_id ORDER BY us ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING), 6) AS m, round_even(median(1 + event_id % 3) OVER (PARTITION BY user_id ORDER BY us ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING), 0) AS state FROM tr")
 def rolling_median_centered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = robust.rolling_median(_wide(spark, sf_dir), ["user_id"], ["us"], "value", 12, "m")
-    return robust.rolling_median(m, ["user_id"], ["us"], "state", 12, "s").select("event_id", F.round("m", 6).alias("m"), F.rint("s").alias("state"))
+    m = robust.rolling_median(_wide(spark, sf_dir), ["user_id"], ["us"], "value", 12, "m", block="day")
+    return robust.rolling_median(m, ["user_id"], ["us"], "state", 12, "s", block="day").select("event_id", F.round("m", 6).alias("m"), F.rint("s").alias("state"))
 
 
 _PAD = """, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us) AS i, count(*) OVER (PARTITION BY user_id) AS c FROM tr),
@@ -43,8 +43,8 @@ g AS (SELECT n.event_id, list(m.value) AS l FROM n CROSS JOIN (SELECT unnest(ran
 
 @query(TRACK + _PAD.format(k=3) + "SELECT event_id, list_sort(l)[4] AS m, round(list_sum(l) / 7, 6) AS mean FROM g")
 def padded_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = robust.median_filter(track(spark, sf_dir), ["user_id"], ["us"], "value", 3, "m")
-    return robust.moving_average(m, ["user_id"], ["us"], "value", 3, "mean").select("event_id", "m", F.round("mean", 6).alias("mean"))
+    m = robust.median_filter(track(spark, sf_dir), ["user_id"], ["us"], "value", 3, "m", block="day")
+    return robust.moving_average(m, ["user_id"], ["us"], "value", 3, "mean", block="day").select("event_id", "m", F.round("mean", 6).alias("mean"))
 
 
 @query(TRACK + _PAD.format(k=2) + ", m AS (SELECT user_id, list_sort(l)[3] AS m FROM g JOIN tr USING (event_id)) SELECT user_id, min(m) AS sustained FROM m GROUP BY user_id")
@@ -54,28 +54,28 @@ def sustained_minimum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(TRACK + "SELECT event_id, round(min(v) OVER (PARTITION BY user_id ORDER BY us ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS limit_kmh FROM tr")
 def trailing_min_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return robust.trailing_min(track(spark, sf_dir), ["user_id"], ["us"], "v", 6, "m").select("event_id", F.round("m", 6).alias("limit_kmh"))
+    return robust.trailing_min(track(spark, sf_dir), ["user_id"], ["us"], "v", 6, "m", block="day").select("event_id", F.round("m", 6).alias("limit_kmh"))
 
 
 @query(TRACK + """, s AS (SELECT event_id, user_id, us, h * 1000 AS x, (v / 3.6) ** 2 + 2 * 0.5 * h * 1000 AS e FROM tr)
 SELECT event_id, round(sqrt(greatest(min(e) OVER (PARTITION BY user_id ORDER BY us ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - 2 * 0.5 * x, 0)), 4) AS v FROM s""")
 def braking_suffix_min(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = track(spark, sf_dir).withColumns({"x": F.col("h") * 1000, "v0": F.col("v") / 3.6})
-    return linear.braking(s, ["user_id"], ["us"], "x", "v0", 0.5, "vb").select("event_id", F.round("vb", 4).alias("v"))
+    return linear.braking(s, ["user_id"], ["us"], "x", "v0", 0.5, "vb", block="day").select("event_id", F.round("vb", 4).alias("v"))
 
 
 @query(TRACK + f""", s AS (SELECT event_id, user_id, us, coalesce((lead(h) OVER w - h) / greatest((v + lead(v) OVER w) / 2, 0.5), 0) AS t FROM tr {_W})
 SELECT event_id, round(t, 8) AS t, round(sum(t) OVER (PARTITION BY user_id ORDER BY us), 6) AS cumulative FROM s""")
 def trapezoid_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = linear.trapezoid_time(track(spark, sf_dir), ["user_id"], ["us"], "h", "v", "t", floor=0.5)
-    return linear.running_sum(t, ["user_id"], ["us"], F.col("t"), "c").select("event_id", F.round("t", 8).alias("t"), F.round("c", 6).alias("cumulative"))
+    t = linear.trapezoid_time(track(spark, sf_dir), ["user_id"], ["us"], "h", "v", "t", floor=0.5, block="day")
+    return linear.running_sum(t, ["user_id"], ["us"], F.col("t"), "c", block="day").select("event_id", F.round("t", 8).alias("t"), F.round("c", 6).alias("cumulative"))
 
 
 @query(TRACK + """, r AS (SELECT *, instr('ABCDEF', class) AS k FROM tr), g AS (SELECT event_id, k, list_concat(coalesce(list(k) OVER (PARTITION BY user_id ORDER BY us ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), []), coalesce(list(k) OVER (PARTITION BY user_id ORDER BY us ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING), [])) AS l FROM r)
 SELECT event_id, CAST(list_sort(l)[len(l) // 2 + 1] AS INTEGER) AS around, k - list_sort(l)[len(l) // 2 + 1] >= 2 AS bottleneck FROM g""")
 def neighbour_drop_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = track(spark, sf_dir).withColumn("k", F.instr(F.lit("ABCDEF"), F.col("class")))
-    return robust.neighbour_rank(r, ["user_id"], ["us"], "k", 10, "around").select("event_id", "around", (F.col("k") - F.col("around") >= 2).alias("bottleneck"))
+    return robust.neighbour_rank(r, ["user_id"], ["us"], "k", 10, "around", block="day").select("event_id", "around", (F.col("k") - F.col("around") >= 2).alias("bottleneck"))
 
 
 @query(TRACK + f""", s AS (SELECT event_id, user_id, us, event_type = 'error' AND lag(event_type) OVER w <> 'error' AND lead(event_type) OVER w <> 'error' AS alone,
@@ -91,13 +91,13 @@ def neighbours_and_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id, round(ang + sum(coalesce(-2 * pi() * round_even(d / (2 * pi()), 0), 0)) OVER (PARTITION BY user_id ORDER BY us), 6) AS unwrapped FROM s""")
 def phase_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = track(spark, sf_dir).withColumn("ang", F.col("value") * F.pi() / 200 - F.pi())
-    return linear.unwrapped(a, ["user_id"], ["us"], "ang", "u").select("event_id", F.round("u", 6).alias("unwrapped"))
+    return linear.unwrapped(a, ["user_id"], ["us"], "ang", "u", block="day").select("event_id", F.round("u", 6).alias("unwrapped"))
 
 
 @query(TRACK + f""", s AS (SELECT event_id, user_id, us, (lead(value, 2) OVER w - lag(value, 2) OVER w) / (lead(h, 2) OVER w - lag(h, 2) OVER w) AS d FROM tr {_W})
 SELECT event_id, round(coalesce(d, first_value(d IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY us ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), last_value(d IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 4) AS slope FROM s""")
 def finite_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linear.derivative(track(spark, sf_dir), ["user_id"], ["us"], "h", "value", 2, "d").select("event_id", F.round("d", 4).alias("slope"))
+    return linear.derivative(track(spark, sf_dir), ["user_id"], ["us"], "h", "value", 2, "d", block="day").select("event_id", F.round("d", 4).alias("slope"))
 
 
 @query(TRACK + """, e AS (SELECT user_id, max(h) AS hi FROM tr GROUP BY user_id), g AS (SELECT user_id, unnest(range(CAST(floor(hi / 6 + 1e-9) AS BIGINT) + 1)) * 6.0::DOUBLE AS pos FROM e)
@@ -106,7 +106,7 @@ def resample_every_six_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     tr = track(spark, sf_dir)
     spans = tr.groupBy("user_id").agg(F.max("h").alias("hi")).withColumn("lo", F.lit(0.0))
     at = linear.grid(spans, "lo", "hi", 6.0, "h").select("user_id", "h")
-    return linear.asof(at, tr.select("user_id", "h", F.col("event_id").alias("before")), ["user_id"], "h", ["before"]).select("user_id", F.col("h").alias("pos"), "before")
+    return linear.asof(at, tr.select("user_id", "h", F.col("event_id").alias("before")), ["user_id"], "h", ["before"], width=240.0).select("user_id", F.col("h").alias("pos"), "before")
 
 
 @query(TRACK + f", s AS (SELECT event_id, event_type, lag(event_type) OVER w AS p, row_number() OVER w AS i FROM tr {_W}) SELECT event_id, event_type FROM s WHERE i = 1 OR event_type <> p")
@@ -116,7 +116,7 @@ def without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(TRACK + f", s AS (SELECT event_id, row_number() OVER w AS i, lead(1) OVER w IS NULL AS last FROM tr {_W}) SELECT event_id FROM s WHERE i % 3 = 1 OR last")
 def decimated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linear.decimated(track(spark, sf_dir), ["user_id"], ["us"], 3).select("event_id")
+    return linear.decimated(track(spark, sf_dir), ["user_id"], ["us"], 3, block="day").select("event_id")
 
 
 @query("""SELECT o_custkey, min_by(o_orderkey, (o_orderdate, o_orderkey)) AS first_order, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS last_order FROM orders GROUP BY o_custkey""")
