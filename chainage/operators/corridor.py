@@ -36,24 +36,49 @@ def native_vertices(match_runs: DataFrame, vertices: DataFrame, keys: list[str],
     return met.withColumn("seq", F.row_number().over(w)).select("section", "run", "seq", "vertex")
 
 
-def bodies(df: DataFrame, keys: list[str], x: str, y: str, radius: str, share: float) -> DataFrame:
-    """(keys, n_body, r_min, fitted): of each curve the rows whose curvature reaches `share` of its greatest, their least radius and the circle (Kasa) through them.
+#: Share of the greatest curvature that a body reaches at both ends, and the points that it has at least.
+BODY_SHARE, BODY_POINTS = 0.7, 5
 
-    fitted is infinite for fewer than three rows and for lines. The sums are aggregates about
-    the rows' centre, so no curve is held in memory.
+
+def bodies(df: DataFrame, keys: list[str], order: str, x: str, y: str, radius: str, share: float = BODY_SHARE, least: int = BODY_POINTS) -> DataFrame:
+    """(keys, lo, hi, n_body, r_min, fitted): of each curve the rows from the first to the last whose curvature reaches `share` of its greatest, their least radius and the circle (Kasa) through all of them.
+
+    order is the rows' place in the curve; curvature is 1 over the radius, 1 at most. fitted
+    is null for bodies of fewer than `least` rows and infinite for lines. The sums are
+    aggregates about the rows' centre, so no curve is held in memory.
     """
-    sharpest = df.groupBy(*keys).agg(F.min(radius).alias("__r"))
-    body = df.join(sharpest, keys).where(1 / F.col(radius) >= share * (1 / F.col("__r")))
+    bend = 1 / F.greatest(F.col(radius), F.lit(1.0))
+    sharpest = df.groupBy(*keys).agg(F.max(bend).alias("__k"))
+    ends = df.join(sharpest, keys).where(bend >= share * F.col("__k")).groupBy(*keys).agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
+    body = df.join(ends, keys).where(F.col(order).between(F.col("lo"), F.col("hi")))
     centre = body.groupBy(*keys).agg(F.avg(x).alias("__cx"), F.avg(y).alias("__cy"))
     at = body.join(centre, keys).withColumns({"__x": F.col(x) - F.col("__cx"), "__y": F.col(y) - F.col("__cy")})
     at = at.withColumn("__z", F.col("__x") * F.col("__x") + F.col("__y") * F.col("__y"))
     product = lambda a, b: F.sum(F.col(a) * F.col(b)).alias(f"{a}{b}")
-    sums = at.groupBy(*keys).agg(
+    sums = at.groupBy(*keys, "lo", "hi").agg(
         F.count("*").alias("n_body"), F.min(radius).alias("r_min"), F.avg("__z").alias("mz"), product("__x", "__x"), product("__x", "__y"), product("__y", "__y"), product("__x", "__z"), product("__y", "__z")
     )
     xx, xy, yy, xz, yz = (F.col(f"__{a}__{b}") for a, b in ("xx", "xy", "yy", "xz", "yz"))
     det = xx * yy - xy * xy
     p, q = F.try_divide(xz * yy - yz * xy, 2 * det), F.try_divide(yz * xx - xz * xy, 2 * det)
-    flat = (F.col("n_body") < 3) | (det <= 1e-12 * F.greatest(xx * yy, F.lit(1e-300)))
-    fitted = F.when(flat, F.lit(float("inf"))).otherwise(F.sqrt(F.col("mz") + p * p + q * q))
-    return sums.select(*keys, "n_body", "r_min", fitted.alias("fitted"))
+    flat = det <= 1e-12 * F.greatest(xx * yy, F.lit(1e-300))
+    fitted = F.when(F.col("n_body") < least, None).when(flat, F.lit(float("inf"))).otherwise(F.sqrt(F.col("mz") + p * p + q * q))
+    return sums.select(*keys, "lo", "hi", "n_body", "r_min", fitted.alias("fitted"))
+
+
+#: Bands of length (metres) in which the bias of short curves is told.
+BANDS = (0.0, 300.0, 450.0, 600.0, 900.0)
+
+
+def bias(curves: DataFrame, published: str, body: str) -> DataFrame:
+    """curves with factor: the published radius over that of the body; null where either isn't that of a curve."""
+    told = F.col(body).isNotNull() & (F.col(body) > 0) & (F.col(body) < float("inf")) & (F.col(published) > 0)
+    return curves.withColumn("factor", F.when(told, F.col(published) / F.col(body)))
+
+
+def bias_by_length(curves: DataFrame, length: str, factor: str = "factor", bands: tuple[float, ...] = BANDS) -> DataFrame:
+    """(band, n, km, median, q75, q90): how much wider than their bodies curves are read, by band of length; band is its lower end. Curves without a factor don't count."""
+    band = F.array_max(F.filter(F.array(*map(F.lit, bands)), lambda b: b <= F.col(length)))
+    at = lambda q: F.percentile(factor, F.lit(q))
+    told = curves.where(F.col(factor).isNotNull() & (F.col(length) >= bands[0])).withColumn("band", band)
+    return told.groupBy("band").agg(F.count("*").alias("n"), (F.sum(length) / 1000).alias("km"), at(0.5).alias("median"), at(0.75).alias("q75"), at(0.9).alias("q90"))

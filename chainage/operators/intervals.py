@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chainage.operators import linear
+
 
 def _cells(df: DataFrame, lo: str, hi: str, width: float, at: str) -> DataFrame:
     first, last = F.floor(F.col(lo) / width).cast("long"), F.floor(F.col(hi) / width).cast("long")
@@ -92,3 +94,22 @@ def step_value(
     first = met.groupBy(*keys, *ident).agg(F.min_by(F.struct(value), F.struct(*span)).alias("__s"))
     out = points.join(first, [*keys, *ident], "left")
     return out.withColumn(value, F.when(F.col("__s").isNull(), F.lit(default)).otherwise(F.col(f"__s.{value}"))).drop("__s")
+
+
+def coalesced(df: DataFrame, keys: list[str], width: float | None = None, span: tuple[str, str] = ("lo", "hi"), gap: float = 0.0) -> DataFrame:
+    """(keys, lo, hi, n): the union of each key's intervals, those that touch, overlap or lie at most `gap` apart as one, and how many it is made of.
+
+    Empty and null intervals are left out. With width (a length that a task can hold) a key
+    is spread over blocks of so much length, and one row per block carries what reaches on.
+    """
+    lo, hi = span
+    # equal intervals are one row, so that the order of rows is the same in each pass
+    rows = df.where(F.col(lo) < F.col(hi)).groupBy(*keys, F.col(lo).alias("lo"), F.col(hi).alias("hi")).agg(F.count("*").alias("__same"))
+    block = "__block" if width else None
+    if width:
+        rows = rows.withColumn("__block", F.floor(F.col("lo") / width))
+    order = ["lo", "hi"]
+    marked = linear.running_max(rows, keys, order, "hi", "__reach", block)
+    opens = (F.col("__reach").isNull() | (F.col("lo") > F.col("__reach") + gap)).cast("long")
+    numbered = linear.running_sum(marked, keys, order, opens, "__run", block)
+    return numbered.groupBy(*keys, "__run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("__same").alias("n")).drop("__run")

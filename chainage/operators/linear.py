@@ -44,6 +44,17 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str], values: dict[
     return summed.drop(*[f"__{c}_{out}" for out in values for c in "lc"])
 
 
+def running_max(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, block: str | None = None) -> DataFrame:
+    """Greatest value of the rows before this one; null in the first."""
+    parts = [*keys, block] if block else keys
+    local = df.withColumn(out, F.max(value).over(Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)))
+    if block is None:
+        return local
+    before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    carry = df.groupBy(*parts).agg(F.max(value).alias("__m")).select(*parts, F.max("__m").over(before).alias("__c"))
+    return local.join(carry, parts).withColumn(out, F.greatest(out, "__c")).drop("__c")
+
+
 def previous(df: DataFrame, keys: list[str], order: list[str], column: str, out: str, block: str | None = None) -> DataFrame:
     """The column's value in the row before (null in the first)."""
     if block is None:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chainage.functions import curves
-from chainage.operators import intervals, linear, robust, spatial
+from chainage.operators import intervals, linear, robust, spatial, tracks
 from chainage.plans.registry import POINTS, TRACK, K, points, query, track
 
 CODES = [c.code for c in curves.CLASSES]
@@ -188,21 +188,58 @@ def state_runs(df: DataFrame, keys: list[str], order: list[str], at: str, state:
     return s.withColumn("loop", F.coalesce((F.col("state") == 2) & (F.col("hi") - F.col("lo") < loop) & alone, F.lit(False)))
 
 
-@query(TRACK + """, g AS (SELECT user_id, us, h, CASE WHEN event_type <> 'view' THEN event_type END AS usage, event_type = 'signup' AS station,
+_SEGMENTS = TRACK + """, g AS (SELECT user_id, us, h, CASE WHEN event_type <> 'view' THEN event_type END AS usage, event_type = 'signup' AS station,
  greatest(least(greatest(1 + CAST(floor(value / 60) AS BIGINT), 1), 3), CASE WHEN event_id % 3 >= 1 THEN event_id % 4 ELSE 0 END) AS state FROM tr),
 a AS (SELECT *, CAST(state IS DISTINCT FROM lag(state) OVER w OR row_number() OVER w = 1 AS INTEGER) AS f FROM g WINDOW w AS (PARTITION BY user_id ORDER BY us)),
 b AS (SELECT *, CAST(sum(f) OVER (PARTITION BY user_id ORDER BY us) AS BIGINT) AS run FROM a),
 c AS (SELECT user_id, run, usage, row_number() OVER (PARTITION BY user_id, run ORDER BY count(*) DESC, usage) AS k FROM b WHERE usage IS NOT NULL GROUP BY user_id, run, usage),
 s AS (SELECT user_id, run, min(h) AS lo, max(h) AS hi, any_value(state) AS state, avg(station::DOUBLE) >= 0.5 AS at_station FROM b GROUP BY user_id, run)
-SELECT s.user_id, s.run, round(lo, 6) AS lo, round(hi, 6) AS hi, state, c.usage, at_station, coalesce(state = 2 AND hi - lo < 24 AND lag(state) OVER w = 1 AND lead(state) OVER w = 1, false) AS loop
+"""
+
+
+@query(_SEGMENTS + """SELECT s.user_id, s.run, round(lo, 6) AS lo, round(hi, 6) AS hi, state, c.usage, at_station, coalesce(state = 2 AND hi - lo < 24 AND lag(state) OVER w = 1 AND lead(state) OVER w = 1, false) AS loop
 FROM s LEFT JOIN c ON c.user_id = s.user_id AND c.run = s.run AND k = 1 WINDOW w AS (PARTITION BY s.user_id ORDER BY s.run)""")
 def track_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of equal reconciled numbers of tracks with their usage, stations and passing loops."""
+    out = _segments(spark, sf_dir)
+    return out.withColumns({"lo": F.round("lo", 6), "hi": F.round("hi", 6)}).select("user_id", "run", "lo", "hi", F.col("state").cast("long").alias("state"), "usage", "at_station", "loop")
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     tr = track(spark, sf_dir).withColumn("state", reconciled(1 + F.floor(F.col("value") / 60), e % 4, 1 + e % 3))
     tr = tr.withColumns({"usage": F.when(F.col("event_type") != "view", F.col("event_type")), "station": F.col("event_type") == "signup"})
-    out = state_runs(tr, ["user_id"], ["us"], "h", "state", "usage", "station", "day", 24.0)
-    return out.withColumns({"lo": F.round("lo", 6), "hi": F.round("hi", 6)}).select("user_id", "run", "lo", "hi", F.col("state").cast("long").alias("state"), "usage", "at_station", "loop")
+    return state_runs(tr, ["user_id"], ["us"], "h", "state", "usage", "station", "day", 24.0)
+
+
+@query(_SEGMENTS + """, t AS (SELECT s.*, c.usage, coalesce(state = 2 AND hi - lo < 24 AND lag(state) OVER w = 1 AND lead(state) OVER w = 1, false) AS loop FROM s LEFT JOIN c ON c.user_id = s.user_id AND c.run = s.run AND k = 1 WINDOW w AS (PARTITION BY s.user_id ORDER BY s.run)),
+z AS (SELECT *, hi - lo AS d, CASE WHEN state <> 1 THEN NULL WHEN at_station THEN 'station' WHEN coalesce(usage = 'error', false) THEN 'branch' ELSE 'main' END AS kind FROM t),
+y AS (SELECT user_id, sum(d) AS length, coalesce(sum(d) FILTER (state = 1), 0) AS single, coalesce(sum(d) FILTER (state = 2), 0) AS double_track, coalesce(sum(d) FILTER (state >= 3), 0) AS more, coalesce(sum(d) FILTER (kind = 'main'), 0) AS to_double,
+ coalesce(sum(d) FILTER (kind = 'branch'), 0) AS on_branches, coalesce(sum(d) FILTER (kind = 'station'), 0) AS at_stations, coalesce(sum(d) FILTER (loop), 0) AS loops, count(*) FILTER (kind = 'main') AS runs_to_double, max(d) FILTER (kind = 'main') AS longest FROM z GROUP BY user_id)
+SELECT user_id, round(length, 6) AS length, round(single, 6) AS single, round(double_track, 6) AS double_track, round(more, 6) AS more, round(to_double, 6) AS to_double, round(on_branches, 6) AS on_branches, round(at_stations, 6) AS at_stations, round(loops, 6) AS loops, runs_to_double, round(longest, 6) AS longest FROM y""")
+def doubling_need(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length of single track to be doubled in each section, beside branches, stations and passing loops."""
+    out = tracks.doubling_need(_segments(spark, sf_dir), ["user_id"], branch="error")
+    return out.select("user_id", "runs_to_double", *[F.round(c, 6).alias(c) for c in out.columns if c not in ("user_id", "runs_to_double")])
+
+
+@query(_SEGMENTS + """, b0 AS (SELECT user_id, h AS p, event_id AS name FROM tr WHERE event_type = 'signup'), e AS (SELECT user_id, min_by(name, p) AS a, max_by(name, p) AS z FROM b0 GROUP BY user_id),
+r AS (SELECT user_id, run, lo, hi FROM s WHERE state = 1)
+SELECT r.user_id, r.run, coalesce(u.name, e.a) AS upstream, coalesce(d.name, e.z) AS downstream FROM r LEFT JOIN e ON e.user_id = r.user_id ASOF LEFT JOIN b0 u ON u.user_id = r.user_id AND r.lo >= u.p ASOF LEFT JOIN b0 d ON d.user_id = r.user_id AND r.hi <= d.p""")
+def single_runs_between_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stations on either side of each run of single track."""
+    stations = track(spark, sf_dir).where("event_type = 'signup'").select("user_id", "h", "event_id")
+    runs = _segments(spark, sf_dir).where("state = 1").select("user_id", "run", "lo", "hi")
+    return tracks.between_stations(runs, stations, ["user_id"], "h", "event_id", 240.0).select("user_id", "run", "upstream", "downstream")
+
+
+@query(TRACK + """, i AS (SELECT user_id, h AS lo, h + value / 25 AS hi FROM tr WHERE event_type <> 'view'), a AS (SELECT *, max(hi) OVER (PARTITION BY user_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i),
+b AS (SELECT *, sum(CAST(reach IS NULL OR lo > reach AS INTEGER)) OVER (PARTITION BY user_id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS run FROM a)
+SELECT user_id, round(min(lo), 6) AS lo, round(max(hi), 6) AS hi, count(*) AS n FROM b GROUP BY user_id, run""")
+def coalesced_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The union of each section's overlapping works."""
+    spans = track(spark, sf_dir).where("event_type <> 'view'").select("user_id", F.col("h").alias("lo"), (F.col("h") + F.col("value") / 25).alias("hi"))
+    return intervals.coalesced(spans, ["user_id"], 240.0).select("user_id", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "n")
 
 
 def unique_network(rows: DataFrame, cells: list[str], section: str, state: str) -> DataFrame:

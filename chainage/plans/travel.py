@@ -219,16 +219,17 @@ def representative_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(TRACK + """, a AS (SELECT *, CAST(class IS DISTINCT FROM lag(class) OVER w OR row_number() OVER w = 1 AS INTEGER) AS f FROM tr WINDOW w AS (PARTITION BY user_id ORDER BY us)),
-b AS (SELECT *, CAST(sum(f) OVER (PARTITION BY user_id ORDER BY us) AS BIGINT) AS run FROM a), c AS (SELECT *, 1 / r >= 0.7 * max(1 / r) OVER (PARTITION BY user_id, run) AS body FROM b),
+b AS (SELECT *, CAST(sum(f) OVER (PARTITION BY user_id ORDER BY us) AS BIGINT) AS run FROM a), c0 AS (SELECT *, 1 / greatest(r, 1) >= 0.7 * max(1 / greatest(r, 1)) OVER (PARTITION BY user_id, run) AS sharp FROM b),
+c AS (SELECT *, us BETWEEN min(us) FILTER (sharp) OVER (PARTITION BY user_id, run) AND max(us) FILTER (sharp) OVER (PARTITION BY user_id, run) AS body FROM c0),
 d AS (SELECT user_id, run, r, h - avg(h) OVER (PARTITION BY user_id, run) AS x, value - avg(value) OVER (PARTITION BY user_id, run) AS y FROM c WHERE body), e AS (SELECT *, x * x + y * y AS z FROM d),
 s AS (SELECT user_id, run, count(*) AS m, min(r) AS r_min, avg(z) AS mz, sum(x * x) AS cxx, sum(x * y) AS cxy, sum(y * y) AS cyy, sum(x * z) AS cxz, sum(y * z) AS cyz FROM e GROUP BY ALL),
-f AS (SELECT *, cxx * cyy - cxy * cxy AS det, m < 3 OR cxx * cyy - cxy * cxy <= 1e-12 * greatest(cxx * cyy, 1e-300) AS flat FROM s),
+f AS (SELECT *, cxx * cyy - cxy * cxy AS det, cxx * cyy - cxy * cxy <= 1e-12 * greatest(cxx * cyy, 1e-300) AS flat FROM s),
 g AS (SELECT *, (cxz * cyy - cyz * cxy) / det / 2 AS p, (cyz * cxx - cxz * cxy) / det / 2 AS q FROM f)
-SELECT user_id, run, m AS n_body, r_min, CASE WHEN flat THEN 1e7::DOUBLE ELSE round(least(sqrt(mz + p * p + q * q), 1e7), 2) END AS fitted FROM g""")
+SELECT user_id, run, m AS n_body, r_min, CASE WHEN m < 5 THEN NULL WHEN flat THEN 1e7::DOUBLE ELSE round(least(sqrt(mz + p * p + q * q), 1e7), 2) END AS fitted FROM g""")
 def curve_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each segment the part whose curvature reaches 0.7 of its greatest, and the circle through it."""
+    """Of each segment the span between the places whose curvature reaches 0.7 of its greatest, and the circle through it."""
     from chainage.operators.corridor import bodies
 
     numbered = linear.islands(track(spark, sf_dir), ["user_id"], ["us"], "class", "run", block="day")
-    out = bodies(numbered, ["user_id", "run"], "h", "value", "r", 0.7)
-    return out.select("user_id", "run", "n_body", "r_min", F.round(F.least("fitted", F.lit(1e7)), 2).alias("fitted"))
+    out = bodies(numbered, ["user_id", "run"], "us", "h", "value", "r")
+    return out.select("user_id", "run", "n_body", "r_min", F.when(F.col("fitted").isNotNull(), F.round(F.least("fitted", F.lit(1e7)), 2)).alias("fitted"))

@@ -88,12 +88,21 @@ def test_frozen_minutes(spark):
 
 
 def test_bodies(spark):
+    """The span between the sharp ends counts, with what lies between; fewer than five rows have no circle."""
     a = np.linspace(0, 1, 9)
-    rows = [(1, float(500 * math.cos(t)), float(500 * math.sin(t)), 500.0) for t in a] + [(1, 0.0, 0.0, 5000.0)] + [(2, float(i), 2.0 * i, 100.0) for i in range(4)] + [(3, 0.0, 0.0, 50.0)]
-    df = spark.createDataFrame(rows, "s int, x double, y double, r double")
-    got = {r.s: (r.n_body, r.r_min, r.fitted) for r in corridor.bodies(df, ["s"], "x", "y", "r", 0.7).collect()}
-    assert got[1][:2] == (9, 500.0) and abs(got[1][2] - 500) < 1e-6
-    assert got[2] == (4, 100.0, float("inf")) and got[3] == (1, 50.0, float("inf"))
+    arc = [(1, i, float(500 * math.cos(t)), float(500 * math.sin(t)), 900.0 if i == 4 else 500.0) for i, t in enumerate(a)]
+    rows = arc + [(1, 9, 0.0, 0.0, 5000.0), (1, -1, 9.0, 9.0, 720.0)] + [(2, i, float(i), 2.0 * i, 100.0) for i in range(6)] + [(3, 0, 0.0, 0.0, 50.0), (3, 1, 1.0, 0.0, 50.0)]
+    df = spark.createDataFrame(rows, "s int, i int, x double, y double, r double")
+    got = {r.s: (r.lo, r.hi, r.n_body, r.r_min, r.fitted) for r in corridor.bodies(df, ["s"], "i", "x", "y", "r").collect()}
+    assert got[1][:4] == (0, 8, 9, 500.0) and abs(got[1][4] - 500) < 1e-6
+    assert got[2] == (0, 5, 6, 100.0, float("inf")) and got[3] == (0, 1, 2, 50.0, None)
+
+
+def test_bias_by_length(spark):
+    rows = [(100.0, 600.0, 500.0), (299.0, 800.0, 400.0), (450.0, 500.0, float("inf")), (500.0, 500.0, 400.0), (2000.0, 900.0, 900.0), (2000.0, 900.0, None), (None, 900.0, 450.0), (10.0, 900.0, 300.0)]
+    df = corridor.bias(spark.createDataFrame(rows, "length double, published double, body double"), "published", "body")
+    got = {r.band: (r.n, r.km, r.median, r.q75) for r in corridor.bias_by_length(df, "length").collect()}
+    assert got == {0.0: (3, 0.409, 2.0, 2.5), 450.0: (1, 0.5, 1.25, 1.25), 900.0: (1, 2.0, 1.0, 1.0)}
 
 
 def test_planted_bottleneck(spark):
