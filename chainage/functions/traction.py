@@ -1,4 +1,11 @@
-"""Power-limited traction: rail power, resistance, acceleration."""
+"""Acceleration under limited power, as one law of six coefficients per trainset.
+
+    a = min(start, pull / v - c0 - c1 v - c2 v2 - weight * grade),   v in m/s, 1 at least
+
+`law` works the coefficients out from a trainset's data, `with_law` does the same for a table
+of trainsets; `acceleration` evaluates the law for numbers and arrays, `accelerating` and
+`balancing_kmh` as columns.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +13,16 @@ from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Drag in N is DRAG * area (m2) * v2 (km/h); gravity in m/s2.
+DRAG, GRAVITY = 0.0463, 9.81
+KMH = 3.6
 
 
 class Train(NamedTuple):
-    """A trainset. Resistance: (rolling + rolling_v v) N per loaded tonne, and drag 0.0463 * area * v2 (km/h)."""
+    """A trainset's data. rolling (N per loaded tonne) and rolling_v (the same per km/h) are its rolling resistance; load and rotating scale its mass for passengers and for rotating parts."""
 
     name: str
     power_kw: float
@@ -25,49 +38,85 @@ class Train(NamedTuple):
     rolling: float = 12.0
     rolling_v: float = 0.06
 
-    @property
-    def rail_w(self) -> float:
-        return (self.power_kw - self.hotel_kw) * 1000 * self.efficiency
 
-    @property
-    def mass_kg(self) -> float:
-        return self.mass_t * 1000 * self.load
+class Law(NamedTuple):
+    start: float
+    pull: float
+    c0: float
+    c1: float
+    c2: float
+    weight: float
+
 
-    def resistance_n(self, v_kmh):
-        return (self.rolling + self.rolling_v * v_kmh) * self.mass_kg / 1000 + 0.0463 * self.drag_area_m2 * v_kmh * v_kmh
+def _coefficients(t, lift=lambda x: x) -> dict:
+    """The law from anything that has a trainset's fields as attributes or keys: numbers or columns."""
+    of = t if isinstance(t, dict) else t._asdict()
+    inertia = of["mass_t"] * of["load"] * of["rotating"] * 1000  # kg that are accelerated
+    at_rail = (of["power_kw"] - of["hotel_kw"]) * of["efficiency"] * 1000
+    return {
+        "start": of["start_ms2"],
+        "pull": at_rail / inertia,
+        "c0": of["rolling"] / (of["rotating"] * 1000),
+        "c1": of["rolling_v"] * KMH / (of["rotating"] * 1000),
+        "c2": of["drag_area_m2"] * (DRAG * KMH * KMH) / inertia,
+        "weight": lift(GRAVITY) / of["rotating"],
+    }
 
-    def acceleration(self, v_ms, grade=0.0):
-        """Acceleration at a speed of at least 1 m/s on a grade (rise over run); negative where the train slows down."""
-        v = max(v_ms, 1.0)
-        return min(self.start_ms2, (self.rail_w / v - self.resistance_n(v * 3.6) - self.mass_kg * 9.81 * grade) / (self.mass_kg * self.rotating))
 
-    def balancing_kmh(self, grade: float = 0.0) -> float:
-        """Speed at which pull and resistance balance, by bisection."""
-        low, high = 0.0, 600.0
-        for _ in range(60):
-            mid = (low + high) / 2
-            low, high = (mid, high) if self.acceleration(mid / 3.6, grade) > 0 else (low, mid)
-        return low
+def law(train: Train) -> Law:
+    return Law(**_coefficients(train))
+
+
+def acceleration(train: Train, v_ms: float, grade: float = 0.0) -> float:
+    """Of one trainset at one speed on a grade (rise over run); negative where it slows down."""
+    return float(accelerator((train,))(np.array([v_ms]), grade)[0])
 
 
 def accelerator(trains: tuple[Train, ...]) -> Callable:
-    """`acceleration` of several trains at a time: from an array of their speeds, and the grade, to an array."""
-    start, rail, mass, area, rolling, rolling_v, rotating = (np.array(c) for c in zip(*((t.start_ms2, t.rail_w, t.mass_kg, t.drag_area_m2, t.rolling, t.rolling_v, t.rotating) for t in trains), strict=True))
-    drag, weight, inertia = 0.0463 * area, mass * 9.81, mass * rotating
+    """The accelerations of several trains at a time: from an array of their speeds, and the grade, to an array."""
+    start, pull, c0, c1, c2, weight = np.array([law(t) for t in trains], np.float64).T
 
-    def acceleration(v_ms: np.ndarray, grade: float = 0.0) -> np.ndarray:
+    def at(v_ms: np.ndarray, grade: float = 0.0) -> np.ndarray:
         v = np.maximum(v_ms, 1.0)
-        k = v * 3.6
-        return np.minimum(start, (rail / v - ((rolling + rolling_v * k) * mass / 1000 + drag * k * k) - weight * grade) / inertia)
+        return np.minimum(start, pull / v - c0 - c1 * v - c2 * v * v - weight * grade)
+
+    return at
+
+
+def with_law(trains: DataFrame) -> DataFrame:
+    """A table of trainsets (the fields of Train as columns) with the law's coefficients."""
+    return trains.withColumns(_coefficients({f: F.col(f) for f in Train._fields}, F.lit))
+
+
+def law_columns(train: Train) -> dict[str, Column]:
+    """The law of one trainset as literals, for tables that hold no trainsets."""
+    return {k: F.lit(x) for k, x in law(train)._asdict().items()}
+
+
+def accelerating(v_ms: Column, grade: Column | float = 0.0, of: dict[str, Column] | None = None) -> Column:
+    """The law as a column, its coefficients those of `of` or the row's own."""
+    c = of or {k: F.col(k) for k in Law._fields}
+    v = F.greatest(v_ms, F.lit(1.0))
+    return F.least(c["start"], c["pull"] / v - c["c0"] - c["c1"] * v - c["c2"] * v * v - c["weight"] * grade)
+
+
+def balancing_kmh(grade: Column | float = 0.0, of: dict[str, Column] | None = None, top: float = 600.0, halvings: int = 60) -> Column:
+    """Speed at which pull and resistance balance, by halving the range from 0 to top, as a column."""
+
+    def half(acc: Column, _: Column) -> Column:
+        mid = (acc["low"] + acc["high"]) / 2
+        gains = accelerating(mid / KMH, grade, of) > 0
+        return F.struct(F.when(gains, mid).otherwise(acc["low"]).alias("low"), F.when(gains, acc["high"]).otherwise(mid).alias("high"))
 
-    return acceleration
+    ends = F.struct(F.lit(0.0).alias("low"), F.lit(top).alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(halvings)), ends, half, lambda acc: acc["low"])
 
 
 def seconds_to(train: Train, target_kmh: float, step_s: float = 0.1, limit_s: float = 3600.0) -> float:
     """Time from rest to a speed, by steps; infinite if it isn't reached."""
-    v, t = 0.5, 0.0
-    while v * 3.6 < target_kmh:
-        a = float(train.acceleration(v))
+    at, v, t = accelerator((train,)), 0.5, 0.0
+    while v * KMH < target_kmh:
+        a = float(at(np.array([v]))[0])
         if a <= 1e-4 or t > limit_s:
             return float("inf")
         v, t = v + a * step_s, t + step_s

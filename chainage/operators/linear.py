@@ -9,6 +9,7 @@ over one row per block. No task then holds a whole section, however long it is.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -129,11 +130,41 @@ def radius_of(moments: Column) -> Column:
     return F.transform(F.array(moments), radius)[0]
 
 
+#: Frames of up to so many rows on either side are written out row by row; wider ones are held as arrays.
+WRITTEN_OUT = 7
+
+
+def _near_moments(rows: DataFrame, w: WindowSpec, x: str, y: str, half: int) -> tuple[DataFrame, Column]:
+    """rows with the offsets of their neighbours as columns, and the moments of these."""
+    each = range(-half, half + 1)
+    names = {d: f"__{'m' if d < 0 else 'p'}{abs(d)}" for d in each}
+    off = lambda c, d: F.lead(c, d).over(w).cast("double") - F.col(c).cast("double")
+    rows = rows.withColumns({f"{names[d]}{a}": off(c, d) for d in each for a, c in (("x", x), ("y", y))})
+    there = {d: F.col(f"{names[d]}x").isNotNull() & F.col(f"{names[d]}y").isNotNull() for d in each}
+    held = {f"{names[d]}{a}": F.when(there[d], F.col(f"{names[d]}{a}")).otherwise(0.0) for d in each for a in "xy"}
+    rows = rows.withColumn("__n", reduce(lambda a, b: a + b, [there[d].cast("int") for d in each]).cast("double")).withColumns(held)
+    rows = rows.withColumns({f"{n}z": F.col(f"{n}x") * F.col(f"{n}x") + F.col(f"{n}y") * F.col(f"{n}y") for n in names.values()})
+    total = lambda term: reduce(lambda a, b: a + b, [F.lit(0.0), *[term(n) for n in names.values()]])
+    sums = {c: total(lambda n, c=c: F.col(n + c)) for c in "xyz"} | {a + b: total(lambda n, a=a, b=b: F.col(n + a) * F.col(n + b)) for a, b in ("xx", "xy", "yy", "xz", "yz")}
+    rows = rows.withColumns({f"__s{c}": v for c, v in sums.items()})
+    m, s = F.col("__n"), {c: F.col(f"__s{c}") for c in sums}
+    about = [(s[a + b] - s[a] * s[b] / m).alias(f"c{a}{b}") for a, b in ("xx", "xy", "yy", "xz", "yz")]
+    moments = F.struct(m.alias("m"), *[s[c].alias(f"s{c}") for c in "xyz"], *about)
+    return rows, moments
+
+
 def circle_fits(df: DataFrame, keys: list[str], order: list[str], x: str, y: str, half: int, out: str, block: str | None = None) -> DataFrame:
-    """df with the radius of the circle through the rows up to `half` before and after each row."""
+    """df with the radius of the circle through the rows up to `half` before and after each row.
+
+    Sums are taken about each row's own place. For wide frames over long lines see
+    `curvature`, whose moving sums cost the same for any width.
+    """
     chunks = with_halo(numbered(df, keys, order, "__i", block), keys, "__i", half)
-    w = Window.partitionBy(*keys, "chunk").orderBy("__i").rowsBetween(-half, half)
-    near = F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))).over(w)
+    w = Window.partitionBy(*keys, "chunk").orderBy("__i")
+    if half <= WRITTEN_OUT:
+        rows, moments = _near_moments(chunks, w, x, y, half)
+        return rows.where("own").withColumn(out, radius_of(moments)).select(*df.columns, out)
+    near = F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))).over(w.rowsBetween(-half, half))
     # the offsets are a column of their own: they are named a dozen times
     own = chunks.withColumn("__n", near).where("own").withColumn("__d", offsets(F.col("__n"), F.col(x).cast("double"), F.col(y).cast("double")))
     return own.withColumn(out, circle_radius(F.col("__d"))).drop("__n", "__d", "__i", "chunk", "own")

@@ -6,18 +6,27 @@ the eight around it: one side is emitted to nine cells and joined on the cell.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chainage.sources.shared import checkpoint
+
 
-def within(points: DataFrame, others: DataFrame, radius: float, keys: list[str] | None = None, p: tuple[str, str] = ("px", "py"), o: tuple[str, str] = ("ox", "oy")) -> DataFrame:
-    """Pairs at most radius apart, with dist."""
+def within(points: DataFrame, others: DataFrame, radius: float, keys: list[str] | None = None, p: tuple[str, str] = ("px", "py"), o: tuple[str, str] = ("ox", "oy"), how: str = "inner") -> DataFrame:
+    """Pairs at most radius apart, with dist; as a left_semi join the points that have one, once for each cell."""
     keys = keys or []
     cell = lambda c: F.floor(F.col(c) / radius).cast("long")
     near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     left = points.withColumn("__d", near).withColumn("__i", cell(p[0]) + F.col("__d.i")).withColumn("__j", cell(p[1]) + F.col("__d.j")).drop("__d")
     right = others.withColumn("__i", cell(o[0])).withColumn("__j", cell(o[1]))
     dist = F.hypot(F.col(p[0]) - F.col(o[0]), F.col(p[1]) - F.col(o[1]))
+    if how == "left_semi":
+        named = right.select(*[F.col(c).alias(f"__r_{c}") for c in (*keys, "__i", "__j", *o)])
+        met = [F.col(c) == F.col(f"__r_{c}") for c in (*keys, "__i", "__j")]
+        near = F.hypot(F.col(p[0]) - F.col(f"__r_{o[0]}"), F.col(p[1]) - F.col(f"__r_{o[1]}")) <= radius
+        return left.join(named, reduce(lambda a, b: a & b, [*met, near]), "left_semi").drop("__i", "__j")
     return left.join(right, [*keys, "__i", "__j"]).drop("__i", "__j").withColumn("dist", dist).where(F.col("dist") <= radius)
 
 
@@ -32,6 +41,40 @@ def nearest_within(points: DataFrame, others: DataFrame, radius: float, ident: l
     return ranked(within(points, others, radius, **how), ident, other_ident, k)
 
 
+#: Others that a cell holds, about, before smaller cells are tried first; and how often cells are halved at most.
+CELL_ROWS, HALVINGS = 256, 16
+
+
+def k_nearest(points: DataFrame, others: DataFrame, radius: float, ident: list[str], other_ident: list[str], k: int = 1, apart: Column | None = None, p: tuple[str, str] = ("px", "py"), o: tuple[str, str] = ("ox", "oy"), cell_rows: int = CELL_ROWS) -> DataFrame:
+    """The k nearest others of each point within radius, ranked, where some places are much denser than others.
+
+    The densest cell tells from which radius to start. A point that finds k others within a
+    radius has its nearest; only those that don't go on to the doubled one, up to `radius`.
+    So a dense cell never pairs all of its rows. Of others at one place only the k + 1
+    smallest can be among the nearest. apart: a condition that pairs have to fulfil; it may
+    leave out one other at each place (the point itself).
+    """
+    (ox, oy) = o
+    few = Window.partitionBy(*o).orderBy(*other_ident)
+    kept = checkpoint(others.where(F.col(ox).isNotNull() & F.col(oy).isNotNull()).withColumn("__k", F.row_number().over(few)).where(F.col("__k") <= k + 1).drop("__k"))
+    dense = lambda r: kept.groupBy(F.floor(F.col(ox) / r), F.floor(F.col(oy) / r)).count().agg(F.max("count")).first()[0] or 0
+    halvings = 0
+    while halvings < HALVINGS and dense(radius / 2**halvings) > cell_rows:
+        halvings += 1
+    left, done = points, []
+    for level in range(halvings, -1, -1):
+        met = within(left, kept, radius / 2**level, p=p, o=o)
+        found = ranked(met if apart is None else met.where(apart), ident, other_ident, k)
+        if level == 0:
+            done.append(found)
+            break
+        found = checkpoint(found)
+        full = found.where(F.col("rank") == k).select(*ident)
+        done.append(found.join(full, ident, "left_semi"))
+        left = checkpoint(left.join(full, ident, "left_anti"))
+    return reduce(DataFrame.unionByName, done)
+
+
 def aligned_or_nearest(ranked: DataFrame, ident: list[str], choice: str, off: Column, most: float) -> DataFrame:
     """Of ranked candidates the first whose angle off is small enough, else the nearest."""
     fit = F.min_by(choice, F.when(off <= most, F.col("rank")))
@@ -45,8 +88,8 @@ def flagged(points: DataFrame, pairs: DataFrame, ident: list[str]) -> DataFrame:
 
 
 def exists_within(points: DataFrame, others: DataFrame, radius: float, ident: list[str], **how) -> DataFrame:
-    """points with `near`: whether another lies within radius."""
-    return flagged(points, within(points, others, radius, **how), ident)
+    """points with `near`: whether another lies within radius. A semi-join: the first other that is met settles a point, so no pairs are made."""
+    return flagged(points, within(points, others, radius, how="left_semi", **how), ident)
 
 
 def count_close_to_best(pairs: DataFrame, ident: list[str], group: str, margin: float, out: str) -> DataFrame:

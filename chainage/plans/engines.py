@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chainage.functions import curves
-from chainage.functions.traction import COUPLED, LOCO, TILTING, Train, accelerator, seconds_to
+from chainage.functions.traction import COUPLED, LOCO, TILTING, Train, accelerating, accelerator, law, law_columns
 from chainage.operators import graph, linear, robust, sequences, spatial, tables
 from chainage.plans import travel
 from chainage.plans.registry import TRACK, K, points, query, table, track
+from chainage.sources.shared import checkpoint
 
 #: Cant sets (cant and deficiency in mm).
 CANT_SETS = (curves.CantSet("base", 100, 76), curves.CantSet("tilting", 127, 152), curves.CantSet("high", 127, 270))
@@ -71,12 +72,14 @@ def sites_below_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.groupBy("cap", "user_id", "run").agg(F.round(F.max("h") - F.min("h"), 6).alias("length"), F.round(F.min("v"), 6).alias("slowest"), F.count("*").alias("points"))
 
 
-@query("SELECT cant_set_id, c_code AS class, round(c_low, 1) AS speed, round((c_low / (3.6 * sqrt(9.81::DOUBLE * (cant + def) / 1524))) ** 2, 3) AS radius FROM (VALUES ('base', 100, 76), ('tilting', 127, 152), ('high', 127, 270)) s(cant_set_id, cant, def), (VALUES ('A', 300.0::DOUBLE), ('B', 250), ('C', 200), ('D', 160), ('E', 100)) c(c_code, c_low)")
+@query(TRACK + """, l AS (SELECT cant_set_id, c_code AS class, c_low AS speed, (c_low / (3.6 * sqrt(9.81::DOUBLE * (cant + def) / 1524))) ** 2 AS radius FROM (VALUES ('base', 100, 76), ('tilting', 127, 152), ('high', 127, 270)) s(cant_set_id, cant, def), (VALUES ('A', 300.0::DOUBLE), ('B', 250), ('C', 200), ('D', 160), ('E', 100)) c(c_code, c_low))
+SELECT cant_set_id, l.class, round(speed, 1) AS speed, round(radius, 3) AS radius, count(*) FILTER (r >= radius) AS points FROM l, tr GROUP BY ALL""")
 def class_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Least radius of each class under each cant set."""
-    rows = [(s.cant_set_id, s.coefficient, c.code, c.low) for s in CANT_SETS for c in curves.CLASSES[:-1]]
-    t = spark.createDataFrame(rows, "cant_set_id string, k double, class string, speed double")
-    return t.select("cant_set_id", "class", "speed", F.round(F.pow(F.col("speed") / F.col("k"), F.lit(2)), 3).alias("radius"))
+    """Least radius of each class under each cant set, and how many points of the lines reach it: all in one pass."""
+    limits = [(s.cant_set_id, c.code, c.low, (c.low / s.coefficient) ** 2) for s in CANT_SETS for c in curves.CLASSES[:-1]]
+    counted = track(spark, sf_dir).agg(*[F.count(F.when(F.col("r") >= r, 1)).alias(f"n{k}") for k, (_, _, _, r) in enumerate(limits)])
+    rows = F.array(*[F.struct(F.lit(a).alias("cant_set_id"), F.lit(b).alias("class"), F.lit(float(v)).alias("speed"), F.round(F.lit(r), 3).alias("radius"), F.col(f"n{k}").alias("points")) for k, (a, b, v, r) in enumerate(limits)])
+    return counted.select(F.inline(rows))
 
 
 def stretches(tr: DataFrame, gap_h: float) -> DataFrame:
@@ -112,24 +115,58 @@ def travel_times(samples: DataFrame, keys: list[str], x_m: str, radius: str, set
     return sequences.per_small_key(samples.select(*keys, x_m, radius, *([grade] if grade else [])), keys, [x_m], schema, rule)
 
 
+def speed_profiles(samples: DataFrame, keys: list[str], x_m: str, radius: str, k: float, cap: float, train: Train, grade: str | None = None) -> DataFrame:
+    """(keys, x_m, out_ms, back_ms): speeds of a train at each sample of each stretch, in both directions, with rests at both ends.
+
+    On the way back positions and gradients change their sign and the order of samples.
+    """
+    types = dict(samples.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in keys) + f", {x_m} double, out_ms double, back_ms double"
+    pull = accelerator((train,))
+
+    def one_way(x: np.ndarray, limit: np.ndarray, rise: np.ndarray) -> np.ndarray:
+        v = sequences.forward_speeds(limit[None], x, rise, pull)[0]
+        reach = 2 * train.brake_ms2 * x
+        back = np.minimum.accumulate((v * v + reach)[::-1])[::-1] - reach
+        return np.minimum(v, np.sqrt(np.maximum(back, 0)))
+
+    def rule(p: dict[str, np.ndarray]) -> list[tuple]:
+        x, own = p[x_m], [p[c][0] for c in keys]
+        rise = p[grade] if grade else np.zeros(len(x))
+        limit = np.minimum(np.minimum(k * np.sqrt(p[radius]), curves.LIMIT_KMH), cap) / 3.6
+        limit[[0, -1]] = 0.0
+        out, back = one_way(x, limit, rise), one_way(-x[::-1], limit[::-1], -rise[::-1])[::-1]
+        return [(*own, *r) for r in zip(x.tolist(), out.tolist(), back.tolist(), strict=True)]
+
+    return sequences.per_small_key(samples.select(*keys, x_m, radius, *([grade] if grade else [])), keys, [x_m], schema, rule)
+
+
+def speeds_at(places: DataFrame, profiles: DataFrame, keys: list[str], x_m: str, width: float | None = None) -> DataFrame:
+    """places with out_ms, back_ms and top_ms: the speeds of both directions interpolated there, and the greater of them."""
+    both = linear.interpolate(places, profiles, keys, x_m, "out_ms", "out_ms", width)
+    both = linear.interpolate(both, profiles.select(*keys, x_m, "back_ms"), keys, x_m, "back_ms", "back_ms", width)
+    return both.withColumn("top_ms", F.greatest("out_ms", "back_ms"))
+
+
 def _acceleration_sql(t: Train, v: str, grade: str = "0") -> str:
     """Acceleration of a train at the speed v (m/s) as SQL."""
-    at = f"greatest({v}, 1.0::DOUBLE)"
-    pull = f"{t.rail_w!r}::DOUBLE / {at}"
-    drag = f"({t.rolling!r} + {t.rolling_v!r}::DOUBLE * ({at} * 3.6)) * {t.mass_kg!r}::DOUBLE / 1000 + {0.0463 * t.drag_area_m2!r}::DOUBLE * ({at} * 3.6) * ({at} * 3.6)"
-    return f"least({t.start_ms2!r}::DOUBLE, ({pull} - ({drag}) - {t.mass_kg * 9.81!r}::DOUBLE * ({grade})) / {t.mass_kg * t.rotating!r}::DOUBLE)"
+    at, c = f"greatest({v}, 1.0::DOUBLE)", {k: f"{x!r}::DOUBLE" for k, x in law(t)._asdict().items()}
+    return f"least({c['start']}, {c['pull']} / {at} - {c['c0']} - {c['c1']} * {at} - {c['c2']} * {at} * {at} - {c['weight']} * ({grade}))"
 
 
 _SETTINGS = ", ".join(f"('{s.cant_set_id}', {s.coefficient!r}::DOUBLE, {c}::DOUBLE)" for s in CANT_SETS for c in (153.0, 177.0, 201.0))
 
 
-@query("WITH RECURSIVE" + TRACK.removeprefix("WITH") + f""", z0 AS (SELECT user_id, h, h * 1000 AS x, r, median(value / 50) OVER (PARTITION BY user_id ORDER BY us ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m,
+_GRADED = "WITH RECURSIVE" + TRACK.removeprefix("WITH") + """, z0 AS (SELECT user_id, h, h * 1000 AS x, r, median(value / 50) OVER (PARTITION BY user_id ORDER BY us ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m,
  row_number() OVER w AS i, count(*) OVER (PARTITION BY user_id) AS n FROM tr WINDOW w AS (PARTITION BY user_id ORDER BY us)),
 z1 AS (SELECT a.user_id, a.i, avg(b.m) AS e FROM z0 a, (SELECT unnest(range(-3, 4)) AS d) o, z0 b WHERE b.user_id = a.user_id AND b.i = least(greatest(a.i + d, 1), a.n) GROUP BY ALL),
 z2 AS (SELECT z0.user_id, i, h, x, r, e, x - lag(x) OVER w AS da, lead(x) OVER w - x AS db, (e - lag(e) OVER w) / (x - lag(x) OVER w) AS ga, (lead(e) OVER w - e) / (lead(x) OVER w - x) AS gb, coalesce(CAST(h - lag(h) OVER w > 12 AS INTEGER), 1) AS new
  FROM z0 JOIN z1 USING (user_id, i) WINDOW w AS (PARTITION BY user_id ORDER BY i)),
 z3 AS (SELECT user_id, i, x, r, coalesce((da * gb + db * ga) / (da + db), gb, ga, 0) AS grade, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY i) AS BIGINT) AS stretch FROM z2),
-z4 AS (SELECT *, row_number() OVER (PARTITION BY user_id, stretch ORDER BY i) AS j, count(*) OVER (PARTITION BY user_id, stretch) AS n FROM z3),
+"""
+
+
+@query(_GRADED + f"""z4 AS (SELECT *, row_number() OVER (PARTITION BY user_id, stretch ORDER BY i) AS j, count(*) OVER (PARTITION BY user_id, stretch) AS n FROM z3),
 s AS (SELECT user_id, stretch, j, x, grade, cant_set_id, cap, CASE WHEN j IN (1, n) THEN 0.0::DOUBLE ELSE least(least(k * sqrt(r), 360), cap) / 3.6 END AS lim FROM z4, (VALUES {_SETTINGS}) t(cant_set_id, k, cap)),
 f AS (SELECT user_id, stretch, j, x, cant_set_id, cap, 0.0::DOUBLE AS v FROM s WHERE j = 1
  UNION ALL SELECT s.user_id, s.stretch, s.j, s.x, s.cant_set_id, s.cap, least(s.lim, sqrt(greatest(1.0::DOUBLE, f.v * f.v + 2 * {_acceleration_sql(TILTING, "f.v", "s.grade")} * (s.x - f.x)))) FROM f JOIN s ON s.user_id = f.user_id AND s.stretch = f.stretch AND s.cant_set_id = f.cant_set_id AND s.cap = f.cap AND s.j = f.j + 1),
@@ -146,6 +183,27 @@ def travel_time_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"minutes": F.round("minutes", 5), "top_kmh": F.round("top_kmh", 5)})
 
 
+@query(_GRADED.replace("z3 AS (SELECT user_id, i, x, r,", "z3 AS (SELECT user_id, i, x, r, event_id, event_type,").replace("z2 AS (SELECT z0.user_id, i,", "z2 AS (SELECT z0.user_id, i, event_id, event_type,").replace("z0 AS (SELECT user_id, h,", "z0 AS (SELECT user_id, event_id, event_type, h,") + f"""z4 AS (SELECT *, row_number() OVER (PARTITION BY user_id, stretch ORDER BY i) AS j, count(*) OVER (PARTITION BY user_id, stretch) AS n FROM z3),
+s AS (SELECT user_id, stretch, way, CASE way WHEN 1 THEN j ELSE n - j + 1 END AS j, way * x AS x, way * grade AS grade, CASE WHEN j IN (1, n) THEN 0.0::DOUBLE ELSE least(least({CANT_SETS[1].coefficient!r}::DOUBLE * sqrt(r), 360), 177) / 3.6 END AS lim FROM z4, (VALUES (1), (-1)) w(way)),
+f AS (SELECT user_id, stretch, way, j, x, 0.0::DOUBLE AS v FROM s WHERE j = 1
+ UNION ALL SELECT s.user_id, s.stretch, s.way, s.j, s.x, least(s.lim, sqrt(greatest(1.0::DOUBLE, f.v * f.v + 2 * {_acceleration_sql(TILTING, "f.v", "s.grade")} * (s.x - f.x)))) FROM f JOIN s ON s.user_id = f.user_id AND s.stretch = f.stretch AND s.way = f.way AND s.j = f.j + 1),
+g AS (SELECT *, min(v * v + 2 * {TILTING.brake_ms2}::DOUBLE * x) OVER (PARTITION BY user_id, stretch, way ORDER BY j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - 2 * {TILTING.brake_ms2}::DOUBLE * x AS back FROM f),
+b AS (SELECT user_id, stretch, way, way * x AS x, least(v, sqrt(greatest(back, 0))) AS v FROM g),
+c AS (SELECT z.user_id, z.stretch, z.event_id, z.x AS a, n.x AS b FROM z4 z JOIN z4 n ON n.user_id = z.user_id AND n.stretch = z.stretch AND n.j = z.j + 1 WHERE z.event_type = 'error'),
+d AS (SELECT c.event_id, p.way, p.v + ((c.a + c.b) / 2 - c.a) / (c.b - c.a) * (q.v - p.v) AS v FROM c JOIN b p ON p.user_id = c.user_id AND p.stretch = c.stretch AND p.x = c.a JOIN b q ON q.user_id = c.user_id AND q.stretch = c.stretch AND q.x = c.b AND q.way = p.way)
+SELECT event_id, round(max(v) FILTER (way = 1) * 3.6, 4) AS out_kmh, round(max(v) FILTER (way = -1) * 3.6, 4) AS back_kmh, round(max(v) * 3.6, 4) AS top_kmh FROM d GROUP BY event_id""")
+def speeds_at_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Real speed of the tilting train at crossings (halfway between an error and the next sample) in both directions over a graded line."""
+    line = track(spark, sf_dir).select("user_id", "event_id", "event_type", "us", "day", "h", "r", (F.col("h") * 1000).alias("x"), (F.col("value") / 50).alias("z"))
+    tr = checkpoint(stretches(travel.grades(line, ["user_id"], "x", "z"), 12.0))
+    own = ["user_id", "stretch"]
+    profiles = checkpoint(speed_profiles(tr, own, "x", "r", CANT_SETS[1].coefficient, 177.0, TILTING, "grade"))
+    ahead = F.lead("x").over(Window.partitionBy(*own).orderBy("us"))
+    places = tr.withColumn("b", ahead).where("event_type = 'error' and b is not null").select(*own, "event_id", ((F.col("x") + F.col("b")) / 2).alias("x"))
+    out = speeds_at(places, profiles, own, "x", 240_000.0)
+    return out.select("event_id", *[F.round(F.col(f"{c}_ms") * 3.6, 4).alias(f"{c}_kmh") for c in ("out", "back", "top")])
+
+
 @query(_RUNS + """, s AS (SELECT user_id, run, any_value(class) AS class, min(h) AS lo, max(h) AS hi FROM b GROUP BY user_id, run),
 m AS (SELECT user_id, class, max(hi - lo) AS len FROM s GROUP BY ALL)
 SELECT s.user_id, s.run, s.class, round(s.hi - s.lo, 6) AS length, (s.hi - s.lo) >= 0.5 * len AS dominant FROM s JOIN m USING (user_id, class)""")
@@ -195,23 +253,14 @@ def margins_by_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TRAINS = (COUPLED, LOCO, TILTING)
-_BY_TRAIN = "CASE train " + " ".join(f"WHEN '{t.name}' THEN {_acceleration_sql(t, 'v')}" for t in _TRAINS) + " END"
-
-
-@query(f"""WITH RECURSIVE f AS (SELECT train, mph, mph * 1.609344::DOUBLE AS goal, 0.5::DOUBLE AS v, 0 AS n, {_BY_TRAIN.replace("greatest(v,", "greatest(0.5::DOUBLE,")} AS a FROM (VALUES {", ".join(f"('{t.name}')" for t in _TRAINS)}) t(train), (VALUES (60.0::DOUBLE), (100), (125)) m(mph)
- UNION ALL SELECT train, mph, goal, v, n, {_BY_TRAIN} FROM (SELECT train, mph, goal, v + a * 0.1::DOUBLE AS v, n + 1 AS n FROM f WHERE v * 3.6 < goal AND a > 1e-4 AND n <= 36000)),
-e AS (SELECT train, mph, max(n) AS n, max_by(v, n) AS v, any_value(goal) AS goal FROM f GROUP BY train, mph)
-SELECT train, mph, CASE WHEN v * 3.6 >= goal THEN round(n * 0.1::DOUBLE, 1) ELSE 'inf'::DOUBLE END AS seconds FROM e""")
-def traction_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seconds from rest to 60, 100 and 125 mph of the trainsets, by steps of 0.1 s: one parameter row each."""
-    trains = {t.name: t for t in (COUPLED, LOCO, TILTING)}
-    rows = spark.createDataFrame([(name, float(mph)) for name in trains for mph in (60, 100, 125)], "train string, mph double")
 
-    def run(frames):
-        for p in frames:
-            yield p.assign(seconds=[round(seconds_to(trains[t], mph * 1.609344), 1) for t, mph in zip(p["train"], p["mph"], strict=True)])
 
-    return rows.mapInPandas(run, "train string, mph double, seconds double")
+@query(TRACK + ", e AS (SELECT event_id, v / 3.6 AS v, (value - 50) / 20000 AS g FROM tr)\n" + " UNION ALL ".join(f"SELECT event_id, '{t.name}' AS train, round({_acceleration_sql(t, 'v', 'g')}, 9) AS ms2 FROM e" for t in _TRAINS))
+def accelerations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Acceleration of each trainset at each sample's speed and grade: the law of traction as a column."""
+    rows = track(spark, sf_dir).select("event_id", (F.col("v") / 3.6).alias("v"), ((F.col("value") - 50) / 20000).alias("g"))
+    each = F.array(*[F.struct(F.lit(t.name).alias("train"), F.round(accelerating(F.col("v"), F.col("g"), law_columns(t)), 9).alias("ms2")) for t in _TRAINS])
+    return rows.select("event_id", F.inline(each))
 
 
 @query(TRACK + """, n AS (SELECT event_id, h::DOUBLE AS x, value::DOUBLE AS y, list(struct_pack(x := h::DOUBLE, y := value::DOUBLE)) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near FROM tr),

@@ -65,13 +65,14 @@ _PQ = POINTS + ", d AS (SELECT a.id, b.id AS other, a.label, b.label AS other_la
 
 @query(_PQ + "SELECT id, other, CAST(rank AS INTEGER) AS rank, round(dist, 9) AS dist FROM n WHERE rank <= 10")
 def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = spatial.ranked(_near(spark, sf_dir, 0.05), ["id"], ["other"], k=10)
+    near = spatial.k_nearest(*_pq(spark, sf_dir), 0.05, ["id"], ["other"], 10, F.col("id") != F.col("other"))
     return near.select("id", "other", "rank", F.round("dist", 9).alias("dist"))
 
 
 @query(_PQ + "SELECT id, other, round(dist, 9) AS dist FROM n WHERE rank = 1")
 def nearest_within(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.ranked(_near(spark, sf_dir, 0.05), ["id"], ["other"]).select("id", "other", F.round("dist", 9).alias("dist"))
+    near = spatial.k_nearest(*_pq(spark, sf_dir), 0.05, ["id"], ["other"], 1, F.col("id") != F.col("other"))
+    return near.select("id", "other", F.round("dist", 9).alias("dist"))
 
 
 @query(_PQ + """SELECT id, coalesce(min_by(other, rank) FILTER (abs(label - other_label) <= 1), min_by(other, rank)) AS other FROM n WHERE rank <= 10 GROUP BY id""")

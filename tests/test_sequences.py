@@ -87,9 +87,19 @@ def test_forward_speeds_and_braking():
     assert np.allclose(np.sqrt(np.minimum.accumulate((limit**2 + x)[::-1])[::-1] - x), back)
 
 
-def test_calibration():
+def test_calibration(spark):
+    from chainage.functions import traction as T
+
     assert [round(seconds_to(COUPLED, mph * 1.609344)) for mph in (60, 100, 125)] == [60, 170, 312]
-    assert seconds_to(LOCO, 400) == float("inf") and TILTING.balancing_kmh() > LOCO.balancing_kmh() > 150
+    assert seconds_to(LOCO, 400) == float("inf")
+    # a table of trainsets gives the same law, and its balancing speeds really balance
+    table = T.with_law(spark.createDataFrame([(t.name, *map(float, t[1:])) for t in (LOCO, TILTING, COUPLED)], list(T.Train._fields)))
+    rows = {r.name: r for r in table.select("name", *T.Law._fields, T.accelerating(T.F.lit(30.0), 0.01).alias("a"), T.balancing_kmh().alias("top"), T.balancing_kmh(0.01).alias("uphill")).collect()}
+    for t in (LOCO, TILTING, COUPLED):
+        r = rows[t.name]
+        assert np.allclose([r[f] for f in T.Law._fields], T.law(t)) and abs(r.a - T.acceleration(t, 30.0, 0.01)) < 1e-12
+        assert abs(T.acceleration(t, r.top / 3.6)) < 1e-9 and abs(T.acceleration(t, r.uphill / 3.6, 0.01)) < 1e-9
+    assert rows[TILTING.name].top > rows[LOCO.name].top > 150
 
 
 def test_circles():

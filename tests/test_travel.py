@@ -70,3 +70,33 @@ def test_heading_and_gate(spark):
     gate = linear.deflection_gate(df, ["k"], ["s"], "heading", "r", 5, 15.0, "g")
     got = {r.s: r.g for r in gate.collect()}
     assert got[25.0] == 100.0 and got[0.0] == float("inf")
+
+
+def test_speeds_in_both_directions(spark):
+    """A hill is climbed slower than it is run down; on the flat both directions mirror each other."""
+    from pyspark.sql import functions as F
+
+    from chainage.functions.traction import TILTING, acceleration
+    from chainage.plans import engines
+
+    rows = [(s, i * 100.0, 700.0 if 40 <= i <= 60 else 40_000.0, (0.012 if s == 2 else 0.0)) for s in (1, 2) for i in range(101)] + [(3, 0.0, 500.0, 0.0), (3, 50.0, 500.0, 0.0)]
+    df = spark.createDataFrame(rows, "s int, x double, r double, g double")
+    profile = engines.speed_profiles(df, ["s"], "x", "r", 4.824, 201.0, TILTING, "g")
+    got = {}
+    for r in sorted(profile.collect(), key=lambda r: (r.s, r.x)):
+        got.setdefault(r.s, []).append((r.out_ms, r.back_ms))
+    flat, hill = got[1], got[2]
+    assert all(abs(a[0] - b[1]) < 1e-9 for a, b in zip(flat, flat[::-1], strict=True)) and flat[0] == (0.0, 0.0)
+    assert all(v <= 4.824 * 700**0.5 / 3.6 + 1e-9 for v, _ in flat[40:61])
+    assert sum(v for v, _ in hill) < sum(v for v, _ in flat) and max(v for _, v in hill) > max(v for v, _ in hill)
+    # braking and power hold between samples, on the way back with the other sign of the gradient
+    for rows, grade in ((hill, 0.012), (flat, 0.0)):
+        for way, rise in ((0, grade), (1, -grade)):
+            v = [r[way] for r in rows][:: 1 - 2 * way]
+            for a, b in zip(v, v[1:], strict=False):
+                assert b * b <= max(1.0, a * a + 200 * acceleration(TILTING, max(a, 0.0), rise)) + 1e-6 and a * a <= b * b + 200 * TILTING.brake_ms2 + 1e-6
+    places = spark.createDataFrame([(1, "m", 5050.0), (2, "e", -5.0), (2, "f", 99_999.0), (9, "n", 1.0)], "s int, name string, x double")
+    at = {r.name: r for r in engines.speeds_at(places, profile, ["s"], "x", 3000.0).collect()}
+    assert abs(at["m"].out_ms - (flat[50][0] + flat[51][0]) / 2) < 1e-9 and at["m"].top_ms == max(at["m"].out_ms, at["m"].back_ms)
+    assert at["e"].out_ms == hill[0][0] and at["f"].back_ms == hill[-1][1] and at["n"].top_ms is None
+    assert F is not None
