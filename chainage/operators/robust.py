@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from chainage.operators.linear import in_frames
+from chainage.operators.linear import in_frames, running_sum
+from chainage.sources.shared import checkpoint
 
 
 def rolling_median(df: DataFrame, keys: list[str], order: list[str], column: str, half: int, out: str, block: str | None = None) -> DataFrame:
@@ -95,3 +96,23 @@ def low_index_quantile(df: DataFrame, keys: list[str], column: str, share: float
 def sustained_min(df: DataFrame, keys: list[str], order: list[str], column: str, half: int, out: str) -> DataFrame:
     """Least of the padded rolling medians of each key: a minimum that lasts."""
     return median_filter(df, keys, order, column, half, "__m").groupBy(*keys).agg(F.min("__m").alias(out))
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], column: str, shares: dict[str, float], bins: int = 1024) -> DataFrame:
+    """(keys, n, one column for each share): quantiles, interpolated linearly, without a group in memory.
+
+    Equal values of a key are counted first, map-side, so a key's rows never meet. The
+    counts are summed up in the order of the values in two levels, inside bins of a key's
+    range and over one row per bin; the values at the ranks sought are read off these sums.
+    Nulls don't count; a key of nulls alone has no row.
+    """
+    values = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("__value")).agg(F.count("*").alias("__count"))
+    values = checkpoint(values)
+    range_ = values.groupBy(*keys).agg(F.min("__value").alias("__lo"), F.max("__value").alias("__hi"), F.sum("__count").alias("n"))
+    place = F.coalesce(F.floor(F.try_divide(F.col("__value") - F.col("__lo"), F.col("__hi") - F.col("__lo")) * bins), F.lit(0)).cast("long")
+    upto = running_sum(values.join(range_, keys).withColumn("__bin", place), keys, ["__value"], F.col("__count"), "__upto", "__bin")
+    at = {out: F.lit(q) * (F.col("n") - 1) for out, q in shares.items()}
+    ends = [F.min(F.when(F.col("__upto") > f(at[out]), F.col("__value"))).alias(f"__{k}{i}") for i, out in enumerate(shares) for k, f in (("a", F.floor), ("b", F.ceil))]
+    found = upto.groupBy(*keys, "n").agg(*ends)
+    between = {out: F.col(f"__a{i}") + (at[out] - F.floor(at[out])) * (F.col(f"__b{i}") - F.col(f"__a{i}")) for i, out in enumerate(shares)}
+    return found.select(*keys, "n", *[c.alias(out) for out, c in between.items()])

@@ -118,13 +118,19 @@ def evaluate(df: DataFrame, figure: Figure) -> DataFrame:
 
 
 def verify(df: DataFrame, figures: list[Figure]) -> DataFrame:
-    """One row per ungrouped figure: recomputed, published, whether they agree when rounded, within the tolerance."""
-    out = None
-    for f in figures:
-        row = evaluate(df, f).select(F.lit(f.name).alias("figure"), F.round("value", f.digits).alias("recomputed"), F.lit(f.published).cast("double").alias("published"))
-        row = row.withColumn("agrees", F.abs(F.col("recomputed") - F.col("published")) <= f.tolerance + 1e-9)
-        out = row if out is None else out.unionByName(row)
-    return out
+    """One row per ungrouped figure: recomputed, published, whether they agree when rounded, within the tolerance. The table is read once for all of them."""
+
+    def value(f: Figure) -> Column:
+        kept = predicate(f.filters)
+        column = F.col(f"`{f.column}`") if f.column else F.lit(1)
+        modes = {"sum": lambda: F.sum(F.when(kept, column)), "count": lambda: F.count(F.when(kept, 1)), "median": lambda: F.median(F.when(kept, column))}
+        if f.mode not in modes:
+            raise ValueError(f"unknown mode {f.mode!r}")
+        return F.round(modes[f.mode]().cast("double"), f.digits)
+
+    once = df.agg(*[value(f).alias(f"f{k}") for k, f in enumerate(figures)])
+    rows = [F.struct(F.lit(f.name).alias("figure"), F.col(f"f{k}").alias("recomputed"), F.lit(f.published).cast("double").alias("published"), (F.abs(F.col(f"f{k}") - F.lit(f.published).cast("double")) <= f.tolerance + 1e-9).alias("agrees")) for k, f in enumerate(figures)]
+    return once.select(F.inline(F.array(*rows)))
 
 
 def attribution(df: DataFrame, parts: list[str], total: str, rest: str) -> DataFrame:

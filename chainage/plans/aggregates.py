@@ -31,10 +31,10 @@ def conditional_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
  round(quantile_cont(o_totalprice, 0.1), 4) AS p10, round(quantile_cont(o_totalprice, 0.9), 4) AS p90 FROM orders GROUP BY o_orderpriority""")
 def named_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("o_totalprice")
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(
-        F.count("*").alias("n"), F.count_distinct("o_custkey").alias("customers"), F.round(F.median(p), 4).alias("median_price"), F.round(F.avg(p), 4).alias("mean_price"),
-        F.round(F.percentile(p, F.lit(0.1)), 4).alias("p10"), F.round(F.percentile(p, F.lit(0.9)), 4).alias("p90"),
-    )
+    orders = table(spark, sf_dir, "orders")
+    counted = orders.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_distinct("o_custkey").alias("customers"), F.round(F.avg(p), 4).alias("mean_price"))
+    at = robust.exact_quantiles(orders, ["o_orderpriority"], "o_totalprice", {"median_price": 0.5, "p10": 0.1, "p90": 0.9}).drop("n")
+    return counted.join(at.select("o_orderpriority", *[F.round(c, 4).alias(c) for c in ("median_price", "p10", "p90")]), "o_orderpriority")
 
 
 @query("""SELECT l_shipmode, round(quantile_cont(r, 0.1), 4) AS p10, round(quantile_cont(r, 0.5), 4) AS p50, round(count(*) / sum(1 / greatest(r, 1e-6)), 6) AS harmonic, round(sum(l_quantity) / sum(l_quantity / v), 6) AS mean_speed
@@ -42,7 +42,9 @@ def named_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def harmonic_and_weighted_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = F.col("l_extendedprice") / 10
     s = table(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("l_shipmode"), "l_quantity", r.alias("r"), curves.vmax(r, K).alias("v"))
-    return s.groupBy("l_shipmode").agg(F.round(F.percentile("r", F.lit(0.1)), 4).alias("p10"), F.round(F.percentile("r", F.lit(0.5)), 4).alias("p50"), F.round(robust.harmonic_mean(F.col("r")), 6).alias("harmonic"), F.round(robust.weighted_harmonic(F.col("l_quantity"), F.col("v")), 6).alias("mean_speed"))
+    means = s.groupBy("l_shipmode").agg(F.round(robust.harmonic_mean(F.col("r")), 6).alias("harmonic"), F.round(robust.weighted_harmonic(F.col("l_quantity"), F.col("v")), 6).alias("mean_speed"))
+    at = robust.exact_quantiles(s, ["l_shipmode"], "r", {"p10": 0.1, "p50": 0.5})
+    return means.join(at.select("l_shipmode", F.round("p10", 4).alias("p10"), F.round("p50", 4).alias("p50")), "l_shipmode")
 
 
 @query("""WITH s AS (SELECT l_returnflag, l_extendedprice AS v, sum(l_quantity) AS w FROM lineitem GROUP BY ALL),

@@ -88,3 +88,17 @@ def test_no_row_window_over_a_whole_section(spark, rows):
         plan = f("b")._jdf.queryExecution().optimizedPlan().toString()
         alone = [line for line in plan.splitlines() if "Window [" in line and "], [s#" in line and ", b#" not in line.split("], [")[1] and "__cell" not in line.split("], [")[1]]
         assert all("Aggregate" in plan.splitlines()[k + 1] or "Project" in plan.splitlines()[k + 1] or "Window" in plan.splitlines()[k + 1] for k, line in enumerate(plan.splitlines()[:-1]) if line in alone)
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+
+    rng = random.Random(11)
+    data = {1: [rng.choice([0.0, 1.0, 1e9, -5.0, rng.uniform(0, 3)]) for _ in range(999)], 2: [7.0] * 50, 3: [2.5], 4: [None, None], 5: [1.0, 2.0, None]}
+    df = spark.createDataFrame([(k, v) for k, rows in data.items() for v in rows], "k int, v double")
+    shares = {"lo": 0.0, "q": 0.1, "m": 0.5, "p": 0.97, "hi": 1.0}
+    got = {r.k: r for r in robust.exact_quantiles(df, ["k"], "v", shares, 8).collect()}
+    assert got.keys() == {1, 2, 3, 5}
+    for k, r in got.items():
+        own = [v for v in data[k] if v is not None]
+        assert r.n == len(own) and all(np.isclose(r[c], np.quantile(own, q)) for c, q in shares.items())
