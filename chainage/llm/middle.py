@@ -137,7 +137,7 @@ def transform(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     null; a null id is hashed as empty; repeated rows are transformed alike; ids of any
     type are hashed as text; an empty table stays empty; other columns are ignored.
     """
-    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 256)
+    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
     part = lambda k: F.conv(F.substring("digest", 8 * k + 1, 8), 16, 10).cast("long")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("digest", digest)
     rows = rows.select("doc_id", "text", *[part(k).alias(f"h{k + 1}") for k in range(4)])
@@ -179,7 +179,10 @@ def oracle(seed: int = 42, rate: int = 50, spm_share: int = 80) -> str:
     part = lambda k: f"CAST('0x' || substr(sha256('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), {8 * k + 1}, 8) AS BIGINT)"
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {", ".join(f"{part(k)} AS h{k + 1}" for k in range(4))} FROM documents),
-u AS (SELECT *, regexp_extract_all(t, '[ 	-]*[^ 	-]+|[ 	-]+') AS u FROM d),
+u AS (SELECT *, regexp_extract_all(t, '[ 	-
+]*[^ 	-
+]+|[ 	-
+]+') AS u FROM d),
 c AS (SELECT *, CAST(len(u) AS BIGINT) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b FROM u),
 p AS (SELECT doc_id, t, n, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix,
              CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= {rate} THEN 'plain' WHEN h4 % 100 < {spm_share} THEN 'spm' ELSE 'psm' END AS form FROM c)
