@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chainage.functions import curves, scalar
 from chainage.operators import tables
-from chainage.plans.registry import K, query, table
+from chainage.plans.registry import TRACK, K, query, table, track
 from chainage.sources import files
 from chainage.sources.shared import shared_dir
 
@@ -173,6 +173,28 @@ def semicolon_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_semicolon(spark, path, own.schema)
 
 
+@query("SELECT c_custkey, c_acctbal, c_mktsegment FROM customer")
+def two_row_header_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers through files with names in one row and labels in the next."""
+    path = f"{shared_dir(spark)}/labelled-{abs(hash(sf_dir))}"
+    own, labels = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment"), ["client", "solde; net", "secteur"]
+    files.write_labelled(own, path, labels)
+    return files.read_labelled(spark, path, own.schema, labels)
+
+
+@query(TRACK + "SELECT event_id, props, round(h, 6) AS lon, round(value, 4) AS lat FROM tr")
+def feature_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each section's day as a feature of collections with meta, read back in byte ranges and laid out as points again."""
+    path = f"{shared_dir(spark)}/collections-{abs(hash(sf_dir))}"
+    tr = track(spark, sf_dir).withColumn("p", F.struct(F.col("us"), F.col("event_id"), F.col("props"), F.struct(F.round("h", 6).alias("lon"), F.round("value", 4).alias("lat")).alias("at")))
+    days = tr.groupBy("user_id", "day").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    days = days.select("user_id", "day", F.col("p.event_id").alias("ids"), F.col("p.props").alias("props"), F.col("p.at").alias("points"))
+    files.write_collection(days, path, ["user_id", "day", "ids", "props"], {"about": "lines of events", "columns": {"ids": "{event_id}"}})
+    back = files.read_features(spark, path, days.drop("points").schema)
+    each = back.select(F.inline(F.arrays_zip("ids", "props", "points")))
+    return each.select(F.col("ids").alias("event_id"), "props", "points.lon", "points.lat")
+
+
 @query("""SELECT count(*) AS n_rows, round(sum(l_quantity), 2) AS quantity, count(DISTINCT l_suppkey) AS suppliers FROM lineitem""")
 def facts_object(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = files.facts(table(spark, sf_dir, "lineitem"), {"n_rows": F.count("*"), "quantity": F.round(F.sum("l_quantity"), 2), "suppliers": F.count_distinct("l_suppkey")})

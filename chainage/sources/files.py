@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chainage.sources import collections
+from chainage.sources.shared import opened
+
 BOM = "﻿"
 
 
@@ -25,6 +30,24 @@ def write_semicolon(df: DataFrame, path: str) -> None:
     df.withColumnRenamed(first, BOM + first).select(F.col(f"`{BOM}{first}`"), *rest).write.mode("overwrite").option("sep", ";").option("header", True).option("nullValue", "").csv(path)
 
 
+def write_labelled(df: DataFrame, path: str, labels: list[str]) -> None:
+    """A folder of ';' CSV files with two header rows: the columns' names (after a byte-order mark) and their labels in a second language."""
+    if len(labels) != len(df.columns):
+        raise ValueError("a label is needed for each column")
+    line = lambda cells: ";".join('"' + c.replace('"', '""') + '"' if set(c) & set(';"\n') else c for c in cells)
+    names = [f"c{i}" for i in range(len(df.columns))]
+    text = F.to_csv(F.struct(*names), {"sep": ";", "nullValue": "", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
+    collections.framed(df.toDF(*names).select(text.alias("value")), BOM + line(df.columns) + "\n" + line(labels)).write.mode("overwrite").text(path)
+
+
+def read_labelled(spark: SparkSession, path: str, schema: T.StructType, labels: list[str]) -> DataFrame:
+    """Rows of files with two header rows, without the second; only a row that equals all labels is one."""
+    texts = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(labels))])
+    rows = spark.read.option("sep", ";").option("header", True).option("nullValue", "").option("escape", '"').option("enforceSchema", True).schema(texts).csv(path)
+    is_label = reduce(lambda a, b: a & b, (F.col(f"c{i}").eqNullSafe(F.lit(x or None)) for i, x in enumerate(labels)))
+    return rows.where(~is_label).select(*[F.col(f"c{i}").cast(f.dataType).alias(f.name) for i, f in enumerate(schema.fields)])
+
+
 def without_label_row(df: DataFrame, column: str, label: str) -> DataFrame:
     """Drops the second header row of a file with names in two languages."""
     return df.where(F.col(column).isNull() | (F.col(column) != label))
@@ -36,9 +59,11 @@ def clean_names(df: DataFrame) -> DataFrame:
 
 
 def read_zipped_csv(spark: SparkSession, path: str, name: str, columns: list[str]) -> DataFrame:
-    """The named columns (strings) of a CSV file inside ZIP archives; one archive is one task.
+    """The named columns (strings) of a CSV file inside ZIP archives, streamed out of them; one archive is one task.
 
-    Missing columns are null. Archives are read through Spark, so they can lie in any of its stores.
+    Missing columns are null, archives without the file give no rows. Only an archive's
+    directory and a part of the file are in memory, so archives may be of any size.
+    Archives are opened through pyarrow's file systems.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
@@ -46,37 +71,28 @@ def read_zipped_csv(spark: SparkSession, path: str, name: str, columns: list[str
         import pandas as pd
 
         for frame in batches:
-            for content in frame["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
+            for uri in frame["path"]:
+                with opened(uri) as archive, zipfile.ZipFile(archive) as z:
                     if name not in z.namelist():
                         continue
                     with io.TextIOWrapper(z.open(name), "utf-8-sig", newline="") as f:
-                        rows = []
-                        for row in csv.DictReader(f):
-                            rows.append([row.get(c) for c in columns])
-                            if len(rows) >= 20_000:
-                                yield pd.DataFrame(rows, columns=columns)
-                                rows = []
-                        yield pd.DataFrame(rows, columns=columns, dtype=object)
+                        rows = ([row.get(c) for c in columns] for row in csv.DictReader(f))
+                        while part := list(itertools.islice(rows, 20_000)):
+                            yield pd.DataFrame(part, columns=columns, dtype=object)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
+    # only paths are read here, not the archives' contents; they are spread by the archives' sizes
+    return spark.read.format("binaryFile").load(path).select("path").mapInPandas(run, schema)
 
 
 POINT = T.StructType([T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType())])
 
 
 def read_features(spark: SparkSession, path: str, properties: T.StructType, kind: str | None = None) -> DataFrame:
-    """Features of GeoJSON collections: their properties and `points` (array of lon and lat), those of one `kind` if given."""
-    geometry = T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.StringType())])
-    feature = T.StructType([T.StructField("properties", properties), T.StructField("geometry", geometry)])
-    whole = T.StructType([T.StructField("features", T.ArrayType(feature))])
-    rows = spark.read.option("multiLine", True).schema(whole).json(path).select(F.explode("features").alias("f"))
-    if kind is not None:
-        rows = rows.where(F.col("f.properties.kind") == kind)
-    text = F.col("f.geometry.coordinates")
-    lines = F.from_json(F.when(F.col("f.geometry.type") == "Point", F.concat(F.lit("["), text, F.lit("]"))).otherwise(text), "array<array<double>>")
-    points = F.transform(lines, lambda p: F.struct(F.get(p, F.lit(0)).alias("lon"), F.get(p, F.lit(1)).alias("lat")))
-    return rows.select("f.properties.*", points.alias("points"))
+    """Features of GeoJSON collections: their properties and `points` (array of lon and lat), those of one `kind` if given.
+
+    One file is read in many byte ranges, so a collection may be of any size.
+    """
+    return collections.parsed_features(collections.members(spark, path), properties, kind)
 
 
 def feature_json(properties: list[str], points: str) -> Column:
@@ -91,6 +107,11 @@ def write_features(df: DataFrame, path: str, properties: list[str], points: str
     df.select(feature_json(properties, points).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_collection(df: DataFrame, path: str, properties: list[str], about: dict, points: str = "points") -> None:
+    """A folder of GeoJSON collections with meta, one for each partition."""
+    collections.write_collection(df.select(feature_json(properties, points).alias("value")), path, about)
+
+
 def numbers_in(text: Column, pattern: str, group: int = 1) -> Column:
     """First figure that the pattern finds in prose, with a decimal comma and blanks between thousands allowed."""
     raw = F.regexp_extract(text, pattern, group)

@@ -18,6 +18,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def opened(uri: str):
+    """A file of any store that pyarrow knows, to be read at any place; for use inside tasks."""
+    from pyarrow import fs
+
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri.removeprefix("file:")
+    store, place = fs.FileSystem.from_uri(uri)
+    return store.open_input_file(place)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
