@@ -121,6 +121,67 @@ def transverse_mercator(lat: Column, lon: Column, lon0: Column) -> tuple[Column,
     return 500000 + 0.9996 * radius * east, 0.9996 * radius * north
 
 
+def from_transverse_mercator(east: Column, north: Column, lon0: Column) -> tuple[Column, Column]:
+    """Latitude and longitude of UTM metres (WGS 84, northern half): the inverse series to the third order in n."""
+    f = 1 / 298.257223563
+    n = f / (2 - f)
+    radius = 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+    xi, eta = north / (0.9996 * radius), (east - 500000) / (0.9996 * radius)
+    up = reduce(lambda a, k: a - beta[k - 1] * F.sin(2 * k * xi) * F.cosh(2 * k * eta), (1, 2, 3), xi)
+    out = reduce(lambda a, k: a - beta[k - 1] * F.cos(2 * k * xi) * F.sinh(2 * k * eta), (1, 2, 3), eta)
+    chi = F.asin(F.sin(up) / F.cosh(out))
+    phi = reduce(lambda a, k: a + delta[k - 1] * F.sin(2 * k * chi), (1, 2, 3), chi)
+    return F.degrees(phi), lon0 + F.degrees(F.atan2(F.sinh(out), F.cos(up)))
+
+
+def _pieces(line: str) -> Column:
+    """Pieces (a, b, d) of a column of points (x, y): both ends and the length between them."""
+    ends = F.arrays_zip(F.slice(line, F.lit(1), F.greatest(F.size(line) - 1, F.lit(0))).alias("a"), F.slice(line, F.lit(2), F.greatest(F.size(line) - 1, F.lit(0))).alias("b"))
+    return F.transform(ends, lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), F.hypot(p["b"]["x"] - p["a"]["x"], p["b"]["y"] - p["a"]["y"]).alias("d")))
+
+
+def line_length(line: str) -> Column:
+    """Length of a line (column of an array of points x, y); 0 for fewer than two points, null for null."""
+    return F.aggregate(_pieces(line), F.lit(0.0), lambda s, p: s + p["d"])
+
+
+def along_line(line: str, distance: Column) -> Column:
+    """The point (x, y) of a line at a distance from its first point, clamped at both ends; null for lines without points or a null distance."""
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    first = F.get(line, F.lit(0))
+
+    def step(s: Column, p: Column) -> Column:
+        share = F.greatest(F.least(F.try_divide(distance - s["s"], p["d"]), F.lit(1.0)), F.lit(0.0))
+        ahead = (p["d"] > 0) & (distance > s["s"])
+        at = F.when(ahead, point(p["a"]["x"] + share * (p["b"]["x"] - p["a"]["x"]), p["a"]["y"] + share * (p["b"]["y"] - p["a"]["y"]))).otherwise(s["at"])
+        return F.struct((s["s"] + p["d"]).alias("s"), at.alias("at"))
+
+    start = F.struct(F.lit(0.0).alias("s"), point(first["x"], first["y"]).alias("at"))
+    return F.when(distance.isNotNull() & first.isNotNull(), F.aggregate(_pieces(line), start, step, lambda s: s["at"]))
+
+
+def place_on_line(line: str, x: Column, y: Column) -> Column:
+    """(at, off): how far along a line the place nearest to (x, y) is, the first of equals, and how far away; null for lines without a piece."""
+
+    def step(s: Column, p: Column) -> Column:
+        dx, dy = p["b"]["x"] - p["a"]["x"], p["b"]["y"] - p["a"]["y"]
+        t = F.greatest(F.least(F.coalesce(F.try_divide((x - p["a"]["x"]) * dx + (y - p["a"]["y"]) * dy, p["d"] * p["d"]), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+        off = F.hypot(x - p["a"]["x"] - t * dx, y - p["a"]["y"] - t * dy)
+        nearer = s["off"].isNull() | (off < s["off"])
+        return F.struct((s["s"] + p["d"]).alias("s"), F.when(nearer, s["s"] + t * p["d"]).otherwise(s["at"]).alias("at"), F.when(nearer, off).otherwise(s["off"]).alias("off"))
+
+    nothing = F.lit(None).cast("double")
+    start = F.struct(F.lit(0.0).alias("s"), nothing.alias("at"), nothing.alias("off"))
+    return F.aggregate(_pieces(line), start, step, lambda s: F.when(s["off"].isNotNull(), F.struct(s["at"].alias("at"), s["off"].alias("off"))))
+
+
+def in_buffer(line: str, x: Column, y: Column, radius: float) -> Column:
+    """Whether (x, y) lies within a radius of a line: its round buffer as a predicate."""
+    return place_on_line(line, x, y)["off"] <= radius
+
+
 def minutes_of_day(hms: Column) -> Column:
     """Minutes of 'HH:MM:SS', whose hour may be 24 or more; null for anything else."""
     part = F.split(F.trim(hms), ":")

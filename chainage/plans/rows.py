@@ -195,6 +195,21 @@ def feature_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select(F.col("ids").alias("event_id"), "props", "points.lon", "points.lat")
 
 
+@query(TRACK + """, l AS (SELECT user_id, day, h AS ax, value AS ay, lead(h) OVER w AS bx, lead(value) OVER w AS yb, row_number() OVER w AS i FROM (SELECT *, us // 86400000000 AS day FROM tr) WINDOW w AS (PARTITION BY user_id, day ORDER BY us, event_id)),
+d AS (SELECT *, sqrt((bx - ax) ** 2 + (yb - ay) ** 2) AS d FROM l WHERE bx IS NOT NULL), s AS (SELECT *, coalesce(sum(d) OVER (PARTITION BY user_id, day ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s0, 0.37 * sum(d) OVER (PARTITION BY user_id, day) AS q FROM d),
+a AS (SELECT user_id, day, arg_max(ax + (q - s0) / d * (bx - ax), i) AS x, arg_max(ay + (q - s0) / d * (yb - ay), i) AS y FROM s WHERE d > 0 AND s0 < q GROUP BY ALL), n AS (SELECT user_id, day, sum(d) AS length FROM d GROUP BY ALL),
+c AS (SELECT user_id, day, min(ax) AS cx FROM l GROUP BY ALL), t AS (SELECT d.*, cx, CASE WHEN d > 0 THEN greatest(least(((cx - ax) * (bx - ax) + (250 - ay) * (yb - ay)) / (d * d), 1), 0) ELSE 0 END AS t FROM d JOIN c USING (user_id, day)),
+o AS (SELECT user_id, day, min(sqrt((cx - ax - t * (bx - ax)) ** 2 + (250 - ay - t * (yb - ay)) ** 2)) AS off FROM t GROUP BY ALL)
+SELECT user_id, CAST(day AS BIGINT) AS day, round(length, 4) AS length, round(x, 4) AS x, round(y, 4) AS y, round(off, 4) AS off, off <= 60 AS near FROM n JOIN a USING (user_id, day) JOIN o USING (user_id, day)""")
+def points_along_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each section's day as a line: its length, the point at 0.37 of it, and how far a place is from it."""
+    tr = track(spark, sf_dir).groupBy("user_id", "day").agg(F.array_sort(F.collect_list(F.struct("us", "event_id", F.col("h").alias("x"), F.col("value").cast("double").alias("y")))).alias("p"))
+    lines = tr.where(F.size("p") > 1).select("user_id", "day", F.transform("p", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("line"))
+    lines = lines.withColumn("length", scalar.line_length("line"))
+    told = lines.where("length > 0").select("user_id", "day", "length", scalar.along_line("line", 0.37 * F.col("length")).alias("at"), scalar.place_on_line("line", F.get("line", F.lit(0))["x"], F.lit(250.0))["off"].alias("off"))
+    return told.select("user_id", "day", F.round("length", 4).alias("length"), F.round("at.x", 4).alias("x"), F.round("at.y", 4).alias("y"), F.round("off", 4).alias("off"), (F.col("off") <= 60).alias("near"))
+
+
 @query("""SELECT count(*) AS n_rows, round(sum(l_quantity), 2) AS quantity, count(DISTINCT l_suppkey) AS suppliers FROM lineitem""")
 def facts_object(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = files.facts(table(spark, sf_dir, "lineitem"), {"n_rows": F.count("*"), "quantity": F.round(F.sum("l_quantity"), 2), "suppliers": F.count_distinct("l_suppkey")})
