@@ -96,15 +96,15 @@ def step_value(
     return out.withColumn(value, F.when(F.col("__s").isNull(), F.lit(default)).otherwise(F.col(f"__s.{value}"))).drop("__s")
 
 
-def coalesced(df: DataFrame, keys: list[str], width: float | None = None, span: tuple[str, str] = ("lo", "hi"), gap: float = 0.0) -> DataFrame:
+def coalesced(df: DataFrame, keys: list[str], width: float | None = None, span: tuple[str, str] = ("lo", "hi"), gap: float = 0.0, empty: bool = False) -> DataFrame:
     """(keys, lo, hi, n): the union of each key's intervals, those that touch, overlap or lie at most `gap` apart as one, and how many it is made of.
 
-    Empty and null intervals are left out. With width (a length that a task can hold) a key
+    Null intervals are left out, and empty ones (lo = hi) unless `empty` is set. With width (a length that a task can hold) a key
     is spread over blocks of so much length, and one row per block carries what reaches on.
     """
     lo, hi = span
     # equal intervals are one row, so that the order of rows is the same in each pass
-    rows = df.where(F.col(lo) < F.col(hi)).groupBy(*keys, F.col(lo).alias("lo"), F.col(hi).alias("hi")).agg(F.count("*").alias("__same"))
+    rows = df.where(F.col(lo) <= F.col(hi) if empty else F.col(lo) < F.col(hi)).groupBy(*keys, F.col(lo).alias("lo"), F.col(hi).alias("hi")).agg(F.count("*").alias("__same"))
     block = "__block" if width else None
     if width:
         rows = rows.withColumn("__block", F.floor(F.col("lo") / width))

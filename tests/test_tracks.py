@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from chainage.functions import scalar
 from chainage.operators import intervals, tracks
 
 SEGMENTS = "way int, edge int, seq int, ax double, ay double, bx double, by double"
@@ -61,6 +62,20 @@ def test_coalesced(spark, width):
             assert sorted((r.lo, r.hi, r.n) for r in out if r.k == k) == plain_union(rows, gap)
 
 
+@pytest.mark.parametrize("width", [None, 3.0])
+def test_coalesced_with_empty_ones(spark, width):
+    """An interval of no length stands alone, or counts in the one that it touches."""
+    df = spark.createDataFrame([(1, 0.0, 2.0), (1, 2.0, 2.0), (1, 1.0, 1.0), (1, 5.0, 5.0), (1, 5.0, 5.0), (2, 3.0, 3.0), (2, None, 4.0)], "k int, lo double, hi double")
+    out = intervals.coalesced(df, ["k"], width, empty=True).collect()
+    assert sorted((r.k, r.lo, r.hi, r.n) for r in out) == [(1, 0.0, 2.0, 3), (1, 5.0, 5.0, 2), (2, 3.0, 3.0, 1)]
+
+
+def test_rounded_on_the_product(spark):
+    """531.2201845 lies under the half as a double, though its decimal form doesn't."""
+    got = spark.createDataFrame([(531.2201845,), (2.5,), (-0.1234567,), (None,)], "x double").select(scalar.rounded(F.col("x"), 6).alias("x")).collect()
+    assert [r.x for r in got] == [531.220184, 2.5, -0.123457, None]
+
+
 def test_doubling_need(spark):
     runs = [(1, 0.0, 4.0, 1, "main", False, False), (1, 4.0, 5.0, 2, None, False, True), (1, 5.0, 7.0, 1, "branch", False, False), (1, 7.0, 8.0, 1, None, True, False), (1, 8.0, 9.5, 1, None, False, False), (1, 9.5, 12.0, 3, "main", True, False), (2, 0.0, 1.0, 2, None, False, False)]
     out = {r.k: r for r in tracks.doubling_need(spark.createDataFrame(runs, "k int, lo double, hi double, state int, usage string, at_station boolean, loop boolean"), ["k"]).collect()}
