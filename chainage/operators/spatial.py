@@ -111,7 +111,8 @@ def project(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Column
     dx, dy = bx - ax, by - ay
     share = F.coalesce(F.try_divide((x - ax) * dx + (y - ay) * dy, dx * dx + dy * dy), F.lit(0.0))
     share = F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))
-    return share, F.hypot(x - (ax + share * dx), y - (ay + share * dy))
+    # from a's side, so that no digits go where coordinates are large
+    return share, F.hypot(x - ax - share * dx, y - ay - share * dy)
 
 
 def near_segments(

@@ -52,3 +52,15 @@ def test_exists_is_a_semi_join(spark, places):
     d = np.hypot(*(places[:, None] - places[None, :450]).transpose(2, 0, 1))
     assert {r.id: r.near for r in out.collect()} == {i: bool((row <= 0.01).any()) for i, row in enumerate(d)}
     assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_distance_to_a_segment_far_from_the_origin(spark):
+    """Coordinates of 1.8e8 leave 3e-8 a digit; the distance keeps ten places all the same."""
+    rng = np.random.default_rng(3)
+    at = np.array([4096.0, 180_000_000.0])
+    rows = [(i, *(float(v) for v in rng.integers(-64, 64, 6) / 64)) for i in range(200)]
+    df = spark.createDataFrame(rows, "i int, px double, py double, ax double, ay double, bx double, by double").where("ax <> bx or ay <> by")
+    far = df.withColumns({c: F.col(c) + float(at["xy".index(c[1])]) for c in ("px", "py", "ax", "ay", "bx", "by")})
+    near = lambda d: {r.i: r.d for r in d.select("i", spatial.project(*[F.col(c) for c in ("px", "py", "ax", "ay", "bx", "by")])[1].alias("d")).collect()}
+    a, b = near(df), near(far)
+    assert max(abs(a[i] - b[i]) for i in a) < 1e-12
