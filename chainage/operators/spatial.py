@@ -45,25 +45,26 @@ def nearest_within(points: DataFrame, others: DataFrame, radius: float, ident: l
 CELL_ROWS, HALVINGS = 256, 16
 
 
-def k_nearest(points: DataFrame, others: DataFrame, radius: float, ident: list[str], other_ident: list[str], k: int = 1, apart: Column | None = None, p: tuple[str, str] = ("px", "py"), o: tuple[str, str] = ("ox", "oy"), cell_rows: int = CELL_ROWS) -> DataFrame:
+def k_nearest(points: DataFrame, others: DataFrame, radius: float, ident: list[str], other_ident: list[str], k: int = 1, apart: Column | None = None, p: tuple[str, str] = ("px", "py"), o: tuple[str, str] = ("ox", "oy"), cell_rows: int = CELL_ROWS, keys: list[str] | None = None) -> DataFrame:
     """The k nearest others of each point within radius, ranked, where some places are much denser than others.
 
     The densest cell tells from which radius to start. A point that finds k others within a
     radius has its nearest; only those that don't go on to the doubled one, up to `radius`.
     So a dense cell never pairs all of its rows. Of others at one place only the k + 1
     smallest can be among the nearest. apart: a condition that pairs have to fulfil; it may
-    leave out one other at each place (the point itself).
+    leave out one other at each place (the point itself). keys: columns of both sides that
+    pairs have in common; a point of several keys has them in its ident.
     """
-    (ox, oy) = o
-    few = Window.partitionBy(*o).orderBy(*other_ident)
+    (ox, oy), keys = o, keys or []
+    few = Window.partitionBy(*keys, *o).orderBy(*other_ident)
     kept = checkpoint(others.where(F.col(ox).isNotNull() & F.col(oy).isNotNull()).withColumn("__k", F.row_number().over(few)).where(F.col("__k") <= k + 1).drop("__k"))
-    dense = lambda r: kept.groupBy(F.floor(F.col(ox) / r), F.floor(F.col(oy) / r)).count().agg(F.max("count")).first()[0] or 0
+    dense = lambda r: kept.groupBy(*keys, F.floor(F.col(ox) / r), F.floor(F.col(oy) / r)).count().agg(F.max("count")).first()[0] or 0
     halvings = 0
     while halvings < HALVINGS and dense(radius / 2**halvings) > cell_rows:
         halvings += 1
     left, done = points, []
     for level in range(halvings, -1, -1):
-        met = within(left, kept, radius / 2**level, p=p, o=o)
+        met = within(left, kept, radius / 2**level, keys, p=p, o=o)
         found = ranked(met if apart is None else met.where(apart), ident, other_ident, k)
         if level == 0:
             done.append(found)
@@ -126,21 +127,78 @@ def near_segments(
 ) -> DataFrame:
     """Pairs of points and straight segments a-b at most radius apart, with share (of the foot) and dist.
 
-    A segment goes to the cells of its box, widened by the radius, and a point to one cell,
-    so a pair meets once. cell: about the length of the longer segments, the radius at least.
+    A segment goes to the cells within the radius of it, and a point to one cell, so a pair
+    meets once. cell: about the length of the longer segments, the radius at least.
     """
     size = max(cell or radius, radius)
+    share, dist = project(*[F.col(c) for c in (*p, *a, *b)])
+    placed = points.withColumns({n: F.floor(F.col(c) / size).cast("long") for n, c in zip(("__i", "__j"), p, strict=True)})
+    met = placed.join(_spread(segments, radius, size, a, b), ["__i", "__j"]).drop("__i", "__j")
+    return met.withColumns({"share": share, "dist": dist}).where(F.col("dist") <= radius)
+
 
+def _spread(segments: DataFrame, radius: float, size: float, a: tuple[str, str], b: tuple[str, str]) -> DataFrame:
+    """segments once for each cell (__i, __j) of this size that has a place within the radius of them: cells of the widened box whose centre lies near the line."""
     def reach(one: str, other: str) -> Column:
         low = F.floor((F.least(one, other) - radius) / size).cast("long")
         return F.sequence(low, F.floor((F.greatest(one, other) + radius) / size).cast("long"))
 
     known = segments.where(" and ".join(f"{c} is not null" for c in (*a, *b)))
     spread = known.withColumn("__i", F.explode(reach(a[0], b[0]))).withColumn("__j", F.explode(reach(a[1], b[1])))
-    placed = points.withColumns({n: F.floor(F.col(c) / size).cast("long") for n, c in zip(("__i", "__j"), p, strict=True)})
-    share, dist = project(*[F.col(c) for c in (*p, *a, *b)])
-    met = placed.join(spread, ["__i", "__j"]).drop("__i", "__j")
-    return met.withColumns({"share": share, "dist": dist}).where(F.col("dist") <= radius)
+    off = project((F.col("__i") + 0.5) * size, (F.col("__j") + 0.5) * size, *[F.col(c) for c in (*a, *b)])[1]
+    return spread.where(off <= radius + 0.7072 * size)
+
+
+#: Segments within the starting radius of a point, about, at most; how often cells are halved at most, so that a segment goes to a few dozen.
+NEAR_SEGMENTS, CELL_HALVINGS = 32, 3
+
+
+def nearest_segments(
+    points: DataFrame,
+    segments: DataFrame,
+    radius: float,
+    ident: list[str],
+    other: str,
+    cell: float,
+    digits: int = 9,
+    apart: Column | None = None,
+    p: tuple[str, str] = ("px", "py"),
+    a: tuple[str, str] = ("ax", "ay"),
+    b: tuple[str, str] = ("bx", "by"),
+    near: int = NEAR_SEGMENTS,
+) -> DataFrame:
+    """Of each point the nearest segment within radius, with share and dist; distances equal to so many digits go to the smaller `other`.
+
+    The fullest cell tells from which radius to start; only points that find nothing within
+    a radius go on to four times that, so a dense place doesn't send all of its pairs.
+    cell: about the length of the longer segments; it is halved up to CELL_HALVINGS times
+    where cells are full. apart: a condition that pairs have to fulfil.
+    """
+    size, held = cell, 0
+    for halvings in range(CELL_HALVINGS + 1):
+        size = cell / 2**halvings
+        held = _spread(segments, 0.0, size, a, b).groupBy("__i", "__j").count().agg(F.max("count")).first()[0] or 0
+        if held <= CELL_ROWS:
+            break
+    level = 0
+    while level < HALVINGS and held * 2 * (radius / 4**level) > near * size:
+        level += 1
+    left, done = points, []
+    for power in range(level, -1, -1):
+        reach = radius / 4**power
+        met = near_segments(left, segments, reach, size, p, a, b)
+        met = (met if apart is None else met.where(apart)).withColumn("__d", F.round("dist", digits))
+        best = met.withColumn("__k", F.row_number().over(Window.partitionBy(*ident).orderBy("__d", other))).where("__k = 1").drop("__k", "__d")
+        if power == 0:
+            done.append(best)
+            break
+        # at the rim a segment just out of reach could have the same rounded distance
+        found = checkpoint(best.where(F.col("dist") <= reach - 10.0**-digits))
+        done.append(found)
+        left = checkpoint(left.join(found.select(*ident), ident, "left_anti"))
+        if left.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, done)
 
 
 def first_claim(points: DataFrame, cell: list[str], section: str, rank: str) -> DataFrame:

@@ -100,8 +100,8 @@ def project_on_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
     edges = p.select(F.col("id").alias("edge"), F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("x") + 0.05).alias("bx"), (F.col("y") + 0.03).alias("by"))
     asked = p.select("id", F.col("x").alias("px"), F.col("y").alias("py"))
-    found = spatial.near_segments(asked, edges, 0.04, 0.05).where("id <> edge").withColumn("d9", F.round("dist", 9))
-    return tables.first_per_key(found, ["id"], ["d9", "edge"]).select("id", "edge", F.round("share", 6).alias("share"), F.round("dist", 6).alias("dist"))
+    found = spatial.nearest_segments(asked, edges, 0.04, ["id"], "edge", 0.05, 9, F.col("id") != F.col("edge"))
+    return found.select("id", "edge", F.round("share", 6).alias("share"), F.round("dist", 6).alias("dist"))
 
 
 _SPANS = TRACK + """, b0 AS (SELECT user_id, h AS b_lo, lead(h) OVER (PARTITION BY user_id ORDER BY us) AS b_hi, row_number() OVER (PARTITION BY user_id ORDER BY us) AS i FROM tr WHERE event_type = 'signup'),

@@ -64,3 +64,38 @@ def test_distance_to_a_segment_far_from_the_origin(spark):
     near = lambda d: {r.i: r.d for r in d.select("i", spatial.project(*[F.col(c) for c in ("px", "py", "ax", "ay", "bx", "by")])[1].alias("d")).collect()}
     a, b = near(df), near(far)
     assert max(abs(a[i] - b[i]) for i in a) < 1e-12
+
+
+def test_nearest_segment_from_small_radii(spark, places):
+    """Equal distances go to the smaller segment; points that find nothing near go on to larger radii."""
+    rng = np.random.default_rng(8)
+    ends = places + rng.normal(0, 0.02, places.shape)
+    ends[:150] = places[:150]  # without length
+    p, _ = tables(spark, places)
+    segments = spark.createDataFrame([(i, *map(float, (*s, *e))) for i, (s, e) in enumerate(zip(places, ends, strict=True))], "other int, ax double, ay double, bx double, by double")
+    got = {r.id: (r.other, round(r.dist, 9)) for r in spatial.nearest_segments(p, segments, 0.1, ["id"], "other", 0.05, 9, F.col("id") != F.col("other"), near=4).collect()}
+    want = {}
+    for i, xy in enumerate(places):
+        d, q = ends - places, xy - places
+        n = (d * d).sum(1)
+        t = np.clip(np.divide((q * d).sum(1), n, out=np.zeros(len(n)), where=n > 0), 0, 1)
+        dist = np.round(np.hypot(*(q - t[:, None] * d).T), 9)
+        order = [j for j in np.lexsort((np.arange(len(n)), dist)) if j != i and dist[j] <= 0.1]
+        if order:
+            want[i] = (int(order[0]), float(dist[order[0]]))
+    assert got == want
+
+
+@pytest.mark.parametrize("call", ["aligned_or_nearest", "crossings_by_band", "crossings_by_scenario", "project_on_edges"])
+def test_dense_places_do_not_make_all_pairs(spark, tmp_path, call, monkeypatch):
+    """1,500 vectors at nearly one place: no search starts from the whole radius."""
+    from chainage.plans import all as plans
+
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.002, 2)], i % 10) for i in range(1500)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label long").write.parquet(f"{tmp_path}/embeddings.parquet")
+    radii = []
+    for name, at in (("within", 2), ("near_segments", 2)):
+        monkeypatch.setattr(spatial, name, lambda *args, f=getattr(spatial, name), at=at, **how: radii.append(args[at]) or f(*args, **how))
+    assert plans.QUERIES[call](spark, str(tmp_path)).count() > 0
+    assert radii[0] <= 0.01
