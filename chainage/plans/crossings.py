@@ -23,6 +23,13 @@ def nearest_by_section(pairs: DataFrame, ident: str, section: str, dist: str, ot
     return best.select(ident, section, f"b.{dist}", *[f"b.{c}" for c in carried])
 
 
+def nearest_in_sections(points: DataFrame, others: DataFrame, ident: str, section: str, other: str, radius: float, apart: Column | None = None, cell_rows: int = 32) -> DataFrame:
+    """(ident, section, dist and what others carry): as `nearest_by_section`, searched section by section from small radii on, so that dense places don't make all pairs."""
+    named = others.withColumn("__of", F.coalesce(F.col(section), F.lit("")))
+    each = points.crossJoin(F.broadcast(named.select("__of").distinct()))
+    return spatial.k_nearest(each, named, radius, [ident, "__of"], [other], 1, apart, cell_rows=cell_rows, keys=["__of"]).drop("__of", "rank")
+
+
 def counts(matched: DataFrame, ident: str, section: str, dist: str, scenarios: dict[str, Column], sections: list[str], edges: list[float] = EDGES, bands: list[str] = BANDS) -> DataFrame:
     """(scenario, section, band, n): crossings of each section by the band of each scenario's speed, zeros included.
 
@@ -50,7 +57,7 @@ def crossings_by_scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
     asked = p.where(~F.col("label").isin(4, 9)).select("id", F.col("x").alias("px"), F.col("y").alias("py"))
     others = p.select(F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.concat(F.lit("section "), F.col("label") % 3).alias("section"), (100.0 + F.col("label") * 12).alias("v"))
-    near = nearest_by_section(spatial.within(asked, others, 0.05).where("id <> other"), "id", "section", "dist", "other", ["v"])
+    near = nearest_in_sections(asked, others, "id", "section", "other", 0.05, F.col("id") != F.col("other"))
     v = F.col("v")
     speeds = {"base": v * 0.8, "tilting": v, "base, at most 160": F.least(v * 0.8, F.lit(160.0)), "tilting, at most 177": F.least(v, F.lit(177.0))}
     return counts(near, "id", "section", "dist", speeds, [f"section {k}" for k in range(3)])
