@@ -235,7 +235,7 @@ def crossings_by_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
     asked = p.select("id", F.col("x").alias("px"), F.col("y").alias("py"))
     others = p.select(F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("label").alias("seg"))
-    near = spatial.ranked(spatial.within(asked, others, 0.05).where("id <> other"), ["id"], ["other"])
+    near = spatial.k_nearest(asked, others, 0.05, ["id"], ["other"], 1, F.col("id") != F.col("other"), cell_rows=32)
     bands = ["to 110", "to 153", "to 201", "over 201"]
     m = near.withColumn("band", curves.banded(100 + F.col("seg") * 12, [110, 153, 201], bands)).withColumn("authority", F.col("id") % 3)
     return tables.crosstab(m, "authority", "band", [0, 1, 2], bands, F.count("*"))
