@@ -28,11 +28,11 @@ def ranked_runs(tr: DataFrame) -> DataFrame:
 def absorbed_short_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs after short ones have joined a neighbour, bottlenecks kept (sequential rule: no SQL)."""
 
-    def rule(p: pd.DataFrame) -> pd.DataFrame:
-        groups = sequences.absorb_short_runs(p["rank"].tolist(), p["n"].tolist(), 3)
-        return pd.DataFrame({"user_id": p["user_id"].iloc[0], "segment": range(len(groups)), "class": [p["class"][g[0]] for g in groups], "lo": [p["lo"][g[0]] for g in groups], "hi": [p["hi"][g[-1]] for g in groups], "n": [int(p["n"][g].sum()) for g in groups]})
+    def rule(c: dict[str, np.ndarray]) -> list[tuple]:
+        groups = sequences.absorb_short_runs(c["rank"].tolist(), c["n"].tolist(), 3)
+        return [(c["user_id"][0], i, c["class"][g[0]], c["lo"][g[0]], c["hi"][g[-1]], int(c["n"][g].sum())) for i, g in enumerate(groups)]
 
-    return sequences.per_key(ranked_runs(track(spark, sf_dir)), ["user_id"], ["run"], "user_id long, segment long, class string, lo double, hi double, n long", rule)
+    return sequences.per_small_key(ranked_runs(track(spark, sf_dir)), ["user_id"], ["run"], "user_id long, segment long, class string, lo double, hi double, n long", rule)
 
 
 @query()

@@ -194,3 +194,10 @@ def test_unique_network(spark):
     points = [(1, "a", 0, 1), (2, "a", 1, 2), (3, "b", 0, 3), (4, "b", 2, 1), (5, "b", 2, 2), (6, "c", 1, 3), (7, "c", 9, 1), (8, "c", 9, 1)]
     out = synthesis.unique_network(spark.createDataFrame(points, "i int, section string, cell int, state int"), ["cell"], "section", "state")
     assert sorted((r.i, r.cell_state) for r in out.collect()) == [(3, 3), (4, 2), (5, 2), (6, 3), (7, 1), (8, 1)]
+
+
+@pytest.mark.parametrize("name", ["absorbed_short_runs", "despeckled_states"])
+def test_rules_on_runs_stream(spark, name):
+    """Sections are cut from sorted partitions; none pays for a pandas group of its own."""
+    plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan
