@@ -39,12 +39,11 @@ def absorbed_short_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def despeckled_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of a track state after short ones took a neighbour's state (sequential rule: no SQL)."""
 
-    def rule(p: pd.DataFrame) -> pd.DataFrame:
-        out = sequences.despeckle(p["state"].tolist(), p["n"].tolist(), 3)
-        return pd.DataFrame({"user_id": p["user_id"].iloc[0], "segment": range(len(out)), "state": [s for s, _ in out], "n": [int(n) for _, n in out]})
+    def rule(c: dict[str, np.ndarray]) -> list[tuple]:
+        return [(c["user_id"][0], i, state, int(n)) for i, (state, n) in enumerate(sequences.despeckle(c["state"].tolist(), c["n"].tolist(), 3))]
 
     tr = track(spark, sf_dir).withColumn("state", (1 + F.floor(F.col("value") / 170)).cast("long"))
-    return sequences.per_key(linear.runs(tr, ["user_id"], ["us"], "state", "h", block="day"), ["user_id"], ["run"], "user_id long, segment long, state long, n long", rule)
+    return sequences.per_small_key(linear.runs(tr, ["user_id"], ["us"], "state", "h", block="day"), ["user_id"], ["run"], "user_id long, segment long, state long, n long", rule)
 
 
 _RUNS = TRACK + """, a AS (SELECT *, CAST(class IS DISTINCT FROM lag(class) OVER w OR row_number() OVER w = 1 AS INTEGER) AS f FROM tr WINDOW w AS (PARTITION BY user_id ORDER BY us)),
