@@ -24,25 +24,45 @@ def per_small_key(df: DataFrame, keys: list[str], order: list[str], schema: str,
 
     A task holds one batch and the rows of one key.
     """
+    return per_small_keys(df, keys, order, schema, lambda parts: [r for c in parts for r in rule(c)], 1)
+
+
+#: Rows of whole keys, about, that a rule on many keys gets at a time.
+TOGETHER = 100_000
+
+
+def per_small_keys(df: DataFrame, keys: list[str], order: list[str], schema: str, rule: Callable[[list[dict[str, np.ndarray]]], list[tuple]], rows: int = TOGETHER) -> DataFrame:
+    """As `per_small_key`, with a rule from the columns of several whole keys of about so many rows together to rows."""
 
     def run(frames):
         names = [f.split()[0] for f in schema.split(", ")]
-        held: pd.DataFrame | None = None
+        held: list[pd.DataFrame] = []
+        n, need = 0, rows
 
         def apply(frame: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
             columns = {c: frame[c].to_numpy() for c in frame.columns}
-            return pd.DataFrame([r for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) for r in rule({c: x[a:b] for c, x in columns.items()})], columns=names)
+            return pd.DataFrame(rule([{c: x[a:b] for c, x in columns.items()} for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]), columns=names)
+
+        def cut() -> tuple[pd.DataFrame, np.ndarray]:
+            frame = held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+            return frame, np.flatnonzero((frame[keys] != frame[keys].shift()).any(axis=1).to_numpy())
 
         for frame in frames:
             if not len(frame):
                 continue
-            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            cuts = np.flatnonzero((frame[keys] != frame[keys].shift()).any(axis=1).to_numpy())
+            held.append(frame)
+            n += len(frame)
+            if n < need:
+                continue
+            whole, cuts = cut()
             if len(cuts) > 1:
-                yield apply(frame, cuts)
-            held = frame.iloc[cuts[-1] :]
-        if held is not None:
-            yield apply(held, np.array([0, len(held)]))
+                yield apply(whole, cuts)
+            held = [whole.iloc[cuts[-1] :]]
+            n = len(held[0])
+            need = n + rows
+        if held:
+            whole, cuts = cut()
+            yield apply(whole, np.append(cuts, len(whole)))
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
@@ -182,6 +202,31 @@ def forward_speeds(limit_ms: np.ndarray, x_m: np.ndarray, grade: np.ndarray, acc
     return v
 
 
+def forward_speeds_of(limits: list[np.ndarray], x_m: list[np.ndarray], grades: list[np.ndarray], acceleration: Callable) -> list[np.ndarray]:
+    """`forward_speeds` of many lines from rest, each limit with a row for each setting: lines of like length advance together, so a step costs one call for all of them."""
+    out: list = [np.empty(limit.shape) for limit in limits]
+    order = sorted((i for i in range(len(x_m)) if len(x_m[i])), key=lambda i: -len(x_m[i]))
+    at = 0
+    while at < len(order):
+        longest = len(x_m[order[at]])
+        group = [i for i in order[at:] if 2 * len(x_m[i]) >= longest or longest <= 16]
+        at += len(group)
+        settings, n = limits[group[0]].shape[0], [len(x_m[i]) for i in group]
+        limit, dx, grade = np.zeros((longest, len(group), settings)), np.zeros((longest, len(group), 1)), np.zeros((longest, len(group), 1))
+        for k, i in enumerate(group):
+            limit[: n[k], k], dx[1 : n[k], k, 0], grade[: n[k], k, 0] = limits[i].T, np.diff(x_m[i]), grades[i]
+        going = np.searchsorted(-np.array(n), -np.arange(longest))  # lines that have a row there
+        v = np.zeros_like(limit)
+        now = v[0] = np.minimum(0.0, limit[0])
+        for r in range(1, longest):
+            a = going[r]
+            now = now[:a]
+            now = v[r, :a] = np.minimum(limit[r, :a], np.sqrt(np.maximum(1.0, now * now + 2 * acceleration(now, grade[r, :a]) * dx[r, :a])))
+        for k, i in enumerate(group):
+            out[i] = np.ascontiguousarray(v[: n[k], k].T)
+    return out
+
+
 def circle_radii(x: np.ndarray, y: np.ndarray, half: int) -> np.ndarray:
     """Radius of the least-squares circle (Kasa) through the rows up to `half` before and after; infinite for a line.
 

@@ -80,7 +80,7 @@ def minutes_of(sampled: DataFrame, keys: list[str], runs: list[tuple[str, Train,
     """(keys, stretch, variant, minutes) of runs (variant, train, cap, whether it stops): a stretch is moved once for all of them.
 
     Rests at both ends and at `rest`, the slowest limit under the whole train, power
-    forwards, brakes backwards. A column `grade` counts where there is one. A task holds one stretch.
+    forwards, brakes backwards. A column `grade` counts where there is one. A task holds some stretches, which advance together.
     """
     kinds = dict(sampled.dtypes)
     own = [*keys, "stretch"]
@@ -99,19 +99,25 @@ def minutes_of(sampled: DataFrame, keys: list[str], runs: list[tuple[str, Train,
                 row[:] = np.lib.stride_tricks.sliding_window_view(np.concatenate((np.full(tail, np.inf), row)), tail + 1).min(axis=1)
         return out
 
-    def rule(c: dict[str, np.ndarray]) -> list[tuple]:
-        x, grade = c["x"] * 1000, c.get("grade", np.zeros(len(c["x"])))
-        rest = c["rest"] & rests
-        rest[:, [0, -1]] = True
-        v = sequences.forward_speeds(np.where(rest, 0.0, limits(x, c["v"])), x, grade, pull)
-        reach = 2 * brake * x
-        back = np.minimum.accumulate((v * v + reach)[:, ::-1], axis=1)[:, ::-1] - reach
-        v = np.minimum(v, np.sqrt(np.maximum(back, 0.0)))
-        spent = (np.diff(x) / np.maximum((v[:, 1:] + v[:, :-1]) / 2, 0.5)).sum(axis=1) / 60
-        return [(*(c[k][0] for k in own), *r) for r in zip(names, spent.tolist(), strict=True)]
+    def rule(parts: list[dict[str, np.ndarray]]) -> list[tuple]:
+        places, slopes, tops, out = [], [], [], []
+        for c in parts:
+            x = c["x"] * 1000
+            rest = c["rest"] & rests
+            rest[:, [0, -1]] = True
+            places.append(x)
+            slopes.append(c.get("grade", np.zeros(len(x))))
+            tops.append(np.where(rest, 0.0, limits(x, c["v"])))
+        for c, x, v in zip(parts, places, sequences.forward_speeds_of(tops, places, slopes, pull), strict=True):
+            reach = 2 * brake * x
+            back = np.minimum.accumulate((v * v + reach)[:, ::-1], axis=1)[:, ::-1] - reach
+            v = np.minimum(v, np.sqrt(np.maximum(back, 0.0)))
+            spent = (np.diff(x) / np.maximum((v[:, 1:] + v[:, :-1]) / 2, 0.5)).sum(axis=1) / 60
+            out += [(*(c[k][0] for k in own), *r) for r in zip(names, spent.tolist(), strict=True)]
+        return out
 
     extra = ["grade"] if "grade" in sampled.columns else []
-    return sequences.per_small_key(sampled.select(*own, "x", "v", "rest", *extra), own, ["x"], schema, rule)
+    return sequences.per_small_keys(sampled.select(*own, "x", "v", "rest", *extra), own, ["x"], schema, rule)
 
 
 def tables_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
