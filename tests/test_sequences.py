@@ -136,3 +136,17 @@ def test_simplified_lines_stay_near(points, tolerance):
 
 def test_thinning():
     assert S.thin_by_distance(np.array([0, 1, 2, 5, 6, 11.0]), 3).tolist() == [0, 3, 5]
+
+
+def test_lines_advance_together():
+    """Many lines of different lengths have the speeds that each has alone, at a call for each step of the longest."""
+    rng = np.random.default_rng(4)
+    n = [1, 2, 300, 280, 7, 290, 40] + [250] * 50
+    x = [np.cumsum(rng.uniform(100, 600, k)) for k in n]
+    limits, grades = [rng.uniform(5, 60, (3, k)) * (rng.random((3, k)) > 0.05) for k in n], [rng.uniform(-0.01, 0.01, k) for k in n]
+    calls = []
+    pull = lambda v, g: calls.append(1) or np.minimum(np.array([0.5, 0.4, 0.6]), 9 / np.maximum(v, 1.0)) - 9.81 * g
+    got = S.forward_speeds_of(limits, x, grades, pull)
+    assert len(calls) < 400
+    for a, b, c, v in zip(limits, x, grades, got, strict=True):
+        assert np.array_equal(v, S.forward_speeds(a, b, c, pull))
