@@ -38,13 +38,15 @@ def native_vertices(match_runs: DataFrame, vertices: DataFrame, keys: list[str],
 
 #: Share of the greatest curvature that a body reaches at both ends, and the points that it has at least.
 BODY_SHARE, BODY_POINTS = 0.7, 5
+#: Radius beyond which a circle is a line, as in the fits along a line (`linear.radius_of`).
+STRAIGHT = 1e7
 
 
 def bodies(df: DataFrame, keys: list[str], order: str, x: str, y: str, radius: str, share: float = BODY_SHARE, least: int = BODY_POINTS) -> DataFrame:
     """(keys, lo, hi, n_body, r_min, fitted): of each curve the rows from the first to the last whose curvature reaches `share` of its greatest, their least radius and the circle (Kasa) through all of them.
 
     order is the rows' place in the curve; curvature is 1 over the radius, 1 at most. fitted
-    is null for bodies of fewer than `least` rows and infinite for lines. The sums are
+    is null for bodies of fewer than `least` rows and infinite for lines and radii beyond STRAIGHT. The sums are
     aggregates about the rows' centre, so no curve is held in memory.
     """
     bend = 1 / F.greatest(F.col(radius), F.lit(1.0))
@@ -62,7 +64,8 @@ def bodies(df: DataFrame, keys: list[str], order: str, x: str, y: str, radius: s
     det = xx * yy - xy * xy
     p, q = F.try_divide(xz * yy - yz * xy, 2 * det), F.try_divide(yz * xx - xz * xy, 2 * det)
     flat = det <= 1e-12 * F.greatest(xx * yy, F.lit(1e-300))
-    fitted = F.when(F.col("n_body") < least, None).when(flat, F.lit(float("inf"))).otherwise(F.sqrt(F.col("mz") + p * p + q * q))
+    r = F.sqrt(F.col("mz") + p * p + q * q)
+    fitted = F.when(F.col("n_body") < least, None).when(flat | (r > STRAIGHT), F.lit(float("inf"))).otherwise(r)
     return sums.select(*keys, "lo", "hi", "n_body", "r_min", fitted.alias("fitted"))
 
 

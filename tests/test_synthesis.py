@@ -99,6 +99,18 @@ def test_bodies(spark):
     assert got[2] == (0, 5, 6, 100.0, float("inf")) and got[3] == (0, 1, 2, 50.0, None)
 
 
+def _arcs(spark):
+    """Bodies of seven rows on circles of 3e7, 9e6 and 4,000 m."""
+    rows = [(s, i, float(40 * i), float((40 * i) ** 2 / (2 * r)), 2000.0) for s, r in ((1, 3e7), (2, 9e6), (3, 4000.0)) for i in range(7)]
+    return corridor.bodies(spark.createDataFrame(rows, "s int, i int, x double, y double, r double"), ["s"], "i", "x", "y", "r")
+
+
+def test_bodies_beyond_the_straight_are_lines(spark):
+    """As in the SQL of short_curve_bias: a circle of more than 1e7 m is a line, so its curve has no factor."""
+    got = {r.s: r.fitted for r in _arcs(spark).collect()}
+    assert got[1] == float("inf") and abs(got[2] / 9e6 - 1) < 1e-3 and abs(got[3] / 4000 - 1) < 1e-2
+
+
 def test_bias_by_length(spark):
     rows = [(100.0, 600.0, 500.0), (299.0, 800.0, 400.0), (450.0, 500.0, float("inf")), (500.0, 500.0, 400.0), (2000.0, 900.0, 900.0), (2000.0, 900.0, None), (None, 900.0, 450.0), (10.0, 900.0, 300.0)]
     df = corridor.bias(spark.createDataFrame(rows, "length double, published double, body double"), "published", "body")
