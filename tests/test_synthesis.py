@@ -111,6 +111,12 @@ def test_bodies_beyond_the_straight_are_lines(spark):
     assert got[1] == float("inf") and abs(got[2] / 9e6 - 1) < 1e-3 and abs(got[3] / 4000 - 1) < 1e-2
 
 
+def test_lines_have_no_bias(spark):
+    """As in the SQL of bias_by_length: curves whose body is a line don't count."""
+    told = corridor.bias(_arcs(spark).withColumns({"published": F.lit(2000.0), "length": F.lit(500.0)}), "published", "fitted")
+    assert [(r.band, r.n, r.km) for r in corridor.bias_by_length(told, "length").collect()] == [(450.0, 2, 1.0)]
+
+
 def test_bias_by_length(spark):
     rows = [(100.0, 600.0, 500.0), (299.0, 800.0, 400.0), (450.0, 500.0, float("inf")), (500.0, 500.0, 400.0), (2000.0, 900.0, 900.0), (2000.0, 900.0, None), (None, 900.0, 450.0), (10.0, 900.0, 300.0)]
     df = corridor.bias(spark.createDataFrame(rows, "length double, published double, body double"), "published", "body")
