@@ -4,7 +4,8 @@ Points are numbered along their section and worked on in chunks of ROWS with HAL
 their neighbours on both sides. HALO is wider than all frames together, so whatever a
 chunk's own rows need is in sight, each step is a window over (section, chunk), and no
 task holds a section. Moving sums are differences of running sums about the chunk's
-centre: a fit costs the same for a window of any width.
+centre: a fit costs the same for a window of any width. Partitions are as many as the
+points need (`spread`); points are read more than once, so costly ones are checkpointed first.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainage.operators import linear, sequences
-from chainage.sources.shared import checkpoint
+from chainage.sources.shared import checkpoint, spread
 
 #: Own rows of a chunk: few, so that sums of third powers about its centre keep their digits.
 ROWS = 1000
@@ -73,20 +74,22 @@ def resampled(vertices: DataFrame, keys: list[str], order: list[str], x: str, y:
     length = lambda: F.hypot(F.col("__at.x") - F.col("__from.x"), F.col("__at.y") - F.col("__from.y"))
     # each step in two levels reads its rows twice, so they are kept between
     kept = checkpoint if block else (lambda df: df)
-    rows = kept(linear.previous(rows, keys, order, "__at", "__from", block).where(F.col("__from").isNull() | (length() > 0.01)).drop("__from"))
-    rows = kept(linear.previous(rows, keys, order, "__at", "__from", block).withColumn("__d", length()))
-    rows = linear.running_sum(rows, keys, order, F.col("__d"), "__s", block).withColumn("__s0", F.col("__s") - F.coalesce("__d", F.lit(0.0)))
+    n = rows.count() if block else 0
+    dealt = (lambda df: spread(df, n, *keys, block)) if block else (lambda df: df)
+    rows = kept(linear.previous(dealt(rows), keys, order, "__at", "__from", block).where(F.col("__from").isNull() | (length() > 0.01)).drop("__from"))
+    rows = kept(linear.previous(dealt(rows), keys, order, "__at", "__from", block).withColumn("__d", length()))
+    rows = linear.running_sum(dealt(rows), keys, order, F.col("__d"), "__s", block).withColumn("__s0", F.col("__s") - F.coalesce("__d", F.lit(0.0)))
     first, last = (F.floor("__s0") * 0).cast("long"), F.floor(F.col("__s") / step).cast("long")
     lo = F.when(F.col("__d").isNull(), first).otherwise(F.floor(F.col("__s0") / step).cast("long") + 1)
-    spread = rows.withColumn("i", F.explode(F.when(last >= lo, F.sequence(lo, last))))
+    even = rows.withColumn("i", F.explode(F.when(last >= lo, F.sequence(lo, last))))
     share = F.coalesce((F.col("i") * step - F.col("__s0")) / F.col("__d"), F.lit(0.0))
     place = lambda c: F.coalesce(F.col(f"__from.{c}") + share * (F.col(f"__at.{c}") - F.col(f"__from.{c}")), F.col(f"__at.{c}")).alias(c)
-    return spread.select(*keys, "i", place("x"), place("y"))
+    return even.select(*keys, "i", place("x"), place("y"))
 
 
-def chunked(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Points in chunks with halo, each coordinate the mean of three neighbours (end points stand in beyond the ends)."""
-    rows = linear.with_halo(points, keys, "i", HALO, ROWS)
+def chunked(points: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """The n points in chunks with halo, each coordinate the mean of three neighbours (end points stand in beyond the ends)."""
+    rows = spread(linear.with_halo(points, keys, "i", HALO, ROWS), n, *keys, "chunk")
     w = Window.partitionBy(*keys, "chunk").orderBy("i")
     mean = lambda c: (F.coalesce(F.lag(c).over(w), F.col(c)) + F.col(c) + F.coalesce(F.lead(c).over(w), F.col(c))) / 3
     return rows.withColumns({"__x": mean("x"), "__y": mean("y")}).drop("x", "y").withColumnsRenamed({"__x": "x", "__y": "y"})
@@ -127,7 +130,7 @@ def signed(rows: DataFrame, keys: list[str], survey: Survey) -> DataFrame:
 def splits(points: DataFrame, keys: list[str], survey: Survey = Survey()) -> DataFrame:
     """(keys, i): rows at which the line's curves change their sense, seen at any scale; those nearer than `merge` to the one kept before are that one."""
     w = Window.partitionBy(*keys, "chunk").orderBy("i")
-    rows = signed(chunked(points, keys), keys, survey)
+    rows = signed(chunked(points, keys, points.count()), keys, survey)
     scales = range(len(survey.scales))
     sign = {f"__s{n}": F.when(F.abs(f"k{n}") >= 1 / survey.sharpest_straight(s), F.signum(f"k{n}")).otherwise(0.0).cast("int") for n, s in enumerate(survey.scales)}
     rows = rows.withColumns(sign)
@@ -214,8 +217,9 @@ def along(points: DataFrame, keys: list[str], survey: Survey = Survey(), cuts: D
     """
     survey.check()
     cuts = (splits(points, keys, survey) if cuts is None else cuts).select(*keys, "i", F.lit(True).alias("__split"))
-    flagged = points.join(cuts, [*keys, "i"], "left").withColumn("__split", F.coalesce("__split", F.lit(False)))
-    own = fitted(chunked(flagged, keys), keys, survey)
+    n = points.count()
+    flagged = spread(points, n, *keys, "i").join(cuts, [*keys, "i"], "left").withColumn("__split", F.coalesce("__split", F.lit(False)))
+    own = fitted(chunked(flagged, keys, n), keys, survey)
     w = Window.partitionBy(*keys, "chunk").orderBy("i")
     out = own.withColumn("radius", F.greatest(F.least(median_of_five(w, "r"), F.lit(survey.r_max)), F.lit(survey.r_min)))
     return out.where("own").select(*keys, "i", "x", "y", "radius")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from chainage.functions.scalar import micros
 from chainage.operators import corridor, curvature, linear, matching, spatial, tracks
 from chainage.plans.registry import query, table
-from chainage.sources.shared import checkpoint
+from chainage.sources.shared import checkpoint, spread
 
 SURVEY = curvature.Survey()
 
@@ -22,14 +22,15 @@ def path(spark: SparkSession, sf_dir: str) -> DataFrame:
     more that grows with the event's value: eighteen vertices to the left, eighteen to the
     right, eighteen almost straight.
     """
-    ev = table(spark, sf_dir, "events")
-    rows = linear.numbered(ev.withColumn("us", micros(F.col("ts"))).withColumn("day", F.floor(F.col("us") / 86_400_000_000)), ["user_id"], ["us", "event_id"], "v", block="day")
+    ev = table(spark, sf_dir, "events").select("user_id", "event_id", "value", micros(F.col("ts")).alias("us")).withColumn("day", F.floor(F.col("us") / 86_400_000_000))
+    n = ev.count()
+    rows = linear.numbered(spread(ev, n, "user_id", "day"), ["user_id"], ["us", "event_id"], "v", block="day")
     sense = F.floor((F.col("v") + F.col("user_id") % 18) / 18) % 3
     length = 40 + F.col("event_id") % 37 + F.lit(0.31415926)
     bend = F.when(sense == 0, 1.0).when(sense == 1, -1.0).otherwise(0.03) / (400 + 20 * F.col("value"))
     rows = rows.select("user_id", "event_id", "v", "value", length.alias("len"), bend.alias("k"), F.floor(F.col("v") / 5000).alias("block"))
-    rows = checkpoint(linear.running_sums(checkpoint(rows), ["user_id"], ["v"], {"heading": F.col("len") * F.col("k")}, "block"))
-    rows = linear.running_sums(rows, ["user_id"], ["v"], {"x": F.col("len") * F.cos("heading"), "y": F.col("len") * F.sin("heading"), "s": F.col("len")}, "block")
+    rows = checkpoint(linear.running_sums(spread(checkpoint(rows), n, "user_id", "block"), ["user_id"], ["v"], {"heading": F.col("len") * F.col("k")}, "block"))
+    rows = linear.running_sums(spread(rows, n, "user_id", "block"), ["user_id"], ["v"], {"x": F.col("len") * F.cos("heading"), "y": F.col("len") * F.sin("heading"), "s": F.col("len")}, "block")
     return checkpoint(rows.select("user_id", "event_id", "v", "value", "block", "x", "y", "s"))
 
 

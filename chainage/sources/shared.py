@@ -34,3 +34,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+#: Rows of a partition, about, where the steps after it sort several columns of them.
+ROWS_A_TASK = 200_000
+
+
+def spread(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """df hashed by columns into partitions of about ROWS_A_TASK of its rows, so that what a task sorts doesn't grow with the table.
+
+    Their number is kept: partitions that are merged by their bytes hold the more rows the
+    better these compress.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK)), *by)

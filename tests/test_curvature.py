@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from chainage.operators import curvature as C
+from chainage.sources import shared
 
 LINE = "s int, v int, x double, y double, i string, radius string"
 
@@ -92,3 +93,12 @@ def test_defined_edges(spark):
     assert np.allclose(r[3][5:-5], 200, rtol=0.05) and len(r[4]) == 11 and (r[4] >= 100).all()
     with pytest.raises(ValueError):
         C.along(C.resampled(table(spark, {}), ["s"], ["v"], "x", "y", 10.0), ["s"], C.Survey(window=5000.0))
+
+
+def test_partitions_grow_with_the_points(spark, monkeypatch):
+    """What a task sorts is bounded, however few shuffle partitions the session has."""
+    monkeypatch.setattr(shared, "ROWS_A_TASK", 100)
+    points = C.checkpoint(spark.range(4000).selectExpr("id div 400 as s", "id % 400 as i", "cast(id % 400 as double) * 10 as x", "0.0D as y"))
+    rows = C.chunked(points, ["s"], points.count())
+    assert rows.rdd.getNumPartitions() == 40
+    assert C.along(points, ["s"]).count() == 4000
