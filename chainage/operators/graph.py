@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chainage.functions.scalar import haversine_m
 from chainage.sources.shared import checkpoint
@@ -30,23 +31,44 @@ def split_at_junctions(ways: DataFrame, ident: str = "way_id", refs: str = "node
     return steps.groupBy(ident, "k").agg(F.min_by("before", "i").alias("u"), F.max_by("node", "i").alias("v"), F.sum("step").alias("length_m"))
 
 
+def contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One round over edges (a, b) of whole numbers: (least, edges). least (a, m) joins each node, by its new number xxhash64(a), to its smallest neighbour or itself; the edges that are left lie between the nodes so joined.
+
+    xxhash64 of one long is a permutation, so each round has its own order of nodes: on a
+    path half of them are left, about, and far fewer where nodes have many neighbours.
+    """
+    new = edges.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
+    least = new.union(new.select("b", "a")).groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = checkpoint(least)
+    moved = new.join(least, "a").select("b", F.col("m").alias("x")).join(least.withColumnsRenamed({"a": "b", "m": "y"}), "b")
+    left = moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return least, checkpoint(left)
+
+
 def components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60) -> DataFrame:
     """(node, component) for all nodes of edges; component is the smallest node reachable.
 
-    Minimum labels over neighbours with pointer jumping; each round's labels are
-    checkpointed, so the plan doesn't grow and a lost executor costs one round.
+    Each round joins nodes to a neighbour and goes on with the edges between the joined
+    ones, so edges inside what is one already are read no more. Rounds are checkpointed:
+    the plan doesn't grow and a lost executor costs one round.
     """
-    both = checkpoint(edges.select(F.col(u).alias("a"), F.col(v).alias("b")).where("a is not null and b is not null").distinct())
-    both = checkpoint(both.union(both.select("b", "a")).union(both.select("a", "a")).union(both.select("b", "b")).distinct())
-    labels = both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
+    known = checkpoint(edges.select(F.col(u).alias("a"), F.col(v).alias("b")).where("a is not null and b is not null").distinct())
+    nodes = known.select(F.col("a").alias("node")).union(known.select("b")).distinct()
+    if isinstance(nodes.schema["node"].dataType, T.IntegralType):
+        now = known.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+        labels = checkpoint(nodes.withColumn("label", F.col("node").cast("long")))
+    else:
+        labels = checkpoint(nodes.withColumn("label", F.monotonically_increasing_id()))
+        numbers = labels.withColumnRenamed("node", "a")
+        now = known.join(numbers, "a").select("b", F.col("label").alias("x")).join(numbers.withColumnsRenamed({"a": "b", "label": "y"}), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    now = now.where("a <> b")
     for _ in range(max_rounds):
-        least = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("label"))
-        jumped = least.join(least.select(F.col("node").alias("label"), F.col("label").alias("next")), "label").select("node", F.least("label", "next").alias("label"))
-        moved = jumped.join(labels.withColumnRenamed("label", "old"), "node")
-        moved = checkpoint(moved)
-        labels = moved.select("node", "label")
-        if moved.where("label <> old").limit(1).count() == 0:
-            return labels.withColumnRenamed("label", "component")
+        least, now = contracted(now)
+        own = labels.withColumn("a", F.xxhash64("label")).join(least, "a", "left")
+        labels = checkpoint(own.select("node", F.coalesce("m", "a").alias("label")))
+        if now.isEmpty():
+            smallest = labels.groupBy("label").agg(F.min("node").alias("component"))
+            return labels.join(smallest, "label").select("node", "component")
     raise RuntimeError("components did not settle")
 
 

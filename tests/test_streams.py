@@ -139,3 +139,20 @@ def test_pieces_of_a_key(spark, short_batches):
 
     rows = S.in_order(df, ["k"], ["i"], "k long, n long, last boolean", step).collect()
     assert sorted((r.k, r.n) for r in rows if r.last) == [(1, 4), (2, 8), (3, 12)] and len(rows) > 3
+
+
+def test_components_go_on_with_fewer_edges(spark):
+    """Rounds drop what is joined: a dense part is done after a few, a path halves; ids may be text."""
+    from chainage.operators import graph
+
+    dense = spark.range(20_000).selectExpr("id % 200 as a", "200 + (id * 7919 + id div 200) % 300 as b").distinct()
+    n = dense.count()
+    _, left = graph.contracted(dense)
+    assert left.count() < n / 4
+    path = spark.range(3000).selectExpr("id as a", "id + 1 as b")
+    assert graph.contracted(path)[1].count() < 2000
+    both = path.union(spark.createDataFrame([(9001, 9001), (9003, 9002), (None, 5)], "a long, b long"))
+    got = {r.node: r.component for r in graph.components(both, "a", "b").collect()}
+    assert got == {i: 0 for i in range(3001)} | {9001: 9001, 9002: 9002, 9003: 9002}
+    words = spark.createDataFrame([("d", "c"), ("b", "c"), ("x", "y"), ("z", "z")], "a string, b string")
+    assert {r.node: r.component for r in graph.components(words, "a", "b").collect()} == {"b": "b", "c": "b", "d": "b", "x": "x", "y": "x", "z": "z"}
