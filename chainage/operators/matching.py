@@ -70,6 +70,16 @@ def candidates(points: DataFrame, edges: DataFrame, keys: list[str], order: str,
     distance of the next points from the edge (infinite if half of them are out of reach),
     null if too few points follow.
     """
+    option = F.struct("edge", *_OPTION)
+    return near_edges(points, edges, keys, order, rules, cell).groupBy(*keys, order).agg(F.array_sort(F.collect_list(option)).alias("options"))
+
+
+#: What is told of an edge near a point.
+_OPTION = ("dist", "off", "bearing", "fit", "u", "v", "length", "out_u", "out_v")
+
+
+def near_edges(points: DataFrame, edges: DataFrame, keys: list[str], order: str, rules: Rules = Rules(), cell: float | None = None) -> DataFrame:
+    """The options of `candidates` as rows: (keys, order, edge, dist, off, bearing, fit, u, v, length, out_u, out_v)."""
     met = near_segments(points, edges, rules.reach, cell)
     own = F.struct("dist", "seq", (F.col("before") + F.col("share") * F.col("own")).alias("off"), bearing_deg(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")).alias("bearing"), "u", "v", "length", "out_u", "out_v")
     # one foot for each point and edge, combined before the shuffle; the first of equally near segments
@@ -81,8 +91,7 @@ def candidates(points: DataFrame, edges: DataFrame, keys: list[str], order: str,
     half = F.floor(F.col("__m") / 2)
     median = F.when(F.col("__m") % 2 == 1, nth(half)).otherwise((nth(half - 1) + nth(half)) / 2)
     near = near.withColumn("fit", F.when(F.col("__m") >= rules.least_ahead, median))
-    option = F.struct("edge", *[F.col(f"o.{c}").alias(c) for c in ("dist", "off", "bearing")], "fit", *[F.col(f"o.{c}").alias(c) for c in ("u", "v", "length", "out_u", "out_v")])
-    return near.groupBy(*keys, order).agg(F.array_sort(F.collect_list(option)).alias("options"))
+    return near.select(*keys, order, "edge", *["fit" if c == "fit" else F.col(f"o.{c}").alias(c) for c in _OPTION])
 
 
 def unfolded(a: float, b: float) -> float:
@@ -202,28 +211,45 @@ def match(points: DataFrame, segments: DataFrame, keys: list[str], order: str, r
     """
     last = points.groupBy(*keys).agg(F.max(order).alias("last"))
     known = points.join(last, keys)
-    found = candidates(known.select(*keys, order, "px", "py", "last"), edge_table(segments), keys, order, rules, cell)
-    rows = headed(points, keys, order, block=block).select(*keys, order, "heading").join(found, [*keys, order], "left")
+    found = near_edges(known.select(*keys, order, "px", "py", "last"), edge_table(segments), keys, order, rules, cell)
+    # a point's heading and then its options, as rows: they are sent once, and those of one edge lie beside each other when they are
+    own = headed(points, keys, order, block=block).select(*keys, order, "heading", *[F.lit(0).cast(t).alias(c) for c, t in found.dtypes if c in ("edge", *_OPTION)])
+    rows = own.withColumn("__option", F.lit(0)).unionByName(found.withColumns({"heading": F.lit(0.0), "__option": F.lit(1)}))
     types = dict(points.dtypes)
     named = [*keys, order]
     schema = ", ".join(f"{c} {types[c]}" for c in named) + ", edge long, direction int, off double, dist double, source string, confidence string"
 
-    def walk(lock, p, last):
-        out = []
-        for options, heading in zip(p["options"], p["heading"].tolist(), strict=True):
-            some = [] if options is None or heading != heading else [dict(o) for o in options]
-            for o in some:
-                o["fit"] = None if o["fit"] is None or o["fit"] != o["fit"] else o["fit"]
-            lock, fix = advance(lock, some, heading, rules)
+    def walk(state, p, last):
+        lock, point = state or (None, None)
+        told, out = [], []
+
+        def done():
+            nonlocal lock
+            name, heading, options = point
+            lock, fix = advance(lock, [] if heading != heading else options, heading, rules)
+            told.append(name)
             out.append(fix)
-        frame = pd.DataFrame({c: p[c] for c in named})
-        columns = list(zip(*out, strict=True))
+
+        columns = {c: p[c].tolist() for c in ("edge", *_OPTION)}
+        for k, (option, heading, *name) in enumerate(zip(p["__option"].tolist(), p["heading"].tolist(), *[p[c] for c in named], strict=True)):
+            if option:
+                o = {c: x[k] for c, x in columns.items()}
+                o["fit"] = None if o["fit"] is None or o["fit"] != o["fit"] else o["fit"]
+                point[2].append(o)
+            else:
+                if point:
+                    done()
+                point = (name, float("nan") if heading is None else heading, [])
+        if last:
+            done()
+        frame = pd.DataFrame(told, columns=named)
+        columns = list(zip(*out, strict=True)) if out else [[]] * 6
         frame["edge"] = pd.array(columns[0], dtype="Int64")
         frame["direction"] = np.array(columns[1], np.int32)
         frame["off"] = pd.array(columns[2], dtype="Float64")
-        return lock, frame.assign(dist=columns[3], source=columns[4], confidence=columns[5])
+        return (lock, point), frame.assign(dist=columns[3], source=columns[4], confidence=columns[5])
 
-    return sequences.in_order(rows, keys, [order], schema, walk)
+    return sequences.in_order(rows, keys, [order, "__option", "edge"], schema, walk)
 
 
 def runs_of(matched: DataFrame, keys: list[str], order: str, block: str | None = None) -> DataFrame:

@@ -200,3 +200,20 @@ def test_matched_edges_query(spark):
     assert {"bootstrap", "locked", "forced"} <= {g[4] for g in got.values()}
     # most points are on their own line's way or the one beside it
     assert sum(g[0] is not None and g[0] // 2_000_000 == s for (s, _), g in got.items()) > 0.8 * len(got)
+
+
+def test_options_are_sent_as_rows_once(spark):
+    """No array of options is built and shuffled again; a point's options may be cut anywhere by batches."""
+    segments = spark.createDataFrame([(e, k, 10 * e + k, 10 * e + k + 1, 50.0 * k, 4.0 * e, 50.0 * k + 50, 4.0 * e) for e in range(7) for k in range(6)], "edge long, seq long, u long, v long, ax double, ay double, bx double, by double")
+    points = spark.createDataFrame([(s, i, 10.0 * i, 3.0 * s + (i % 3)) for s in range(3) for i in range(28)] + [(9, 0, 1e6, 1e6), (9, 1, None, 1.0)], "section long, i long, px double, py double")
+    rules = M.Rules(reach=60.0)
+    out = M.match(points, segments, ["section"], "i", rules)
+    assert "options" not in out._jdf.queryExecution().optimizedPlan().toString()
+    whole = sorted(out.collect(), key=lambda r: (r.section, r.i))
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+        assert sorted(M.match(points, segments, ["section"], "i", rules).collect(), key=lambda r: (r.section, r.i)) == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    assert len(whole) == 86 and {r.source for r in whole if r.section == 9} == {"none"} and all(r.edge is not None for r in whole if r.section < 9)
