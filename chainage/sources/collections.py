@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chainage.operators import linear
-from chainage.sources.shared import checkpoint
+from chainage.sources.shared import ROWS_A_TASK, checkpoint, spread
 
 _STRING = r'"(?:[^"\\]|\\.)*+"'
 _OPEN_STRING = r'"(?:[^"\\]|\\.)*+(?:"|$)'
@@ -27,10 +27,16 @@ def _count(text: Column, char: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(char)))
 
 
+#: Pieces of a byte range, and characters of all pieces, that are worked on together.
+PIECES, CHARACTERS = 4096, 16_000_000
+
+
 def pieces(spark: SparkSession, path: str) -> DataFrame:
-    """(path, block, at, piece): texts between closing braces; block is where the byte range begins, at grows inside it."""
+    """(path, block, at, piece): texts between closing braces; block is where the byte range begins and a part of it of at most PIECES pieces, at grows inside it."""
     cut = spark.read.option("lineSep", "}").text(path)
-    return cut.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("piece"))
+    at = F.monotonically_increasing_id()
+    block = F.struct(F.col("_metadata.file_block_start").alias("start"), F.floor(F.col("at") / PIECES).alias("part"))
+    return cut.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata"), at.alias("at"), F.col("value").alias("piece")).select("path", block.alias("block"), "at", "piece")
 
 
 def members(spark: SparkSession, path: str) -> DataFrame:
@@ -38,10 +44,14 @@ def members(spark: SparkSession, path: str) -> DataFrame:
 
     `seq` grows in the document. Objects may be formatted in any way and their strings may
     hold braces, quotes and brackets. Members that hold no objects, and documents without
-    any, give no rows. A task holds one object's text at a time; a file may be of any size.
+    any, give no rows. A task sorts about CHARACTERS of text; a file may be of any size.
     """
     keys, order = ["path"], ["at"]
-    rows = linear.running_sum(pieces(spark, path), keys, order, _count(F.regexp_replace("piece", r"(?s)\\.", ""), '"'), "__quotes", "block")
+    cut = pieces(spark, path)
+    size = cut.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("piece")), F.lit(0)).alias("text")).first()
+    # as many rows as fill the partitions that the text or the pieces need
+    n = max(size["n"], size["text"] * ROWS_A_TASK // CHARACTERS)
+    rows = linear.running_sum(spread(cut, n, "path", "block"), keys, order, _count(F.regexp_replace("piece", r"(?s)\\.", ""), '"'), "__quotes", "block")
     own = _count(F.regexp_replace("piece", r"(?s)\\.", ""), '"')
     # a piece that begins inside a string is read from that string's end
     text = F.when((F.col("__quotes") - own) % 2 == 1, F.regexp_replace("piece", r'^(?s:[^"\\]|\\.)*+(?:"|$)', "")).otherwise(F.col("piece"))
@@ -61,11 +71,11 @@ def members(spark: SparkSession, path: str) -> DataFrame:
         "__in": before >= 2,
         "__part": F.when(~begins, F.col("piece")).when(before == 0, F.regexp_replace("__text", outer, "{")).otherwise(F.regexp_replace("__text", inner, "{")),
     })
-    rows = linear.running_max(rows.drop("__text", "__open", "__close", "__after"), keys, ["block", "at"], "__name", "__before", "block")
+    rows = linear.running_max(spread(rows.drop("__text", "__open", "__close", "__after"), n, "path", "block"), keys, ["block", "at"], "__name", "__before", "block")
     rows = linear.running_sum(rows, keys, order, F.col("__ends"), "seq", "block").withColumn("seq", F.col("seq") - F.col("__ends"))
     kept = rows.where(F.col("__begins") | F.col("__in")).withColumn("__member", F.coalesce("__name", "__before"))
     part = F.struct("block", "at", F.col("__part").alias("part"))
-    whole = kept.groupBy("path", "seq").agg(F.array_sort(F.collect_list(part)).alias("p"), F.max("__ends").alias("__ends"), F.min("__member").alias("m"))
+    whole = spread(kept, n, "path", "seq").groupBy("path", "seq").agg(F.array_sort(F.collect_list(part)).alias("p"), F.max("__ends").alias("__ends"), F.min("__member").alias("m"))
     return whole.where("__ends = 1").select("path", F.col("m.name").alias("member"), "seq", F.concat(F.array_join("p.part", "}"), F.lit("}")).alias("text"))
 
 

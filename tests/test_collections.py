@@ -97,3 +97,16 @@ def test_archives_are_streamed(spark, tmp_path):
     got = files.read_zipped_csv(spark, str(tmp_path), "stops.txt", ["stop_id", "stop_name", "absent"])
     assert got.agg(F.count("*"), F.count_distinct("stop_id"), F.count("absent")).first() == (90_000, 45_000, 0)
     assert got.where("stop_name <> concat('name, ', stop_id)").count() == 0
+
+
+def test_one_range_is_worked_on_in_parts(spark, tmp_path, monkeypatch):
+    """A task's share is bounded, however long the byte ranges are and however few shuffle partitions the session has."""
+    monkeypatch.setattr(collections, "PIECES", 7)
+    monkeypatch.setattr(collections, "CHARACTERS", 1000)
+    found = [feature(n, i) for i, n in enumerate(NAMES * 3)]
+    (tmp_path / "one.geojson").write_text(json.dumps({"meta": {"source": "x } y"}, "features": found}), encoding="utf-8")
+    assert collections.pieces(spark, str(tmp_path)).select("path", "block").distinct().count() > 10
+    out = collections.members(spark, str(tmp_path))
+    assert out.rdd.getNumPartitions() >= 6
+    got = out.orderBy("path", "seq").collect()
+    assert [(r.member, json.loads(r.text)) for r in got] == [("meta", {"source": "x } y"}), *[("features", f) for f in found]]
