@@ -102,3 +102,12 @@ def test_partitions_grow_with_the_points(spark, monkeypatch):
     rows = C.chunked(points, ["s"], points.count())
     assert rows.rdd.getNumPartitions() == 40
     assert C.along(points, ["s"]).count() == 4000
+
+
+def test_radii_stay_in_bounded_partitions(spark, monkeypatch):
+    """Fits, too, run in as many partitions as the points need."""
+    monkeypatch.setattr(shared, "ROWS_A_TASK", 100)
+    points = C.checkpoint(spark.range(2000).selectExpr("id div 400 as s", "id % 400 as i", "cast(id % 400 as double) * 10 as x", "0.0D as y"))
+    cuts = spark.createDataFrame([(1, 200)], "s long, i long")
+    out = C.along(points, ["s"], cuts=cuts)
+    assert out.rdd.getNumPartitions() == 20 and {r.radius for r in out.collect()} == {50_000.0}
