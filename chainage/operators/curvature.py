@@ -130,7 +130,8 @@ def signed(rows: DataFrame, keys: list[str], survey: Survey) -> DataFrame:
 def splits(points: DataFrame, keys: list[str], survey: Survey = Survey()) -> DataFrame:
     """(keys, i): rows at which the line's curves change their sense, seen at any scale; those nearer than `merge` to the one kept before are that one."""
     w = Window.partitionBy(*keys, "chunk").orderBy("i")
-    rows = signed(chunked(points, keys, points.count()), keys, survey)
+    n = points.count()
+    rows = signed(chunked(points, keys, n), keys, survey)
     scales = range(len(survey.scales))
     sign = {f"__s{n}": F.when(F.abs(f"k{n}") >= 1 / survey.sharpest_straight(s), F.signum(f"k{n}")).otherwise(0.0).cast("int") for n, s in enumerate(survey.scales)}
     rows = rows.withColumns(sign)
@@ -153,7 +154,7 @@ def splits(points: DataFrame, keys: list[str], survey: Survey = Survey()) -> Dat
         kept = sequences.thin_by_distance(p["i"], survey.merge / survey.step, state, False)
         return float(p["i"][kept[-1]]) if len(kept) else state, pd.DataFrame({c: p[c][kept] for c in (*keys, "i")})
 
-    return sequences.in_order(found, keys, ["i"], ", ".join(f"{c} {types[c]}" for c in (*keys, "i")), merged)
+    return sequences.in_order(found, keys, ["i"], ", ".join(f"{c} {types[c]}" for c in (*keys, "i")), merged, n)
 
 
 _TERMS = ("u", "v", "z", "uu", "uv", "vv", "uz", "vz")
@@ -186,7 +187,7 @@ def fitted(rows: DataFrame, keys: list[str], survey: Survey) -> DataFrame:
     few = F.collect_list(F.when(short, F.col("__a"))).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     rows = rows.withColumns({
         **{f"__{t}3": moved[t] for t in _TERMS},
-        "__ahead": F.coalesce(F.lead("__a", half).over(w), F.last("__a").over(whole)),
+        "__ahead": F.coalesce(F.lead("__a", half).over(w), F.last("__a").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))),
         "__back": F.coalesce(F.lag("__a", half).over(w), F.lit(0.0)),
         "__few": few,
     })

@@ -17,6 +17,11 @@ from pyspark.sql import functions as F
 from chainage.sources.shared import checkpoint
 
 
+def _carried(local: DataFrame, carry: DataFrame, by: list[str]) -> DataFrame:
+    """local with its block's row of carry. Merged, since local is sorted by block already; rows whose file is small for their number would else be broadcast whole."""
+    return local.join(carry.hint("merge"), by)
+
+
 def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, block: str | None = None) -> DataFrame:
     """Sum of value over the section's rows up to this one; nulls count as nothing."""
     df = df.withColumn("__v", F.coalesce(value, F.lit(0)))
@@ -27,7 +32,7 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column,
     before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     carry = df.groupBy(*keys, block).agg(F.sum("__v").alias("__s")).withColumn("__c", F.coalesce(F.sum("__s").over(before), F.lit(0))).drop("__s")
     local = df.withColumn("__l", F.sum("__v").over(inner))
-    return local.join(carry, [*keys, block]).withColumn(out, F.col("__l") + F.col("__c")).drop("__v", "__l", "__c")
+    return _carried(local, carry, [*keys, block]).withColumn(out, F.col("__l") + F.col("__c")).drop("__v", "__l", "__c")
 
 
 def running_sums(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], block: str | None = None) -> DataFrame:
@@ -41,7 +46,7 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str], values: dict[
     totals = df.groupBy(*keys, block).agg(*[F.sum(v).alias(f"__s_{out}") for out, v in zero.items()])
     carry = totals.select(*keys, block, *[F.coalesce(F.sum(f"__s_{out}").over(before), F.lit(0)).alias(f"__c_{out}") for out in values])
     local = df.withColumns({f"__l_{out}": F.sum(v).over(inner) for out, v in zero.items()})
-    summed = local.join(carry, [*keys, block]).withColumns({out: F.col(f"__l_{out}") + F.col(f"__c_{out}") for out in values})
+    summed = _carried(local, carry, [*keys, block]).withColumns({out: F.col(f"__l_{out}") + F.col(f"__c_{out}") for out in values})
     return summed.drop(*[f"__{c}_{out}" for out in values for c in "lc"])
 
 
@@ -53,7 +58,7 @@ def running_max(df: DataFrame, keys: list[str], order: list[str], value: str, ou
         return local
     before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     carry = df.groupBy(*parts).agg(F.max(value).alias("__m")).select(*parts, F.max("__m").over(before).alias("__c"))
-    return local.join(carry, parts).withColumn(out, F.greatest(out, "__c")).drop("__c")
+    return _carried(local, carry, parts).withColumn(out, F.greatest(out, "__c")).drop("__c")
 
 
 def previous(df: DataFrame, keys: list[str], order: list[str], column: str, out: str, block: str | None = None) -> DataFrame:
@@ -64,7 +69,7 @@ def previous(df: DataFrame, keys: list[str], order: list[str], column: str, out:
     ends = df.groupBy(*keys, block).agg(F.max_by(F.struct(F.col(column).alias("x")), F.struct(*order)).alias("__e"))
     edge = ends.withColumn("__pe", F.lag("__e").over(Window.partitionBy(*keys).orderBy(block))["x"]).drop("__e")
     local = df.withColumn("__first", F.row_number().over(inner) == 1).withColumn("__l", F.lag(column).over(inner))
-    return local.join(edge, [*keys, block]).withColumn(out, F.when(F.col("__first"), F.col("__pe")).otherwise(F.col("__l"))).drop("__first", "__l", "__pe")
+    return _carried(local, edge, [*keys, block]).withColumn(out, F.when(F.col("__first"), F.col("__pe")).otherwise(F.col("__l"))).drop("__first", "__l", "__pe")
 
 
 def islands(df: DataFrame, keys: list[str], order: list[str], value: str, out: str = "run", block: str | None = None) -> DataFrame:
@@ -334,7 +339,7 @@ def suffix_min(df: DataFrame, keys: list[str], order: list[str], value: str, out
         return local
     later = Window.partitionBy(*keys).orderBy(F.desc(block)).rowsBetween(Window.unboundedPreceding, -1)
     carry = df.groupBy(*parts).agg(F.min(value).alias("__m")).select(*parts, F.min("__m").over(later).alias("__c"))
-    return local.join(carry, parts).withColumn(out, F.least(out, "__c")).drop("__c")
+    return _carried(local, carry, parts).withColumn(out, F.least(out, "__c")).drop("__c")
 
 
 def braking(df: DataFrame, keys: list[str], order: list[str], x_m: str, v_ms: str, brake: float, out: str, block: str | None = None) -> DataFrame:

@@ -13,6 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from chainage.sources.shared import spread
+
 
 def per_key(df: DataFrame, keys: list[str], order: list[str], schema: str, rule: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
     """Applies a rule to each key's rows in order."""
@@ -67,11 +69,12 @@ def per_small_keys(df: DataFrame, keys: list[str], order: list[str], schema: str
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
-def in_order(df: DataFrame, keys: list[str], order: list[str], schema: str, step: Callable[[object, dict[str, np.ndarray], bool], tuple[object, pd.DataFrame]]) -> DataFrame:
+def in_order(df: DataFrame, keys: list[str], order: list[str], schema: str, step: Callable[[object, dict[str, np.ndarray], bool], tuple[object, pd.DataFrame]], rows: int | None = None) -> DataFrame:
     """Streams each key's rows in order through step(state, columns, last) -> (state, rows).
 
     A key comes in pieces of about a batch; state is None in its first piece, and last is
-    true in its last one, which always has the key's last row.
+    true in its last one, which always has the key's last row. rows, where it is known,
+    is the number of rows that df was made from: as many partitions as these need.
     """
 
     def run(frames):
@@ -99,7 +102,8 @@ def in_order(df: DataFrame, keys: list[str], order: list[str], schema: str, step
         if held is not None:
             yield from pieces(held.reset_index(drop=True), True)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    dealt = df.repartition(*keys) if rows is None else spread(df, rows, *keys)
+    return dealt.sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 def absorb_short_runs(rank: list[int], length: list[float], least: float) -> list[list[int]]:

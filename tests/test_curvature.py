@@ -111,3 +111,13 @@ def test_radii_stay_in_bounded_partitions(spark, monkeypatch):
     cuts = spark.createDataFrame([(1, 200)], "s long, i long")
     out = C.along(points, ["s"], cuts=cuts)
     assert out.rdd.getNumPartitions() == 20 and {r.radius for r in out.collect()} == {50_000.0}
+
+
+def test_few_steps_run_in_as_many_tasks_as_points_need(spark, monkeypatch):
+    """The merging of splits, too, and no row is broadcast because its file is small."""
+    monkeypatch.setattr(shared, "ROWS_A_TASK", 100)
+    points = C.checkpoint(spark.range(2000).selectExpr("id div 400 as s", "id % 400 as i", "cast(id % 400 as double) * 10 as x", "200 * sin(id % 400 / 20) as y"))
+    assert C.splits(points, ["s"]).rdd.getNumPartitions() == 20
+    rows = spark.range(2000).selectExpr("id div 400 as s", "id % 400 as i", "id % 400 div 50 as b")
+    out = C.linear.numbered(rows, ["s"], ["i"], "n", "b")
+    assert out.where("n <> i").count() == 0 and "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
