@@ -33,8 +33,11 @@ def per_small_key(df: DataFrame, keys: list[str], order: list[str], schema: str,
 TOGETHER = 100_000
 
 
-def per_small_keys(df: DataFrame, keys: list[str], order: list[str], schema: str, rule: Callable[[list[dict[str, np.ndarray]]], list[tuple]], rows: int = TOGETHER) -> DataFrame:
-    """As `per_small_key`, with a rule from the columns of several whole keys of about so many rows together to rows."""
+def per_small_keys(df: DataFrame, keys: list[str], order: list[str], schema: str, rule: Callable[[list[dict[str, np.ndarray]]], list[tuple]], rows: int = TOGETHER, then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """As `per_small_key`, with a rule from the columns of several whole keys of about so many rows together to rows.
+
+    then: makes the rows that the rule gets of the sorted ones, row by row in their order.
+    """
 
     def run(frames):
         names = [f.split()[0] for f in schema.split(", ")]
@@ -66,7 +69,8 @@ def per_small_keys(df: DataFrame, keys: list[str], order: list[str], schema: str
             whole, cuts = cut()
             yield apply(whole, np.append(cuts, len(whole)))
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    ordered = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return (then(ordered) if then else ordered).mapInPandas(run, schema)
 
 
 def in_order(df: DataFrame, keys: list[str], order: list[str], schema: str, step: Callable[[object, dict[str, np.ndarray], bool], tuple[object, pd.DataFrame]], rows: int | None = None) -> DataFrame:

@@ -48,7 +48,7 @@ def runs_inside(segments: DataFrame, blocks: DataFrame, stops: DataFrame, keys:
     pieces = met.select(*own, F.lit(1).cast("long").alias("stretch"), F.greatest("lo", "b_lo").alias("lo"), F.least("hi", "b_hi").alias("hi"), "v").where("hi - lo > 1e-6")
     spans = blocks.select(*own, (F.col("b_lo") + INSIDE).alias("lo"), (F.col("b_hi") - INSIDE).alias("hi"))
     inner = intervals.points_in(stops.select(*keys, "stop").distinct(), spans, keys, "stop", width).select(*own, "stop")
-    points = checkpoint(travel.stopped(travel.samples(pieces, own, step), inner, own))
+    points = checkpoint(travel.with_rests(travel.sampled_pieces(pieces, own, step), inner, own, width))
     new = travel.minutes_of(points, own, [("curves", TILTING, CAP, True), ("raised", TILTING, RAISED, True)])
     old = travel.minutes_of(points.withColumn("v", F.col("v") * slower), own, [("now", LOCO, CAP, True)])
     of = lambda name: F.sum(F.when(F.col("variant") == name, F.col("minutes"))).alias(name)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chainage.functions.traction import COUPLED, LOCO, TILTING, Train, accelerator
@@ -24,13 +24,42 @@ def stretches(pieces: DataFrame, keys: list[str], gap: float) -> DataFrame:
     return linear.running_sum(pieces.withColumn("__new", new), keys, ["lo", "hi"], F.col("__new"), "stretch").drop("__new")
 
 
-def samples(pieces: DataFrame, keys: list[str], step: float) -> DataFrame:
-    """(keys, stretch, x, v): even positions along each stretch, about `step` apart, with the limit of the piece they lie in."""
+def _at(i: Column) -> Column:
+    """Place of the i-th of n samples from k0 to k1."""
+    return F.col("k0") + (F.col("k1") - F.col("k0")) * i / (F.col("n") - 1)
+
+
+def sampled_pieces(pieces: DataFrame, keys: list[str], step: float) -> DataFrame:
+    """(keys, stretch, lo, v, k0, k1, n, i0, i1): the pieces that hold samples, i0 to i1 of the n even positions from k0 to k1 of their stretch.
+
+    A sample lies in the last piece that starts at or before it, of equal starts in that of the greatest v.
+    """
     own = [*keys, "stretch"]
-    spans = pieces.groupBy(*own).agg(F.min("lo").alias("k0"), F.max("hi").alias("k1")).where("k1 > k0")
+    whole = Window.partitionBy(*own)
     n = F.greatest(F.lit(2), F.floor((F.col("k1") - F.col("k0")) / step).cast("int") + 1)
-    at = spans.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("x", F.col("k0") + (F.col("k1") - F.col("k0")) * F.col("i") / (F.col("n") - 1))
-    return linear.asof(at.select(*own, "x"), pieces.select(*own, F.col("lo").alias("x"), "v"), own, "x", ["v"]).select(*own, "x", "v")
+    rows = pieces.select(*own, "lo", "v", F.min("lo").over(whole).alias("k0"), F.max("hi").over(whole).alias("k1"), F.lead("lo").over(whole.orderBy("lo", "v")).alias("next"))
+    rows = rows.where("k1 > k0 and lo is not null").withColumn("n", n)
+
+    def first(place: str) -> Column:
+        """Number of the first sample at a place or beyond it."""
+        near = F.ceil((F.col(place) - F.col("k0")) * (F.col("n") - 1) / (F.col("k1") - F.col("k0"))).cast("int")
+        found = F.when(_at(near - 1) >= F.col(place), near - 1).when(_at(near) >= F.col(place), near).otherwise(near + 1)
+        return F.when(F.col(place).isNotNull(), F.greatest(found, F.lit(0)))
+
+    last = F.least(F.coalesce(first("next"), F.col("n")), F.col("n")) - 1
+    return rows.select(*own, "lo", "v", "k0", "k1", "n", first("lo").alias("i0"), last.alias("i1")).where("i0 <= i1")
+
+
+def _each(parts: DataFrame, *columns: str) -> DataFrame:
+    """A row for each sample of sampled pieces, in their order."""
+    rows = parts.withColumn("i", F.explode(F.sequence("i0", "i1"))).withColumn("x", _at(F.col("i")))
+    rest = F.coalesce(F.array_contains("rests", F.col("i")), F.lit(False)) if "rests" in parts.columns else F.lit(False)
+    return rows.withColumn("rest", rest).select(*columns)
+
+
+def samples(pieces: DataFrame, keys: list[str], step: float) -> DataFrame:
+    """(keys, stretch, x, v): even positions along each stretch, about `step` apart, with the limit of the piece they lie in. Each piece emits its own, so nothing is looked up."""
+    return _each(sampled_pieces(pieces, keys, step), *keys, "stretch", "x", "v")
 
 
 def grades(profile: DataFrame, keys: list[str], x_m: str, height: str, out: str = "grade") -> DataFrame:
@@ -62,13 +91,35 @@ def with_frozen(free: DataFrame, blocks: DataFrame, pairs: DataFrame, keys: list
 
 def stopped(sampled: DataFrame, stops: DataFrame, keys: list[str]) -> DataFrame:
     """sampled with `rest`: the sample of its section nearest to each stop (keys, stop), ties to the smaller position."""
+    marks = _nearest(stops, sampled, keys, ["stretch"]).select(*keys, "stretch", "x").distinct().withColumn("rest", F.lit(True))
+    return sampled.join(marks, [*keys, "stretch", "x"], "left").withColumn("rest", F.coalesce("rest", F.lit(False)))
+
+
+def _nearest(stops: DataFrame, sampled: DataFrame, keys: list[str], payload: list[str]) -> DataFrame:
+    """(keys, payload, x) of the sample of its section nearest to each stop (keys, stop), ties to the smaller position."""
     asked = stops.select(*keys, "stop").distinct().withColumn("x", F.col("stop"))
-    near = linear.between(asked, sampled.select(*keys, "x", "stretch"), keys, "x", ["stretch"])
-    sides = {side: F.struct(F.col(f"{side}_stretch").alias("stretch"), F.col(f"{side}_at").alias("x")) for side in ("down", "up")}
+    near = linear.between(asked, sampled.select(*keys, "x", *payload), keys, "x", payload)
+    sides = {side: F.struct(*[F.col(f"{side}_{p}").alias(p) for p in payload], F.col(f"{side}_at").alias("x")) for side in ("down", "up")}
     first = F.col("up_at").isNull() | (F.col("stop") - F.col("down_at") <= F.col("up_at") - F.col("stop"))
     nearest = near.select(*keys, F.when(F.col("down_at").isNotNull() & first, sides["down"]).when(F.col("up_at").isNotNull(), sides["up"]).alias("s")).where("s is not null")
-    marks = nearest.select(*keys, "s.stretch", "s.x").distinct().withColumn("rest", F.lit(True))
-    return sampled.join(marks, [*keys, "stretch", "x"], "left").withColumn("rest", F.coalesce("rest", F.lit(False)))
+    return nearest.select(*keys, *[f"s.{p}" for p in payload], "s.x")
+
+
+def with_rests(parts: DataFrame, stops: DataFrame, keys: list[str], width: float) -> DataFrame:
+    """Sampled pieces with `rests`, the numbers of their samples at which the stops (keys, stop) are made: those that `stopped` marks.
+
+    Only samples that can be nearest to a stop are looked at: the first and last of each
+    piece, and those on both sides of a stop inside a piece. width: about the length of the longer pieces.
+    """
+    own = [*keys, "stretch"]
+    asked = stops.select(*keys, "stop").distinct()
+    spans = parts.withColumns({"x0": _at(F.col("i0")), "x1": _at(F.col("i1"))})
+    near = F.floor((F.col("stop") - F.col("k0")) * (F.col("n") - 1) / (F.col("k1") - F.col("k0"))).cast("int")
+    inside = intervals.points_in(asked, spans, keys, "stop", width, ("x0", "x1"), closed=True).withColumn("is", F.sequence(F.greatest(near - 1, F.col("i0")), F.least(near + 2, F.col("i1"))))
+    either = parts.withColumn("is", F.array("i0", "i1")).select(*own, "lo", "k0", "k1", "n", "is").unionByName(inside.select(*own, "lo", "k0", "k1", "n", "is"))
+    seen = either.withColumn("i", F.explode("is")).select(*own, "lo", "i", _at(F.col("i")).alias("x"))
+    found = _nearest(asked, seen, keys, ["stretch", "lo", "i"]).groupBy(*own, "lo").agg(F.collect_set("i").alias("rests"))
+    return parts.join(found.hint("merge"), [*own, "lo"], "left")
 
 
 def minutes(sampled: DataFrame, keys: list[str], train: Train, cap: float) -> DataFrame:
@@ -81,7 +132,9 @@ def minutes_of(sampled: DataFrame, keys: list[str], runs: list[tuple[str, Train,
 
     Rests at both ends and at `rest`, the slowest limit under the whole train, power
     forwards, brakes backwards. A column `grade` counts where there is one. A task holds some stretches, which advance together.
+    Sampled pieces may stand for their samples: these are then made where they are used, and only pieces are shuffled.
     """
+    pieces = "i0" in sampled.columns
     kinds = dict(sampled.dtypes)
     own = [*keys, "stretch"]
     schema = ", ".join(f"{k} {kinds[k]}" for k in own) + ", variant string, minutes double"
@@ -117,6 +170,8 @@ def minutes_of(sampled: DataFrame, keys: list[str], runs: list[tuple[str, Train,
         return out
 
     extra = ["grade"] if "grade" in sampled.columns else []
+    if pieces:
+        return sequences.per_small_keys(sampled, own, ["i0"], schema, rule, then=lambda rows: _each(rows, *own, "x", "v", "rest"))
     return sequences.per_small_keys(sampled.select(*own, "x", "v", "rest", *extra), own, ["x"], schema, rule)
 
 
@@ -143,7 +198,7 @@ def travel_time_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys, out = ["user_id"], None
     for free in (True, False):
         pieces = free_pieces(segments, blocks, keys, 24.0) if free else segments.select("user_id", "lo", "hi", "v")
-        points = stopped(samples(stretches(pieces, keys, 0.05), keys, 0.5), stops, keys)
+        points = with_rests(sampled_pieces(stretches(pieces, keys, 0.05), keys, 0.5), stops, keys, 24.0)
         runs = [(name, train, cap, stopping) for name, train, cap, own, stopping in variants() if own == free]
         one = minutes_of(points, keys, runs).groupBy(*keys, "variant").agg(F.round(F.sum("minutes"), 4).alias("minutes"))
         out = one if out is None else out.unionByName(one)

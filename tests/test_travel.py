@@ -100,3 +100,32 @@ def test_speeds_in_both_directions(spark):
     assert abs(at["m"].out_ms - (flat[50][0] + flat[51][0]) / 2) < 1e-9 and at["m"].top_ms == max(at["m"].out_ms, at["m"].back_ms)
     assert at["e"].out_ms == hill[0][0] and at["f"].back_ms == hill[-1][1] and at["n"].top_ms is None
     assert F is not None
+
+
+def test_pieces_stand_for_their_samples(spark):
+    """Minutes from pieces are those from all samples: gaps, pieces of no length, equal starts, stops on and between samples and outside."""
+    import random
+
+    rng, pieces, stops = random.Random(4), [], []
+    for line in range(12):
+        at = rng.uniform(0, 3)
+        for k in range(rng.randint(1, 25)):
+            end = at + rng.choice((0.0, 0.2, 0.5, 1.0, 7.3, 20.0))
+            pieces.append((line, at, end, float(rng.randint(40, 220))))
+            if k % 6 == 5:
+                pieces.append((line, at, end, 90.0))
+            at = end + rng.choice((0.0, 0.0, 0.01, 0.4))
+        stops += [(line, x) for x in (-1.0, 0.5, at / 2, rng.uniform(0, at), rng.uniform(0, at), at + 5)]
+    p = travel.stretches(spark.createDataFrame(pieces, "t long, lo double, hi double, v double"), ["t"], 0.05).localCheckpoint()
+    s = spark.createDataFrame(stops, "t long, stop double")
+    runs = [("a", travel.LOCO, 153.0, True), ("b", travel.TILTING, 177.0, False)]
+    plain = travel.minutes_of(travel.stopped(travel.samples(p, ["t"], 0.5), s, ["t"]), ["t"], runs).collect()
+    short = travel.minutes_of(travel.with_rests(travel.sampled_pieces(p, ["t"], 0.5), s, ["t"], 5.0), ["t"], runs).collect()
+    assert len(plain) > 30 and sorted(plain) == sorted(short)
+
+
+def test_samples_are_not_shuffled(spark):
+    """Samples are made where trains are moved: between the two no rows are exchanged."""
+    plan = travel.travel_time_variants(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    moved = plan.split("MapInPandas")[1:]
+    assert moved and all(0 < part.find("Generate explode") < part.find("Exchange") for part in moved)
