@@ -167,8 +167,9 @@ def _fit(sums: dict[str, Column], m: Column) -> Column:
     return F.when(m >= 3, linear.radius_of(F.struct(*[c.cast("double").alias(k) for k, c in parts.items()]))).otherwise(F.lit(float("inf")))
 
 
-def fitted(rows: DataFrame, keys: list[str], survey: Survey) -> DataFrame:
-    """chunked rows with `__split` to rows with r: the circle about each within its stretch between splits, r_max where it turns too little."""
+def fitted(rows: DataFrame, keys: list[str], survey: Survey, out: str = "r") -> DataFrame:
+    """chunked rows with `__split`, and with out: the radius of the circle about each within its stretch between splits, r_max where it turns too little."""
+    names = rows.columns
     half, least, chord = survey.half_window(), survey.half_least(), survey.half_chord(survey.chord)
     order = Window.partitionBy(*keys, "chunk").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     w = Window.partitionBy(*keys, "chunk", "__seg").orderBy("i")
@@ -200,7 +201,7 @@ def fitted(rows: DataFrame, keys: list[str], survey: Survey) -> DataFrame:
     turned = F.abs(F.when(short, near).otherwise(F.col("__ahead") - F.col("__back")))
     r = F.when(short, F.col("__one")).when(F.col("j") < half, F.col("__head")).otherwise(F.coalesce("__in", "__tail"))
     straight = (F.col("__n") >= 5) & (turned < radians(survey.least_turn))
-    return rows.select(*keys, "chunk", "own", "i", "x", "y", F.when(straight | (r > survey.r_max), F.lit(survey.r_max)).otherwise(r).alias("r"))
+    return rows.select(*names, F.when(straight | (r > survey.r_max), F.lit(survey.r_max)).otherwise(r).alias(out))
 
 
 def median_of_five(w, column: str) -> Column:
@@ -216,14 +217,26 @@ def along(points: DataFrame, keys: list[str], survey: Survey = Survey(), cuts: D
 
     cuts: (keys, i), those of `splits` if it isn't given.
     """
-    survey.check()
-    cuts = (splits(points, keys, survey) if cuts is None else cuts).select(*keys, "i", F.lit(True).alias("__split"))
-    n = points.count()
-    flagged = spread(points, n, *keys, "i").join(cuts, [*keys, "i"], "left").withColumn("__split", F.coalesce("__split", F.lit(False)))
-    own = fitted(chunked(flagged, keys, n), keys, survey)
+    return along_each(points, keys, {"radius": survey}, cuts)
+
+
+def along_each(points: DataFrame, keys: list[str], surveys: dict[str, Survey], cuts: DataFrame | None = None) -> DataFrame:
+    """As `along`, with a radius for each of several surveys, by name; points are shuffled once for all of them.
+
+    cuts are those of `splits` by the first survey if they aren't given. A chunk's cuts, a few dozens, go to its rows as an array.
+    """
+    for survey in surveys.values():
+        survey.check()
+    cuts = splits(points, keys, next(iter(surveys.values()))) if cuts is None else cuts
+    near = linear.with_halo(cuts.select(*keys, "i"), keys, "i", HALO, ROWS).groupBy(*keys, "chunk").agg(F.collect_set("i").alias("__cuts"))
+    # each survey sorts in the same task, which so has the fewer rows
+    rows = chunked(points, keys, points.count() * len(surveys)).join(near.hint("merge"), [*keys, "chunk"], "left")
+    rows = rows.withColumn("__split", F.coalesce(F.array_contains("__cuts", F.col("i")), F.lit(False))).drop("__cuts")
+    for name, survey in surveys.items():
+        rows = fitted(rows, keys, survey, f"__of_{name}")
     w = Window.partitionBy(*keys, "chunk").orderBy("i")
-    out = own.withColumn("radius", F.greatest(F.least(median_of_five(w, "r"), F.lit(survey.r_max)), F.lit(survey.r_min)))
-    return out.where("own").select(*keys, "i", "x", "y", "radius")
+    told = {name: F.greatest(F.least(median_of_five(w, f"__of_{name}"), F.lit(survey.r_max)), F.lit(survey.r_min)) for name, survey in surveys.items()}
+    return rows.withColumns(told).where("own").select(*keys, "i", "x", "y", *surveys)
 
 
 def measured(vertices: DataFrame, keys: list[str], order: list[str], x: str, y: str, survey: Survey = Survey(), block: str | None = None) -> DataFrame:

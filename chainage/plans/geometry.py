@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from chainage.functions.scalar import micros
 from chainage.operators import corridor, curvature, linear, matching, spatial, tracks
 from chainage.plans.registry import query, table
-from chainage.sources.shared import checkpoint, spread
+from chainage.sources.shared import checkpoint, drop, release, spread, stored
 
 SURVEY = curvature.Survey()
 
@@ -224,14 +224,19 @@ bias AS (SELECT n3.*, n AS n_body, fitted, CASE WHEN fitted < 'inf'::DOUBLE THEN
 
 def _curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Curves (runs of one class of radius) with their published radius, that of their body by fine fits, and the factor between them."""
-    points = checkpoint(curvature.resampled(path(spark, sf_dir), ["user_id"], ["v"], "x", "y", SURVEY.step, "block"))
+    points, first = stored(curvature.resampled(path(spark, sf_dir), ["user_id"], ["v"], "x", "y", SURVEY.step, "block"))
+    release(spark)
     cuts = checkpoint(curvature.splits(points, ["user_id"]))
-    fine = curvature.along(points, ["user_id"], FINE, cuts).select("user_id", "i", F.col("radius").alias("r"))
-    wide = curvature.along(points, ["user_id"], SURVEY, cuts)
+    release(spark)
+    rows, second = stored(curvature.along_each(points, ["user_id"], {"radius": SURVEY, "r": FINE}, cuts))
+    drop(spark, first)
+    release(spark)
     r = F.col("radius")
     kind = F.when(r >= SURVEY.r_max, "straight").when(r >= 2000, "wide").when(r >= 900, "middle").otherwise("sharp")
-    rows = checkpoint(wide.join(fine, ["user_id", "i"]).withColumns({"class": kind, "piece": F.floor(F.col("i") / 5000)}))
-    rows = checkpoint(linear.islands(rows, ["user_id"], ["i"], "class", "run", "piece").where("class <> 'straight'"))
+    rows = rows.withColumns({"class": kind, "piece": F.floor(F.col("i") / 5000)})
+    rows = checkpoint(linear.islands(rows, ["user_id"], ["i"], "class", "run", "piece").where("class <> 'straight'").drop("piece"))
+    drop(spark, second)
+    release(spark)
     told = rows.groupBy("user_id", "run").agg(F.first("class").alias("class"), F.min("radius").alias("published"), ((F.max("i") - F.min("i") + 1) * SURVEY.step).alias("length"))
     body = corridor.bodies(rows, ["user_id", "run"], "i", "x", "y", "r").select("user_id", "run", "n_body", "fitted")
     return corridor.bias(told.join(body, ["user_id", "run"]), "published", "fitted")

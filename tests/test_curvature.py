@@ -121,3 +121,21 @@ def test_few_steps_run_in_as_many_tasks_as_points_need(spark, monkeypatch):
     rows = spark.range(2000).selectExpr("id div 400 as s", "id % 400 as i", "id % 400 div 50 as b")
     out = C.linear.numbered(rows, ["s"], ["i"], "n", "b")
     assert out.where("n <> i").count() == 0 and "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_two_surveys_in_one_pass(spark):
+    """Radii of several surveys are those of each alone, and the points are shuffled once for all of them."""
+    from pyspark.sql import functions as F
+
+    t = F.col("i") / 40.0
+    points = spark.range(2600).select(F.lit(1).alias("s"), F.col("id").alias("i")).select("s", "i", (F.col("i") * 10 + 200 * F.sin(t)).alias("x"), (900 * F.cos(t / 3)).alias("y")).localCheckpoint()
+    wide, fine = C.Survey(), C.Survey(window=300.0)
+    cuts = C.splits(points, ["s"], wide).localCheckpoint()
+    both = C.along_each(points, ["s"], {"a": wide, "b": fine}, cuts)
+    assert cuts.count() > 5
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(both.select("i", "x", "y", "a")) == rows(C.along(points, ["s"], wide, cuts).drop("s"))
+    assert rows(both.select("i", "x", "y", "b")) == rows(C.along(points, ["s"], fine, cuts).drop("s"))
+    assert rows(both.select("a")) != rows(both.select("b"))
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 1
